@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sealmark.llm import bpe, chat, packing, secrets
+from sealmark.llm import bpe, chat, html_text, order_minhash, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": chat.op3_chat_format,
     "op4_best_fit": packing.op4_best_fit,
+    "op5_main_text": html_text.op5_main_text,
+    "op7_order_minhash": order_minhash.op7_order_minhash,
     "op9_bpe": bpe.op9_bpe,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
