@@ -8,7 +8,7 @@ DataFrames keyed by (language, n-gram); nothing of them passes the driver.
 Scoring joins shards. Documents are dealt to blocks; each block asks once for each of its distinct n-grams; the
 questions meet the model in a join on (language, n-gram), and the answers meet the block's documents again. So what
 is shuffled is a block's distinct n-grams, not its n-gram occurrences. A document is kept if its perplexity lies
-between two quantiles, widened by a margin, of the perplexities of the trusted documents of its language: junk is
+between two quantiles, moved out by a margin, of the perplexities of the trusted documents of its language: junk is
 too surprising, endless repetition not surprising enough.
 
 Defined results: a null text is the empty text (it has one n-gram, its end); a null language is a language of its
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from sealmark.llm._common import prepare, saved, shuffle_parts, table, text_or_empty
 
 ORDER = 4
-#: Quantiles of the trusted documents' log perplexity, and by how much of their spread the kept range is widened.
-LOW, HIGH, MARGIN = 0.001, 0.999, 0.25
+#: Quantiles of the trusted documents' log perplexity, and by how many times their distance from the median each is moved out.
+LOW, HIGH = 0.001, 0.999
+MARGINS = (1.5, 0.5)
 #: Raw text in a block of documents.
 BLOCK_BYTES = 48 << 20
 #: Trusted ids are broadcast to the scan up to this size, and met by a shuffled join beyond it.
@@ -309,21 +310,21 @@ def perplexities(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answer, f"id {kind}, lang string, n_grams long, perplexity double")
 
 
-def thresholds(scored: DataFrame, ids: DataFrame, low: float = LOW, high: float = HIGH, margin: float = MARGIN) -> DataFrame:
+def thresholds(scored: DataFrame, ids: DataFrame, low: float = LOW, high: float = HIGH, margins: tuple[float, float] = MARGINS) -> DataFrame:
     """(lang, least, most): the kept range of each language's perplexities."""
     own = scored.join(ids.withColumnRenamed(ids.columns[0], "id"), "id", "left_semi").filter(F.col("perplexity").isNotNull())
     q = F.percentile_approx(F.log("perplexity"), [low, 0.5, high], 10_000)
     a, m, b = (F.element_at(F.col("q"), i) for i in (1, 2, 3))
-    return own.groupBy("lang").agg(q.alias("q")).select("lang", F.exp(a - margin * (m - a)).alias("least"), F.exp(b + margin * (b - m)).alias("most"))
+    return own.groupBy("lang").agg(q.alias("q")).select("lang", F.exp(a - margins[0] * (m - a)).alias("least"), F.exp(b + margins[1] * (b - m)).alias("most"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", low: float = LOW, high: float = HIGH, margin: float = MARGIN) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", low: float = LOW, high: float = HIGH, margins: tuple[float, float] = MARGINS) -> DataFrame:
     """(id, lang, n_grams, perplexity, least, most, keep) for every row of ``docs``."""
     prepare(docs.sparkSession)
     ids = saved(trusted_ids(labels))
     known = saved(model(counts(docs, ids, id_col, text, lang)))
     scored = saved(perplexities(docs, known, id_col, text, lang))
-    s, t = scored.alias("s"), thresholds(scored, ids, low, high, margin).alias("t")
+    s, t = scored.alias("s"), thresholds(scored, ids, low, high, margins).alias("t")
     met = s.join(t, F.col("s.lang").eqNullSafe(F.col("t.lang")), "left")
     keep: Column = F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.lit(True))
     return met.select("s.id", "s.lang", "n_grams", "perplexity", "least", "most", keep.alias("keep"))
