@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sealmark.llm import bpe, chat, html_text, order_minhash, packing, quality, secrets
+from sealmark.llm import bpe, chat, html_text, near_dup, order_minhash, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op3_chat_format": chat.op3_chat_format,
     "op4_best_fit": packing.op4_best_fit,
     "op5_main_text": html_text.op5_main_text,
+    "op6_near_dup": near_dup.op6_near_dup,
     "op7_order_minhash": order_minhash.op7_order_minhash,
     "op9_bpe": bpe.op9_bpe,
     "op10_secret_scan": secrets.op10_secret_scan,
