@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sealmark.llm import bpe, chat, html_text, near_dup, order_minhash, packing, quality, secrets
+from sealmark.llm import ann, bpe, chat, html_text, near_dup, order_minhash, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
+    "op2_nearest": ann.op2_nearest,
     "op3_chat_format": chat.op3_chat_format,
     "op4_best_fit": packing.op4_best_fit,
     "op5_main_text": html_text.op5_main_text,
