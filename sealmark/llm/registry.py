@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sealmark.llm import ann, bpe, chat, html_text, near_dup, order_minhash, packing, quality, secrets
+from sealmark.llm import ann, bpe, chat, html_text, licenses, near_dup, order_minhash, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_main_text": html_text.op5_main_text,
     "op6_near_dup": near_dup.op6_near_dup,
     "op7_order_minhash": order_minhash.op7_order_minhash,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_bpe": bpe.op9_bpe,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
