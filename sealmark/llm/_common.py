@@ -54,6 +54,15 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A set of ids is broadcast up to this size; a larger one is met by a shuffled join.
+BROADCAST_BYTES = 64 << 20
+
+
+def if_small(ids: DataFrame, width: int) -> DataFrame:
+    """``ids`` marked for broadcast if its rows, of ``width`` bytes, are under the bound; else as it is."""
+    return F.broadcast(ids) if ids.count() * width <= BROADCAST_BYTES else ids
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

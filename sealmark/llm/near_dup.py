@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sealmark.llm._common import mix, prepare, saved, shingles, table, text_or_empty, word_hashes
+from sealmark.llm._common import if_small, mix, prepare, saved, shingles, table, text_or_empty, tmp_name, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -41,8 +41,6 @@ DF_BITS, _CELLS = 20, 4096
 STEP, LEVELS = 0.05, 64
 #: Members of a bucket that are compared in one task at once.
 BLOCK = 4096
-#: Ids wanted from a scan are broadcast to it up to this size, and met by a shuffled join beyond it.
-BROADCAST_BYTES = 64 << 20
 
 _HASH_BITS = 52
 _CHARS, _DOCS = 1_500_000, 4000
@@ -195,10 +193,6 @@ def weighted_jaccard(h1: np.ndarray, l1: np.ndarray, h2: np.ndarray, l2: np.ndar
     return float(both / (w1.sum() + w2.sum() - both))
 
 
-def _wanted(ids: DataFrame, width: int) -> DataFrame:
-    return F.broadcast(ids) if ids.count() * width <= BROADCAST_BYTES else ids
-
-
 def verify(docs: DataFrame, pairs: DataFrame, log_idf: np.ndarray) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least ``SIMILAR``."""
     held = docs.sparkSession.sparkContext.broadcast(log_idf.astype(np.float32))
@@ -210,7 +204,7 @@ def verify(docs: DataFrame, pairs: DataFrame, log_idf: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0)[first:stop], pa.ListArray.from_arrays(off, pa.array(h.astype(np.int64))), pa.ListArray.from_arrays(off, pa.array(lev))], names=["id", "h", "l"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = docs.select("id", "text").join(_wanted(ids, 16), "id", "left_semi").mapInArrow(run, "id long, h array<long>, l array<byte>")
+    own = docs.select("id", "text").join(if_small(ids, 16), "id", "left_semi").mapInArrow(run, "id long, h array<long>, l array<byte>")
     own = saved(own.dropDuplicates(["id"]))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,10 +306,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, that of the least id, and all of its columns."""
-    kept = classes(docs, id_col, text).filter(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("kept_")).distinct()
-    once = docs.dropDuplicates([id_col])
-    return once.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("kept_")), "left_semi")
+    """``docs`` with one document of each class, that of the least id, and all of its columns.
+
+    Of rows that repeat an id the one of least text stays.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))
+    key_, place = tmp_name(docs.columns, "key"), tmp_name(docs.columns, "place")
+    keyed = docs.withColumn(key_, key)
+    found = saved(classes(docs, id_col, text).filter(~F.col("id").eqNullSafe(F.col("class_id"))).select(F.coalesce("id", F.lit(_NULL)).alias(key_)).distinct())
+    twice = saved(keyed.groupBy(key_).count().filter("count > 1").select(key_))
+    twice = twice.join(found, key_, "left_anti")
+    once = keyed.join(if_small(found.union(twice), 16), key_, "left_anti")
+    first = Window.partitionBy(key_).orderBy(text)
+    again = keyed.join(if_small(twice, 16), key_, "left_semi").withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1)
+    return once.select(*docs.columns).union(again.select(*docs.columns))
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

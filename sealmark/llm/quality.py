@@ -1,23 +1,24 @@
 """Quality classifier: interpolated modified Kneser-Ney perplexity, thresholded by quantiles of each language.
 
 The model is of characters (orders 1 to 4), because invented, misspelt or rare words then still share statistics and
-the distinct n-grams of a block of documents are far fewer than its words. It is trained on trusted text: every
-document whose labels all say good and not toxic. Counts, continuation counts, discounts and probabilities are
+the distinct n-grams of a block of documents are far fewer than its words. It is trained on trusted text: the
+documents whose labels all say good and not toxic, but for those held out. Counts, continuation counts, discounts and probabilities are
 DataFrames keyed by (language, n-gram); nothing of them passes the driver.
 
 Scoring joins shards. Documents are dealt to blocks; each block asks once for each of its distinct n-grams; the
 questions meet the model in a join on (language, n-gram), and the answers meet the block's documents again. So what
 is shuffled is a block's distinct n-grams, not its n-gram occurrences. A document is kept if its perplexity lies
-between two quantiles, moved out by a margin, of the perplexities of the trusted documents of its language: junk is
-too surprising, endless repetition not surprising enough.
+between two quantiles, moved out by a margin, of the perplexities of trusted documents of its language that are held
+out of the training: junk is too surprising, endless repetition not surprising enough.
 
 Defined results: a null text is the empty text (it has one n-gram, its end); a null language is a language of its
-own; a language without trusted documents gives a null perplexity and keeps its documents; repeated rows are each
+own; a language without trusted documents gives a null perplexity, one without held-out ones null bounds, and both keep their documents; repeated rows are each
 scored; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealmark.llm._common import prepare, saved, shuffle_parts, table, text_or_empty
+from sealmark.llm._common import if_small, prepare, saved, shuffle_parts, table, text_or_empty, tmp_name
 
 ORDER = 4
 #: Quantiles of the trusted documents' log perplexity, and by how many times their distance from the median each is moved out.
 LOW, HIGH = 0.001, 0.999
 MARGINS = (1.5, 0.5)
+#: The least move, as a factor: few trusted documents give close quantiles.
+FACTOR = 2.0
+#: Share of the trusted documents that the model does not see and the quantiles are taken of.
+HELD_OUT = 0.2
 #: Raw text in a block of documents.
 BLOCK_BYTES = 48 << 20
-#: Trusted ids are broadcast to the scan up to this size, and met by a shuffled join beyond it.
-BROADCAST_BYTES = 64 << 20
 
 _B = 15  # bits of a symbol
 _MASK = (1 << _B) - 1
@@ -139,9 +142,7 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def counts(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, gram, c): how often each n-gram of highest order occurs in the documents of ``ids``."""
-    if ids.count() * 16 <= BROADCAST_BYTES:
-        ids = F.broadcast(ids)
-    chosen = docs.select(F.col(id_col), F.col(lang).alias("lang"), text_or_empty(text).alias("text")).join(ids, id_col, "left_semi")
+    chosen = docs.select(F.col(id_col), F.col(lang).alias("lang"), text_or_empty(text).alias("text")).join(if_small(ids, 16), id_col, "left_semi")
     own = chosen.select("lang", "text").mapInArrow(_count_batches, "lang string, gram long, c long")
     return own.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
@@ -314,21 +315,30 @@ def thresholds(scored: DataFrame, ids: DataFrame, low: float = LOW, high: float
     """(lang, least, most): the kept range of each language's perplexities."""
     own = scored.join(ids.withColumnRenamed(ids.columns[0], "id"), "id", "left_semi").filter(F.col("perplexity").isNotNull())
     q = F.percentile_approx(F.log("perplexity"), [low, 0.5, high], 10_000)
+    wide = F.lit(math.log(FACTOR))
     a, m, b = (F.element_at(F.col("q"), i) for i in (1, 2, 3))
-    return own.groupBy("lang").agg(q.alias("q")).select("lang", F.exp(a - margins[0] * (m - a)).alias("least"), F.exp(b + margins[1] * (b - m)).alias("most"))
+    return own.groupBy("lang").agg(q.alias("q")).select("lang", F.exp(a - F.greatest(margins[0] * (m - a), wide)).alias("least"), F.exp(b + F.greatest(margins[1] * (b - m), wide)).alias("most"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", low: float = LOW, high: float = HIGH, margins: tuple[float, float] = MARGINS) -> DataFrame:
     """(id, lang, n_grams, perplexity, least, most, keep) for every row of ``docs``."""
     prepare(docs.sparkSession)
-    ids = saved(trusted_ids(labels))
+    ids = saved(trusted_ids(labels).withColumn("out", F.pmod(F.xxhash64(id_col), F.lit(1000)) < int(1000 * HELD_OUT)))
+    held_out, ids = ids.filter("out").drop("out"), ids.filter("NOT out").drop("out")
     known = saved(model(counts(docs, ids, id_col, text, lang)))
     scored = saved(perplexities(docs, known, id_col, text, lang))
-    s, t = scored.alias("s"), thresholds(scored, ids, low, high, margins).alias("t")
+    s, t = scored.alias("s"), thresholds(scored, held_out, low, high, margins).alias("t")
     met = s.join(t, F.col("s.lang").eqNullSafe(F.col("t.lang")), "left")
     keep: Column = F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.lit(True))
     return met.select("s.id", "s.lang", "n_grams", "perplexity", "least", "most", keep.alias("keep"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all of their columns. Rows that share an id are rejected together."""
+    own = tmp_name(docs.columns, "rejected")
+    bad = saved(classify(docs, labels, id_col, text, lang).filter(~F.col("keep")).select(F.col("id").alias(own)).distinct())
+    return docs.join(if_small(bad, 16), F.col(id_col).eqNullSafe(F.col(own)), "left_anti")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
