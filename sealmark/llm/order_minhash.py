@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sealmark.llm._common import prepare, table, text_or_empty
+from sealmark.llm._common import prepare, saved, table, text_or_empty
 
 K = 3
 TUPLE = 2
@@ -75,12 +75,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 
 
 def _range_of(key: str, splits: list[int]) -> Column:
-    """How many of the sorted ``splits`` are at most the key, by binary search."""
-    if not splits:
-        return F.lit(0)
-    high = len(splits).bit_length() - 1
-    array = "array(" + ", ".join(f"{x}L" for x in splits) + ")"
-    return F.expr(f"aggregate(sequence({high}, 0, -1), 0, (lo, b) -> IF(coalesce(get({array}, lo + shiftleft(1, b) - 1) <= {key}, false), lo + shiftleft(1, b), lo))")
+    """The place of the key among the sorted ``splits``, from 1: equal keys share it, greater keys have no lesser one."""
+    listed = "array(" + ", ".join(f"{x}L" for x in splits) + ")" if splits else "cast(array() AS array<bigint>)"
+    return F.expr(f"array_position(sort_array(array_append({listed}, {key})), {key})")
 
 
 def with_next(docs: DataFrame, range_docs: int = RANGE_DOCS, most: int = MOST_RANGES) -> DataFrame:
@@ -98,9 +95,10 @@ def with_next(docs: DataFrame, range_docs: int = RANGE_DOCS, most: int = MOST_RA
     firsts = sorted(ranged.groupBy("range").agg(F.max("key")).collect(), reverse=True)  # one row a range
     following = [(r[0], firsts[(i + 1) % len(firsts)][1]) for i, r in enumerate(firsts)]
     spark = docs.sparkSession
-    heads = docs.filter(F.col("key").isin([k for _, k in following])).groupBy("key").agg(F.min("text").alias("head_text"))
-    heads = spark.createDataFrame(following, "range int, key long").join(heads, "key").select("range", "head_text")
-    heads = with_signature(heads, "head_text", "head_sig")
+    first_rows = docs.filter(F.col("key").isin([k for _, k in following])).groupBy(F.col("key").alias("head")).agg(F.min("text").alias("head_text"))
+    listed = ", ".join(f"struct({r} AS range, {k + 1}L - 1L AS head)" for r, k in following)  # the least long has no literal
+    heads = spark.range(1).select(F.expr(f"inline(array({listed}))")).join(first_rows, "head").select("range", "head_text")
+    heads = saved(with_signature(heads, "head_text", "head_sig"))
     w = Window.partitionBy("range").orderBy(F.desc("key"), "text")
     own = with_signature(ranged, "text", "sig")
     led = own.withColumns({"lead_text": F.lead("text").over(w), "lead_sig": F.lead("sig").over(w)})
