@@ -1,10 +1,6 @@
 """All queries over the driver's tables and their SQL twins, by name."""
 
-from __future__ import annotations
+from sealmark.plans import claims, differences, folds, graphs, paths, reports, texts  # noqa: F401  they register their queries
+from sealmark.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
