@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Python workers are reused by later stages; with these, they give back what a stage no longer holds.
+WORKER_ENVIRONMENT = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "33554432", "MALLOC_MMAP_THRESHOLD_": "33554432", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Make this package importable in the Python workers and give the session a checkpoint folder.
 
@@ -24,6 +30,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    for name, value in WORKER_ENVIRONMENT.items():
+        sc.environment.setdefault(name, value)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sealmark-"))
     return spark
@@ -54,6 +62,18 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While an action runs inside, so many rows at most go to Python at once: for rows that hold long arrays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: A set of ids is broadcast up to this size; a larger one is met by a shuffled join.
 BROADCAST_BYTES = 64 << 20
 

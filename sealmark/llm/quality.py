@@ -37,13 +37,15 @@ FACTOR = 2.0
 #: Share of the trusted documents that the model does not see and the quantiles are taken of.
 HELD_OUT = 0.2
 #: Raw text in a block of documents.
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 32 << 20
 
 _B = 15  # bits of a symbol
 _MASK = (1 << _B) - 1
 _VOCABULARY = 1 << _B
 _TAG = 60  # the order of an n-gram stands above its symbols
-_CHUNK = 2_000_000  # characters handled at once
+_CHUNK = 500_000  # characters handled at once
+#: Bytes of rows that a task holds while it packs them by block.
+_HELD = 24 << 20
 _EDGE = "\U0010ffff"
 
 
@@ -238,7 +240,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own, k = rest.take(pa.array(part)), int(blocks[part[0]])
                 held.setdefault(k, []).append(own)
                 size[k] = size.get(k, 0) + own.nbytes
-        while sum(size.values()) > 96 << 20:
+        while sum(size.values()) > _HELD:
             yield out(max(size, key=size.get))
     for k in list(held):
         yield out(k)
