@@ -111,12 +111,12 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text",
 
     All columns stay; ``chars``, if there is such a column, is counted anew where the text has changed.
     """
-    blob, spans = tmp_name(docs.columns, "blob"), tmp_name(docs.columns, "spans")
+    blob, spans, key = (tmp_name(docs.columns, n) for n in ("blob", "spans", "key"))
     known = scan_unseen(docs, ledger, docs.columns[0], text)
     if ledger is not None:
-        known = known.unionByName(ledger.select("blob", "rule_version", "spans"))
-    known = known.filter(F.size("spans") > 0).select(F.col("blob").alias("b_"), F.col("spans").alias(spans))
-    joined = docs.withColumn(blob, F.sha2(text_or_empty(text), 256)).join(known, F.col(blob) == F.col("b_"), "left")
+        known = known.unionByName(ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "spans"))
+    known = known.filter(F.size("spans") > 0).select(F.col("blob").alias(key), F.col("spans").alias(spans))
+    joined = docs.withColumn(blob, F.sha2(text_or_empty(text), 256)).join(known, F.col(blob) == F.col(key), "left")
 
     @F.pandas_udf("string")
     def cut(t, s):
