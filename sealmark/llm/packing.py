@@ -3,7 +3,9 @@
 Each Spark partition is packed as a stream. A fixed number of bins is open at a time; an integer used as a bitset
 has bit f set where some open bin has f tokens free, so the best fit for n tokens is the lowest set bit at n or
 above. A piece that fits no open bin opens a new one; if all are open already, the fullest closes first. Full bins
-close at once. What is open at the end of a partition closes there, so a partition wastes a few bins at most.
+close at once. What is open at the end of a partition closes there, so a partition wastes a few bins at most. The
+stream is cut into windows of a fixed number of documents, and the longest pieces of a window are placed first: short
+ones then fill the gaps that long ones leave.
 
 Documents longer than the capacity are cut; the shorter piece comes first and the others are full sequences.
 
@@ -30,6 +32,8 @@ from sealmark.llm.bpe import SPLIT, default_vocabulary, load
 
 CAPACITY = 1024
 OPEN_BINS = 512
+#: Documents whose pieces are placed in order of length.
+WINDOW = 1500
 END_ID = 2
 #: Texts from this length on go to the tokenizers library, whose split does not recurse.
 LONG = 1_000_000
@@ -104,7 +108,7 @@ def library_ids(path: str) -> LibraryIds:
     return LibraryIds(path)
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text: str = "text", with_ids: bool = True, window: int = WINDOW) -> DataFrame:
     """One row a piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids])."""
     prepare(docs.sparkSession)
     path = path or default_vocabulary()
@@ -115,17 +119,16 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, ope
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib, packer = library_ids(path), Packer(capacity, open_bins)
         base, end = TaskContext.get().partitionId() << 36, array("I", [END_ID]).tobytes()
-        for b in batches:
-            rows: list[list] = [[] for _ in names[1:]]
-            index = []
+        for b in (whole.slice(i, window) for whole in batches for i in range(0, whole.num_rows, window)):
+            pieces = []  # (row, piece, start, length, ids)
             for i, t in enumerate(b.column(1)):
                 ids = lib.encode_packed(t.as_py()) + end
-                for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    own = ids[start * 4 : (start + n) * 4]
-                    seq, offset = packer.place(n)
-                    index.append(i)
-                    for column, x in zip(rows, (k, start, n, crc32(own), base + seq, offset, own), strict=False):
-                        column.append(x)
+                pieces += [(i, k, start, n, ids[start * 4 : (start + n) * 4]) for k, (start, n) in enumerate(cut(len(ids) // 4, capacity))]
+            places: list[tuple[int, int]] = [(0, 0)] * len(pieces)
+            for j in sorted(range(len(pieces)), key=lambda j: -pieces[j][3]):
+                places[j] = packer.place(pieces[j][3])
+            index = [p[0] for p in pieces]
+            rows = [[p[1] for p in pieces], [p[2] for p in pieces], [p[3] for p in pieces], [crc32(p[4]) for p in pieces], [base + s for s, _ in places], [o for _, o in places], [p[4] for p in pieces]]
             types = [pa.int32(), *[pa.int64()] * 5]
             columns = [b.column(0).take(pa.array(index, pa.int64())), *(pa.array(x, t) for x, t in zip(rows, types, strict=False))]
             if with_ids:
