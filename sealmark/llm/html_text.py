@@ -43,6 +43,8 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert
 #: Words of class or id that mark no article; those of the second set count only outside the article element.
 DROP_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond disqus share sharing social related recommended newsletter subscribe subscription popup modal widget pagination pager login signup toolbar skip paywall copyright".split())
 OUTER_WORDS = frozenset("header masthead topbar search hero".split())
+#: With these a class says what a layout has, not what an element is.
+LAYOUT_WORDS = frozenset("has with no without layout wrapper container page".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 SCOPE = frozenset("table td th caption button object template html".split())
@@ -66,7 +68,7 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
             return True
         if name in ("class", "id"):
             words = set(WORDS.findall(value))
-            if words & DROP_WORDS or (not inside and words & OUTER_WORDS):
+            if not words & LAYOUT_WORDS and (words & DROP_WORDS or (not inside and words & OUTER_WORDS)):
                 return True
     return False
 
@@ -136,7 +138,7 @@ class Page:
                 self._part.append(" ")
             return
         top = stack[-1]
-        skip = top.skip or _boilerplate(tag, attrs, top.main > 0)
+        skip = tag != "main" and (top.skip or _boilerplate(tag, attrs, top.main > 0))
         main = 0 if skip else max(top.main, 2 if tag == "main" else 1 if tag == "article" else 0)
         container = tag not in INLINE and tag not in FLOW and tag not in ("html", "body", "main", "article")
         if container:
