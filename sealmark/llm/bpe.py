@@ -31,7 +31,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Where a space is followed by no other white space, the split cuts before it: what stands between two spaces is
 #: then encoded by itself. Texts with such a run take the plain way.
 UNSAFE = regex.compile(r" \s| $")
-#: Pieces that a worker remembers at most; beyond it the memo starts anew.
+#: Pieces that a worker remembers at most; frequent ones come early, so a full memo stays as it is.
 MEMO = 300_000
 #: Pieces longer than this many characters are never remembered.
 MEMO_CHARS = 64
@@ -100,9 +100,7 @@ class Bpe:
 
     def _packed(self, piece: str) -> bytes:
         got = array("I", self.piece(piece)).tobytes()
-        if len(piece) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
+        if len(piece) <= MEMO_CHARS and len(self.memo) < MEMO:
             self.memo[piece] = got
         return got
 
@@ -129,9 +127,7 @@ class Bpe:
 
     def _unit(self, unit: str) -> bytes:
         got = self._pieces(" " + unit)
-        if len(unit) <= MEMO_CHARS:
-            if len(self.units) >= MEMO:
-                self.units.clear()
+        if len(unit) <= MEMO_CHARS and len(self.units) < MEMO:
             self.units[unit] = got
         return got
 
