@@ -173,3 +173,12 @@ def test_query_has_the_hostile_conversation(spark):
     got = {r.conv_id: r for r in chat.op3_chat_format(spark, "/root/testdata/sf0.001").collect()}
     want = hashlib.sha256(f"user\n{chat.HOSTILE}\nassistant\n{chat.HOSTILE}\n".encode()).hexdigest()
     assert (got[-1].n_turns, got[-1].turns_sha256, got[-1].loss_chars) == (2, want, len(chat.HOSTILE))
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    want = sorted(c.execute(f"SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars FROM ({chat.OP3_SQL})").fetchall())
+    assert sorted(tuple(r) for r in chat.op3_chat_format(spark, "/root/testdata/sf0.001").collect()) == want
