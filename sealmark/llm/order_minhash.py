@@ -12,7 +12,7 @@ equals the one before it finds how far back its run goes by doubling steps, so a
 
 Defined results: null is the empty text, whose one token is empty; equal texts have equal fingerprints; in the
 neighbour order (descending id) a null id counts as the least, and rows of equal id go by text; columns other than
-id and text are ignored; the only row of a table is its own next document.
+id and text are ignored; the only row of a table is its own next document; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -96,6 +96,8 @@ def with_next(docs: DataFrame, range_docs: int = RANGE_DOCS, most: int = MOST_RA
     following = [(r[0], firsts[(i + 1) % len(firsts)][1]) for i, r in enumerate(firsts)]
     spark = docs.sparkSession
     first_rows = docs.filter(F.col("key").isin([k for _, k in following])).groupBy(F.col("key").alias("head")).agg(F.min("text").alias("head_text"))
+    if not following:
+        return docs.select("doc_id", "text", F.array().cast("array<bigint>").alias("sig"), F.lit("").alias("next_text"), F.array().cast("array<bigint>").alias("next_sig"))
     listed = ", ".join(f"struct({r} AS range, {k + 1}L - 1L AS head)" for r, k in following)  # the least long has no literal
     heads = spark.range(1).select(F.expr(f"inline(array({listed}))")).join(first_rows, "head").select("range", "head_text")
     heads = saved(with_signature(heads, "head_text", "head_sig"))

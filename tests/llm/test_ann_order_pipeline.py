@@ -131,6 +131,9 @@ def test_neighbours_and_edited_texts(spark, range_docs):
     got = {r.doc_id: r.next_text for r in order_minhash.with_next(df, range_docs=range_docs).collect()}
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
     assert got == {r[0]: order[(n + 1) % len(order)][1] or "" for n, r in enumerate(order)}
+    assert order_minhash.with_next(df.limit(0)).count() == 0
+    alone = order_minhash.with_next(df.filter("doc_id = 7000000000")).collect()
+    assert [(r.text, r.next_text) for r in alone] == [("big", "big")]
 
 
 def test_query_follows_its_contract(spark):
