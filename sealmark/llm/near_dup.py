@@ -1,16 +1,18 @@
 """Near-duplicate detection by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are runs of five words. Their document frequencies are counted over all documents in a table of fixed size
-by hash (4 MB, the only thing that is broadcast whole). A shingle's weight is (1 + ln tf) times a mild idf between 1
-and ``1 + IDF``, on a fine geometric grid; each text gives 64 weighted samples, in 16 bands of 4. Texts that share a
-band meet in a bucket; pairs are verified by weighted Jaccard similarity of the whole texts; classes are the
-connected components of the verified links.
-
-No bucket's pairs are listed. In a first round each text is verified against one text: the least of one of its
-buckets, the one whose samples agree best with its own. That joins nearly all of a group. A second round takes only
-the buckets that still hold texts of different classes and compares, by samples, those outside the bucket's largest
-class with the others, in blocks of bounded size; what agrees enough is verified too. Two texts of one bucket
-are thus either in one class already or compared.
+by hash (4 MB, whatever the input, and broadcast). A shingle's weight is (1 + ln tf) times a mild idf between 1 and
+``1 + IDF``, on a fine geometric grid; each text gives 64 weighted samples, in 16 bands of 4. Texts that share a band
+meet in a bucket; pairs are verified by weighted Jaccard similarity of the whole texts; classes are the connected
+components of the verified links.
+
+No bucket's pairs are listed. In a first round each text is verified against one text: of the least texts of its
+buckets, the one with which it shares most bands. That joins most of a group. Two more rounds take only the buckets
+that still hold texts of different classes and compare, by samples, those outside the bucket's largest class with the
+others, in blocks of bounded size. The second round verifies each such text against the one with which it agrees
+most, which joins what hangs together through a text that is no bucket's least; the third takes more samples of what
+is left, so that few pairs below the threshold pass, and verifies all that agree enough. Two texts of one bucket are
+thus either in one class already or compared.
 
 Defined results: a null text is the empty text; equal texts are of one class; texts without a word are alike only
 if they are equal; texts of fewer than five words have one shingle of all their words; rows that share an id count
@@ -27,13 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sealmark.llm._common import if_small, mix, prepare, saved, shingles, table, text_or_empty, tmp_name, word_hashes
+from sealmark.llm._common import arrow_rows, if_small, mix, prepare, saved, shingles, table, text_or_empty, tmp_name, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-#: Texts whose samples agree less than this are not verified: at a similarity of 0.8 that has odds of under 1e-8.
-AGREE = 0.5
+#: Samples taken besides, of the few texts that the third round compares.
+MORE = 256
+#: Texts whose samples agree in a share so many standard deviations below ``SIMILAR`` are not verified: odds of about 1e-5.
+DEVIATIONS = 4.2
 #: How much more a shingle of one document weighs than one of all documents.
 IDF = 0.1
 DF_BITS, _CELLS = 20, 4096
@@ -43,9 +47,15 @@ STEP, LEVELS = 0.05, 64
 BLOCK = 4096
 
 _HASH_BITS = 52
-_CHARS, _DOCS = 1_500_000, 4000
+_CHARS, _DOCS, _SLICE = 600_000, 4000, 1000
 _NULL = -(1 << 63)
-_MULTIPLIERS = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 64, SAMPLES, np.uint64, endpoint=False) | np.uint64(1)
+_MULTIPLIERS = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 64, SAMPLES + MORE, np.uint64, endpoint=False) | np.uint64(1)
+
+
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of which the texts are few enough to hold as Python strings."""
+    for i in range(0, batch.num_rows, _SLICE):
+        yield batch.slice(i, _SLICE)
 
 
 def _features(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -78,7 +88,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << DF_BITS, np.int64)
-        for b in batches:
+        for b in (x for whole in batches for x in _sliced(whole)):
             for *_, h, _, _ in _features(b.column(0).to_pylist()):
                 total += np.bincount(_bucket(h), minlength=len(total))
         parts = total.reshape(-1, _CELLS)
@@ -113,29 +123,35 @@ _RANKS: list[np.ndarray] = []
 
 
 def _ranks() -> np.ndarray:
-    """Rank of ln a for each level and each of 65,536 draws of (r, c, beta).
+    """ln a, in bits that sort as it does, for each level and each of 65,536 draws of (r, c, beta).
 
-    With t = floor(ln w / r + beta), ln a = ln c - r (t - beta + 1). A draw gives the same rank at two levels if its
+    With t = floor(ln w / r + beta), ln a = ln c - r (t - beta + 1). A draw gives the same value at two levels if its
     t is the same, as consistent sampling asks.
     """
     if not _RANKS:
         g = np.random.Generator(np.random.PCG64(6))
         r, c, beta = g.gamma(2.0, 1.0, 1 << 16), g.gamma(2.0, 1.0, 1 << 16), g.random(1 << 16)
         t = np.floor(np.arange(LEVELS)[:, None] * STEP / r + beta)
-        _, rank = np.unique(np.log(c) - r * (t - beta + 1), return_inverse=True)
+        bits = (np.log(c) - r * (t - beta + 1)).astype(np.float32).view(np.uint32)
+        rank = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))  # unsigned integers in the order of the numbers
         _RANKS.append(rank.astype(np.uint64).ravel() << np.uint64(32))
     return _RANKS[0]
 
 
-def samples(h: np.ndarray, level: np.ndarray, n: np.ndarray) -> np.ndarray:
+def least_agreement(n: int) -> float:
+    """Samples of n in which two texts must agree to be verified."""
+    return n * (SIMILAR - DEVIATIONS * (SIMILAR * (1 - SIMILAR) / n) ** 0.5)
+
+
+def samples(h: np.ndarray, level: np.ndarray, n: np.ndarray, multipliers: np.ndarray = _MULTIPLIERS[:SAMPLES]) -> np.ndarray:
     """Texts by samples: for each the least rank over the text's shingles, with the shingle's hash below it.
 
     Every text has at least one shingle.
     """
     ranks, start = _ranks(), np.cumsum(n) - n
     base, mixed, low = (level << 16).astype(np.uint64), mix(h), np.uint64(0xFFFFFFFF)
-    out = np.empty((len(n), SAMPLES), np.uint64)
-    for i, m in enumerate(_MULTIPLIERS):
+    out = np.empty((len(n), len(multipliers)), np.uint64)
+    for i, m in enumerate(multipliers):
         x = mixed * m
         key = ranks[(base + (x >> np.uint64(48))).astype(np.int64)]
         out[:, i] = np.minimum.reduceat(key | (x & low), start)
@@ -153,18 +169,23 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _sketch(sig: np.ndarray) -> np.ndarray:
+    """16 bits of each sample, for comparing."""
+    return (mix(sig) >> np.uint64(48)).astype(np.uint16)
+
+
 def _signed(docs: DataFrame, log_idf: np.ndarray) -> DataFrame:
     """(id, key, sketch, bands) of every row; bands are empty for a text without words."""
     held = docs.sparkSession.sparkContext.broadcast(log_idf.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in _sliced(whole)):
             texts = b.column(2).to_pylist()
             for first, stop, h, tf, n in _features(texts):
                 some = np.flatnonzero(n)
                 sig = samples(h, levels(h, tf, held.value), n[some]) if len(some) else np.zeros((0, SAMPLES), np.uint64)
                 sketch: list[bytes | None] = [b""] * (stop - first)
-                for i, s in zip(some, (mix(sig) >> np.uint64(48)).astype(np.uint16), strict=True):
+                for i, s in zip(some, _sketch(sig), strict=True):
                     sketch[i] = s.tobytes()
                 off = np.zeros(stop - first + 1, np.int32)
                 off[1:] = np.cumsum((n > 0) * BANDS)
@@ -174,6 +195,20 @@ def _signed(docs: DataFrame, log_idf: np.ndarray) -> DataFrame:
     return docs.select("id", "key", "text").mapInArrow(run, "id long, key binary, sketch binary, bands array<long>")
 
 
+def _more_samples(docs: DataFrame, ids: DataFrame, log_idf: np.ndarray) -> DataFrame:
+    """(id, more): further samples of the texts of ``ids``, all of which have words."""
+    held = docs.sparkSession.sparkContext.broadcast(log_idf.astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in _sliced(whole)):
+            for first, stop, h, tf, n in _features(b.column(1).to_pylist()):
+                sketch = _sketch(samples(h, levels(h, tf, held.value), n, _MULTIPLIERS[SAMPLES:]))
+                yield pa.RecordBatch.from_arrays([b.column(0)[first:stop], pa.array([x.tobytes() for x in sketch], pa.binary())], names=["id", "more"])
+
+    own = docs.select("id", "text").join(if_small(ids, 16), "id", "left_semi")
+    return own.mapInArrow(run, "id long, more binary").dropDuplicates(["id"])
+
+
 @F.pandas_udf(T.IntegerType())
 def _agreement(a, b):
     """Samples in which two sketches agree."""
@@ -185,10 +220,15 @@ def _agreement(a, b):
     return pd.Series((x == y).sum(axis=1).astype(np.int32))
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """The high 32 bits of shingle hashes: enough to tell the shingles of two texts apart, and still ascending."""
+    return (h >> np.uint64(_HASH_BITS - 32)).astype(np.uint32).view(np.int32)
+
+
 def weighted_jaccard(h1: np.ndarray, l1: np.ndarray, h2: np.ndarray, l2: np.ndarray) -> float:
     """Of two sets of ascending hashes with levels."""
     w1, w2 = np.exp(l1 * STEP), np.exp(l2 * STEP)
-    _, i, j = np.intersect1d(h1, h2, assume_unique=True, return_indices=True)
+    _, i, j = np.intersect1d(h1, h2, return_indices=True)
     both = np.minimum(w1[i], w2[j]).sum()
     return float(both / (w1.sum() + w2.sum() - both))
 
@@ -198,13 +238,13 @@ def verify(docs: DataFrame, pairs: DataFrame, log_idf: np.ndarray) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(log_idf.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in _sliced(whole)):
             for first, stop, h, tf, n in _features(b.column(1).to_pylist()):
                 lev, off = levels(h, tf, held.value).astype(np.int8), pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0)[first:stop], pa.ListArray.from_arrays(off, pa.array(h.astype(np.int64))), pa.ListArray.from_arrays(off, pa.array(lev))], names=["id", "h", "l"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[first:stop], pa.ListArray.from_arrays(off, pa.array(_short(h))), pa.ListArray.from_arrays(off, pa.array(lev))], names=["id", "h", "l"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = docs.select("id", "text").join(if_small(ids, 16), "id", "left_semi").mapInArrow(run, "id long, h array<long>, l array<byte>")
+    ids = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    own = docs.select("id", "text").join(if_small(ids, 16), "id", "left_semi").mapInArrow(run, "id long, h array<int>, l array<byte>")
     own = saved(own.dropDuplicates(["id"]))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +257,8 @@ def verify(docs: DataFrame, pairs: DataFrame, log_idf: np.ndarray) -> DataFrame:
 
     left = own.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("l").alias("la"))
     right = pairs.join(own.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("l").alias("lb")), "b")
-    return right.join(left, "a").select("a", "b", "ha", "la", "hb", "lb").mapInArrow(alike, "a long, b long")
+    with arrow_rows(docs.sparkSession, 128):
+        return saved(right.join(left, "a").select("a", "b", "ha", "la", "hb", "lb").mapInArrow(alike, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,39 +281,66 @@ def components(edges: DataFrame) -> DataFrame:
     return known
 
 
-def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Pairs of different label that agree in enough samples: of the texts outside a bucket's largest class with its members."""
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(left) and len(right):
-        cols = lambda t: (t.column("id").to_numpy(), t.column("label").to_numpy(), np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(t), SAMPLES))
-        (i1, l1, s1), (i2, l2, s2) = cols(left), cols(right)
-        step = max(1, 4_000_000 // (len(i2) * SAMPLES))
-        for k in range(0, len(i1), step):
-            same = (s1[k : k + step, None, :] == s2[None, :, :]).sum(axis=2)
-            x, y = np.nonzero((same >= AGREE * SAMPLES) & (l1[k : k + step, None] != l2[None, :]))
-            out_a.append(i1[k + x])
-            out_b.append(i2[y])
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def _compare(best: bool, n: int):
+    def columns(t: pa.Table) -> tuple[np.ndarray, ...]:
+        sketch = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint16).reshape(len(t), n)
+        bands = t.column(6).combine_chunks().flatten().to_numpy().reshape(len(t), BANDS)
+        return t.column(2).to_numpy(), t.column(3).to_numpy(), t.column(4).to_numpy(zero_copy_only=False), sketch, bands
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """(a, b, same): pairs of different label that agree in enough samples, of the texts outside a bucket's largest
+        class with its members; with ``best``, for each such text only the one with which it agrees most.
+
+        A pair that shares several buckets comes from the first of its bands alone, and from one of its ends.
+        """
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]]
+        if len(left) and len(right):
+            bucket = left.column(0)[0].as_py()
+            (i1, l1, _, s1, b1), (i2, l2, stray2, s2, b2) = columns(left), columns(right)
+            step = max(1, 4_000_000 // (len(i2) * n))
+            for k in range(0, len(i1), step):
+                same = (s1[k : k + step, None, :] == s2[None, :, :]).sum(axis=2, dtype=np.int32)
+                same[l1[k : k + step, None] == l2[None, :]] = -1
+                if best:
+                    x, y = np.arange(len(same)), same.argmax(axis=1)
+                    good = same[x, y] >= least_agreement(n)
+                else:
+                    x, y = np.nonzero(same >= least_agreement(n))
+                    own = b1[k + x]
+                    first = own[np.arange(len(x)), (own == b2[y]).argmax(axis=1)]
+                    good = (first == bucket) & (~stray2[y] | (i1[k + x] < i2[y]))
+                x, y = x[good], y[good]
+                for column, values in zip(out, (i1[k + x], i2[y], same[x, y]), strict=True):
+                    column.append(values)
+        return pa.table(dict(zip(("a", "b", "same"), map(np.concatenate, out), strict=True)))
+
+    return run
 
 
 def _labelled(ids: DataFrame, labels: DataFrame) -> DataFrame:
     return ids.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _second_round(members: DataFrame, reps: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs that still have to be verified."""
+def _across(docs: DataFrame, members: DataFrame, reps: DataFrame, labels: DataFrame, tried: DataFrame, log_idf: np.ndarray, best: bool) -> DataFrame:
+    """Pairs (a, b) of different classes in one bucket that still have to be verified."""
     own = _labelled(members, labels)
     sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     open_ = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
-    own = own.join(open_.select("bucket", "main", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket")
-    own = saved(own.join(reps.select("id", "sketch"), "id").select("bucket", "id", "label", "main", "blocks", "sketch"))
-    salt = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    strays = own.filter("label != main").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    right = own.withColumn("salt", salt)
-    columns = ["bucket", "salt", "id", "label", "sketch"]
-    found = strays.select(*columns).groupBy("bucket", "salt").cogroup(right.select(*columns).groupBy("bucket", "salt")).applyInArrow(_compare, "a long, b long")
-    return found.distinct().join(tried, ["a", "b"], "left_anti")
+    own = saved(own.join(open_.select("bucket", "main", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket").select("bucket", "id", "label", "main", "blocks"))
+    sketches, n = reps.select("id", "sketch", "bands"), SAMPLES
+    if not best:
+        more = saved(_more_samples(docs, saved(own.select("id").distinct()), log_idf))
+        sketches, n = sketches.join(more, "id").select("id", F.concat("sketch", "more").alias("sketch"), "bands"), SAMPLES + MORE
+    own = saved(own.join(sketches, "id").withColumn("stray", F.col("label") != F.col("main")))
+    strays = own.filter("stray").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    right = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    columns = ["bucket", "salt", "id", "label", "stray", "sketch", "bands"]
+    right = right.select(*(F.col(c).alias(f"{c}_") for c in columns))  # names of its own: the sides share their source
+    found = strays.select(*columns).groupBy("bucket", "salt").cogroup(right.groupBy("bucket_", "salt_")).applyInArrow(_compare(best, n), "a long, b long, same int")
+    if best:
+        found = found.groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b"))
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,17 +356,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     heads = rows.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("bucket", "head")
     members = saved(rows.join(heads, "bucket"))
     sketches = reps.select("id", "sketch")
-    near = members.filter("head < id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    # For each text the head with which it shares most bands: one pair a text, whatever the size of its buckets.
+    shared = members.filter("head < id").groupBy("id", "head").agg(F.count("*").alias("n"))
+    near = shared.groupBy(F.col("id").alias("b")).agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("a"))
     near = near.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-    scored = near.select("a", "b", _agreement("sa", "sb").alias("same")).filter(F.col("same") >= AGREE * SAMPLES)
-    first = saved(scored.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")).select("a", "b"))
-    edges = saved(verify(own, first, log_idf))
-    labels = components(edges)
-    second = saved(_second_round(members, reps, labels, first))
-    if not second.isEmpty():
-        more = saved(verify(own, second, log_idf))
+    first = saved(near.select("a", "b", _agreement("sa", "sb").alias("same")).filter(F.col("same") >= least_agreement(SAMPLES)).select("a", "b"))
+    edges = verify(own, first, log_idf)
+    labels, tried = components(edges), first
+    for best in (True, False):
+        pairs = saved(_across(own, members, reps, labels, tried, log_idf, best))
+        if pairs.isEmpty():
+            continue
+        more = verify(own, pairs, log_idf)
+        tried = tried.union(pairs)
         if not more.isEmpty():
-            labels = components(edges.union(more))
+            edges = edges.union(more)
+            labels = components(edges)
     # Texts that share a repeated id are one document: their representatives are joined by that id already.
     found = own.select("id", "key").join(_labelled(reps.select("id", "key"), labels).select("key", "label"), "key")
     back = lambda c: F.when(F.col(c) != _NULL, F.col(c))
