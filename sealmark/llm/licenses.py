@@ -6,9 +6,10 @@ their ends. The coverage is the share of the template's words that are aligned.
 last anchor are open: only text within about the length of the template's own gap is looked at.
 
 Only stretches of text that can reach the wanted coverage are aligned: of a template's rarest words, so many are
-chosen that a text without any of them cannot reach it; where they stand close together a stretch begins and ends. A
-stretch that holds a template several times is taken apart by the places of one of its words. Of overlapping findings the one with the
-most aligned words stays.
+chosen that a text without any of them cannot reach it; where they stand close together a stretch begins and ends. In a
+stretch that may hold a template several times, every rare word proposes where a copy starts, each proposed range is
+aligned, and what is left beside the copies is looked at again. Of overlapping findings the one with the most aligned
+words stays.
 
 Defined results: a null text is the empty text, which has no findings; findings are ordered by start, then license;
 repeated rows are each answered; an empty table gives no rows; other columns are ignored.
@@ -123,9 +124,13 @@ class Template:
     words: list[str]
     counts: Counter = field(init=False)
     rare: set[str] = field(init=False)
+    offsets: dict[str, list[int]] = field(init=False)
 
     def __post_init__(self) -> None:
         self.counts = Counter(self.words)
+        self.offsets = {}
+        for i, w in enumerate(self.words):
+            self.offsets.setdefault(w, []).append(i)
         self.rare, weight = set(), 0
         for w in sorted(self.counts, key=lambda w: (w in COMMON, -len(w), w)):
             if weight > (1 - COVERAGE) * len(self.words) + 1e-9:
@@ -141,7 +146,7 @@ def _templates() -> tuple[list[Template], list[str]]:
 
 
 def _stretches(words: list[str], where: dict[str, list[int]], t: Template) -> Iterator[tuple[int, int]]:
-    """Stretches of the text that can reach the coverage."""
+    """Stretches of the text around rare words that stand close together."""
     n = len(t.words)
     places = sorted(p for w in t.rare for p in where.get(w, ()))
     groups: list[list[int]] = []
@@ -151,20 +156,55 @@ def _stretches(words: list[str], where: dict[str, list[int]], t: Template) -> It
         else:
             groups.append([p])
     for g in groups:
-        todo = [(max(0, g[0] - n - GAP), min(len(words), g[-1] + n + GAP + 1))]
-        while todo:
-            a, b = todo.pop()
-            own = Counter(w for w in words[a:b] if w in t.counts)
-            if sum(min(k, own[w]) for w, k in t.counts.items()) < COVERAGE * n - 1e-9:
-                continue
-            twice = [w for w in t.rare if own[w] > t.counts[w] and t.counts[w] == 1]
-            if twice and not any(own[w] == 1 for w in t.rare):
-                w = min(twice, key=lambda w: (own[w], w))
-                o, room = t.words.index(w), max(2, n // 8)
-                own_ranges = [(max(a, p - o - room), min(b, p + n - o + room)) for p in range(a, b) if words[p] == w]
-                todo += [r for r in own_ranges if r[1] - r[0] < b - a]
-                continue
-            yield a, b
+        yield max(0, g[0] - n - GAP), min(len(words), g[-1] + n + GAP + 1)
+
+
+def _reached(words: list[str], a: int, b: int, t: Template) -> int:
+    """Words of the template in a range of the text, or 0 if it cannot reach the coverage."""
+    own = Counter(w for w in words[a:b] if w in t.counts)
+    return own.total() if sum(min(k, own[w]) for w, k in t.counts.items()) >= COVERAGE * len(t.words) - 1e-9 else 0
+
+
+def _aligned(words: list[str], a: int, b: int, t: Template) -> list[tuple[int, int, int]]:
+    """[(aligned words, first, last)] of a range of the text, or nothing under the coverage."""
+    pairs = align(words[a:b], t.words)
+    return [(len(pairs), a + pairs[0][0], a + pairs[-1][0])] if pairs and len(pairs) >= COVERAGE * len(t.words) - 1e-9 else []
+
+
+def _ranges(words: list[str], a: int, b: int, t: Template) -> Iterator[tuple[int, int]]:
+    """Ranges of about the template's length where any of its rare words says that a copy may start."""
+    n = len(t.words)
+    room = max(2, n // 8)
+    starts = sorted({p - o for p in range(a, b) if words[p] in t.rare for o in t.offsets[words[p]]})
+    i = 0
+    for j, s in enumerate(starts, 1):
+        if j == len(starts) or starts[j] - starts[i] > room:
+            yield max(a, starts[i] - room), min(b, s + n + room)
+            i = j
+
+
+def _copies(words: list[str], a: int, b: int, t: Template) -> Iterator[tuple[int, int, int]]:
+    """(aligned words, first, last) of every copy of the template in a stretch, none of which overlap.
+
+    What is left beside the copies found is looked at again, until no rest can reach the coverage.
+    """
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        total = _reached(words, a, b, t)
+        if not total:
+            continue
+        found: list[tuple[int, int, int]] = []
+        if total >= 2 * COVERAGE * len(t.words) - 1e-9:  # two copies have so many
+            near = [f for r in _ranges(words, a, b, t) if _reached(words, *r, t) for f in _aligned(words, *r, t)]
+            for f in sorted(near, key=lambda f: (-f[0], f[2] - f[1], f[1])):
+                if all(f[2] < k[1] or f[1] > k[2] for k in found):
+                    found.append(f)
+        found = found or _aligned(words, a, b, t)
+        yield from found
+        if found:
+            ends = sorted((f[1], f[2] + 1) for f in found)
+            todo += zip([a, *(e for _, e in ends)], [*(s for s, _ in ends), b], strict=True)
 
 
 def scan(text: str) -> list[tuple[str, int, int, float]]:
@@ -182,9 +222,7 @@ def scan(text: str) -> list[tuple[str, int, int, float]]:
     found = []
     for t in known:
         for a, b in _stretches(words, where, t):
-            pairs = align(words[a:b], t.words)
-            if pairs and len(pairs) >= COVERAGE * len(t.words) - 1e-9:
-                found.append((len(pairs), len(pairs) / len(t.words), t.license, spans[a + pairs[0][0]][0], spans[a + pairs[-1][0]][1]))
+            found += [(n, n / len(t.words), t.license, spans[i][0], spans[j][1]) for n, i, j in _copies(words, a, b, t)]
     kept: list[tuple[str, int, int, float]] = []
     for _, cover, name, start, end in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
         if all(end <= k[1] or start >= k[2] for k in kept):

@@ -61,6 +61,21 @@ def test_licenses_with_changes_and_repeats(spark):
         assert all(0 <= f.start < f.end <= len(t) and 0.8 <= f.coverage <= 1 for f in got[i])
 
 
+def test_every_copy_of_a_stretch_is_found():
+    mit = licenses.TEMPLATES[2][1]
+    varied = mit.replace("NONINFRINGEMENT", "NON-INFRINGEMENT")
+    lacking = [mit.replace(w, "other") for w in ("NONINFRINGEMENT", "sublicense", "MERCHANTABILITY", "restriction", "documentation")]
+    cases = [[mit, varied], [varied, mit], [mit] * 9 + [varied], [varied] + [mit] * 9, [mit] * 4 + lacking + [mit], lacking, [mit.replace("hereby", "here by now and for all time") for _ in range(3)]]
+    for case in cases:
+        text, spans = "", []
+        for c in case:
+            spans.append((len(text), len(text) + len(c)))
+            text += c + "\n\n"
+        got = licenses.scan(text)
+        assert [f[0] for f in got] == ["MIT"] * len(case)
+        assert all(a <= f[1] and f[2] <= b and f[2] - f[1] > 0.95 * (b - a) for f, (a, b) in zip(got, spans, strict=True))
+
+
 def test_alignment_is_a_common_subsequence():
     rng = random.Random(7)
     for _ in range(300):
