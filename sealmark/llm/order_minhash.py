@@ -1,7 +1,7 @@
 """Document fingerprints by order MinHash, in DataFrame and SQL functions only.
 
-A text is cut at white space into tokens (a text with a run of over 100 characters without white space, into its
-characters). Each position gives a k-mer of tokens, the last ones shorter; equal k-mers of a text are numbered in
+A text is cut at white space into tokens, and a run of over 100 characters without white space into its characters,
+whatever else the text holds. Each position gives a k-mer of tokens, the last ones shorter; equal k-mers of a text are numbered in
 text order, and each numbered k-mer is hashed. The high bits of that hash deal the k-mers to buckets; in each bucket
 the few of smallest hash are taken, put back into text order and hashed together. The signature holds one such
 tuple hash for each bucket that is not empty. As tuples keep text order, moving passages changes the signature, as
@@ -46,7 +46,8 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = K, size: int = T
     occurrence = f"CASE WHEN shiftright(get({s}, i - 1), {_POS}) = shiftright(x, {_POS}) THEN {run} ELSE 0 END"
     tuple_ = f"array_sort(transform(filter(slice({c}, i + 1, {size}), z -> shiftright(z, {top}) = shiftright(y, {top})), z -> shiftleft(z & {pos}L, 36) | shiftright(z, {_POS})))"
     steps = [
-        (w, f"CASE WHEN {text} RLIKE '\\\\S{{101}}' THEN split({text}, '') ELSE split({text}, '\\\\s+') END"),
+        # Both branches cut alike; the second is for texts without a long run, where nothing is left to flatten.
+        (w, f"CASE WHEN {text} RLIKE '\\\\S{{101}}' THEN flatten(transform(split({text}, '\\\\s+'), v -> CASE WHEN length(v) > 100 THEN split(v, '') ELSE array(v) END)) ELSE split({text}, '\\\\s+') END"),
         (s, f"sort_array(transform({w}, (x, i) -> shiftleft(xxhash64(x{more}) & {_HASH}L, {_POS}) | cast(i AS bigint)))"),
         (t, f"sort_array(transform({s}, (x, i) -> shiftleft(xxhash64(shiftright(x, {_POS}), {occurrence}) & {_HASH}L, {_POS}) | (x & {pos}L)))"),
         (c, f"filter({t}, (y, i) -> coalesce(shiftright(get({t}, i - {size}), {top}), -1) != shiftright(y, {top}))"),

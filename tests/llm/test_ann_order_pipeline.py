@@ -122,6 +122,18 @@ def test_moving_a_passage_changes_more_than_a_set_would(spark):
     assert sig[0] == sig[3] and same(0, 1) > 50 and same(0, 2) < 45
 
 
+def test_a_long_run_is_cut_where_it_stands(spark):
+    rng = random.Random(12)
+    w = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    added = lambda x: " ".join(w[:900] + [x] + w[900:])
+    run = "".join(rng.choice("abcdefgh0123456789") for _ in range(110))
+    rows = [(0, " ".join(w)), (1, added(run[:50])), (2, added(run)), (3, added(" ".join(run))), (4, run), (5, run[::-1])]
+    df = order_minhash.with_signature(spark.createDataFrame(rows, "id long, text string"), "text", "s")
+    sig = {r.id: set(r.s) for r in df.collect()}
+    assert len(sig[0] & sig[1]) > 55 and len(sig[0] & sig[2]) > 48
+    assert sig[2] == sig[3] and sig[4] != sig[5]
+
+
 @pytest.mark.parametrize("range_docs", [3, 1000])
 def test_neighbours_and_edited_texts(spark, range_docs):
     rng = random.Random(range_docs)
