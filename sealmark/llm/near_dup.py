@@ -15,8 +15,10 @@ is left, so that few pairs below the threshold pass, and verifies all that agree
 thus either in one class already or compared.
 
 Defined results: a null text is the empty text; equal texts are of one class; texts without a word are alike only
-if they are equal; texts of fewer than five words have one shingle of all their words; rows that share an id count
-as one document; rows with a null id are together one document of class null; other columns are ignored.
+if they are equal; texts of fewer than five words have one shingle of all their words. The documents are the distinct
+texts, by 63 bits of their SHA-256 (odds of about 2e-4 that any two of 60 million texts share them): ids name classes in
+the output and join nothing, so different texts that share an id, or have none, are compared as any others. A class is
+named by its least id, null if none of its rows has one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +50,6 @@ BLOCK = 4096
 
 _HASH_BITS = 52
 _CHARS, _DOCS, _SLICE = 600_000, 4000, 1000
-_NULL = -(1 << 63)
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 64, SAMPLES + MORE, np.uint64, endpoint=False) | np.uint64(1)
 
 
@@ -175,12 +176,12 @@ def _sketch(sig: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, log_idf: np.ndarray) -> DataFrame:
-    """(id, key, sketch, bands) of every row; bands are empty for a text without words."""
+    """(id, sketch, bands) of every row; bands are empty for a text without words."""
     held = docs.sparkSession.sparkContext.broadcast(log_idf.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in _sliced(whole)):
-            texts = b.column(2).to_pylist()
+            texts = b.column(1).to_pylist()
             for first, stop, h, tf, n in _features(texts):
                 some = np.flatnonzero(n)
                 sig = samples(h, levels(h, tf, held.value), n[some]) if len(some) else np.zeros((0, SAMPLES), np.uint64)
@@ -190,9 +191,9 @@ def _signed(docs: DataFrame, log_idf: np.ndarray) -> DataFrame:
                 off = np.zeros(stop - first + 1, np.int32)
                 off[1:] = np.cumsum((n > 0) * BANDS)
                 bands = pa.ListArray.from_arrays(pa.array(off), pa.array(bands_of(sig).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0)[first:stop], b.column(1)[first:stop], pa.array(sketch, pa.binary()), bands], names=["id", "key", "sketch", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[first:stop], pa.array(sketch, pa.binary()), bands], names=["id", "sketch", "bands"])
 
-    return docs.select("id", "key", "text").mapInArrow(run, "id long, key binary, sketch binary, bands array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, sketch binary, bands array<long>")
 
 
 def _more_samples(docs: DataFrame, ids: DataFrame, log_idf: np.ndarray) -> DataFrame:
@@ -343,22 +344,27 @@ def _across(docs: DataFrame, members: DataFrame, reps: DataFrame, labels: DataFr
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, class_id): the least id of each row's class of near duplicates, one row for each row of ``docs``."""
+def node_of(text: str) -> Column:
+    """The identity of a text, null as the empty one: 63 bits of its SHA-256."""
+    return F.shiftrightunsigned(F.conv(F.substring(F.sha2(text_or_empty(text), 256), 1, 16), 16, -10).cast("long"), 1)
+
+
+def _labels(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(node, doc) of every row, and (node, least, label) of every distinct text: the least id of its rows and its class."""
     prepare(docs.sparkSession)
-    id_: Column = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))
-    own = docs.select(id_.alias("id"), text_or_empty(text).alias("text"))
-    own = own.withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    own = docs.select(node_of(text).alias("id"), F.col(id_col).cast("long").alias("doc"), text_or_empty(text).alias("text"))
     log_idf = _log_idf(*document_frequencies(own))
     signed = _signed(own, log_idf)
-    reps = saved(signed.groupBy("key").agg(F.min(F.struct("id", "sketch", "bands")).alias("r")).select("key", "r.*"))
-    rows = reps.select("id", F.explode("bands").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("bucket", "head")
-    members = saved(rows.join(heads, "bucket"))
+    reps = saved(signed.groupBy("id").agg(F.min(F.struct("sketch", "bands")).alias("r")).select("id", "r.*"))
+    # A bucket's head is its text of least id (null last), which is often the one that the others are copies of.
+    leasts = own.groupBy("id").agg(F.coalesce(F.min("doc"), F.lit((1 << 63) - 1)).alias("least"))
+    rows = reps.join(leasts, "id").select("id", "least", F.explode("bands").alias("bucket"))
+    heads = rows.groupBy("bucket").agg(F.min(F.struct("least", "id")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("bucket", "first")
+    members = saved(rows.drop("least").join(heads, "bucket"))
     sketches = reps.select("id", "sketch")
     # For each text the head with which it shares most bands: one pair a text, whatever the size of its buckets.
-    shared = members.filter("head < id").groupBy("id", "head").agg(F.count("*").alias("n"))
-    near = shared.groupBy(F.col("id").alias("b")).agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("a"))
+    shared = members.filter("first.id != id").groupBy("id", "first").agg(F.count("*").alias("n"))
+    near = shared.groupBy(F.col("id").alias("b")).agg(F.min_by("first.id", F.struct(-F.col("n"), "first")).alias("a"))
     near = near.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
     first = saved(near.select("a", "b", _agreement("sa", "sb").alias("same")).filter(F.col("same") >= least_agreement(SAMPLES)).select("a", "b"))
     edges = verify(own, first, log_idf)
@@ -372,26 +378,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
         if not more.isEmpty():
             edges = edges.union(more)
             labels = components(edges)
-    # Texts that share a repeated id are one document: their representatives are joined by that id already.
-    found = own.select("id", "key").join(_labelled(reps.select("id", "key"), labels).select("key", "label"), "key")
-    back = lambda c: F.when(F.col(c) != _NULL, F.col(c))
-    return found.select(back("id").alias("id"), back("label").alias("class_id"))
+    by_row = own.select(F.col("id").alias("node"), "doc")
+    by_text = saved(_labelled(by_row.groupBy(F.col("node").alias("id")).agg(F.min("doc").alias("least")), labels).select(F.col("id").alias("node"), "least", "label"))
+    return by_row, by_text
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, class_id): the least id of each row's class of near duplicates, one row for each row of ``docs``."""
+    by_row, by_text = _labels(docs, id_col, text)
+    named = by_text.groupBy("label").agg(F.min("least").alias("class_id"))
+    of_text = by_text.join(named, "label").select("node", "class_id")
+    return by_row.join(of_text, "node").select(F.col("doc").alias("id"), "class_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, that of the least id, and all of its columns.
+    """``docs`` with one row of each class of texts, one of the least id, and all of its columns.
 
-    Of rows that repeat an id the one of least text stays.
+    Any id goes before null; of several texts of a class that have the least id one stays, and of equal rows one.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))
-    key_, place = tmp_name(docs.columns, "key"), tmp_name(docs.columns, "place")
-    keyed = docs.withColumn(key_, key)
-    found = saved(classes(docs, id_col, text).filter(~F.col("id").eqNullSafe(F.col("class_id"))).select(F.coalesce("id", F.lit(_NULL)).alias(key_)).distinct())
-    twice = saved(keyed.groupBy(key_).count().filter("count > 1").select(key_))
-    twice = twice.join(found, key_, "left_anti")
-    once = keyed.join(if_small(found.union(twice), 16), key_, "left_anti")
-    first = Window.partitionBy(key_).orderBy(text)
-    again = keyed.join(if_small(twice, 16), key_, "left_semi").withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1)
+    node, doc, least = (tmp_name(docs.columns, c) for c in ("node", "doc", "least"))
+    keyed = docs.withColumn(node, node_of(text)).withColumn(doc, F.col(id_col).cast("long"))
+    by_row, by_text = _labels(docs, id_col, text)
+    heads = by_text.groupBy("label").agg(F.min_by(F.struct("node", "least"), F.struct(F.col("least").isNull(), "least", "node")).alias("head"))
+    head = saved(heads.select("head.*"))
+    others = saved(by_text.join(head, "node", "left_anti").select(F.col("node").alias(node)))
+    twice = saved(by_row.groupBy("node").count().filter("count > 1").join(head, "node").select(F.col("node").alias(node), F.col("least").alias(least)))
+    once = keyed.join(if_small(others.union(twice.select(node)), 8), node, "left_anti")
+    again = keyed.join(if_small(twice, 16), node).filter(F.col(doc).eqNullSafe(F.col(least))).dropDuplicates([node])
     return once.select(*docs.columns).union(again.select(*docs.columns))
 
 

@@ -322,24 +322,39 @@ def thresholds(scored: DataFrame, ids: DataFrame, low: float = LOW, high: float
     return own.groupBy("lang").agg(q.alias("q")).select("lang", F.exp(a - F.greatest(margins[0] * (m - a), wide)).alias("least"), F.exp(b + F.greatest(margins[1] * (b - m), wide)).alias("most"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", low: float = LOW, high: float = HIGH, margins: tuple[float, float] = MARGINS) -> DataFrame:
-    """(id, lang, n_grams, perplexity, least, most, keep) for every row of ``docs``."""
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text: str, lang: str, low: float, high: float, margins: tuple[float, float]) -> DataFrame:
+    """What ``classify`` gives, and ``key``, the digest of the row's text."""
     prepare(docs.sparkSession)
     ids = saved(trusted_ids(labels).withColumn("out", F.pmod(F.xxhash64(id_col), F.lit(1000)) < int(1000 * HELD_OUT)))
     held_out, ids = ids.filter("out").drop("out"), ids.filter("NOT out").drop("out")
     known = saved(model(counts(docs, ids, id_col, text, lang)))
-    scored = saved(perplexities(docs, known, id_col, text, lang))
+    row = tmp_name(docs.columns, "row")
+    marked = docs.withColumn(row, F.struct(F.col(id_col).alias("id"), _digest(text).alias("key")))
+    scored = saved(perplexities(marked, known, row, text, lang).select("id.id", "id.key", "lang", "n_grams", "perplexity"))
     s, t = scored.alias("s"), thresholds(scored, held_out, low, high, margins).alias("t")
     met = s.join(t, F.col("s.lang").eqNullSafe(F.col("t.lang")), "left")
     keep: Column = F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.lit(True))
-    return met.select("s.id", "s.lang", "n_grams", "perplexity", "least", "most", keep.alias("keep"))
+    return met.select("s.id", "s.key", "s.lang", "n_grams", "perplexity", "least", "most", keep.alias("keep"))
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.substring(F.sha2(text_or_empty(text), 256), 1, 32))
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", low: float = LOW, high: float = HIGH, margins: tuple[float, float] = MARGINS) -> DataFrame:
+    """(id, lang, n_grams, perplexity, least, most, keep) for every row of ``docs``."""
+    return _judged(docs, labels, id_col, text, lang, low, high, margins).drop("key")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all of their columns. Rows that share an id are rejected together."""
-    own = tmp_name(docs.columns, "rejected")
-    bad = saved(classify(docs, labels, id_col, text, lang).filter(~F.col("keep")).select(F.col("id").alias(own)).distinct())
-    return docs.join(if_small(bad, 16), F.col(id_col).eqNullSafe(F.col(own)), "left_anti")
+    """The rows of ``docs`` that are kept, with all of their columns. Each is judged by its own text, whatever its id."""
+    key, *own = (tmp_name(docs.columns, c) for c in ("key", "bad_id", "bad_key", "bad_lang"))
+    bad = _judged(docs, labels, id_col, text, lang, LOW, HIGH, MARGINS).filter(~F.col("keep"))
+    bad = saved(bad.select(*(F.col(c).alias(o) for c, o in zip(("id", "key", "lang"), own, strict=True))).distinct())
+    same = F.col(key) == F.col(own[1])
+    for c, o in ((id_col, own[0]), (lang, own[2])):
+        same &= F.col(c).eqNullSafe(F.col(o))
+    return docs.withColumn(key, _digest(text)).join(if_small(bad, 48), same, "left_anti").select(*docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,15 @@ def test_junk_goes_and_clean_stays(spark):
     assert all(r.keep for r in quality.classify(df, labels.limit(0)).collect())
 
 
+def test_rows_of_null_or_repeated_id_are_judged_each(spark):
+    rng = random.Random(15)
+    clean = [(i, words(rng, 60, "aeionst"), "a") for i in range(200)]
+    odd = [(None, words(rng, 60, "%&$#@!"), "a"), (7, words(rng, 60, "%&$#@!"), "a"), (None, words(rng, 60, "aeionst"), "a"), (None, clean[3][1], "a"), (None, None, None)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20, 200)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(frame(spark, clean + odd), labels).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter((i, t) for i, t, _ in clean + odd[2:])
+
+
 # --- near duplicates ---------------------------------------------------------------------------
 
 
@@ -214,3 +223,19 @@ def test_deduplicate_keeps_the_least_and_all_columns(spark):
     assert kept.columns == df.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(want)
     assert near_dup.deduplicate(df.limit(0)).count() == 0
+
+
+def test_texts_of_null_or_repeated_id_are_documents_of_their_own(spark):
+    rng = random.Random(16)
+    text = lambda: [words(rng, 1, "abcdefgh") for _ in range(200)]
+    near = lambda t: [*t[:100], "changed", *t[101:]]
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, near(b)), (None, c), (4, near(c)), (5, d), (5, e), (6, near(d)), (7, near(e)), (8, f), (8, f), (9, f), (None, f), (None, a)]
+    rows = [(i, " ".join(t), "g") for i, t in rows]
+    df = frame(spark, rows)
+    assert sorted((-1 if r.id is None else r.id, -1 if r.class_id is None else r.class_id) for r in near_dup.classes(df).collect()) == sorted(
+        [(-1, -1)] * 4 + [(-1, 4), (4, 4), (5, 5), (5, 5), (6, 5), (7, 5), (8, 8), (8, 8), (9, 8), (-1, 8)]
+    )
+    kept = [(r.doc_id, r.text) for r in near_dup.deduplicate(df).collect()]
+    assert Counter(i for i, _ in kept) == Counter([None, None, 4, 5, 5, 8])
+    assert {t for i, t in kept if i != 4} - {rows[1][1], rows[2][1]} == {rows[0][1], rows[5][1], rows[6][1], rows[9][1]}
