@@ -9,7 +9,7 @@ components of the verified links.
 No bucket's pairs are listed. In a first round each text is verified against one text: of the least texts of its
 buckets, the one with which it shares most bands. That joins most of a group. Two more rounds take only the buckets
 that still hold texts of different classes and compare, by samples, those outside the bucket's largest class with the
-others, in blocks of bounded size. The second round verifies each such text against the one with which it agrees
+others, both in blocks of bounded size. The second round verifies each such text against the one with which it agrees
 most, which joins what hangs together through a text that is no bucket's least; the third takes more samples of what
 is left, so that few pairs below the threshold pass, and verifies all that agree enough. Two texts of one bucket are
 thus either in one class already or compared.
@@ -45,7 +45,7 @@ IDF = 0.1
 DF_BITS, _CELLS = 20, 4096
 #: Weights are on a grid of this ratio (as a logarithm).
 STEP, LEVELS = 0.05, 64
-#: Members of a bucket that are compared in one task at once.
+#: Members of a bucket in a block, and strays in one: a task holds one block of each at once.
 BLOCK = 4096
 
 _HASH_BITS = 52
@@ -322,22 +322,31 @@ def _labelled(ids: DataFrame, labels: DataFrame) -> DataFrame:
     return ids.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
+def _in_blocks(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The strays and all members of each bucket, each side in blocks of its own: every block of one side meets every block of the other once, by (bucket, stray_block, block)."""
+    dealt = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = own.filter("stray").withColumn("stray_block", dealt("stray_blocks")).withColumn("block", every("blocks"))
+    right = own.withColumn("block", dealt("blocks")).withColumn("stray_block", every("stray_blocks"))
+    # As _compare reads them. The right side has names of its own: the sides share their source.
+    first, columns = ["bucket", "block"], ["id", "label", "stray", "sketch", "bands", "stray_block"]
+    return left.select(*first, *columns), right.select(*(F.col(c).alias(f"{c}_") for c in [*first, *columns]))
+
+
 def _across(docs: DataFrame, members: DataFrame, reps: DataFrame, labels: DataFrame, tried: DataFrame, log_idf: np.ndarray, best: bool) -> DataFrame:
     """Pairs (a, b) of different classes in one bucket that still have to be verified."""
     own = _labelled(members, labels)
     sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
-    own = saved(own.join(open_.select("bucket", "main", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket").select("bucket", "id", "label", "main", "blocks"))
+    open_ = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("classes")).filter("classes > 1")
+    blocks = open_.select("bucket", "main", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("stray_blocks"))
+    own = saved(own.join(blocks, "bucket").select("bucket", "id", "label", "main", "blocks", "stray_blocks"))
     sketches, n = reps.select("id", "sketch", "bands"), SAMPLES
     if not best:
         more = saved(_more_samples(docs, saved(own.select("id").distinct()), log_idf))
         sketches, n = sketches.join(more, "id").select("id", F.concat("sketch", "more").alias("sketch"), "bands"), SAMPLES + MORE
     own = saved(own.join(sketches, "id").withColumn("stray", F.col("label") != F.col("main")))
-    strays = own.filter("stray").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    right = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    columns = ["bucket", "salt", "id", "label", "stray", "sketch", "bands"]
-    right = right.select(*(F.col(c).alias(f"{c}_") for c in columns))  # names of its own: the sides share their source
-    found = strays.select(*columns).groupBy("bucket", "salt").cogroup(right.groupBy("bucket_", "salt_")).applyInArrow(_compare(best, n), "a long, b long, same int")
+    left, right = _in_blocks(own)
+    found = left.groupBy("bucket", "stray_block", "block").cogroup(right.groupBy("bucket_", "stray_block_", "block_")).applyInArrow(_compare(best, n), "a long, b long, same int")
     if best:
         found = found.groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b"))
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

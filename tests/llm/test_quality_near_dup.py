@@ -239,3 +239,23 @@ def test_texts_of_null_or_repeated_id_are_documents_of_their_own(spark):
     kept = [(r.doc_id, r.text) for r in near_dup.deduplicate(df).collect()]
     assert Counter(i for i, _ in kept) == Counter([None, None, 4, 5, 5, 8])
     assert {t for i, t in kept if i != 4} - {rows[1][1], rows[2][1]} == {rows[0][1], rows[5][1], rows[6][1], rows[9][1]}
+
+
+def test_both_sides_are_dealt_to_blocks(spark):
+    """One bucket of one class of 300 and 500 texts of classes of their own, in blocks of about 50."""
+    n, size = 800, 50
+    own = spark.range(n).selectExpr("7L AS bucket", "id", "IF(id < 300, 0L, id) AS label", "0L AS main", f"ceil({n} / {size}) AS blocks", f"ceil(500 / {size}) AS stray_blocks", "id >= 300 AS stray", "binary('') AS sketch", "array(7L) AS bands")
+    left, right = near_dup._in_blocks(own)
+    for side in (left.groupBy("bucket", "stray_block", "block"), right.groupBy("bucket_", "stray_block_", "block_")):
+        held = [r["count"] for r in side.count().collect()]
+        assert max(held) <= 2 * size and len(held) == 160
+    on = (left["block"] == right["block_"]) & (left["stray_block"] == right["stray_block_"])
+    met = left.join(right, on).select("id", "id_")
+    assert met.count() == met.distinct().count() == 500 * n
+
+
+def test_small_blocks_give_the_same_classes(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    rows = near_rows(11)
+    got = {r.id: r.class_id for r in near_dup.classes(frame(spark, rows)).collect()}
+    assert got == {i: c for (i, _, _), c in zip(rows, brute_classes(rows), strict=True)}
