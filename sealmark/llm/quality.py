@@ -8,12 +8,13 @@ DataFrames keyed by (language, n-gram); nothing of them passes the driver.
 Scoring joins shards. Documents are dealt to blocks; each block asks once for each of its distinct n-grams; the
 questions meet the model in a join on (language, n-gram), and the answers meet the block's documents again. So what
 is shuffled is a block's distinct n-grams, not its n-gram occurrences. A document is kept if its perplexity lies
-between two quantiles, moved out by a margin, of the perplexities of trusted documents of its language that are held
-out of the training: junk is too surprising, endless repetition not surprising enough.
+between two quantiles of the perplexities of trusted documents that are held out of the training, of its language and
+about its length: the mean over many characters hardly varies among trusted documents, so a long text that repeats a
+few words, of which each for itself is likely enough, stands out as clearly as one of strange characters.
 
 Defined results: a null text is the empty text (it has one n-gram, its end); a null language is a language of its
-own; a language without trusted documents gives a null perplexity, one without held-out ones null bounds, and both keep their documents; repeated rows are each
-scored; an empty table gives no rows; other columns are ignored.
+own; a language without trusted documents gives a null perplexity, one with under ``FEWEST`` held-out ones null bounds,
+and both keep their documents; repeated rows are each scored; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,17 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealmark.llm._common import if_small, prepare, saved, shuffle_parts, table, text_or_empty, tmp_name
 
 ORDER = 4
-#: Quantiles of the trusted documents' log perplexity, and by how many times their distance from the median each is moved out.
+#: Quantiles of the held-out trusted documents' log perplexity, by language and length, between which a document is kept.
 LOW, HIGH = 0.001, 0.999
-MARGINS = (1.5, 0.5)
-#: The least move, as a factor: few trusted documents give close quantiles.
-FACTOR = 2.0
+#: Length classes are powers of this many characters. A class with fewer held-out documents than ``ENOUGH`` borrows those
+#: of the next shorter classes, and then of longer ones, until it has as many or there are no more. A mean over more characters
+#: scatters less: the deviation of a borrowed document shrinks by the ratio of the lengths to this power (it would be 1/2 for
+#: independent characters, by which it grows from a longer class).
+CLASS_RATIO, CLASSES, ENOUGH, SHRINK = 4, 16, 100, 1 / 3
+#: With fewer held-out documents than this there is no threshold.
+FEWEST = 8
 #: Share of the trusted documents that the model does not see and the quantiles are taken of.
 HELD_OUT = 0.2
 #: Raw text in a block of documents.
@@ -304,7 +309,8 @@ def perplexities(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     own = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), text_or_empty(text).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(2 * spark.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES))
-    dealt = own.select(F.pmod(F.xxhash64("id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int").alias("block"), "id", "lang", "text")
+    # By the place of the row, so that repeated rows and equal ids are dealt as well as others.
+    dealt = own.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), "id", "lang", "text")
     packed = dealt.mapInArrow(_pack, "block int, data binary").repartition(max(shuffle_parts(spark), blocks), "block")
     questions = packed.groupBy("block").applyInArrow(_ask, "block int, lang string, key long")
     q, m = questions.alias("q"), known.alias("m")
@@ -313,26 +319,57 @@ def perplexities(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answer, f"id {kind}, lang string, n_grams long, perplexity double")
 
 
-def thresholds(scored: DataFrame, ids: DataFrame, low: float = LOW, high: float = HIGH, margins: tuple[float, float] = MARGINS) -> DataFrame:
-    """(lang, least, most): the kept range of each language's perplexities."""
-    own = scored.join(ids.withColumnRenamed(ids.columns[0], "id"), "id", "left_semi").filter(F.col("perplexity").isNotNull())
-    q = F.percentile_approx(F.log("perplexity"), [low, 0.5, high], 10_000)
-    wide = F.lit(math.log(FACTOR))
-    a, m, b = (F.element_at(F.col("q"), i) for i in (1, 2, 3))
-    return own.groupBy("lang").agg(q.alias("q")).select("lang", F.exp(a - F.greatest(margins[0] * (m - a), wide)).alias("least"), F.exp(b + F.greatest(margins[1] * (b - m), wide)).alias("most"))
+def length_class(n: str | Column) -> Column:
+    """The power of ``CLASS_RATIO`` in a number of characters."""
+    return F.least(F.floor(F.log(F.greatest(n, F.lit(1))) / math.log(CLASS_RATIO) + 1e-9), F.lit(CLASSES - 1)).cast("int")
+
+
+def thresholds(scored: DataFrame, trusted: DataFrame, held_out: DataFrame, low: float = LOW, high: float = HIGH, enough: int = ENOUGH) -> DataFrame:
+    """(lang, length_class, least, most): the kept range of perplexities by language and length.
+
+    The upper bound is of the held-out documents, the lower one of all trusted documents: those that the model was
+    trained on, and their copies, surprise it less than others do.
+    """
+    below, above = _quantiles(scored, trusted, low, high, enough), _quantiles(scored, held_out, low, high, enough)
+    met = below.alias("b").join(above.alias("a"), F.col("b.lang").eqNullSafe(F.col("a.lang")) & (F.col("b.length_class") == F.col("a.length_class")))
+    return met.select("b.lang", "b.length_class", "b.least", "a.most")
+
 
+def _quantiles(scored: DataFrame, ids: DataFrame, low: float, high: float, enough: int) -> DataFrame:
+    """(lang, length_class, least, most) of the documents of ``ids``.
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text: str, lang: str, low: float, high: float, margins: tuple[float, float]) -> DataFrame:
+    A quantile that lies beyond a sample of n documents is read from it as if the tail were exponential: the distance
+    of the sample's end from the median grows by the ratio of the logarithms of e / share and n (e for the error of the
+    sample's own end).
+    """
+    own = scored.join(ids.withColumnRenamed(ids.columns[0], "id"), "id", "left_semi").filter(F.col("perplexity").isNotNull())
+    own = own.select("lang", length_class("n_grams").alias("own_class"), F.log("perplexity").alias("x"))
+    middle = own.groupBy("lang").agg(F.percentile_approx("x", 0.5, 10_000).alias("m"))
+    own = own.alias("o").join(F.broadcast(middle).alias("r"), F.col("o.lang").eqNullSafe(F.col("r.lang"))).select("o.lang", "own_class", "m", "x", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1))).alias("length_class"))
+    # Each document counts in its own class, and further ``away`` in every longer one, and last in the shorter ones.
+    gap = F.col("length_class") - F.col("own_class")
+    own = own.withColumn("away", F.when(gap >= 0, gap).otherwise(CLASSES - gap)).withColumn("x", F.col("m") + (F.col("x") - F.col("m")) * F.pow(F.lit(float(CLASS_RATIO)), -gap * F.when(gap >= 0, SHRINK).otherwise(0.5)))
+    each = own.groupBy("lang", "length_class", "away").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("lang", "length_class").orderBy("away")  # CLASSES rows at most
+    wanted = each.withColumn("before", F.coalesce(F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("before") < enough)
+    reach = wanted.groupBy("lang", "length_class").agg(F.max("away").alias("reach"))
+    met = own.alias("o").join(F.broadcast(reach).alias("r"), F.col("o.lang").eqNullSafe(F.col("r.lang")) & (F.col("o.length_class") == F.col("r.length_class")) & (F.col("away") <= F.col("reach")))
+    found = met.groupBy("o.lang", "o.length_class").agg(F.percentile_approx("x", [low, 0.5, high], 10_000).alias("q"), F.count("*").alias("n")).filter(F.col("n") >= FEWEST)
+    bound = lambda i, share: F.exp(F.col("q")[1] + (F.col("q")[i] - F.col("q")[1]) * F.greatest(F.lit(1.0), F.lit(1 - math.log(share)) / F.log("n")))
+    return found.select("lang", "length_class", bound(0, low).alias("least"), bound(2, 1 - high).alias("most"))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text: str, lang: str, low: float, high: float, enough: int) -> DataFrame:
     """What ``classify`` gives, and ``key``, the digest of the row's text."""
     prepare(docs.sparkSession)
     ids = saved(trusted_ids(labels).withColumn("out", F.pmod(F.xxhash64(id_col), F.lit(1000)) < int(1000 * HELD_OUT)))
-    held_out, ids = ids.filter("out").drop("out"), ids.filter("NOT out").drop("out")
-    known = saved(model(counts(docs, ids, id_col, text, lang)))
+    held_out, trained, trusted = ids.filter("out").drop("out"), ids.filter("NOT out").drop("out"), ids.drop("out")
+    known = saved(model(counts(docs, trained, id_col, text, lang)))
     row = tmp_name(docs.columns, "row")
     marked = docs.withColumn(row, F.struct(F.col(id_col).alias("id"), _digest(text).alias("key")))
     scored = saved(perplexities(marked, known, row, text, lang).select("id.id", "id.key", "lang", "n_grams", "perplexity"))
-    s, t = scored.alias("s"), thresholds(scored, held_out, low, high, margins).alias("t")
-    met = s.join(t, F.col("s.lang").eqNullSafe(F.col("t.lang")), "left")
+    s, t = scored.alias("s"), thresholds(scored, trusted, held_out, low, high, enough).alias("t")
+    met = s.join(t, F.col("s.lang").eqNullSafe(F.col("t.lang")) & (length_class("n_grams") == F.col("t.length_class")), "left")
     keep: Column = F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.lit(True))
     return met.select("s.id", "s.key", "s.lang", "n_grams", "perplexity", "least", "most", keep.alias("keep"))
 
@@ -341,15 +378,15 @@ def _digest(text: str) -> Column:
     return F.unhex(F.substring(F.sha2(text_or_empty(text), 256), 1, 32))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", low: float = LOW, high: float = HIGH, margins: tuple[float, float] = MARGINS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", low: float = LOW, high: float = HIGH, enough: int = ENOUGH) -> DataFrame:
     """(id, lang, n_grams, perplexity, least, most, keep) for every row of ``docs``."""
-    return _judged(docs, labels, id_col, text, lang, low, high, margins).drop("key")
+    return _judged(docs, labels, id_col, text, lang, low, high, enough).drop("key")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with all of their columns. Each is judged by its own text, whatever its id."""
     key, *own = (tmp_name(docs.columns, c) for c in ("key", "bad_id", "bad_key", "bad_lang"))
-    bad = _judged(docs, labels, id_col, text, lang, LOW, HIGH, MARGINS).filter(~F.col("keep"))
+    bad = _judged(docs, labels, id_col, text, lang, LOW, HIGH, ENOUGH).filter(~F.col("keep"))
     bad = saved(bad.select(*(F.col(c).alias(o) for c, o in zip(("id", "key", "lang"), own, strict=True))).distinct())
     same = F.col(key) == F.col(own[1])
     for c, o in ((id_col, own[0]), (lang, own[2])):

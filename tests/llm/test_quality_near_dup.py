@@ -89,6 +89,19 @@ def test_junk_goes_and_clean_stays(spark):
     assert all(r.keep for r in quality.classify(df, labels.limit(0)).collect())
 
 
+def test_repetition_and_lists_go_by_length(spark):
+    """Long texts of a few words, each likely for itself, fall outside the range of their length; trusted rows that no training or quantile saw stay."""
+    rng = random.Random(25)
+    common = [w for w in words(rng, 80, "aeionst").split() if len(w) > 2]
+    text = lambda n: " ".join(rng.choice(common) for _ in range(n)) + "."
+    clean = [(i, text(rng.choice((30, 150, 600))), "a") for i in range(1200)]
+    junk = [(5000 + i, " ".join([rng.choice(common)] * 500), "a") for i in range(30)] + [(6000 + i, " | ".join(rng.choice(common) for _ in range(400)), "a") for i in range(30)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in clean[:900]], "doc_id long, quality int, toxic int")
+    got = {r.id: r.keep for r in quality.classify(frame(spark, clean + junk), labels).collect()}
+    assert sum(not got[i] for i, _, _ in junk) >= 0.8 * len(junk)
+    assert sum(got[i] for i, _, _ in clean[900:]) >= 0.98 * 300
+
+
 def test_rows_of_null_or_repeated_id_are_judged_each(spark):
     rng = random.Random(15)
     clean = [(i, words(rng, 60, "aeionst"), "a") for i in range(200)]
