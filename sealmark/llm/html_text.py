@@ -1,10 +1,11 @@
 """Main text of web pages by site template removal.
 
-Each page is parsed into elements; container elements (not paragraphs or headings) get a hash of their subtree.
-Spark counts, per host, on how many pages of different lead (heading or title) each hash stands; containers that
-recur on many of them are the site's template, and are deleted wherever they stand. What the site marks as no
-article by tag, role or class is left out as well. If the page has a main or article element, only text inside it is
-kept; runs of text in paragraphs and headings of it are never deleted, so a passage that many articles share stays.
+Each page is parsed into elements; container elements (not paragraphs, headings or what stands inside lines) get a hash
+of their subtree. Spark counts, per host and per section of a host (the first part of the path), on how many pages of
+different lead (heading or title) each hash stands; containers that recur on many of them are the site's template, and
+are deleted first, wherever they stand. Marks come second, for what a page alone shows: tags, roles and classes that
+say that an element is no article, and main and article elements, inside which the article is if there are any. Runs of
+text in paragraphs and headings of the article are never deleted, so a passage that many articles share stays.
 
 Leads, not pages, are counted so that copies of one article do not make its parts look like a template.
 
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 
 from sealmark.llm._common import prepare, saved, table, text_or_empty
 
-#: A subtree is template if it stands on at least so many pages of different lead of a host…
-MIN_PAGES = 10
-#: … and on at least this share of the host's leads.
-MIN_SHARE = 0.2
+#: A subtree is template if it stands on pages of at least so many different leads of a host or section…
+MIN_LEADS = 3
+#: … and on at least this share of that host's or section's leads.
+MIN_SHARE = 0.1
 #: Pages of a host are dealt over so many tasks when they meet their host's template.
 SALT = 32
 
@@ -37,60 +38,88 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption".split())
+#: Elements that hold no text to show.
+SILENT_TAGS = frozenset("head script style noscript template textarea iframe object svg canvas datalist title xmp noembed noframes".split())
 #: Elements that are never part of an article.
 DROP_TAGS = frozenset("head script style noscript template nav footer aside form button select textarea input iframe object svg canvas dialog menu datalist title".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar toolbar form".split())
-#: Words of class or id that mark no article; those of the second set count only outside the article element.
+#: Words of a class or id that mark no article; those of the second set count only outside the article element.
 DROP_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond disqus share sharing social related recommended newsletter subscribe subscription popup modal widget pagination pager login signup toolbar skip paywall copyright".split())
 OUTER_WORDS = frozenset("header masthead topbar search hero".split())
-#: With these a class says what a layout has, not what an element is.
-LAYOUT_WORDS = frozenset("has with no without layout wrapper container page".split())
+#: A class with one of these says what a layout has or what a post is about, not what an element is.
+LAYOUT_WORDS = frozenset("has with no without layout wrapper container page category tag type format status".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 SCOPE = frozenset("table td th caption button object template html".split())
 
 TOKEN = re.compile(r"""<!--(?:.*?--!?>|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-WORDS = re.compile(r"[a-z]+")
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Attributes that may mark an element; others are passed over with their values.
+TELLING = frozenset("class id role hidden aria-hidden style".split())
+WORDS = re.compile(r"[a-z]+|[0-9]+")
+COMMENT = re.compile(r"comments?(?:[-_]?\d+)?")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _token_drops(token: str, tag: str, inside: bool, is_id: bool) -> bool:
+    """Whether one class, or the id, says that the element is no article.
+
+    Ids of headings, and of parts of an article, are slugs of their titles. So headings and text inside lines have no
+    telling id, nor has a part of the article one with a word besides; a paragraph or inline element, and an id inside
+    the article, must say nothing else than that.
+    """
+    words = [w for w in WORDS.findall(token) if not w.isdigit()]
+    if not words or LAYOUT_WORDS.intersection(words):
+        return False
+    if tag in INLINE or tag in FLOW or (is_id and inside):
+        return not (is_id and tag in FLOW | INLINE) and DROP_WORDS.issuperset(words)
+    return any(w in DROP_WORDS or (not inside and w in OUTER_WORDS) for w in words)
+
+
 def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
     if tag in DROP_TAGS or (tag == "header" and not inside):
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
     for name, *values in ATTR.findall(attrs):
-        name, value = name.lower(), "".join(values).lower()
+        name = name.lower()
+        if name not in TELLING:
+            continue
+        value = "".join(values).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN.search(value)):
             return True
         if name == "role" and DROP_ROLES.intersection(value.split()):
             return True
-        if name in ("class", "id"):
-            words = set(WORDS.findall(value))
-            if not words & LAYOUT_WORDS and (words & DROP_WORDS or (not inside and words & OUTER_WORDS)):
-                return True
+        if name in ("class", "id") and tag not in HEADINGS:
+            for token in value.split():
+                if COMMENT.fullmatch(token) if tag == "article" else _token_drops(token, tag, inside, name == "id"):
+                    return True
     return False
 
 
 class _Node:
     __slots__ = ("tag", "skip", "main", "hash", "index")
 
-    def __init__(self, tag: str, skip: bool, main: int, index: int):
+    def __init__(self, tag: str, skip: int, main: int, index: int):
         self.tag, self.skip, self.main, self.index = tag, skip, main, index
         self.hash = blake2b(tag.encode(), digest_size=8)
 
 
+#: What ``skip`` says: text of the page, text marked as no article, or no text at all.
+SHOWN, MARKED, SILENT = 0, 1, 2
+
+
 class Page:
     """Blocks and container hashes of one page."""
 
     def __init__(self, text: str):
-        #: (text, main level, indices of the containers around it): level 2 in main, 1 in article, 0 elsewhere
-        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
+        #: (text, main level, indices of the containers around it, marked): level 2 in main, 1 in article, 0 elsewhere
+        self.blocks: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.hashes: list[int] = []  # of containers, in the order in which they open
         self.heading = self.title = ""
         self._part: list[str] = []
-        self._stack = [_Node("", False, 0, -1)]
+        self._stack = [_Node("", SHOWN, 0, -1)]
         self._parse(text)
 
     def _flush(self) -> None:
@@ -99,8 +128,8 @@ class Page:
             self._part.clear()
             top = self._stack[-1]
             if text:
-                self.blocks.append((text, top.main, tuple(n.index for n in self._stack if n.index >= 0)))
-                if not self.heading and any(n.tag == "h1" for n in self._stack):
+                self.blocks.append((text, top.main, tuple(n.index for n in self._stack if n.index >= 0), top.skip == MARKED))
+                if not self.heading and top.skip == SHOWN and any(n.tag == "h1" for n in self._stack):
                     self.heading = text
 
     def _pop(self) -> None:
@@ -138,7 +167,12 @@ class Page:
                 self._part.append(" ")
             return
         top = stack[-1]
-        skip = tag != "main" and (top.skip or _boilerplate(tag, attrs, top.main > 0))
+        skip = top.skip if top.skip == SILENT else SHOWN if tag == "main" else MARKED if top.skip or _boilerplate(tag, attrs, top.main > 0) else SHOWN
+        if tag in SILENT_TAGS or (tag in INLINE and skip == MARKED != top.skip):
+            skip = SILENT
+        if (skip == MARKED) != (top.skip == MARKED):
+            self._flush()  # what is marked never shares a block with what is not
+            top = stack[-1]
         main = 0 if skip else max(top.main, 2 if tag == "main" else 1 if tag == "article" else 0)
         container = tag not in INLINE and tag not in FLOW and tag not in ("html", "body", "main", "article")
         if container:
@@ -164,7 +198,7 @@ class Page:
         text = entities.unescape(raw) if "&" in raw else raw
         top = self._stack[-1]
         top.hash.update(text.encode("utf-8", "surrogatepass"))
-        if not top.skip:
+        if top.skip != SILENT:
             self._part.append(text)
 
     def _parse(self, text: str) -> None:
@@ -200,13 +234,19 @@ class Page:
 
     @property
     def lead(self) -> int:
-        text = self.heading or self.title or "\n".join(b[0] for b in self.blocks)
+        text = self.heading or self.title or "\n".join(b[0] for b in self.blocks if not b[3])
         return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
+    def parts(self, template: set[int]) -> tuple[str, int, int]:
+        """The main text, and how many blocks went as template and how many by marks."""
+        left = [b for b in self.blocks if not (template and any(self.hashes[i] in template for i in b[2]))]
+        shown = [b for b in left if not b[3]]
+        level = max((b[1] for b in shown), default=0)
+        kept = [b[0] for b in shown if b[1] >= level]
+        return "\n".join(kept), len(self.blocks) - len(left), len(left) - len(kept)
+
     def main_text(self, template: set[int]) -> str:
-        level = max((b[1] for b in self.blocks), default=0)
-        least = 2 if level == 2 else min(level, 1)
-        return "\n".join(t for t, m, around in self.blocks if m >= least and not any(self.hashes[i] in template for i in around))
+        return self.parts(template)[0]
 
 
 def host_of(url: str) -> Column:
@@ -214,43 +254,58 @@ def host_of(url: str) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, template): the hashes of the subtrees that recur on the host's pages.
+def section_of(url: str) -> Column:
+    """The first part of a url's path; the empty string if there is none."""
+    return F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1)
+
+
+def templates(pages: DataFrame, url: str = "url", html: str = "html", min_leads: int = MIN_LEADS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, section, hash): the subtrees that recur on the host's pages; section is null where they recur on those of the whole host.
 
     Every count is of distinct rows under a key that holds the hash or the lead, so a host with a third of all
-    pages is counted by many tasks. The array of a host is short: a subtree in it stands on ``min_share`` of its leads.
+    pages is counted by many tasks, and rare hashes are left out before a host's rows meet its number of leads.
     """
     prepare(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [Page(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.lead for p in found], pa.int64()), pa.array([[*set(p.hashes)] for p in found], pa.list_(pa.int64()))], names=["host", "lead", "hashes"])
-
-    own = pages.select(host_of(url).alias("host"), text_or_empty(html).alias("html")).filter("host != ''").mapInArrow(run, "host string, lead long, hashes array<long>")
-    # The null hash stands for the page itself: its count is the number of the host's leads.
-    rows = own.select("host", "lead", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash")).distinct()
-    counts = rows.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("hash").isNull() | (F.col("n") >= min_pages))
-    total = F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("leads")
-    listed = counts.groupBy("host").agg(total, F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("hash", "n"))).alias("seen"))
-    frequent = F.filter("seen", lambda x: x["n"] >= min_share * F.col("leads"))
-    return listed.select("host", F.transform(frequent, lambda x: x["hash"]).alias("template")).filter(F.size("template") > 0)
+            found = [Page(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([p.lead for p in found], pa.int64()), pa.array([[*set(p.hashes)] for p in found], pa.list_(pa.int64()))], names=["host", "section", "lead", "hashes"])
+
+    own = pages.select(host_of(url).alias("host"), section_of(url).alias("section"), text_or_empty(html).alias("html")).filter("host != ''")
+    own = own.mapInArrow(run, "host string, section string, lead long, hashes array<long>")
+    # The null hash stands for the page itself: its count is the number of leads. The null section stands for the host.
+    rows = own.select("host", "section", "lead", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash")).distinct()
+    by_section = rows.groupBy("host", "section", "hash").agg(F.count("*").alias("n"))
+    by_host = rows.select("host", "lead", "hash").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    counts = saved(by_section.unionByName(by_host.withColumn("section", F.lit(None).cast("string"))).filter(F.col("hash").isNull() | (F.col("n") >= min_leads)))
+    leads = counts.filter("hash IS NULL").select("host", "section", F.col("n").alias("leads"))
+    c, t = counts.filter("hash IS NOT NULL").alias("c"), leads.alias("t")
+    met = c.join(t, (F.col("c.host") == F.col("t.host")) & F.col("c.section").eqNullSafe(F.col("t.section")))
+    return met.filter(F.col("n") >= min_share * F.col("leads")).select("c.host", "c.section", "hash")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", salt: int = SALT) -> DataFrame:
-    """(page_id, url, text) of every page."""
-    known = saved(templates(pages, url, html))
+    """(page_id, url, text, template_blocks, marked_blocks) of every page: its main text, and how many blocks of text went as template and how many by marks.
+
+    The hashes that a page's host and section delete meet it as two arrays; each is short, as every one of its hashes
+    stands on ``MIN_SHARE`` of the leads.
+    """
+    found = saved(templates(pages, url, html))
+    hosts = saved(found.filter("section IS NULL").groupBy("host").agg(F.collect_list("hash").alias("of_host")))
+    sections = saved(found.filter("section IS NOT NULL").groupBy("host", "section").agg(F.collect_list("hash").alias("of_section")))
     kinds = [pages.schema[c].dataType.simpleString() for c in (page_id, url)]
-    dealt = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text_or_empty(html).alias("html"), host_of(url).alias("host"), F.pmod(F.xxhash64(page_id, url), F.lit(salt)).alias("salt"))
-    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    dealt = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text_or_empty(html).alias("html"), host_of(url).alias("host"), section_of(url).alias("section"), F.pmod(F.xxhash64(page_id, url), F.lit(salt)).alias("salt"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [Page(t).main_text(set(x or ())) for t, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            rows = [Page(t).parts({*(x or ()), *(y or ())}) for t, x, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True))], names=["page_id", "url", "text", "template_blocks", "marked_blocks"])
 
-    met = dealt.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "template")
-    return met.mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string")
+    met = dealt.join(hosts.withColumn("salt", every), ["host", "salt"], "left").join(sections.withColumn("salt", every), ["host", "section", "salt"], "left")
+    return met.select("page_id", "url", "html", "of_host", "of_section").mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, template_blocks long, marked_blocks long")
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,70 @@ def test_site_template_goes_and_shared_passages_stay(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_attributes_and_slugs_lose_no_article():
+    text = lambda h: html_text.Page(h).main_text(set())
+    assert text('<article title="The hidden valley"><p>a</p></article>') == "a"
+    assert text('<article><h2 id="related-work">Related work</h2><h2 id="copyright-law">Law</h2></article>') == "Related work\nLaw"
+    assert text('<p>See <a href="/doc?id=search-and-share">the share page</a> now.</p><p data-id="share-12">k</p>') == "See the share page now.\nk"
+    assert text('<article class="post category-promo has-comments"><p>t</p><div class="related-posts">r</div><section id="related-work"><p>w</p></section></article>') == "t\nw"
+    assert text('<p>a <span class="ad">buy</span> b</p><p class="cookie-notice">n</p><article class="comment">c</article>') == "a b"
+    assert text('<div class="page has-sidebar"><div class="sidebar">s</div><p>x</p></div>') == "x"
+
+
+def brute_pages(pages, min_leads=html_text.MIN_LEADS, share=html_text.MIN_SHARE):
+    """Texts of well-formed pages without marks: every div is counted by its source, per host and section, in plain loops."""
+    import re
+    from collections import defaultdict
+
+    def divs(h):
+        found, stack = [], []
+        for m in re.finditer(r"<div>|</div>", h):
+            if m.group() == "<div>":
+                stack.append(m.start())
+            else:
+                a = stack.pop()
+                found.append((a, m.end(), h[a : m.end()]))
+        return found
+
+    lead = lambda h: re.search(r"<h1>(.*?)</h1>", h)[1]
+    out, leads, seen = [], defaultdict(set), defaultdict(set)
+    for _, url, h in pages:
+        host, section = url.split("/")[2], url.split("/")[3]
+        for key in ((host, None), (host, section)):
+            leads[key].add(lead(h))
+            for *_, source in divs(h):
+                seen[key, source].add(lead(h))
+    for i, url, h in pages:
+        host, section = url.split("/")[2], url.split("/")[3]
+        gone = [(a, b) for a, b, source in divs(h) if any(len(seen[k, source]) >= max(min_leads, share * len(leads[k])) for k in ((host, None), (host, section)))]
+        kept = "".join(c for j, c in enumerate(h) if not any(a <= j < b for a, b in gone))
+        out.append((i, "\n".join(filter(None, (" ".join(x.split()) for x in re.split(r"<[^>]*>", kept))))))
+    return dict(out)
+
+
+def test_recurring_subtrees_alone_decide_as_counted_by_hand(spark):
+    """Nothing on these pages is marked: only counting can tell a section's sidebar or a small host's footer from the article."""
+    rng = random.Random(31)
+    pages = []
+    for host, n in (("tiny.example", 3), ("two.example", 2), ("large.example", 120)):
+        for i in range(n):
+            section = "news" if i % 6 == 0 else "blog"
+            side = f"<div><p>Most read in {section}</p></div>" if section == "news" else f"<div><p>Tip {rng.randint(0, 500)}</p></div>"
+            body = f"<div><h1>{host} title {i}</h1><p>Shared passage.</p><div><p>Own {host} {i}</p></div></div>"
+            pages.append((len(pages), f"http://{host}/{section}/{i}", f"<div><p>Top of {host}</p><div><p>Links</p></div></div>{body}{side}<div><p>All rights of {host}</p></div>"))
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = brute_pages(pages)
+    assert {i: r.text for i, r in got.items()} == want
+    assert want[0] == "tiny.example title 0\nShared passage.\nOwn tiny.example 0\nMost read in news" and "Links" in want[3] and "Links" not in want[10]
+    assert "Most read" not in want[5] and got[5].template_blocks == 4 and got[5].marked_blocks == 0 and got[3].template_blocks == 0
+
+
+def test_template_decides_on_the_given_pages(spark):
+    """On the given pages counting removes blocks before any mark is asked."""
+    row = html_text.op5_main_text(spark, "/root/testdata/sf0.01").agg(F.sum("template_blocks").alias("t"), F.sum("marked_blocks").alias("m")).first()
+    assert row.t > 0 and row.m > 0
+
+
 def test_query_counts_code_points(spark):
     row = html_text.op5_main_text(spark, "/root/testdata/sf0.001").filter(F.col("n_chars") != F.length("text")).count()
     assert row == 0
