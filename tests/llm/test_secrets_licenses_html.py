@@ -76,6 +76,65 @@ def test_every_copy_of_a_stretch_is_found():
         assert all(a <= f[1] and f[2] <= b and f[2] - f[1] > 0.95 * (b - a) for f, (a, b) in zip(got, spans, strict=True))
 
 
+MIT = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 500)
+
+
+def with_gaps(rng, words, gaps):
+    """Words of a template with so many foreign words inserted at each of the places."""
+    out = []
+    for i, w in enumerate(words):
+        out += [f"lorem{rng.randint(0, 9999)}" for _ in range(gaps.get(i, 0))] + [w]
+    return " ".join(out)
+
+
+def brute_common(a, b):
+    """Length of the longest common subsequence, by its table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = above[j] + 1 if x == y else max(above[j + 1], row[j])
+    return row[-1]
+
+
+def test_coverage_equals_a_brute_force_alignment_of_the_whole_text():
+    rng = random.Random(41)
+    for name, template in licenses.TEMPLATES:
+        own = licenses.words_of(template)
+        for _ in range(6):
+            words = [w if rng.random() > 0.06 else f"dolor{rng.randint(0, 99)}" for w in own if rng.random() > 0.05]
+            gaps = {rng.randrange(len(words) // 4, 3 * len(words) // 4): rng.randint(1, len(own) // 3) for _ in range(2)} if len(own) > 20 else {}
+            text = "ipsum sit " * rng.randint(0, 40) + with_gaps(rng, words, gaps) + " amet" * rng.randint(0, 300)
+            best = brute_common(licenses.words_of(text), own) / len(own)
+            got = licenses.scan(text, ((name, template),))
+            if best >= licenses.COVERAGE + 0.02:
+                # At an end a word joins only where it pays for the words passed.
+                assert len(got) == 1 and best - 0.02 <= got[0][3] <= best, (name, best, got)
+            elif best < licenses.COVERAGE - 1e-9:
+                assert got == []
+
+
+def test_inserted_words_and_repeats_lose_no_copy():
+    rng, w = random.Random(43), MIT.split()
+    for gaps in ({50: 60, 110: 60}, {80: 200}, {40: 30}, {20: 10, 60: 10, 100: 10, 140: 10}):
+        one = with_gaps(rng, w, gaps)
+        for times in (1, 2, 5):
+            got = licenses.scan("\n".join([one] * times))
+            assert [(f[0], f[1], f[2], f[3]) for f in got] == [("MIT", k * (len(one) + 1), k * (len(one) + 1) + len(one) - 1, 1.0) for k in range(times)]
+    loose = with_gaps(rng, w, {50: 60, 110: 60})
+    assert [f[0] for f in licenses.scan("Released under the MIT License. " + loose)] == ["MIT", "MIT"]
+    assert licenses.scan(" x y z ".join("released under the mit license".split())) == [] == licenses.scan("licensed " + "a b c d " * 9 + "under cc by 4 0")
+    long = "lorem ipsum " * 100_000 + MIT + " dolor" * 100_000
+    assert [f[1:] for f in licenses.scan(long)] == [(1_200_000, 1_200_000 + len(MIT) - 1, 1.0)]
+
+
+def test_templates_of_a_folder(spark, tmp_path):
+    (tmp_path / "House-1.0.txt").write_text("House rules say that nobody may copy the quick brown fox without a lazy dog.")
+    given = licenses.more_templates(str(tmp_path))
+    got = licenses.scan_documents(frame(spark, ["x House rules say that nobody may copy the quick brown fox without any lazy dog", MIT]), templates=licenses.TEMPLATES + given).collect()
+    assert {r.id: [f.license for f in r.findings] for r in got} == {0: ["House-1.0"], 1: ["MIT"]}
+
+
 def test_alignment_is_a_common_subsequence():
     rng = random.Random(7)
     for _ in range(300):
