@@ -2,7 +2,9 @@
 
 A record is a JSON object in any of several layouts. The set of its nested field paths (arrays as ``[]``) is hashed;
 the hash selects a declarative mapping, which says where the turns are and what each role is called. Canonical
-turns are then rendered with a template whose control strings cannot occur in escaped texts, and read back.
+turns are then rendered with a template whose control strings cannot occur in escaped texts. A conversation's formatted
+text is the join of its turns; it is read back from that stream alone, by a reader that knows no turn boundaries but the
+marks, and the loss mask is a list of spans of that stream.
 
 The mappings are data: a mapping either names a list of messages with the fields of role and text, or lists the
 single fields of which each gives one turn. Roles are brought to system, user and assistant by ``ROLE_NAMES``;
@@ -40,6 +42,9 @@ MAPPINGS: list[dict[str, Any]] = [
     {"name": "prompt", "paths": ["prompt", "completion"], "optional": ["id", "conv_id", "system"], "turns": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["completion"])]},
     {"name": "prompt_response", "paths": ["prompt", "response"], "optional": ["id", "conv_id", "system"], "turns": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]},
     {"name": "question", "paths": ["question", "answer"], "optional": ["id", "conv_id", "context"], "turns": [("user", ["context", "question"]), ("assistant", ["answer"])]},
+    {"name": "author_parts", "paths": ["author", "author.role", "content", "content.parts", "content.parts[]"], "optional": ["id", "conv_id", "content.content_type"], "one": True, "role": "author.role", "text": "content.parts"},
+    {"name": "prompt_only", "paths": ["prompt"], "optional": ["id", "conv_id"], "turns": [("user", ["prompt"])]},
+    {"name": "completion_only", "paths": ["completion"], "optional": ["id", "conv_id"], "turns": [("assistant", ["completion"])]},
     {"name": "turn", "paths": ["role", "text"], "optional": ["id", "conv_id", "turn"], "turns": "self"},
 ]
 
@@ -88,6 +93,12 @@ def _role(value: Any) -> str:
     return ROLE_NAMES.get(role, role)
 
 
+def _at(record: Any, path: str) -> Any:
+    for name in path.split("."):
+        record = record.get(name) if isinstance(record, dict) else None
+    return record
+
+
 def turns_of(record: Any, known: dict[str, dict[str, Any]]) -> tuple[str | None, str | None, list[tuple[str, str]]]:
     """(fingerprint, layout, turns) of one parsed record."""
     if not isinstance(record, dict):
@@ -98,6 +109,8 @@ def turns_of(record: Any, known: dict[str, dict[str, Any]]) -> tuple[str | None,
         return print_, None, []
     if m.get("turns") == "self":
         return print_, m["name"], [(_text(record["role"]), _text(record["text"]))]
+    if m.get("one"):
+        return print_, m["name"], [(_role(_at(record, m["role"])), _text(_at(record, m["text"])))]
     if "list" in m:
         items = record[m["list"]] or []
         return print_, m["name"], [(_role(x.get(m["role"])), _text(x.get(m["text"]))) for x in items if isinstance(x, dict)]
@@ -168,14 +181,57 @@ def render(turns: DataFrame, role: str = "role", text: str = "text") -> DataFram
     })
 
 
-SEGMENT = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.S)
+FRAME = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.S)
+
+
+class Reader:
+    """Reads the formatted stream of one conversation, fed in pieces cut anywhere, and gathers its digests.
+
+    ``feed`` takes the next piece and the masked spans that begin in it, as offsets in the stream. What is held is the
+    piece and the open turn, whatever the length of the conversation.
+    """
+
+    def __init__(self) -> None:
+        self.turns = self.chars = self.loss_chars = 0
+        self.turns_hash, self.loss_hash = hashlib.sha256(), hashlib.sha256()
+        self._held: list[str] = []
+        self._size, self._due = 0, 1 << 16
+        self._masks: list[tuple[int, int]] = []
+
+    def feed(self, piece: str, masks: list[tuple[int, int]]) -> None:
+        self._held.append(piece)
+        self._size += len(piece)
+        self._masks += masks
+        if self._size >= self._due:
+            self._read()
+
+    def _read(self) -> None:
+        text, at = "".join(self._held), 0
+        for m in iter(lambda: FRAME.match(text, at), None):
+            self.turns += 1
+            self.turns_hash.update(f"{unescape_role(m[1])}\n{unescape(m[2])}\n".encode())
+            at = m.end()
+        while self._masks and self._masks[0][1] <= self.chars + at:
+            start, end = self._masks.pop(0)
+            own = unescape(text[start - self.chars : end - self.chars])
+            self.loss_chars += len(own)
+            self.loss_hash.update(own.encode())
+        self.chars += at
+        self._held, self._size = [text[at:]], len(text) - at
+        self._due = max(1 << 16, 2 * self._size)  # a long open turn is looked at again when as much has come besides
+
+    def close(self) -> tuple[int, str, int, str, int]:
+        self._read()
+        if self._held != [""] or self._masks:
+            raise ValueError("the stream ends inside a turn")
+        return self.turns, self.turns_hash.hexdigest(), self.loss_chars, self.loss_hash.hexdigest(), self.chars
 
 
 def read_back(segments: DataFrame, conv: str = "conv_id", order: list[str] | None = None) -> DataFrame:
-    """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), from the rendered segments alone.
+    """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), from the formatted streams and their masks alone.
 
-    Segments are dealt by conversation and sorted; digests grow turn by turn, so a conversation of any length
-    takes constant memory.
+    Rendered turns are dealt by conversation, sorted and joined; the masks become spans of the whole stream. Digests grow
+    as it is read, so a conversation of any length takes constant memory.
     """
     spark = prepare(segments.sparkSession)
     order = order or ["turn", "role", "text"]
@@ -185,43 +241,32 @@ def read_back(segments: DataFrame, conv: str = "conv_id", order: list[str] | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        now: list[Any] | None = None
-
-        def close() -> None:
-            rows.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]))
-
-        def flush() -> pa.RecordBatch:
-            types = [conv_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            cols = list(zip(*rows, strict=True))
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-
-        conv_type = None
+        now: tuple[Any, Reader] | None = None
+        written, conv_type = 0, None
         for b in batches:
             conv_type = b.schema.field(0).type
             for key, segment, start, end in zip(*(b.column(j).to_pylist() for j in range(4)), strict=True):
                 if now is None or now[0] != key:
                     if now is not None:
-                        close()
-                    now = [key, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = SEGMENT.fullmatch(segment).groups()
-                now[1] += 1
-                now[2].update(f"{unescape_role(role)}\n{unescape(text)}\n".encode())
-                if start is not None:
-                    own = unescape(segment[start:end])
-                    now[3] += len(own)
-                    now[4].update(own.encode())
-                now[5] += len(segment)
+                        rows.append((now[0], *now[1].close()))
+                    now, written = (key, Reader()), 0
+                now[1].feed(segment, [] if start is None else [(written + start, written + end)])
+                written += len(segment)
             if rows:
-                yield flush()
+                yield _batch(rows, conv_type, names)
+                rows = []
         if now is not None:
-            close()
-            yield flush()
+            yield _batch([(now[0], *now[1].close())], conv_type, names)
 
     schema = f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return dealt.select(conv, "segment", "loss_start", "loss_end").mapInArrow(run, schema).withColumnRenamed("conv", conv)
 
 
+def _batch(rows: list[tuple], conv_type: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    types = [conv_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
 def assemble(segments: DataFrame, conv: str = "conv_id", order: list[str] | None = None) -> DataFrame:
     """(conv, formatted): whole conversations as one text each, for conversations that fit in memory."""
     order = order or ["turn", "role", "text"]
@@ -232,15 +277,35 @@ def assemble(segments: DataFrame, conv: str = "conv_id", order: list[str] | None
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
 
-def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1, each turn a record of the layout ``turn``.
+def as_records(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, record): the turns of conversations as records of many layouts, dealt by conversation.
 
+    A record holds one turn, so that no conversation is gathered. Layouts with role names of their own carry the roles
+    that come back as they were; other roles stay in layouts that keep them.
     """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    kind = F.pmod(F.xxhash64("conv_id"), F.lit(6))
+    alias = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    plain = ~role.isin(*ROLE_NAMES)
+    message = F.struct(role.alias("role"), text.alias("content"))
+    parts = F.struct(role.alias("role"), F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content"))
+    record = (
+        F.when(plain & (kind == 1), F.to_json(F.struct(F.array(message).alias("messages"))))
+        .when(plain & (kind == 2), F.to_json(F.struct(F.array(parts).alias("messages"))))
+        .when(plain & (kind == 3), F.to_json(F.struct(F.array(F.struct(alias.alias("from"), text.alias("value"))).alias("conversations"))))
+        .when(plain & (kind == 4), F.to_json(F.struct(F.struct(role.alias("role")).alias("author"), F.struct(F.array(text).alias("parts")).alias("content"))))
+        .when((kind == 5) & (role == "user"), F.to_json(F.struct(text.alias("prompt"))))
+        .when((kind == 5) & (role == "assistant"), F.to_json(F.struct(text.alias("completion"))))
+        .otherwise(F.to_json(F.struct(role.alias("role"), text.alias("text"))))
+    )
+    return rows.select("conv_id", "turn", record.alias("record"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, brought back from records of seven layouts by their fingerprints."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], rows.schema)
-    fields = F.struct(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")))
-    records = rows.unionByName(extra).select("conv_id", "turn", F.to_json(fields).alias("record"))
-    return read_back(render(canonical_turns(records, keys=["conv_id", "turn"])))
+    return read_back(render(canonical_turns(as_records(rows.unionByName(extra)), keys=["conv_id", "turn"])))
 
 
 #: The query in SQL. Rows are ordered by turn, role, text; a segment adds its marks, a line break and escapes to role and text.

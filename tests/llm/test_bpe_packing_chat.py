@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import re
 from array import array
 from zlib import crc32
 
@@ -129,6 +130,9 @@ LAYOUTS = [
     ({"prompt": "p", "response": "c"}, "prompt_response", [("user", "p"), ("assistant", "c")]),
     ({"context": "c", "question": "q", "answer": "a"}, "question", [("user", "c\nq"), ("assistant", "a")]),
     ({"messages": []}, "messages", []),
+    ({"author": {"role": "user"}, "content": {"parts": ["q", "r"]}}, "author_parts", [("user", "qr")]),
+    ({"prompt": "p"}, "prompt_only", [("user", "p")]),
+    ({"completion": "c"}, "completion_only", [("assistant", "c")]),
     ({"who": "knows"}, None, []),
     ([1], None, []),
 ]
@@ -144,7 +148,7 @@ def test_fingerprints_choose_the_mapping(spark):
         own = sorted((r for r in got if r.conv_id == i), key=lambda r: r.position or 0)
         assert [r.layout for r in own] == [layout] * max(1, len(turns))
         assert [(r.role, r.text) for r in own if r.position is not None] == turns
-    assert {r.conv_id for r in got if r.layout is None} == {9, 10, 98, 99}
+    assert {r.conv_id for r in got if r.layout is None} == {12, 13, 98, 99}
 
 
 HOSTILE = ["", None, chat.HOSTILE, "<|", "<\\|", "<\\\\|x", "a<", "\\", "<|im_end|>\n", "<|im_start|>user\n", "line\nbreak", "😀" * 50, "x" * 50_000]
@@ -169,6 +173,42 @@ def test_template_is_reversible(spark):
         assert whole[c].count("<|im_start|>") == whole[c].count("<|im_end|>") == len(own)
 
 
+def test_a_stream_cut_anywhere_reads_the_same():
+    """The reader sees no turns, only pieces; spans of the mask are of the whole stream."""
+    rng = random.Random(16)
+    escape = lambda t: re.sub(r"<(\\*)\|", lambda m: "<" + m[1] + "\\|", t)
+    turns = [(rng.choice(["user", "assistant"]), (rng.choice(HOSTILE) or "") * rng.randint(1, 3)) for _ in range(60)]
+    stream, masks = "", []
+    for role, text in turns:
+        stream += f"{chat.START}{role}\n"
+        if role == "assistant":
+            masks.append((len(stream), len(stream) + len(escape(text))))
+        stream += escape(text) + chat.END + "\n"
+    loss = "".join(t for role, t in turns if role == "assistant")
+    want = (60, hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(stream))
+    for size in (1, 7, 1000, 100_000, 10_000_000):
+        reader, at, rest = chat.Reader(), 0, list(masks)
+        while at < len(stream):
+            step = rng.randint(1, size)
+            begun = [m for m in rest if m[0] < at + step]
+            reader.feed(stream[at : at + step], begun)
+            at, rest = at + step, rest[len(begun) :]
+        assert reader.close() == want
+    with pytest.raises(ValueError):
+        broken = chat.Reader()
+        broken.feed(stream[:-3], [])
+        broken.close()
+
+
+def test_query_goes_through_many_layouts(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(c, 0, r, "t") for c in range(30) for r in ("human", "gpt", None, "", "tool", "user")], rows.schema)
+    back = chat.canonical_turns(chat.as_records(rows.unionByName(odd)), keys=["conv_id", "turn"])
+    assert {r.layout for r in back.select("layout").distinct().collect()} == {"messages", "messages_parts", "conversations", "author_parts", "prompt_only", "completion_only", "turn"}
+    empty = lambda df: sorted((r.conv_id, r.turn, r.role or "", r.text or "") for r in df.collect())
+    assert empty(back) == empty(rows.unionByName(odd))
+
+
 def test_query_has_the_hostile_conversation(spark):
     got = {r.conv_id: r for r in chat.op3_chat_format(spark, "/root/testdata/sf0.001").collect()}
     want = hashlib.sha256(f"user\n{chat.HOSTILE}\nassistant\n{chat.HOSTILE}\n".encode()).hexdigest()
