@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -21,10 +21,9 @@ WORKER_ENVIRONMENT = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "335544
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the Python workers and give the session a checkpoint folder.
+    """Make this package importable in the Python workers and take the checkpoint folder that ``spark.checkpoint.dir`` names.
 
-    The folder in ``spark.checkpoint.dir`` is used where it is set; only a session without one
-    (tests, local runs) gets a temporary folder.
+    Everything written between steps goes there, where driver and executors must share it, so a session without one is refused.
     """
     sc = spark.sparkContext
     paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
@@ -33,7 +32,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     for name, value in WORKER_ENVIRONMENT.items():
         sc.environment.setdefault(name, value)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sealmark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="spark-")  # one machine: its driver is its executors
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return spark
 
 
@@ -54,14 +58,45 @@ def tmp_name(taken: list[str], base: str) -> str:
     return name
 
 
+#: Tables written by ``saved`` inside the open ``scratch`` blocks, innermost last.
+_WRITTEN: list[list[str]] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read again: lineage is cut and the size is known to the optimizer, which broadcasts it only under its own threshold."""
     spark = prepare(df.sparkSession)
     path = f"{spark.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables saved inside are deleted at the end, but for those given to ``keep``, which is yielded: it saves a table to stay.
+
+    Nothing that is used later may still be computed from the tables that go.
+    """
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = saved(df)
+        kept.append(_WRITTEN[-1].pop())
+        return out
+
+    _WRITTEN.append([])
+    try:
+        yield keep
+    finally:
+        gone = _WRITTEN.pop()
+        if _WRITTEN:
+            _WRITTEN[-1] += kept
+        for path in gone:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """While an action runs inside, so many rows at most go to Python at once: for rows that hold long arrays."""
@@ -83,6 +118,29 @@ def if_small(ids: DataFrame, width: int) -> DataFrame:
     return F.broadcast(ids) if ids.count() * width <= BROADCAST_BYTES else ids
 
 
+#: Rows of one key that one task of a join takes; a hotter key is dealt over several.
+HOT_ROWS = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which is of few rows a key, on ``key``; the left rows of a hot key are dealt over its parts.
+
+    ``hot`` has (key, parts) of the keys with more than one part: about one for each ``HOT_ROWS`` rows, so it is small.
+    """
+    salt, parts = (tmp_name([*left.columns, *right.columns], n) for n in ("salt", "parts"))
+    few = if_small(hot.select(key, F.col("parts").cast("int").alias(parts)), 24)
+    dealt = F.when(F.col(parts).isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col(parts)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))
+    a = left.join(few, key, "left").withColumn(salt, dealt).drop(parts)
+    b = right.join(few, key, "left").withColumn(salt, every).drop(parts)
+    return a.join(b, [key, salt], how).drop(salt)
+
+
+def hot_keys(rows: DataFrame, key: str, limit: int = HOT_ROWS) -> DataFrame:
+    """(key, parts) of the keys with more than ``limit`` rows."""
+    return rows.groupBy(key).count().filter(F.col("count") > limit).select(key, F.ceil(F.col("count") / limit).alias("parts"))
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -8,7 +8,9 @@ its budget of candidates. Candidates are reranked by their exact inner product i
 The budget, a share of all vectors, is the least one of a ladder whose recall, measured on the sample against brute
 force, reaches ``TARGET``; at a given share recall grows with the number of vectors, so the sample is the hard case.
 The work is dealt by shard: neighbouring leaves of a tree up to ``SHARD`` vectors, or a part of a larger leaf, so that
-neither equal vectors nor a dense region end in one task.
+neither equal vectors nor a dense region end in one task; and the queries of a shard by blocks of about ``BLOCK``, each
+of which meets the shard by itself, so that a shard that many queries visit does not either. The best lists of a query
+are merged in two steps, within groups of shards and then across.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite numbers take
 no part, nor do rows of null id; a query gets all candidates if there are fewer than k; ties go to the smaller id;
@@ -18,7 +20,7 @@ of rows that repeat id and vector one is returned; an empty table gives no rows;
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealmark.llm._common import prepare, saved, table
+from sealmark.llm._common import prepare, saved, scratch, table
 
 TREES, LEAF = 4, 128
 #: Vectors that the trees are fitted on, at most.
 SAMPLE = 20_000
 #: Vectors that meet queries in one task, about.
 SHARD = 8192
+#: Queries that meet a shard in one task, about.
+BLOCK = 16_384
+#: Groups of shards in which the best lists of a query are merged first.
+GROUPS = 32
 K = 20
 TARGET = 0.93
 LADDER = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
@@ -174,6 +180,7 @@ def _rerank(k: int, dim: int):
     def run(vectors: pa.Table, probes: pa.Table) -> pa.Table:
         """Each query's k best of a shard, as one row."""
         queries, best_ids, best_scores = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+        shard = (vectors if len(vectors) else probes).column("shard")[0].as_py()
         if len(vectors) and len(probes):
             ids, v, leaf = vectors.column("id").to_numpy(), _matrix(vectors.column("v"), dim), vectors.column("leaf").to_numpy()
             names, place = np.unique(leaf, return_inverse=True)
@@ -198,7 +205,7 @@ def _rerank(k: int, dim: int):
                         best_scores.append(exact[best])
         off = pa.array(np.cumsum([0, *map(len, best_ids[1:])]), pa.int32())
         lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x))) for x in (best_ids, best_scores)]
-        return pa.table({"query_id": pa.array(queries, pa.int64()), "ids": lists[0], "scores": lists[1]})
+        return pa.table({"query_id": pa.array(queries, pa.int64()), "part": pa.array([shard % GROUPS] * len(queries), pa.int32()), "ids": lists[0], "scores": lists[1]})
 
     return run
 
@@ -206,6 +213,12 @@ def _rerank(k: int, dim: int):
 def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector: str = "embedding", trees: int = TREES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which ``queries``, a condition on ``id``, holds."""
     spark = prepare(vectors.sparkSession)
+    with scratch(spark) as keep:
+        return _nearest(vectors, queries, k, id_col, vector, trees, keep)
+
+
+def _nearest(vectors: DataFrame, queries: Column, k: int, id_col: str, vector: str, trees: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    spark = vectors.sparkSession
     own = saved(usable(vectors, id_col, vector).dropDuplicates(["id", "v"]))
     n = own.count()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -228,7 +241,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_
             off = pa.array(np.arange(len(v) + 1, dtype=np.int32) * trees)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(off, pa.array(leaf.T.ravel()))], names=["id", "v", "leaf"])
 
-    settled = saved(own.select("id", "v").mapInArrow(settle, "id long, v array<double>, leaf array<int>"))
+    settled = keep(own.select("id", "v").mapInArrow(settle, "id long, v array<double>, leaf array<int>"))
     placed = settled.select("id", "v", F.posexplode("leaf").alias("tree", "leaf"))
     sizes = [np.zeros(t.leaves, np.int64) for t in forest]
     for tree, leaf, count in placed.groupBy("tree", "leaf").count().collect():  # a row a leaf: bounded by the sample
@@ -262,11 +275,15 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_
                     rows = {name: [] for name in rows}
 
     members = settled.mapInArrow(deal, "shard long, id long, v array<double>, leaf int")
-    probes = settled.filter(queries).select("id", "v").mapInArrow(probe, "shard long, id long, v array<double>, leaves array<int>")
-    found = members.groupBy("shard").cogroup(probes.groupBy("shard")).applyInArrow(_rerank(k, dim), "query_id long, ids array<long>, scores array<double>")
-    # The lists of one query are k entries for each shard that it visits; an entry sorts by falling score and rising id.
+    asked = settled.filter(queries).select("id", "v")
+    blocks = max(1, round(asked.count() * share_of / BLOCK))
+    probes = asked.mapInArrow(probe, "shard long, id long, v array<double>, leaves array<int>").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    members = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = members.groupBy("shard", "block").cogroup(probes.groupBy("shard", "block")).applyInArrow(_rerank(k, dim), "query_id long, part int, ids array<long>, scores array<double>")
+    # An entry sorts by falling score and rising id.
     entries = F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i")))
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(entries)))), 1, k).alias("best"))
+    best = lambda lists: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(lists)))), 1, k).alias("best")
+    merged = found.groupBy("query_id", "part").agg(best(entries)).groupBy("query_id").agg(best("best"))
     ranked = merged.select("query_id", F.posexplode("best").alias("at", "b"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("score"))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealmark.llm._common import prepare, saved, table, text_or_empty
+from sealmark.llm._common import prepare, saved, scratch, table, text_or_empty
 
 #: A subtree is template if it stands on pages of at least so many different leads of a host or section…
 MIN_LEADS = 3
@@ -291,9 +291,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     The hashes that a page's host and section delete meet it as two arrays; each is short, as every one of its hashes
     stands on ``MIN_SHARE`` of the leads.
     """
-    found = saved(templates(pages, url, html))
-    hosts = saved(found.filter("section IS NULL").groupBy("host").agg(F.collect_list("hash").alias("of_host")))
-    sections = saved(found.filter("section IS NOT NULL").groupBy("host", "section").agg(F.collect_list("hash").alias("of_section")))
+    with scratch(prepare(pages.sparkSession)) as keep:
+        found = saved(templates(pages, url, html))
+        hosts = keep(found.filter("section IS NULL").groupBy("host").agg(F.collect_list("hash").alias("of_host")))
+        sections = keep(found.filter("section IS NOT NULL").groupBy("host", "section").agg(F.collect_list("hash").alias("of_section")))
     kinds = [pages.schema[c].dataType.simpleString() for c in (page_id, url)]
     dealt = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text_or_empty(html).alias("html"), host_of(url).alias("host"), section_of(url).alias("section"), F.pmod(F.xxhash64(page_id, url), F.lit(salt)).alias("salt"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long")))

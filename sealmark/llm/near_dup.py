@@ -1,10 +1,13 @@
 """Near-duplicate detection by improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are runs of five words. Their document frequencies are counted over all documents in a table of fixed size
-by hash (4 MB, whatever the input, and broadcast). A shingle's weight is (1 + ln tf) times a mild idf between 1 and
-``1 + IDF``, on a fine geometric grid; each text gives 64 weighted samples, in 16 bands of 4. Texts that share a band
-meet in a bucket; pairs are verified by weighted Jaccard similarity of the whole texts; classes are the connected
-components of the verified links.
+Shingles are runs of five words. A shingle's weight is (1 + ln tf) times an idf that falls from ``1 + IDF``, for shingles
+of at most one document in ``RARE``, to 1 for those of all documents, in step with the logarithm of the document
+frequency; weights are on a fine geometric grid. Frequencies above that share are counted exactly: a table of cells of
+fixed size tells which shingles may have it, and only these are shuffled and counted. There are at most ``RARE`` times
+as many as a document has on the mean, whatever the number of documents, so they are broadcast, behind a check.
+
+Each text gives 64 weighted samples, in 16 bands of 4. Texts that share a band meet in a bucket; pairs are verified by
+weighted Jaccard similarity of the whole texts; classes are the connected components of the verified links.
 
 No bucket's pairs are listed. In a first round each text is verified against one text: of the least texts of its
 buckets, the one with which it shares most bands. That joins most of a group. Two more rounds take only the buckets
@@ -23,7 +26,9 @@ named by its least id, null if none of its rows has one; other columns are ignor
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sealmark.llm._common import arrow_rows, if_small, mix, prepare, saved, shingles, table, text_or_empty, tmp_name, word_hashes
+from sealmark.llm._common import HOT_ROWS, arrow_rows, hot_keys, if_small, mix, prepare, saved, scratch, shingles, spread_join, table, text_or_empty, tmp_name, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -40,8 +45,10 @@ SAMPLES = BANDS * ROWS
 MORE = 256
 #: Texts whose samples agree in a share so many standard deviations below ``SIMILAR`` are not verified: odds of about 1e-5.
 DEVIATIONS = 4.2
-#: How much more a shingle of one document weighs than one of all documents.
-IDF = 0.1
+#: How much more a rare shingle weighs than one of all documents, and of how many documents one may hold a rare one.
+IDF, RARE = 0.5, 1000
+#: Frequent shingles that are broadcast at most (12 bytes each); if there are more, the share that counts as rare is doubled.
+MOST_FREQUENT = 1 << 20
 DF_BITS, _CELLS = 20, 4096
 #: Weights are on a grid of this ratio (as a logarithm).
 STEP, LEVELS = 0.05, 64
@@ -81,8 +88,8 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(_HASH_BITS - DF_BITS)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(counts by hash bucket, number of documents): each document counts once for each of its distinct shingles.
+def _cells(docs: DataFrame) -> np.ndarray:
+    """Document frequencies by hash cell: an upper bound of those of each shingle in the cell.
 
     A table of fixed size: every task adds up its own, and the parts of all tasks are added by part.
     """
@@ -103,21 +110,81 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         return pa.table({"part": group.column("part")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part int, cells binary"
-    summed = docs.select(text_or_empty("text")).mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema)
-    df = np.zeros(1 << DF_BITS, np.int64)
+    summed = docs.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema)
+    found = np.zeros(1 << DF_BITS, np.int64)
     for part, cells in summed.collect():  # 256 parts, whatever the input
-        df[part * _CELLS : (part + 1) * _CELLS] = np.frombuffer(cells, np.int64)
-    return df, docs.count()
+        found[part * _CELLS : (part + 1) * _CELLS] = np.frombuffer(cells, np.int64)
+    return found
+
+
+@dataclass
+class Idf:
+    """ln idf by shingle: of frequent shingles by their frequency, of all others that of a rare one."""
+
+    shingles: np.ndarray  # ascending
+    values: np.ndarray
+    cells: np.ndarray  # where a frequent shingle may be
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), np.log1p(IDF), np.float32)
+        maybe = np.flatnonzero(self.cells[_bucket(h)])
+        if len(maybe) and len(self.shingles):
+            at = np.minimum(np.searchsorted(self.shingles, h[maybe]), len(self.shingles) - 1)
+            hit = self.shingles[at] == h[maybe]
+            out[maybe[hit]] = self.values[at[hit]]
+        return out
 
 
-def _log_idf(df: np.ndarray, n: int) -> np.ndarray:
-    share = np.log((1 + n) / (1 + np.minimum(df, n))) / max(np.log(1 + n), 1e-9)
-    return np.log1p(IDF * share)
+def log_idf(df: np.ndarray, n: int, rare: int) -> np.ndarray:
+    """ln idf of shingles in ``df`` of ``n`` documents, where up to ``rare`` documents make a rare one."""
+    n = max(n, 1)
+    share = np.log(n / np.maximum(df, rare)) / max(math.log(n / rare), 1e-9)
+    return np.log1p(IDF * np.clip(share, 0, 1)).astype(np.float32)
+
+
+def document_frequencies(docs: DataFrame) -> Idf:
+    """The idf of the shingles of ``docs``, each document counting once for each of its distinct shingles."""
+    n, cells = docs.count(), _cells(docs)
+    rare = max(1, n // RARE)
+    held = docs.sparkSession.sparkContext.broadcast(cells > rare)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
+        def out() -> pa.RecordBatch:
+            keys, counts = parts[0] if len(parts) == 1 else _added(parts)
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "n"])
 
-def levels(h: np.ndarray, tf: np.ndarray, log_idf: np.ndarray) -> np.ndarray:
+        for b in (x for whole in batches for x in _sliced(whole)):
+            for *_, h, _, _ in _features(b.column(0).to_pylist()):
+                keys, counts = np.unique(h[held.value[_bucket(h)]], return_counts=True)
+                parts.append((keys, counts.astype(np.int64)))
+                if len(parts) >= 16:
+                    parts[:] = [_added(parts)]
+            if sum(len(k) for k, _ in parts) > 2_000_000:
+                yield out()
+        if parts:
+            yield out()
+
+    counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = saved(counted.filter(F.col("n") > rare))
+    while counted.filter(F.col("n") > rare).count() > MOST_FREQUENT:
+        rare *= 2
+    rows = counted.filter(F.col("n") > rare).toArrow()  # at most MOST_FREQUENT
+    keys, df = (rows.column(c).to_numpy() for c in ("h", "n"))
+    order = np.argsort(keys)
+    return Idf(keys[order].view(np.uint64), log_idf(df[order], n, rare), cells > rare)
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+
+
+def levels(h: np.ndarray, tf: np.ndarray, idf: Idf) -> np.ndarray:
     """Weights on the grid, as steps."""
-    return np.minimum(np.rint((np.log1p(np.log(tf)) + log_idf[_bucket(h)]) / STEP), LEVELS - 1).astype(np.int64)
+    return np.minimum(np.rint((np.log1p(np.log(tf)) + idf(h)) / STEP), LEVELS - 1).astype(np.int64)
 
 
 _RANKS: list[np.ndarray] = []
@@ -175,9 +242,9 @@ def _sketch(sig: np.ndarray) -> np.ndarray:
     return (mix(sig) >> np.uint64(48)).astype(np.uint16)
 
 
-def _signed(docs: DataFrame, log_idf: np.ndarray) -> DataFrame:
+def _signed(docs: DataFrame, idf: Idf) -> DataFrame:
     """(id, sketch, bands) of every row; bands are empty for a text without words."""
-    held = docs.sparkSession.sparkContext.broadcast(log_idf.astype(np.float32))
+    held = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in _sliced(whole)):
@@ -196,9 +263,9 @@ def _signed(docs: DataFrame, log_idf: np.ndarray) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, sketch binary, bands array<long>")
 
 
-def _more_samples(docs: DataFrame, ids: DataFrame, log_idf: np.ndarray) -> DataFrame:
+def _more_samples(docs: DataFrame, ids: DataFrame, idf: Idf) -> DataFrame:
     """(id, more): further samples of the texts of ``ids``, all of which have words."""
-    held = docs.sparkSession.sparkContext.broadcast(log_idf.astype(np.float32))
+    held = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in _sliced(whole)):
@@ -234,9 +301,9 @@ def weighted_jaccard(h1: np.ndarray, l1: np.ndarray, h2: np.ndarray, l2: np.ndar
     return float(both / (w1.sum() + w2.sum() - both))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, log_idf: np.ndarray) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, idf: Idf) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least ``SIMILAR``."""
-    held = docs.sparkSession.sparkContext.broadcast(log_idf.astype(np.float32))
+    held = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in _sliced(whole)):
@@ -245,6 +312,7 @@ def verify(docs: DataFrame, pairs: DataFrame, log_idf: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0)[first:stop], pa.ListArray.from_arrays(off, pa.array(_short(h))), pa.ListArray.from_arrays(off, pa.array(lev))], names=["id", "h", "l"])
 
     ids = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    hot = saved(hot_keys(pairs, "a"))
     own = docs.select("id", "text").join(if_small(ids, 16), "id", "left_semi").mapInArrow(run, "id long, h array<int>, l array<byte>")
     own = saved(own.dropDuplicates(["id"]))
 
@@ -259,7 +327,7 @@ def verify(docs: DataFrame, pairs: DataFrame, log_idf: np.ndarray) -> DataFrame:
     left = own.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("l").alias("la"))
     right = pairs.join(own.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("l").alias("lb")), "b")
     with arrow_rows(docs.sparkSession, 128):
-        return saved(right.join(left, "a").select("a", "b", "ha", "la", "hb", "lb").mapInArrow(alike, "a long, b long"))
+        return saved(spread_join(right, left, "a", hot).select("a", "b", "ha", "la", "hb", "lb").mapInArrow(alike, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -333,16 +401,17 @@ def _in_blocks(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left.select(*first, *columns), right.select(*(F.col(c).alias(f"{c}_") for c in [*first, *columns]))
 
 
-def _across(docs: DataFrame, members: DataFrame, reps: DataFrame, labels: DataFrame, tried: DataFrame, log_idf: np.ndarray, best: bool) -> DataFrame:
+def _across(docs: DataFrame, members: DataFrame, reps: DataFrame, labels: DataFrame, tried: DataFrame, idf: Idf, best: bool) -> DataFrame:
     """Pairs (a, b) of different classes in one bucket that still have to be verified."""
     own = _labelled(members, labels)
     sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     open_ = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("classes")).filter("classes > 1")
-    blocks = open_.select("bucket", "main", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("stray_blocks"))
-    own = saved(own.join(blocks, "bucket").select("bucket", "id", "label", "main", "blocks", "stray_blocks"))
+    blocks = open_.select("bucket", "main", "n", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("stray_blocks"))
+    blocks = saved(blocks.withColumn("parts", F.ceil(F.col("n") / HOT_ROWS)))
+    own = saved(spread_join(own, blocks.drop("parts", "n"), "bucket", blocks.filter("parts > 1")).select("bucket", "id", "label", "main", "blocks", "stray_blocks"))
     sketches, n = reps.select("id", "sketch", "bands"), SAMPLES
     if not best:
-        more = saved(_more_samples(docs, saved(own.select("id").distinct()), log_idf))
+        more = saved(_more_samples(docs, saved(own.select("id").distinct()), idf))
         sketches, n = sketches.join(more, "id").select("id", F.concat("sketch", "more").alias("sketch"), "bands"), SAMPLES + MORE
     own = saved(own.join(sketches, "id").withColumn("stray", F.col("label") != F.col("main")))
     left, right = _in_blocks(own)
@@ -360,44 +429,54 @@ def node_of(text: str) -> Column:
 
 def _labels(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(node, doc) of every row, and (node, least, label) of every distinct text: the least id of its rows and its class."""
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     own = docs.select(node_of(text).alias("id"), F.col(id_col).cast("long").alias("doc"), text_or_empty(text).alias("text"))
-    log_idf = _log_idf(*document_frequencies(own))
-    signed = _signed(own, log_idf)
+    by_row = own.select(F.col("id").alias("node"), "doc")
+    with scratch(spark) as keep:
+        labels = _classed(own)
+        by_text = keep(_labelled(by_row.groupBy(F.col("node").alias("id")).agg(F.min("doc").alias("least")), labels).select(F.col("id").alias("node"), "least", "label"))
+    return by_row, by_text
+
+
+def _classed(own: DataFrame) -> DataFrame:
+    """(id, label) of the texts of (id, doc, text) rows that are of a class with others."""
+    idf = document_frequencies(own)
+    signed = _signed(own, idf)
     reps = saved(signed.groupBy("id").agg(F.min(F.struct("sketch", "bands")).alias("r")).select("id", "r.*"))
     # A bucket's head is its text of least id (null last), which is often the one that the others are copies of.
     leasts = own.groupBy("id").agg(F.coalesce(F.min("doc"), F.lit((1 << 63) - 1)).alias("least"))
-    rows = reps.join(leasts, "id").select("id", "least", F.explode("bands").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min(F.struct("least", "id")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("bucket", "first")
-    members = saved(rows.drop("least").join(heads, "bucket"))
+    rows = saved(reps.join(leasts, "id").select("id", "least", F.explode("bands").alias("bucket")))
+    heads = saved(rows.groupBy("bucket").agg(F.min(F.struct("least", "id")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    hot = heads.filter(F.col("n") > HOT_ROWS).select("bucket", F.ceil(F.col("n") / HOT_ROWS).alias("parts"))
+    members = saved(spread_join(rows.drop("least"), heads.drop("n"), "bucket", hot))
     sketches = reps.select("id", "sketch")
     # For each text the head with which it shares most bands: one pair a text, whatever the size of its buckets.
     shared = members.filter("first.id != id").groupBy("id", "first").agg(F.count("*").alias("n"))
-    near = shared.groupBy(F.col("id").alias("b")).agg(F.min_by("first.id", F.struct(-F.col("n"), "first")).alias("a"))
-    near = near.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-    first = saved(near.select("a", "b", _agreement("sa", "sb").alias("same")).filter(F.col("same") >= least_agreement(SAMPLES)).select("a", "b"))
-    edges = verify(own, first, log_idf)
+    near = saved(shared.groupBy(F.col("id").alias("b")).agg(F.min_by("first.id", F.struct(-F.col("n"), "first")).alias("a")))
+    both = near.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    both = spread_join(both, sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a", saved(hot_keys(near, "a")))
+    first = saved(both.select("a", "b", _agreement("sa", "sb").alias("same")).filter(F.col("same") >= least_agreement(SAMPLES)).select("a", "b"))
+    edges = verify(own, first, idf)
     labels, tried = components(edges), first
     for best in (True, False):
-        pairs = saved(_across(own, members, reps, labels, tried, log_idf, best))
+        pairs = saved(_across(own, members, reps, labels, tried, idf, best))
         if pairs.isEmpty():
             continue
-        more = verify(own, pairs, log_idf)
+        more = verify(own, pairs, idf)
         tried = tried.union(pairs)
         if not more.isEmpty():
             edges = edges.union(more)
             labels = components(edges)
-    by_row = own.select(F.col("id").alias("node"), "doc")
-    by_text = saved(_labelled(by_row.groupBy(F.col("node").alias("id")).agg(F.min("doc").alias("least")), labels).select(F.col("id").alias("node"), "least", "label"))
-    return by_row, by_text
+    return labels
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, class_id): the least id of each row's class of near duplicates, one row for each row of ``docs``."""
     by_row, by_text = _labels(docs, id_col, text)
     named = by_text.groupBy("label").agg(F.min("least").alias("class_id"))
-    of_text = by_text.join(named, "label").select("node", "class_id")
-    return by_row.join(of_text, "node").select(F.col("doc").alias("id"), "class_id")
+    with scratch(docs.sparkSession) as keep:
+        of_text, hot = keep(by_text.join(named, "label").select("node", "class_id")), keep(hot_keys(by_row, "node"))
+    return spread_join(by_row, of_text, "node", hot).select(F.col("doc").alias("id"), "class_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -409,9 +488,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     keyed = docs.withColumn(node, node_of(text)).withColumn(doc, F.col(id_col).cast("long"))
     by_row, by_text = _labels(docs, id_col, text)
     heads = by_text.groupBy("label").agg(F.min_by(F.struct("node", "least"), F.struct(F.col("least").isNull(), "least", "node")).alias("head"))
-    head = saved(heads.select("head.*"))
-    others = saved(by_text.join(head, "node", "left_anti").select(F.col("node").alias(node)))
-    twice = saved(by_row.groupBy("node").count().filter("count > 1").join(head, "node").select(F.col("node").alias(node), F.col("least").alias(least)))
+    with scratch(docs.sparkSession) as keep:
+        head = saved(heads.select("head.*"))
+        others = keep(by_text.join(head, "node", "left_anti").select(F.col("node").alias(node)))
+        twice = keep(by_row.groupBy("node").count().filter("count > 1").join(head, "node").select(F.col("node").alias(node), F.col("least").alias(least)))
     once = keyed.join(if_small(others.union(twice.select(node)), 8), node, "left_anti")
     again = keyed.join(if_small(twice, 16), node).filter(F.col(doc).eqNullSafe(F.col(least))).dropDuplicates([node])
     return once.select(*docs.columns).union(again.select(*docs.columns))

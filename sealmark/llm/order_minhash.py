@@ -23,11 +23,12 @@ other than id and text are ignored; the only row of a table is its own next docu
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sealmark.llm._common import if_small, prepare, saved, table, text_or_empty
+from sealmark.llm._common import if_small, prepare, saved, scratch, table, text_or_empty
 
 K = 3
 TUPLE = 2
@@ -91,7 +92,7 @@ def _place(value: Column, splits: Column) -> Column:
     return F.array_position(F.sort_array(F.array_append(splits, value)), value)
 
 
-def _ranged(docs: DataFrame, range_bytes: int) -> DataFrame:
+def _ranged(docs: DataFrame, range_bytes: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``docs`` with ``range``, a number that does not fall as ``key`` rises."""
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     wide = max(1, math.ceil(math.sqrt((size or 0) / range_bytes)))  # ranges of each of the two levels
@@ -104,7 +105,7 @@ def _ranged(docs: DataFrame, range_bytes: int) -> DataFrame:
     if not tops:
         return topped.withColumnRenamed("top", "range")
     listed = seen(SAMPLED * wide * wide).withColumn("top", _place(F.col("key"), splits)).groupBy("top").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    inner = saved(listed.select("top", F.transform(F.sequence(F.lit(1), F.lit(wide - 1)), lambda i: F.get("keys", (i * F.size("keys") / wide).cast("int"))).alias("inner")))
+    inner = keep(listed.select("top", F.transform(F.sequence(F.lit(1), F.lit(wide - 1)), lambda i: F.get("keys", (i * F.size("keys") / wide).cast("int"))).alias("inner")))
     met = topped.join(if_small(inner, 48 * wide), "top", "left")
     return met.withColumn("range", F.col("top") * (wide + 1) + _place(F.col("key"), F.coalesce("inner", F.array().cast("array<string>")))).drop("top", "inner")
 
@@ -115,12 +116,12 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     unsigned = lambda c: F.lpad(F.hex(c), 16, "0")
     # Ascending keys are descending ids, each followed by a digest of the text.
     order = F.bitwise_not(F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").bitwiseXOR(F.lit(-(1 << 63))))
-    ranged = _ranged(docs.withColumn("key", F.concat(unsigned(order), unsigned(F.xxhash64("text")))), range_bytes)
-    heads = saved(ranged.groupBy("range").agg(F.min("key").alias("head")))  # one row a range
-    found = sorted(r[0] for r in heads.select("range").collect())
-    after = spark.createDataFrame(list(zip(found, found[1:] + found[:1], strict=True)), "before long, range long")
-    first_rows = docs_of(heads.join(after, "range"), ranged)
-    first = saved(with_signature(first_rows, "head_text", "head_sig"))
+    with scratch(spark) as keep:
+        ranged = _ranged(docs.withColumn("key", F.concat(unsigned(order), unsigned(F.xxhash64("text")))), range_bytes, keep)
+        heads = saved(ranged.groupBy("range").agg(F.min("key").alias("head")))  # one row a range
+        found = sorted(r[0] for r in heads.select("range").collect())
+        after = spark.createDataFrame(list(zip(found, found[1:] + found[:1], strict=True)), "before long, range long")
+        first = keep(with_signature(docs_of(heads.join(after, "range"), ranged), "head_text", "head_sig"))
     w = Window.partitionBy("range").orderBy("key", "text")
     own = with_signature(ranged, "text", "sig")
     led = own.withColumns({"lead_text": F.lead("text").over(w), "lead_sig": F.lead("sig").over(w)})

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sealmark.llm._common import if_small, prepare, saved, shuffle_parts, table, text_or_empty, tmp_name
+from sealmark.llm._common import if_small, prepare, saved, scratch, shuffle_parts, table, text_or_empty, tmp_name
 
 ORDER = 4
 #: Quantiles of the held-out trusted documents' log perplexity, by language and length, between which a document is kept.
@@ -361,17 +361,19 @@ def _quantiles(scored: DataFrame, ids: DataFrame, low: float, high: float, enoug
 
 def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text: str, lang: str, low: float, high: float, enough: int) -> DataFrame:
     """What ``classify`` gives, and ``key``, the digest of the row's text."""
-    prepare(docs.sparkSession)
-    ids = saved(trusted_ids(labels).withColumn("out", F.pmod(F.xxhash64(id_col), F.lit(1000)) < int(1000 * HELD_OUT)))
-    held_out, trained, trusted = ids.filter("out").drop("out"), ids.filter("NOT out").drop("out"), ids.drop("out")
-    known = saved(model(counts(docs, trained, id_col, text, lang)))
+    spark = prepare(docs.sparkSession)
     row = tmp_name(docs.columns, "row")
     marked = docs.withColumn(row, F.struct(F.col(id_col).alias("id"), _digest(text).alias("key")))
-    scored = saved(perplexities(marked, known, row, text, lang).select("id.id", "id.key", "lang", "n_grams", "perplexity"))
-    s, t = scored.alias("s"), thresholds(scored, trusted, held_out, low, high, enough).alias("t")
+    with scratch(spark) as keep:
+        ids = saved(trusted_ids(labels).withColumn("out", F.pmod(F.xxhash64(id_col), F.lit(1000)) < int(1000 * HELD_OUT)))
+        held_out, trained, trusted = ids.filter("out").drop("out"), ids.filter("NOT out").drop("out"), ids.drop("out")
+        known = saved(model(counts(docs, trained, id_col, text, lang)))
+        scored = keep(perplexities(marked, known, row, text, lang).select("id.id", "id.key", "lang", "n_grams", "perplexity"))
+        bounds = keep(thresholds(scored, trusted, held_out, low, high, enough))
+    s, t = scored.alias("s"), F.broadcast(bounds).alias("t")  # CLASSES rows a language
     met = s.join(t, F.col("s.lang").eqNullSafe(F.col("t.lang")) & (length_class("n_grams") == F.col("t.length_class")), "left")
-    keep: Column = F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.lit(True))
-    return met.select("s.id", "s.key", "s.lang", "n_grams", "perplexity", "least", "most", keep.alias("keep"))
+    stays: Column = F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.lit(True))
+    return met.select("s.id", "s.key", "s.lang", "n_grams", "perplexity", "least", "most", stays.alias("keep"))
 
 
 def _digest(text: str) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealmark.llm._common import if_small, prepare, saved, table, text_or_empty, tmp_name
+from sealmark.llm._common import if_small, prepare, saved, scratch, table, text_or_empty, tmp_name
 
 # The base patterns of the contract and the least length of what they accept.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -97,7 +97,8 @@ def update_ledger(docs: DataFrame, folder: str, text: str = "text", rule_version
     Appended files become visible when the job commits; a job that fails adds nothing and is run again.
     """
     spark = docs.sparkSession
-    scan_unseen(docs, read_ledger(spark, folder), text, rule_version).write.mode("append").parquet(folder)
+    with scratch(spark):
+        scan_unseen(docs, read_ledger(spark, folder), text, rule_version).write.mode("append").parquet(folder)
     return read_ledger(spark, folder)
 
 
@@ -144,7 +145,8 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text",
     All columns stay; ``chars``, if there is such a column, is counted anew where the text has changed.
     """
     blob, spans, key = (tmp_name(docs.columns, n) for n in ("blob", "spans", "key"))
-    known = saved(_known(docs, ledger, text, RULE_VERSION).select(F.col("blob").alias(key), F.col("spans").alias(spans)))
+    with scratch(docs.sparkSession) as keep:
+        known = keep(_known(docs, ledger, text, RULE_VERSION).select(F.col("blob").alias(key), F.col("spans").alias(spans)))
     joined = docs.withColumn(blob, address(text)).join(if_small(known, 400), F.col(blob) == F.col(key), "left")
 
     @F.pandas_udf("string")

@@ -54,6 +54,16 @@ def test_odd_vectors_ties_and_repeats(spark):
     assert [r.vec_id for r in sorted(few, key=lambda r: r["rank"])] == [3, 1, 2, 4]
 
 
+def test_blocks_of_queries_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((3000, 8)))], "vec_id long, embedding array<double>")
+    rows = lambda: sorted(tuple(r) for r in ann.nearest(df, F.col("id") % 3 == 0).collect())
+    whole = rows()
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "SHARD", 500)
+    assert rows() == whole
+
+
 def test_large_leaves_are_dealt_to_several_shards():
     first, parts = ann._plan([np.array([10, 3 * ann.SHARD + 1, 5, ann.SHARD, 1]), np.array([7])])
     used = [range(a, a + n) for f, p in zip(first, parts, strict=True) for a, n in zip(f.tolist(), p.tolist(), strict=True)]

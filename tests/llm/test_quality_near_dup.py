@@ -151,16 +151,23 @@ def test_samples_agree_as_often_as_weights_overlap():
         assert (x == y).mean() == pytest.approx(shared / (wa.sum() + wb.sum() - shared), abs=0.04)
 
 
+def brute_weights(texts):
+    """Weights on the grid by the definition of tf and idf, from counts of all shingles."""
+    df, n = Counter(), len(texts)
+    for t in texts:
+        for *_, h, _, _ in near_dup._features([t]):
+            df.update(h.tolist())
+    rare = max(1, n // near_dup.RARE)
+    idf = lambda x: 1 + near_dup.IDF * min(1.0, math.log(n / max(df[x], rare)) / math.log(n / rare))
+    return lambda h, tf: np.array([round((math.log(1 + math.log(k)) + math.log(idf(x))) / near_dup.STEP) for x, k in zip(h.tolist(), tf.tolist(), strict=True)], np.int64)
+
+
 def brute_classes(rows):
     """Components of all pairs of weighted Jaccard similarity of at least the bound, by the same weights."""
     texts = [t or "" for _, t, _ in rows]
-    df = np.zeros(1 << near_dup.DF_BITS, np.int64)
-    for *_, h, _, _ in near_dup._features(texts):
-        df += np.bincount(near_dup._bucket(h), minlength=len(df))
-    log_idf = near_dup._log_idf(df, len(texts)).astype(np.float32)
-    feats = []
+    feats, weight = [], brute_weights(texts)
     for t in texts:
-        own = [(h, near_dup.levels(h, tf, log_idf)) for *_, h, tf, _ in near_dup._features([t])]
+        own = [(h, weight(h, tf)) for *_, h, tf, _ in near_dup._features([t])]
         feats.append(own[0] if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     up = list(range(len(rows)))
 
@@ -211,6 +218,53 @@ def test_classes_equal_brute_force(spark):
     assert {i: {c} for (i, _, _), c in zip(rows, want, strict=True)} == got
 
 
+def test_frequencies_decide_pairs(spark):
+    """Two pairs share the same number of shingles; what one shares nearly all documents have, so the other alone is alike by weight."""
+    rng = random.Random(26)
+    vocabulary = [words(rng, 1, "abcdefgh") for _ in range(5000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    known, own = text(89), text(89)
+    rows = [known + text(10), known + text(10), own + text(10), own + text(10), *(known + text(400) for _ in range(300))]
+    rows = [(i, " ".join(r), "a") for i, r in enumerate(rows)]
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t, _ in rows[:4]]
+    plain = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    assert plain(0, 1) == pytest.approx(plain(2, 3), abs=0.01)
+    got = {r.id: r.class_id for r in near_dup.classes(frame(spark, rows)).collect()}
+    want = dict(zip(range(len(rows)), brute_classes(rows), strict=True))
+    assert got == want and (got[0] == got[1]) != (got[2] == got[3])
+
+
+def test_frequent_shingles_are_counted_exactly(spark, monkeypatch):
+    """With cells so few that many shingles share one, and a bound that most frequent ones exceed."""
+    rows = near_rows(21)
+    monkeypatch.setattr(near_dup, "RARE", 40)
+    texts = [t or "" for _, t, _ in rows]
+    idf = near_dup.document_frequencies(frame(spark, rows).selectExpr("coalesce(text, '') AS text"))
+    weight = brute_weights(texts)
+    for t in texts:
+        for *_, h, tf, _ in near_dup._features([t]):
+            assert near_dup.levels(h, tf, idf).tolist() == weight(h, tf).tolist()
+    monkeypatch.setattr(near_dup, "MOST_FREQUENT", 10)
+    assert len(near_dup.document_frequencies(frame(spark, rows).selectExpr("coalesce(text, '') AS text")).shingles) <= 10
+
+
+def test_links_of_a_table_against_an_inverted_index(spark):
+    """Every pair of sf0.01 that shares a shingle, compared in full: no link between different texts is missing."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    texts = [r.text or "" for r in docs]
+    weight, feats, where = brute_weights(texts), [], defaultdict(list)
+    for i, t in enumerate(texts):
+        own = next(((h, weight(h, tf)) for *_, h, tf, _ in near_dup._features([t]) if len(h)), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        feats.append(own)
+        for x in own[0].tolist():
+            where[x].append(i)
+    pairs = {(i, j) for found in where.values() for n, j in enumerate(found) for i in found[:n]}
+    links = [(i, j) for i, j in pairs if min(len(feats[i][0]), len(feats[j][0])) >= 0.4 * max(len(feats[i][0]), len(feats[j][0])) and near_dup.weighted_jaccard(*feats[i], *feats[j]) >= near_dup.SIMILAR]
+    got = {r.doc_id: r.class_id for r in near_dup.op6_near_dup(spark, "/root/testdata/sf0.01").collect()}
+    kept = sum(got[docs[i].doc_id] == got[docs[j].doc_id] for i, j in links)
+    assert len(links) > 50 and kept >= 0.99 * len(links)
+
+
 def test_chains_and_cliques_of_any_shape(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(50)]
