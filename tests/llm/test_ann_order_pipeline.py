@@ -207,3 +207,35 @@ def test_pipeline_stages(spark):
     whole = corpus_pipeline.run(spark, SF)
     assert whole.select("doc_id").distinct().count() == docs.count()
     assert not docs.filter(F.col("text").rlike("(?i)token = \"[0-9a-f]{20,}")).count()
+
+
+def test_pipeline_takes_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows and ids, empty and very long texts, columns with the names of the stages' own, and no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(51)
+    text = lambda n: " ".join("".join(rng.choice("aeionst") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    rows = [(i, text(rng.randint(30, 200)), "a", "s", 5) for i in range(150)]
+    near = rows[7][1].replace(" ", " ", 1) + " more"
+    odd = [(None, None, None, None, None), (None, "", "a", None, 0), (7, rows[7][1], "a", "s", 5), (7, text(50), "a", "s", 5), (900, near, "a", "s", 5), (901, text(40_000), "a", "s", 5), (902, "token = abcdef1 " + text(60), "a", "s", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = ("block", "id", "key", "node", "blob", "spans", "bad_id", "row", "label", "piece", "salt", "parts")
+    docs = spark.createDataFrame(rows + odd, schema)
+    for name in extra:
+        docs = docs.withColumn(name, F.lit("c"))
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, 1, 0) for i in range(140)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs.write.parquet(f"{sf}/documents.parquet")
+    state = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        state = stage(spark, state, sf).persist()
+        assert state.columns == docs.columns
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    left = state.collect()
+    assert sum(r.doc_id == 7 and r.text == rows[7][1] for r in left) == 1 and not any(r.doc_id == 900 for r in left)
+    assert sum(not r.text for r in left) <= 1 and not any("abcdef1" in (r.text or "") for r in left)
+    assert sum(r.doc_id is not None and r.doc_id < 150 for r in left) >= 145
+    packed = corpus_pipeline.run(spark, sf)
+    assert packed.groupBy("doc_id").count().count() == len({r.doc_id for r in left})
+    assert packed.filter("length > 1024").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
