@@ -13,8 +13,8 @@ No bucket's pairs are listed. In a first round each text is verified against one
 buckets, the one with which it shares most bands. That joins most of a group. Two more rounds take only the buckets
 that still hold texts of different classes and compare, by samples, those outside the bucket's largest class with the
 others, both in blocks of bounded size. The second round verifies each such text against the one with which it agrees
-most, which joins what hangs together through a text that is no bucket's least; the third takes more samples of what
-is left, so that few pairs below the threshold pass, and verifies all that agree enough. Two texts of one bucket are
+most, which joins what hangs together through a text that is no bucket's least; the third takes many more samples of
+what is left, so that few pairs below the threshold pass (none under about 0.76), and verifies all that agree enough. Two texts of one bucket are
 thus either in one class already or compared.
 
 Defined results: a null text is the empty text; equal texts are of one class; texts without a word are alike only
@@ -42,7 +42,9 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 #: Samples taken besides, of the few texts that the third round compares.
-MORE = 256
+MORE = 1984
+#: Of these, compared first.
+FIRST = 320
 #: Texts whose samples agree in a share so many standard deviations below ``SIMILAR`` are not verified: odds of about 1e-5.
 DEVIATIONS = 4.2
 #: How much more a rare shingle weighs than one of all documents, and of how many documents one may hold a rare one.
@@ -162,7 +164,7 @@ def document_frequencies(docs: DataFrame) -> Idf:
                 parts.append((keys, counts.astype(np.int64)))
                 if len(parts) >= 16:
                     parts[:] = [_added(parts)]
-            if sum(len(k) for k, _ in parts) > 2_000_000:
+            if sum(len(k) for k, _ in parts) > 500_000:
                 yield out()
         if parts:
             yield out()
@@ -366,20 +368,24 @@ def _compare(best: bool, n: int):
         if len(left) and len(right):
             bucket = left.column(0)[0].as_py()
             (i1, l1, _, s1, b1), (i2, l2, stray2, s2, b2) = columns(left), columns(right)
-            step = max(1, 4_000_000 // (len(i2) * n))
+            m = min(n, FIRST)  # all samples are compared only where the first ones agree enough
+            step = max(1, 4_000_000 // (len(i2) * m))
             for k in range(0, len(i1), step):
-                same = (s1[k : k + step, None, :] == s2[None, :, :]).sum(axis=2, dtype=np.int32)
+                same = (s1[k : k + step, None, :m] == s2[None, :, :m]).sum(axis=2, dtype=np.int32)
                 same[l1[k : k + step, None] == l2[None, :]] = -1
                 if best:
                     x, y = np.arange(len(same)), same.argmax(axis=1)
-                    good = same[x, y] >= least_agreement(n)
+                    same = same[x, y]
+                    good = same >= least_agreement(n)
                 else:
-                    x, y = np.nonzero(same >= least_agreement(n))
+                    x, y = np.nonzero(same >= least_agreement(m))
+                    same = np.concatenate([np.zeros(0, np.int32), *((s1[k + x[j : j + 4000]] == s2[y[j : j + 4000]]).sum(axis=1, dtype=np.int32) for j in range(0, len(x), 4000))])
+                    x, y, same = (z[same >= least_agreement(n)] for z in (x, y, same))
                     own = b1[k + x]
                     first = own[np.arange(len(x)), (own == b2[y]).argmax(axis=1)]
                     good = (first == bucket) & (~stray2[y] | (i1[k + x] < i2[y]))
-                x, y = x[good], y[good]
-                for column, values in zip(out, (i1[k + x], i2[y], same[x, y]), strict=True):
+                x, y, same = x[good], y[good], same[good]
+                for column, values in zip(out, (i1[k + x], i2[y], same), strict=True):
                     column.append(values)
         return pa.table(dict(zip(("a", "b", "same"), map(np.concatenate, out), strict=True)))
 
