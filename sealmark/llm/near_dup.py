@@ -14,7 +14,7 @@ buckets, the one with which it shares most bands. That joins most of a group. Tw
 that still hold texts of different classes and compare, by samples, those outside the bucket's largest class with the
 others, both in blocks of bounded size. The second round verifies each such text against the one with which it agrees
 most, which joins what hangs together through a text that is no bucket's least; the third takes many more samples of
-what is left, so that few pairs below the threshold pass (none under about 0.76), and verifies all that agree enough. Two texts of one bucket are
+what is left, so that few pairs below the threshold pass (none under about 0.75), and verifies all that agree enough. Two texts of one bucket are
 thus either in one class already or compared.
 
 Defined results: a null text is the empty text; equal texts are of one class; texts without a word are alike only
@@ -42,7 +42,7 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 #: Samples taken besides, of the few texts that the third round compares.
-MORE = 1984
+MORE = 960
 #: Of these, compared first.
 FIRST = 320
 #: Texts whose samples agree in a share so many standard deviations below ``SIMILAR`` are not verified: odds of about 1e-5.
