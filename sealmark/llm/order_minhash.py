@@ -120,7 +120,8 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         ranged = _ranged(docs.withColumn("key", F.concat(unsigned(order), unsigned(F.xxhash64("text")))), range_bytes, keep)
         heads = saved(ranged.groupBy("range").agg(F.min("key").alias("head")))  # one row a range
         found = sorted(r[0] for r in heads.select("range").collect())
-        after = spark.createDataFrame(list(zip(found, found[1:] + found[:1], strict=True)), "before long, range long")
+        at, known = F.col("id").cast("int"), F.lit(found or [0]).cast("array<bigint>")
+        after = spark.range(len(found)).select(F.get(known, at).alias("before"), F.get(known, (at + 1) % max(len(found), 1)).alias("range"))
         first = keep(with_signature(docs_of(heads.join(after, "range"), ranged), "head_text", "head_sig"))
     w = Window.partitionBy("range").orderBy("key", "text")
     own = with_signature(ranged, "text", "sig")
