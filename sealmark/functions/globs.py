@@ -1,7 +1,7 @@
 """Path predicates: globs compiled to regular expressions on the driver, matched as columns.
 
 There are two grammars. In the wide one ``*`` crosses ``/`` and a glob covers more than it spells; in the strict one
-``*`` stays inside a segment and only ``**`` crosses.
+``*`` stays inside a segment and only ``**`` crosses. Paths may hold any character, line breaks included.
 """
 
 from __future__ import annotations
@@ -11,57 +11,46 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What each sign of a grammar stands for; everything else stands for itself.
+WIDE = {"*": ".*", "?": "."}
+STRICT = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+_WIDE_SIGN = re.compile(r"\[!?\]?[^\]]*\]|.", re.S)
+_STRICT_SIGN = re.compile(r"\*\*/?|.", re.S)
 
-def _wide_one(glob: str) -> str:
-    out, i = "", 0
-    while i < len(glob):
-        c = glob[i]
-        close = glob.find("]", i + 2) if c == "[" else -1
-        if c == "*":
-            out += ".*"
-        elif c == "?":
-            out += "."
-        elif close > 0:
-            body = glob[i + 1 : close]
-            out += "[" + ("^" + body[1:] if body[0] == "!" else body).replace("\\", "\\\\") + "]"
-            i = close
-        else:
-            out += re.escape(c)
-        i += 1
-    return out
-
-
-def wide_regex(glob: str) -> str:
-    """The glob as it is; what is under the directory it names; ``x/**`` also as ``x/*``; ``**/x`` also at the root."""
-    forms = {glob, glob.rstrip("/") + "/*"}
-    if glob.endswith("/**"):
-        forms |= {glob[:-3], glob[:-3] + "/*"}
+
+def _sign(sign: str, table: dict[str, str]) -> str:
+    if len(sign) > 2 and sign[0] == "[":  # a set of characters
+        negated = sign[1] == "!"
+        body = "".join(f"\\{c}" if c in "\\[]^&" else c for c in sign[2 if negated else 1 : -1])
+        return f"[{'^' * negated}{body}]"
+    return table.get(sign) or re.escape(sign)
+
+
+def _spelled(glob: str, signs: re.Pattern, table: dict[str, str]) -> str:
+    return "".join(_sign(x, table) for x in signs.findall(glob))
+
+
+def _wide(glob: str) -> list[str]:
+    """The glob as it is; what is under the directory it names; ``/**`` as one level; ``**/x`` at the root; the directory before its first ``*`` itself."""
+    forms = {glob, glob.rstrip("/") + "/*", glob.replace("/**", "/*")}
     if glob.startswith("**/"):
-        forms |= {glob[3:], glob[3:].rstrip("/") + "/*"}
-    return "^(" + "|".join(sorted(_wide_one(f) for f in forms)) + ")$"
-
-
-def strict_regex(glob: str) -> str:
-    """``**/`` is any number of directories, ``**`` anything, ``*`` and ``?`` stay inside a segment."""
-    out, i = "", 0
-    while i < len(glob):
-        if glob.startswith("**/", i):
-            out, i = out + "(.*/)?", i + 3
-        elif glob.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif glob[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif glob[i] == "?":
-            out, i = out + "[^/]", i + 1
-        else:
-            out, i = out + re.escape(glob[i]), i + 1
-    return f"^{out}$"
+        forms.add(glob[3:])
+    named = glob.split("*", 1)[0].rstrip("/")
+    return sorted({_spelled(f, _WIDE_SIGN, WIDE) for f in forms} | ({re.escape(named)} if named else set()))
+
+
+def normal(path: Column) -> Column:
+    """A path with ``/`` between its parts, without ``./`` before it and without ``/`` after it, unless nothing else is left."""
+    own = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"\A\./", "")
+    bare = F.regexp_replace(own, r"/+\z", "")
+    return F.when(bare == "", own).otherwise(bare)
 
 
 def any_match(path: Column | str, globs: list[str], strict: bool = False) -> Column:
     """Whether a path matches any glob; an empty list matches nothing."""
-    made = [(strict_regex if strict else wide_regex)(g) for g in globs]
-    return F.col(path).rlike("|".join(made)) if made and isinstance(path, str) else (path.rlike("|".join(made)) if made else F.lit(False))
+    forms = [f for g in globs for f in ([_spelled(g, _STRICT_SIGN, STRICT)] if strict else _wide(g))]
+    col = F.col(path) if isinstance(path, str) else path
+    return (col if strict else normal(col)).rlike(rf"(?s)\A(?:{'|'.join(forms)})\z") if forms else F.lit(False)
 
 
 def keep(path: Column | str, excluded: list[str]) -> Column:

@@ -8,19 +8,31 @@ from pyspark.sql import functions as F
 from sealmark.functions.globs import any_match
 from sealmark.functions.text import word_list
 
-# Words that say an operation must not run twice, and names of keys that make it safe.
-REPLAY_WORDS = ("charge", "create", "insert", "pay", "post", "publish", "refund", "send", "submit", "transfer")
-IDEMPOTENT = r"(?i)idempot|dedup|request_?id|nonce|once"
+# Verbs whose repetition is a second side effect; words and whole names of keys that tell a repeated request.
+# A nonce must differ each time where such a key must not, so it is none of them.
+REPLAY_VERBS = ("add", "adjust", "append", "charge", "cp", "create", "dispatch", "enqueue", "executemany", "generate", "insert", "mutation", "notify", "post", "publish", "refund", "send", "sendmail", "submit", "upload")
+IDEMPOTENCY_WORDS = ("clientmutationid", "dedup", "dedupe", "idempotence", "idempotency", "idempotent")
+IDEMPOTENCY_NAMES = ("client_mutation_id", "client_request_id", "clientmutationid", "dedup_key", "dedupe_key", "idempotence_key", "idempotency_key", "idempotencykey", "operation_key", "request_key", "transaction_key")
+#: Letters that are signs of regular expressions where they stand alone.
+REGEX_LETTERS = ("b", "d", "s", "w")
 
 
-def replay_sensitive(pattern: Column, line: Column) -> Column:
-    """Whether the pattern or the source line has a word of an operation that must not run twice."""
-    words = F.array_union(word_list(pattern), word_list(line))
-    return F.arrays_overlap(words, F.array(*map(F.lit, REPLAY_WORDS)))
+def pattern_words(pattern: Column) -> Column:
+    """Words of a symbol or a regular expression, without the expression's own letters."""
+    chunks = F.regexp_extract_all(pattern, F.lit(r"([\p{L}_]+)"), 1)
+    return F.array_except(word_list(F.array_join(chunks, " ")), F.array(*map(F.lit, REGEX_LETTERS)))
+
+
+def replay_sensitive(match: Column, pattern: Column, line: Column) -> Column:
+    """Whether replaying a write leaves a second side effect: a symbol tells by its own words, a regular expression by those of the line it matched."""
+    words = F.when(match == "regex", pattern_words(line)).otherwise(pattern_words(pattern))
+    return F.arrays_overlap(words, F.array(*map(F.lit, REPLAY_VERBS)))
 
 
 def idempotency_name(identifier: Column) -> Column:
-    return identifier.rlike(IDEMPOTENT)
+    """Whether a name is that of a key that tells a repeated request, as a whole or by one of its words."""
+    whole = F.replace(F.lower(identifier), F.lit("-"), F.lit("_")).isin(*IDEMPOTENCY_NAMES)
+    return whole | F.arrays_overlap(word_list(identifier), F.array(*map(F.lit, IDEMPOTENCY_WORDS)))
 
 
 def traceable(path: Column, suffixes: list[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,4 +95,26 @@ def crossings(edges: DataFrame, layers: DataFrame, allowed: DataFrame) -> DataFr
     """Edges between layers that may not import each other."""
     of = lambda end: layers.select(F.col("path").alias(end), F.col("layer").alias(f"{end}_layer"))
     placed = edges.join(of("src"), "src").join(of("dst"), "dst").filter("src_layer != '' AND dst_layer != '' AND src_layer != dst_layer")
-    return placed.join(F.broadcast(allowed), ["src_layer", "dst_layer"], "left_anti")
+    return placed.join(allowed, ["src_layer", "dst_layer"], "left_anti")
+
+
+#: Lines in a cell of a file, in which lines and spans meet.
+CELL = 64
+
+
+def enclosing(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """(path, line, name): the innermost of the spans (path, name, first, last) around each line (path, line).
+
+    An interval join as an equi join on cells of a file; of spans around one line the one that begins last is innermost,
+    then the shorter one, then the lesser name.
+    """
+    cell = lambda c: F.floor(F.col(c) / CELL)
+    cut = spans.withColumn("_cell", F.explode(F.sequence(cell("first"), cell("last"))))
+    met = lines.withColumn("_cell", cell("line")).join(cut, ["path", "_cell"]).filter("line BETWEEN first AND last")
+    return met.groupBy("path", "line").agg(F.min_by("name", F.struct(-F.col("first"), "last", "name")).alias("name"))
+
+
+def vocabulary_hits(rows: DataFrame, vocabulary: list[tuple[str, str]], symbol: Callable[[Column, Column], Column]) -> DataFrame:
+    """(id, entry) for every entry of a vocabulary that a row has: symbols in its name, expressions in its line. One scan, no join."""
+    hits = [F.when(symbol(F.col("name"), F.lit(p)) if kind == "symbol" else F.col("line").rlike(p), F.lit(f"{kind} {p}")) for kind, p in vocabulary]
+    return rows.select("id", F.explode(F.array_compact(F.array(*hits))).alias("entry"))

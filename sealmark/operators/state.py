@@ -36,21 +36,26 @@ def claim_state(retracted: Column, signed: Column, exit_code: Column, repo_signe
 def states(claims: DataFrame, attempts: DataFrame, signed: DataFrame, retracted: DataFrame, current: DataFrame | None = None, repo_signed: DataFrame | None = None) -> DataFrame:
     """``claims`` with ``state`` and ``reason``.
 
-    ``attempts`` has claim_id, id, exit_code, subject_digest; ``signed``, ``retracted`` and ``repo_signed`` name claims;
-    ``current`` is (claim_id, digest), what a claim's subject is now.
+    ``attempts`` has claim_id, id, exit_code, subject_digest; ``retracted`` and ``repo_signed`` name claims; ``current``
+    is (claim_id, digest), what a claim's answer depends on now. ``signed`` has claim_id, id and key, what each signature
+    was given for: only the newest one of a claim counts, and only while its key is what is current. A null key covers nothing.
     """
     last = latest(attempts.select("claim_id", "id", "exit_code", "subject_digest"), "claim_id").withColumnRenamed("id", "attempt_id")
     flag = lambda d, n: d.select("claim_id").distinct().withColumn(n, F.lit(True))
     out = claims.withColumnRenamed("id", "claim_id").join(last, "claim_id", "left")
-    for rows, name in ((signed, "_s"), (retracted, "_r"), (repo_signed if repo_signed is not None else signed.limit(0), "_p")):
+    newest = latest(signed.select("claim_id", "id", F.col("key").cast("string").alias("_key")), "claim_id").drop("id")
+    out = out.join(newest, "claim_id", "left")
+    for rows, name in ((retracted, "_r"), (repo_signed if repo_signed is not None else signed.limit(0), "_p")):
         out = out.join(flag(rows, name), "claim_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    covered = F.lit(False)
     if current is None:
         reason = F.lit(None).cast("string")
     else:
         out = out.join(current.select("claim_id", F.col("digest").alias("_now")), "claim_id", "left")
         reason = F.when(F.col("_now").isNotNull(), stale_reason([("subject", F.col("subject_digest").cast("string"), F.col("_now").cast("string"))]))
-    state = claim_state(F.col("_r"), F.col("_s"), F.col("exit_code"), F.col("_p"), reason)
-    return out.withColumns({"state": state, "reason": F.when(state == "STALE", reason)}).drop("_s", "_r", "_p", "_now").withColumnRenamed("claim_id", "id")
+        covered = F.coalesce(F.col("_key") == F.col("_now").cast("string"), F.lit(False))
+    state = claim_state(F.col("_r"), covered, F.col("exit_code"), F.col("_p"), reason)
+    return out.withColumns({"state": state, "reason": F.when(state == "STALE", reason)}).drop("_key", "_r", "_p", "_now").withColumnRenamed("claim_id", "id")
 
 
 def escalates(open_same_kind: Column, age_days: Column, distinct_fails: Column, most_open: Column, most_days: Column, most_fails: Column) -> Column:
@@ -78,6 +83,17 @@ def orphans(claims: DataFrame, seen: DataFrame, healthy: DataFrame, detector: st
     return claims.join(seen.select("id").distinct(), "id", "left_anti").join(healthy.select(detector).distinct(), detector, "left_semi")
 
 
+def task_report(with_state: DataFrame, gate: Column, why: Column) -> DataFrame:
+    """Every claim with ``blocks`` and ``reports``: what waits blocks if its kind gates or it escalates, and is reported if its kind does not gate."""
+    waits = ~F.col("state").isin(*TERMINAL)
+    return with_state.withColumns({"blocks": waits & ((gate == "ship") | why.isNotNull()), "reports": waits & (gate != "ship")})
+
+
+def carried_state(retracted: Column, state: Column) -> Column:
+    """State for a report on history: retraction is known from the ledger alone; what cannot be derived is the empty string."""
+    return F.when(retracted, "RETRACTED").otherwise(F.coalesce(state, F.lit("")))
+
+
 def may_ship(with_state: DataFrame, task: str = "task_id") -> DataFrame:
     """(task, blocked, ok) by task: a task ships if nothing waits."""
     waits = F.count_if(~F.col("state").isin(*TERMINAL))

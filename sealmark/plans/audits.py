@@ -29,11 +29,11 @@ def reconciled_counts(spark: SparkSession, d: str) -> DataFrame:
     return V.event(spark, d).select("id", R.reconciled(F.col("k"), F.col("task_id") % 100, note, 10).alias("fine"))
 
 
-@query("WITH c_v AS (SELECT DISTINCT p_size % 60 AS risk_class FROM part), k_v AS (SELECT DISTINCT p_size % 50 AS risk_class, p_brand AS kind, p_partkey % 3 = 0 AS judged FROM part WHERE p_partkey % 20 = 1) SELECT c.risk_class, CASE WHEN count(*) FILTER (NOT k.judged) > 0 THEN 'OK' WHEN count(k.kind) > 0 THEN 'half' ELSE '--' END AS mark FROM c_v c LEFT JOIN k_v k ON k.risk_class = c.risk_class GROUP BY 1")
+@query("WITH c_v AS (SELECT DISTINCT p_size AS risk_class FROM part), k_v AS (SELECT DISTINCT p_size * 3 AS risk_class, p_brand AS kind, p_type LIKE '%3%' OR p_size % 4 = 1 AS judged FROM part) SELECT c.risk_class, CASE WHEN count(*) FILTER (NOT k.judged) > 0 THEN 'OK' WHEN count(k.kind) > 0 THEN 'half' ELSE '--' END AS mark FROM c_v c LEFT JOIN k_v k ON k.risk_class = c.risk_class GROUP BY 1")
 def risk_coverage(spark: SparkSession, d: str) -> DataFrame:
     p = V.read(spark, d, "part")
-    kinds = p.filter("p_partkey % 20 = 1").select((F.col("p_size") % 50).alias("risk_class"), F.col("p_brand").alias("kind"), (F.col("p_partkey") % 3 == 0).alias("judged")).distinct()
-    return R.coverage(p.select((F.col("p_size") % 60).alias("risk_class")).distinct(), kinds)
+    kinds = p.select((F.col("p_size") * 3).alias("risk_class"), F.col("p_brand").alias("kind"), (F.col("p_type").contains("3") | (F.col("p_size") % 4 == 1)).alias("judged")).distinct()
+    return R.coverage(p.select(F.col("p_size").alias("risk_class")).distinct(), kinds)
 
 
 _T = "list_distinct(regexp_extract_all(lower({}), '([a-z_][a-z0-9_]*|[一-鿿])', 1))"
@@ -47,11 +47,11 @@ def judged_sentences(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", refusal.alias("refusal"))
 
 
-@query("WITH c_v AS (SELECT k AS pattern, min(id) AS line FROM event_v WHERE kind = 'view' GROUP BY 1), h_v AS (SELECT k AS pattern, id AS line FROM event_v WHERE (kind = 'view' AND k % 4 <> 1) OR (kind = 'click' AND k % 4 = 1 AND id % 40 = 0)), f_v AS (SELECT pattern, count(*) AS n, min(line) AS only FROM h_v GROUP BY 1) SELECT c.pattern, CASE WHEN f.n IS NULL THEN 'gone' WHEN h.line IS NOT NULL THEN 'holds' WHEN f.n = 1 THEN 'moved' ELSE 'ambiguous' END AS verdict, CASE WHEN h.line IS NOT NULL THEN c.line WHEN f.n = 1 THEN f.only END AS line FROM c_v c LEFT JOIN f_v f ON f.pattern = c.pattern LEFT JOIN h_v h ON h.pattern = c.pattern AND h.line = c.line")
+@query("WITH c_v AS (SELECT k AS pattern, min(id) AS line FROM event_v WHERE kind = 'view' GROUP BY 1), h_v AS (SELECT k AS pattern, id AS line FROM event_v WHERE (kind = 'view' AND k % 4 <> 1) OR (kind = 'click' AND k % 4 = 1)), f_v AS (SELECT pattern, count(*) AS n, min(line) AS only FROM h_v GROUP BY 1) SELECT c.pattern, CASE WHEN f.n IS NULL THEN 'gone' WHEN h.line IS NOT NULL THEN 'holds' WHEN f.n = 1 THEN 'moved' ELSE 'ambiguous' END AS verdict, CASE WHEN h.line IS NOT NULL THEN c.line WHEN f.n = 1 THEN f.only END AS line FROM c_v c LEFT JOIN f_v f ON f.pattern = c.pattern LEFT JOIN h_v h ON h.pattern = c.pattern AND h.line = c.line")
 def restated_citations(spark: SparkSession, d: str) -> DataFrame:
     e = V.event(spark, d).select("k", "id", "kind")
     cited = e.filter("kind = 'view'").groupBy(F.col("k").alias("pattern")).agg(F.min("id").alias("line"))
-    hits = e.filter("(kind = 'view' AND k % 4 != 1) OR (kind = 'click' AND k % 4 = 1 AND id % 40 = 0)").select(F.col("k").alias("pattern"), F.col("id").alias("line"))
+    hits = e.filter("(kind = 'view' AND k % 4 != 1) OR (kind = 'click' AND k % 4 = 1)").select(F.col("k").alias("pattern"), F.col("id").alias("line"))
     return R.restated(cited, hits)
 
 

@@ -14,7 +14,7 @@ from sealmark.plans.registry import query
 
 _RETRACTED = "SELECT o_orderkey AS claim_id FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW'"
 _LAST = "last_v AS (SELECT claim_id, arg_max(exit_code, id) AS exit_code, arg_max(subject_digest, id) AS digest, arg_min(subject_digest, id) AS now_digest FROM attempt_v GROUP BY 1)"
-_STATE = f"""WITH {_LAST}, ret_v AS ({_RETRACTED}), sig_v AS (SELECT DISTINCT claim_id FROM risk_v WHERE signed_by <> ''), rep_v AS (SELECT DISTINCT claim_id FROM risk_v WHERE signed_by = ''),
+_STATE = f"""WITH {_LAST}, ret_v AS ({_RETRACTED}), sig_v AS (SELECT DISTINCT r.claim_id FROM risk_v r JOIN last_v l ON l.claim_id = r.claim_id WHERE signed_by <> '' AND l.digest = l.now_digest), rep_v AS (SELECT DISTINCT claim_id FROM risk_v WHERE signed_by = ''),
  state_v AS (SELECT c.id, c.task_id, c.kind, c.origin, c.created_at, l.exit_code,
  CASE WHEN r.claim_id IS NOT NULL THEN 'RETRACTED' WHEN s.claim_id IS NOT NULL THEN 'RISK_ACCEPTED' WHEN l.exit_code IS NULL OR l.exit_code = 1 THEN 'OPEN'
  WHEN l.exit_code = 4 AND p.claim_id IS NOT NULL THEN 'RISK_ACCEPTED' WHEN l.exit_code = 4 THEN 'UNSUPPORTED' WHEN l.digest <> l.now_digest THEN 'STALE' ELSE 'ANSWERED' END AS state
@@ -26,10 +26,15 @@ def retracted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def with_state(spark: SparkSession, d: str) -> DataFrame:
-    """Claims with their state. A subject counts as moved if its newest digest is not its first one."""
+    """Claims with their state. A subject counts as moved if its newest digest is not its first one.
+
+    Each signature was given for the subject of the newest attempt, after an older one for what is current.
+    """
     a, r = V.attempt(spark, d), V.risk(spark, d)
     now = a.groupBy("claim_id").agg(F.min_by("subject_digest", "id").alias("digest"))
-    return state.states(V.claim(spark, d), a, r.filter("signed_by != ''"), retracted(spark, d), now, r.filter("signed_by = ''"))
+    given = r.filter("signed_by != ''").join(a.groupBy("claim_id").agg(F.min_by("subject_digest", "id").alias("old"), F.max_by("subject_digest", "id").alias("new")), "claim_id")
+    signed = given.select("claim_id", F.explode(F.array(F.struct(F.lit(1).alias("id"), F.col("old").alias("key")), F.struct(F.lit(2).alias("id"), F.col("new").alias("key")))).alias("s")).select("claim_id", "s.id", "s.key")
+    return state.states(V.claim(spark, d), a, signed, retracted(spark, d), now, r.filter("signed_by = ''"))
 
 
 def state_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -80,12 +85,15 @@ def failing_kinds_of_open_tasks(spark: SparkSession, d: str) -> DataFrame:
     return joins.newest_with_exit(V.claim(spark, d), V.attempt(spark, d), 1).join(ended, "task_id", "left_anti").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT task_id AS checker, count(*) AS n FROM claim_v c WHERE NOT EXISTS (SELECT 1 FROM attempt_v a WHERE a.claim_id = c.id) AND NOT EXISTS (SELECT 1 FROM claim_v o JOIN attempt_v b ON b.claim_id = o.id WHERE o.task_id % 500 = c.task_id % 500 AND o.task_id <> c.task_id AND o.kind = '1-URGENT' AND b.exit_code = 0 AND o.origin = 'F' AND o.id < 200) GROUP BY 1")
+@query("SELECT task_id AS checker, count(*) AS n FROM claim_v c WHERE NOT EXISTS (SELECT 1 FROM attempt_v a WHERE a.claim_id = c.id) AND NOT EXISTS (SELECT 1 FROM claim_v o JOIN attempt_v b ON b.claim_id = o.id WHERE o.task_id % 500 = c.task_id % 500 AND o.task_id <> c.task_id AND o.kind = '1-URGENT' AND b.exit_code = 0 AND o.origin = 'F') GROUP BY 1")
 def never_tried(spark: SparkSession, d: str) -> DataFrame:
     c, a = V.claim(spark, d), V.attempt(spark, d)
-    tried = c.filter("kind = '1-URGENT' AND origin = 'F' AND id < 200").join(a.filter("exit_code = 0"), c["id"] == a["claim_id"], "left_semi").select((F.col("task_id") % 500).alias("_m"), F.col("task_id").alias("_t")).distinct()
-    free = c.join(a.select(F.col("claim_id").alias("id")), "id", "left_anti")
-    return free.join(tried, (free["task_id"] % 500 == tried["_m"]) & (free["task_id"] != tried["_t"]), "left_anti").groupBy(F.col("task_id").alias("checker")).agg(F.count("*").alias("n"))
+    tried = c.filter("kind = '1-URGENT' AND origin = 'F'").join(a.filter("exit_code = 0"), c["id"] == a["claim_id"], "left_semi")
+    # Of each group whether several tasks were tried, or which one: another task than the own one is one of several, or that one.
+    of = tried.groupBy((F.col("task_id") % 500).alias("_m")).agg(F.min("task_id").alias("_a"), F.max("task_id").alias("_b"))
+    free = c.join(a.select(F.col("claim_id").alias("id")), "id", "left_anti").withColumn("_m", F.col("task_id") % 500).join(of, "_m", "left")
+    other = F.coalesce((F.col("_a") != F.col("task_id")) | (F.col("_b") != F.col("task_id")), F.lit(False))
+    return free.filter(~other).groupBy(F.col("task_id").alias("checker")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH ret_v AS ({_RETRACTED}) SELECT kind, count(*) AS n FROM claim_v c WHERE EXISTS (SELECT 1 FROM attempt_v a WHERE a.claim_id = c.id AND a.exit_code = 0) OR EXISTS (SELECT 1 FROM risk_v r WHERE r.claim_id = c.id) OR EXISTS (SELECT 1 FROM ret_v t WHERE t.claim_id = c.id) GROUP BY 1")

@@ -42,22 +42,22 @@ def moved_keys(spark: SparkSession, d: str) -> DataFrame:
     return maps.select("task_id", F.array_join(diff.moved_keys(F.col("a"), F.col("b")), ",").alias("moved")).filter("moved != ''")
 
 
-@query(f"SELECT coalesce(f.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'new' WHEN f.id IS NULL THEN 'stale' ELSE 'carried' END AS side FROM (SELECT id FROM path_v WHERE id % 3 = 0) f FULL JOIN (SELECT id FROM path_v WHERE size < {V.BASELINE_SIZE}) b ON f.id = b.id")
+@query(f"SELECT coalesce(f.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'new' WHEN f.id IS NULL THEN 'stale' ELSE 'carried' END AS side FROM (SELECT id FROM path_v WHERE path NOT LIKE '%bolt%') f FULL JOIN (SELECT id FROM path_v WHERE size < {V.BASELINE_SIZE}) b ON f.id = b.id")
 def baseline_split(spark: SparkSession, d: str) -> DataFrame:
     p = V.path(spark, d)
-    return diff.baseline_split(p.filter("id % 3 = 0"), p.filter(F.col("size") < V.BASELINE_SIZE), complete=True)
+    return diff.baseline_split(p.filter("path NOT LIKE '%bolt%'"), p.filter(F.col("size") < V.BASELINE_SIZE), complete=True)
 
 
-@query(f"SELECT id, id IN (SELECT id FROM path_v WHERE size < {V.BASELINE_SIZE}) OR id + 1 IN (SELECT id FROM path_v WHERE size < {V.BASELINE_SIZE}) AS carried FROM path_v WHERE id % 3 = 0")
+@query(f"SELECT id, id IN (SELECT id FROM path_v WHERE size < {V.BASELINE_SIZE}) OR id + 1 IN (SELECT id FROM path_v WHERE size < {V.BASELINE_SIZE}) AS carried FROM path_v")
 def baseline_with_renames(spark: SparkSession, d: str) -> DataFrame:
     p = V.path(spark, d).select("id", "size")
-    return diff.carried_under_any(p.filter("id % 3 = 0"), p.filter(F.col("size") < V.BASELINE_SIZE), F.array("id", F.col("id") + 1)).select("id", "carried")
+    return diff.carried_under_any(p, p.filter(F.col("size") < V.BASELINE_SIZE), F.array("id", F.col("id") + 1)).select("id", "carried")
 
 
-@query("WITH d_v AS (SELECT id AS name FROM path_v WHERE id % 2 = 0), w_v AS (SELECT DISTINCT subject_digest AS name FROM attempt_v WHERE exit_code = 0 AND day % 5 = 0), r_v AS (SELECT DISTINCT subject_digest AS name FROM attempt_v WHERE exit_code = 1 AND day % 5 = 0) SELECT coalesce(d.name, w.name, r.name) AS name, CASE WHEN d.name IS NULL THEN 'undeclared' WHEN w.name IS NOT NULL AND r.name IS NOT NULL THEN 'both' WHEN w.name IS NOT NULL THEN 'written only' WHEN r.name IS NOT NULL THEN 'read only' ELSE 'neither' END AS use FROM d_v d FULL JOIN w_v w ON w.name = d.name FULL JOIN r_v r ON r.name = coalesce(d.name, w.name)")
+@query("WITH d_v AS (SELECT id AS name FROM path_v WHERE size > 20), w_v AS (SELECT DISTINCT subject_digest * 100 + checker_sha % 100 AS name FROM attempt_v WHERE exit_code = 0), r_v AS (SELECT DISTINCT subject_digest * 100 + checker_sha % 100 AS name FROM attempt_v WHERE exit_code = 1) SELECT coalesce(d.name, w.name, r.name) AS name, CASE WHEN d.name IS NULL THEN 'undeclared' WHEN w.name IS NOT NULL AND r.name IS NOT NULL THEN 'both' WHEN w.name IS NOT NULL THEN 'written only' WHEN r.name IS NOT NULL THEN 'read only' ELSE 'neither' END AS use FROM d_v d FULL JOIN w_v w ON w.name = d.name FULL JOIN r_v r ON r.name = coalesce(d.name, w.name)")
 def declared_and_used(spark: SparkSession, d: str) -> DataFrame:
-    a = V.attempt(spark, d).filter("day % 5 = 0").select(F.col("subject_digest").alias("name"), "exit_code")
-    return diff.usage(V.path(spark, d).filter("id % 2 = 0").select(F.col("id").alias("name")), a.filter("exit_code = 0"), a.filter("exit_code = 1"))
+    a = V.attempt(spark, d).select((F.col("subject_digest") * 100 + F.col("checker_sha") % 100).alias("name"), "exit_code")
+    return diff.usage(V.path(spark, d).filter("size > 20").select(F.col("id").alias("name")), a.filter("exit_code = 0"), a.filter("exit_code = 1"))
 
 
 @query("WITH a_v AS (SELECT claim_id, kind, signed_by FROM risk_v WHERE claim_id % 5 <> 0), b_v AS (SELECT claim_id, CASE WHEN claim_id % 9 = 0 THEN 'x' ELSE kind END AS kind, CASE WHEN claim_id % 4 = 0 THEN 'y' ELSE signed_by END AS signed_by FROM risk_v WHERE claim_id % 6 <> 0) SELECT * FROM (SELECT coalesce(a.claim_id, b.claim_id) AS claim_id, CASE WHEN b.claim_id IS NULL THEN 'no record' WHEN a.claim_id IS NULL THEN 'no row' WHEN a.kind <> b.kind THEN 'kind differs' WHEN a.signed_by <> b.signed_by THEN 'signed_by differs' END AS problem FROM a_v a FULL JOIN b_v b ON a.claim_id = b.claim_id) WHERE problem IS NOT NULL")

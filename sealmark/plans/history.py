@@ -115,8 +115,23 @@ def doctrine_uptake(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("accepted"), F.count_if(F.arrays_overlap("t", own)).alias("took_up"))
 
 
-@query("SELECT p_brand, count(*) AS n FROM part WHERE regexp_matches(p_name, '(?i)bolt') GROUP BY 1")
+_KEYS = ("request_id", "nonce", "idempotencyKey", "Dedupe-Key", "client_request_id", "dedup_x", "oncePerDay")
+
+
+# Of the names, those at 2 to 5 are keys: a request id is none by itself, and a nonce or a word with "once" in it must not be.
+@query("SELECT p_brand, count(*) AS n FROM part WHERE p_partkey % 7 IN (2, 3, 4, 5) GROUP BY 1")
 def once_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names that look like a key against running twice, here bolts renamed so."""
-    name = F.replace("p_name", F.lit("bolt"), F.lit("request_id"))
+    """Names of keys that tell a repeated request."""
+    name = F.element_at(F.array(*map(F.lit, _KEYS)), (F.col("p_partkey") % 7 + 1).cast("int"))
     return V.read(spark, d, "part").filter(P.idempotency_name(name)).groupBy("p_brand").agg(F.count("*").alias("n"))
+
+
+_WRITES = [("symbol", ".send_media_group", "x.put()"), ("symbol", "transfer_all", "post(x)"), ("regex", r"\bINSERT\s+INTO\b", "replay(x)"), ("regex", r"\w+_all", "cursor.executemany(q)"), ("symbol", "uploadFile", ""), ("regex", "record", "row.add(1)"), ("symbol", r"\bINSERT\s+INTO\b", "")]
+
+
+# A symbol tells by its own words (0, 4, 6), a regular expression by its line (3, 5).
+@query("SELECT p_brand, count(*) AS n FROM part WHERE p_partkey % 7 IN (0, 3, 4, 5, 6) GROUP BY 1")
+def replayed_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Writes whose repetition leaves a second side effect."""
+    of = lambda i: F.element_at(F.array(*(F.lit(w[i]) for w in _WRITES)), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return V.read(spark, d, "part").filter(P.replay_sensitive(of(0), of(1), of(2))).groupBy("p_brand").agg(F.count("*").alias("n"))

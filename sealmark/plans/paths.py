@@ -16,35 +16,46 @@ EXCLUDED = ["promo/**", "**/*_gear_*"]
 LAYERS = {"core": ["economy/brand1/**", "economy/brand2*/**"], "edge": ["economy/**", "promo/**"], "shell": ["small/**", "medium/**"]}
 
 
-def _any(globs: list[str], strict: bool = False) -> str:
-    return "|".join((G.strict_regex if strict else G.wide_regex)(g) for g in globs).replace("'", "''")
+# Paths as people write them: with ``./``, with backslashes, a directory for a file, with a last slash, with a line break.
+_ODD = r"""o_v AS (SELECT id, CASE id % 6 WHEN 0 THEN './' || path WHEN 1 THEN replace(path, '/', '\') WHEN 2 THEN split_part(path, '/', 1) WHEN 3 THEN split_part(path, '/', 1) || '/' || split_part(path, '/', 2) || '/'
+ WHEN 4 THEN replace(path, '_', chr(10)) ELSE path END AS path FROM path_v), p_v AS (SELECT *, rtrim(CASE WHEN starts_with(replace(path, '\', '/'), './') THEN substring(replace(path, '\', '/'), 3) ELSE replace(path, '\', '/') END, '/') AS p FROM o_v) """
 
 
-def _layer_sql() -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(path, '{_any(g)}') THEN '{n}'" for n, g in LAYERS.items()) + " ELSE '' END"
+def _odd(spark: SparkSession, d: str) -> DataFrame:
+    m, parts = F.col("id") % 6, F.split("path", "/")
+    own = F.when(m == 0, F.concat(F.lit("./"), "path")).when(m == 1, F.replace(F.col("path"), F.lit("/"), F.lit("\\"))).when(m == 2, parts[0])
+    own = own.when(m == 3, F.concat(parts[0], F.lit("/"), parts[1], F.lit("/"))).when(m == 4, F.replace(F.col("path"), F.lit("_"), F.lit("\n"))).otherwise(F.col("path"))
+    return V.path(spark, d).select("id", own.alias("path"))
 
 
-@query(f"SELECT id, path FROM path_v WHERE regexp_matches(path, '{_any(SCOPE)}')")
+# The SQL spells out by hand, with the GLOB operator (whose * crosses /) and plain comparisons, what each glob covers.
+_SCOPE = "(p GLOB 'economy/*' OR p = 'economy' OR p GLOB 'small/brand1*' OR p = 'small/brand1' OR p GLOB '*/red_widget_1*.py' OR p GLOB 'red_widget_1*.py' OR p GLOB '*/red_widget_1*.py/*' OR p GLOB 'medium/brand[12]/*_bolt_*' OR p = 'medium/brand[12]')"
+_EXCLUDED = "(p GLOB 'promo/*' OR p = 'promo' OR p GLOB '*/*_gear_*' OR p GLOB '*_gear_*')"
+_STRICT = r"(regexp_matches(path, '^economy/[^/]*/red_[^/]*[.]py$') OR regexp_matches(path, '^(.*/)?[^/]*small_ring_[^/]*[.]py$') OR regexp_matches(path, '^large/brand[^/]/[^/]*[.]py$'))"
+_LAYER = "CASE WHEN path GLOB 'economy/brand1/*' OR path = 'economy/brand1' OR path GLOB 'economy/brand2*' THEN 'core' WHEN path GLOB 'economy/*' OR path GLOB 'promo/*' THEN 'edge' WHEN path GLOB 'small/*' OR path GLOB 'medium/*' THEN 'shell' ELSE '' END"
+
+
+@query(f"WITH {_ODD} SELECT id, path FROM p_v WHERE {_SCOPE}")
 def paths_in_scope(spark: SparkSession, d: str) -> DataFrame:
-    return V.path(spark, d).filter(G.any_match("path", SCOPE)).select("id", "path")
+    return _odd(spark, d).filter(G.any_match("path", SCOPE))
 
 
-@query(f"SELECT id, path FROM path_v WHERE regexp_matches(path, '{_any(STRICT, True)}')")
+@query(f"SELECT id, path FROM path_v WHERE {_STRICT}")
 def paths_strict(spark: SparkSession, d: str) -> DataFrame:
     return V.path(spark, d).filter(G.any_match("path", STRICT, strict=True)).select("id", "path")
 
 
-@query(f"SELECT id, path FROM path_v WHERE trim(path) <> '' AND NOT regexp_matches(path, '{_any(EXCLUDED)}')")
+@query(f"WITH {_ODD} SELECT id, path FROM p_v WHERE trim(path) <> '' AND NOT {_EXCLUDED}")
 def paths_kept(spark: SparkSession, d: str) -> DataFrame:
-    return V.path(spark, d).filter(G.keep("path", EXCLUDED)).select("id", "path").orderBy("path")
+    return _odd(spark, d).filter(G.keep("path", EXCLUDED)).orderBy("path")
 
 
-@query(f"SELECT layer, count(*) AS n FROM (SELECT {_layer_sql()} AS layer FROM path_v) GROUP BY 1")
+@query(f"SELECT layer, count(*) AS n FROM (SELECT {_LAYER} AS layer FROM path_v) GROUP BY 1")
 def paths_by_layer(spark: SparkSession, d: str) -> DataFrame:
     return V.path(spark, d).groupBy(G.first_layer("path", LAYERS).alias("layer")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH l_v AS (SELECT id, path, {_layer_sql()} AS layer FROM path_v) SELECT a.path AS src, b.path AS dst, a.layer AS src_layer, b.layer AS dst_layer FROM l_v a JOIN l_v b ON b.id = (a.id * 7 + 3) % 2000 WHERE a.layer <> '' AND b.layer <> '' AND a.layer <> b.layer AND NOT (a.layer = 'shell' AND b.layer = 'core')")
+@query(f"WITH l_v AS (SELECT id, path, {_LAYER} AS layer FROM path_v) SELECT a.path AS src, b.path AS dst, a.layer AS src_layer, b.layer AS dst_layer FROM l_v a JOIN l_v b ON b.id = (a.id * 7 + 3) % 2000 WHERE a.layer <> '' AND b.layer <> '' AND a.layer <> b.layer AND NOT (a.layer = 'shell' AND b.layer = 'core')")
 def layer_crossings(spark: SparkSession, d: str) -> DataFrame:
     p = V.path(spark, d)
     layers = p.select("path", G.first_layer("path", LAYERS).alias("layer"))

@@ -61,12 +61,9 @@ def path(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge(spark: SparkSession, d: str) -> DataFrame:
-    """(src, dst): a customer's nation depends on the nations of the suppliers it bought from, if their keys are near."""
-    o, x = read(spark, d, "orders"), read(spark, d, "lineitem")
-    c, s = read(spark, d, "customer"), read(spark, d, "supplier")
-    met = o.join(x, o["o_orderkey"] == x["l_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(s, x["l_suppkey"] == s["s_suppkey"])
-    pairs = met.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst"))
-    return pairs.filter("src != dst AND (dst = (src * 2) % 25 OR dst = src + 5)").distinct()
+    """(src, dst): each part depends on the part of half its key, and that on some of its own dependants. Grows with the table."""
+    p = read(spark, d, "part").filter("p_partkey > 1").select(F.col("p_partkey").cast("long").alias("a"), F.floor(F.col("p_partkey") / 2).alias("b"), "p_size")
+    return p.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(p.filter("p_size = 1").select("b", "a")).distinct()
 
 
 SQL: dict[str, str] = {
@@ -76,7 +73,7 @@ SQL: dict[str, str] = {
     "attempt_v": "SELECT l_orderkey AS claim_id, ((day * 10 + l_linenumber) * 10000000 + l_partkey) * 100000 + l_suppkey AS id, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 4 END AS exit_code, CAST(l_quantity * 100 AS BIGINT) AS duration_ms, l_partkey AS subject_digest, l_suppkey AS checker_sha, l_linestatus AS worktree, l_shipdate AS ended_at, day FROM (SELECT *, CAST(datediff('day', DATE '1992-01-01', l_shipdate) AS BIGINT) AS day FROM lineitem)",
     "risk_v": f"SELECT o_orderkey AS claim_id, o_orderpriority AS kind, CASE o_orderstatus WHEN 'F' THEN 'human' WHEN 'O' THEN 'agent' ELSE '' END AS signed_by, length(o_orderpriority) AS why_len, CAST(o_custkey % 2 AS INT) AS was_tty FROM orders WHERE o_totalprice > {RISK_PRICE}",
     "path_v": "SELECT p_partkey AS id, lower(p_type) || '/' || lower(replace(p_brand, '#', '')) || '/' || replace(p_name, ' ', '_') || '_' || p_partkey || '.py' AS path, p_size AS size, sha256(p_name) AS sha FROM part",
-    "edge_v": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey AND (s_nationkey = (c_nationkey * 2) % 25 OR s_nationkey = c_nationkey + 5)",
+    "edge_v": "SELECT CAST(p_partkey AS BIGINT) AS src, CAST(p_partkey // 2 AS BIGINT) AS dst FROM part WHERE p_partkey > 1 UNION SELECT CAST(p_partkey // 2 AS BIGINT), CAST(p_partkey AS BIGINT) FROM part WHERE p_partkey > 1 AND p_size = 1",
 }
 MICROS = "epoch_us({})"
 

@@ -15,6 +15,14 @@ def one(spark, column, **values):
     return row.select(column.alias("v")).first()["v"]
 
 
+@pytest.mark.parametrize(("path", "glob", "hit"), [
+    ("app", "app/*.py", True), ("src", "src/*/x.py", True), ("./app/x.py", "app/**", True), ("app\\x.py", "app/**", True), ("app/", "app", True), ("app/x.py", "app/", True), (".v4", ".v4/**", True), ("v4/c", ".v4/**", False),
+    ("x.py", "**/*.py", True), ("a\nb/x.py", "a*/**", True), ("a/x.py\n", "a/*.py", False), ("brand3", "brand[!12]", True), ("brand1", "brand[!12]", False), ("a]b", "a[]]b", True), ("appx", "app/**", False), ("/", "app", False),
+])
+def test_what_a_wide_glob_covers(spark, path, glob, hit):
+    assert one(spark, G.any_match("p", [glob]), p=path) is hit
+
+
 @pytest.mark.parametrize(("glob", "path", "hit"), [
     ("src/**", "src/a/b.py", True), ("src/**", "src", True), ("src/**", "source/a", False), ("src", "src/a.py", True), ("**/x.py", "x.py", True), ("**/x.py", "a/b/x.py", True),
     ("a/*.py", "a/b/c.py", True), ("a?c", "abc", True), ("[ab].py", "b.py", True), ("[!ab].py", "b.py", False), ("a.py", "axpy", False),

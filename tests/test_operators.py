@@ -105,14 +105,17 @@ def test_stale_findings_need_a_complete_scan(spark):
 
 
 def test_state_precedence(spark):
-    claims = spark.createDataFrame([(i, "k") for i in range(9)], "id long, kind string")
+    claims = spark.createDataFrame([(i, "k") for i in range(12)], "id long, kind string")
     attempts = spark.createDataFrame([(0, 1, 0, "d"), (1, 1, 1, "d"), (2, 1, 4, "d"), (3, 1, 5, "d"), (4, 1, 77, "d"), (5, 1, 0, "d"), (6, 1, 0, "d"), (8, 1, 4, "d")], "claim_id long, id long, exit_code int, subject_digest string")
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "claim_id long")
-    now = spark.createDataFrame([(5, "moved"), (0, "d")], "claim_id long, digest string")
-    got = {r.id: (r.state, r.reason) for r in state.states(claims, attempts, ids(6), ids(6, 1), now, ids(8)).collect()}
+    now = spark.createDataFrame([(5, "moved"), (0, "d"), (6, "d"), (9, "d"), (10, "d"), (11, "d")], "claim_id long, digest string")
+    # Of 9 the newest signature is for what is current, of 10 an older one is, of 11 it cannot be read.
+    signed = spark.createDataFrame([(6, 1, "d"), (9, 1, "x"), (9, 2, "d"), (10, 1, "d"), (10, 2, "x"), (11, 1, None)], "claim_id long, id long, key string")
+    got = {r.id: (r.state, r.reason) for r in state.states(claims, attempts, signed, ids(6, 1), now, ids(8)).collect()}
     assert got == {
         0: ("ANSWERED", None), 1: ("RETRACTED", None), 2: ("UNSUPPORTED", None), 3: ("TIMEOUT", None), 4: ("UNKNOWN_EXIT", None), 5: ("STALE", "subject"),
         6: ("RETRACTED", None), 7: ("OPEN", None), 8: ("RISK_ACCEPTED", None),
+        9: ("RISK_ACCEPTED", None), 10: ("OPEN", None), 11: ("OPEN", None),
     }
 
 

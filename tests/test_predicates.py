@@ -8,9 +8,17 @@ def one(spark, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
 
 
-@pytest.mark.parametrize(("pattern", "line", "want"), [("client.post", "x", True), ("get", "sendMail(a)", True), ("getPosts", "readOnly", False)])
-def test_replay_words_are_whole_words(spark, pattern, line, want):
-    assert one(spark, P.replay_sensitive(F.lit(pattern), F.lit(line))) is want
+@pytest.mark.parametrize(("match", "pattern", "line", "want"), [
+    ("symbol", "client.post", "x", True), ("symbol", "get", "sendMail(a)", False), ("regex", "get", "sendMail(a)", True), ("symbol", "getPosts", "readOnly", False), ("symbol", "pay", "", False),
+    ("symbol", r"\bINSERT\s+INTO\b", "", True), ("regex", r"\bINSERT\b", "x = 1", False), ("symbol", ".uploadFile", "", True), ("symbol", "s.b.w.d", "", False),
+])
+def test_replay_words_are_whole_words(spark, match, pattern, line, want):
+    assert one(spark, P.replay_sensitive(F.lit(match), F.lit(pattern), F.lit(line))) is want
+
+
+@pytest.mark.parametrize(("name", "want"), [("idempotencyKey", True), ("Idempotency-Key", True), ("dedupe_x", True), ("client-request-id", True), ("nonce", False), ("oncePerDay", False), ("request_id", False), ("idempotency_nonce", True)])
+def test_names_of_keys(spark, name, want):
+    assert one(spark, P.idempotency_name(F.lit(name))) is want
 
 
 @pytest.mark.parametrize(("code", "out", "err", "want"), [(1, " ", "Traceback (most recent call last)", True), (1, "finding", "Traceback (most recent call last)", False), (4, "", "SyntaxError", False), (1, None, None, False)])
