@@ -42,7 +42,7 @@ FEWEST = 8
 #: Share of the trusted documents that the model does not see and the quantiles are taken of.
 HELD_OUT = 0.2
 #: Raw text in a block of documents.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 
 _B = 15  # bits of a symbol
 _MASK = (1 << _B) - 1
@@ -50,7 +50,7 @@ _VOCABULARY = 1 << _B
 _TAG = 60  # the order of an n-gram stands above its symbols
 _CHUNK = 500_000  # characters handled at once
 #: Bytes of rows that a task holds while it packs them by block.
-_HELD = 24 << 20
+_HELD = 16 << 20
 _EDGE = "\U0010ffff"
 
 
@@ -136,7 +136,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 parts.append((keys, counts.astype(np.int64)))
                 if len(parts) >= 8:
                     parts[:] = [_merged(parts)]
-        if sum(len(p[0]) for parts in held.values() for p in parts) > 4_000_000:
+        if sum(len(p[0]) for parts in held.values() for p in parts) > 1_500_000:
             yield from out()
     yield from out()
 
