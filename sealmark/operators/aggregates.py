@@ -23,11 +23,11 @@ def upper_medians(rows: DataFrame, key: str, value: str, name: str = "median") -
 
 
 def seeded_counts(rows: DataFrame, seeds: DataFrame, key: str, **counts: Column) -> DataFrame:
-    """Counts for every seed, 0 where there is no row; rows of other keys go to the bucket of the empty key."""
-    known = seeds.select(F.col(key).alias("_seed"))
-    placed = rows.join(F.broadcast(known), rows[key] == F.col("_seed"), "left").withColumn(key, F.coalesce("_seed", F.lit("")))
-    own = placed.groupBy(key).agg(*(F.count_if(c).alias(n) for n, c in counts.items()))
-    return seeds.select(key).union(seeds.sparkSession.createDataFrame([("",)], f"{key} string")).distinct().join(own, key, "left").na.fill(0)
+    """Counts for every seed, 0 where there is no row; rows of other keys go to the bucket of the empty key. Rows are counted before they meet the seeds."""
+    own = rows.groupBy(key).agg(*(F.count_if(c).alias(n) for n, c in counts.items()))
+    known = seeds.select(F.col(key).alias("_seed")).distinct()
+    placed = own.join(known, own[key] == F.col("_seed"), "left").groupBy(F.coalesce("_seed", F.lit("")).alias(key)).agg(*(F.sum(n).alias(n) for n in counts))
+    return seeds.select(key).union(seeds.sparkSession.range(1).select(F.lit(""))).distinct().join(placed, key, "left").na.fill(0)
 
 
 def histogram(rows: DataFrame, keys: list[str], label: Column, labels: list[str]) -> DataFrame:

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealmark.functions.hashing import event_hash
+from sealmark.functions.hashing import RECORD, UNIT, event_hash
+from sealmark.operators.settled import settle
 
 GENESIS = ""
 
@@ -22,7 +23,8 @@ def numbered(rows: DataFrame, order: str = "id") -> DataFrame:
     """``rows`` with ``position`` from 0, without one task that holds all rows: ranges are sorted and counted, then offset."""
     spark = rows.sparkSession
     ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
-    placed = ranged.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")).persist()
+    # Written once: places among ties must not change when an executor is lost.
+    placed = settle(ranged.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
     counts = placed.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()  # one row a partition
     total, offsets = 0, []
     for p, n in counts:
@@ -32,32 +34,41 @@ def numbered(rows: DataFrame, order: str = "id") -> DataFrame:
     return placed.withColumn("position", (F.col("_m") + F.try_element_at(table, "_p")).cast("long")).drop("_p", "_m")
 
 
-def walk(events: DataFrame, fields: list[str], order: str = "id") -> DataFrame:
+def walk(events: DataFrame, fields: list[str], order: str = "id", chain: str | None = None) -> DataFrame:
     """(id, problem) for every row of a chain that is wrong.
 
     ``hash``: the row's own hash is not that of its fields. ``unhashed``: a row without a hash after hashed ones.
     ``fork``: the previous hash is not that of the row before, but of an earlier one. ``broken``: it is that of none.
+    With ``chain``, rows of each of its values are a chain of their own, of bounded length, in a window; without, one chain
+    over all rows is walked by joins on positions.
     """
-    rows = numbered(events, order)
     own = event_hash(F.col("prev_hash"), F.col("scheme"), *(F.col(f) for f in fields))
     hashed = F.col("row_hash") != ""
-    before = rows.select((F.col("position") + 1).alias("position"), F.col("row_hash").alias("_prev"))
-    first_hashed = rows.filter(hashed).agg(F.min("position").alias("_first"))
-    checked = rows.join(before, "position", "left").crossJoin(F.broadcast(first_hashed))  # one row
+    if chain:
+        w = Window.partitionBy(chain).orderBy(order)
+        rows = events.withColumn("position", F.row_number().over(w))
+        checked = rows.withColumns({"_prev": F.lag("row_hash").over(w), "_first": F.min(F.when(hashed, F.col("position"))).over(w)})
+    else:
+        rows = numbered(events, order)
+        before = rows.select((F.col("position") + 1).alias("position"), F.col("row_hash").alias("_prev"))
+        first_hashed = rows.filter(hashed).agg(F.min("position").alias("_first"))
+        checked = rows.join(before, "position", "left").crossJoin(F.broadcast(first_hashed))  # one row
+    keys = [chain] if chain else []
     late = ~hashed & (F.col("position") > F.col("_first"))
     linked = F.col("prev_hash").eqNullSafe(F.coalesce("_prev", F.lit(GENESIS)))
     bad_link = hashed & ~linked
-    earlier = rows.filter(hashed).groupBy("row_hash").agg(F.min("position").alias("_seen")).withColumnRenamed("row_hash", "_hash")
-    met = checked.join(earlier, F.col("prev_hash") == F.col("_hash"), "left")
-    problem = F.when(late, "unhashed").when(hashed & (F.col("row_hash") != own), "hash").when(bad_link & ((F.col("_seen") < F.col("position")) | (F.col("prev_hash") == GENESIS)), "fork").when(bad_link, "broken")
-    return met.select(F.col(order).alias("id"), problem.alias("problem")).filter("problem IS NOT NULL")
+    earlier = rows.filter(hashed).groupBy(*keys, "row_hash").agg(F.min("position").alias("_seen")).withColumnRenamed("row_hash", "prev_hash")
+    marked = checked.withColumn("_wrong", F.when(late, "unhashed").when(hashed & (F.col("row_hash") != own), "hash").when(bad_link, "broken")).filter("_wrong IS NOT NULL")
+    met = marked.join(earlier, [*keys, "prev_hash"], "left")
+    fork = (F.col("_wrong") == "broken") & ((F.col("_seen") < F.col("position")) | (F.col("prev_hash") == GENESIS))
+    return met.select(F.col(order).alias("id"), F.when(fork, "fork").otherwise(F.col("_wrong")).alias("problem"))
 
 
 def build(rows: DataFrame, fields: list[str], scheme: str, order: str = "id", chain: str | None = None) -> DataFrame:
     """``rows`` with ``prev_hash``, ``row_hash`` and ``scheme``: one chain for each value of ``chain``, or one of all rows.
 
     A hash needs the one before it, so a chain is sequential: its rows stream through one task, in order, and only
-    the last hash is held.
+    the last hash is held. For many rows take ``build_segments``.
     """
     keys = [chain] if chain else []
     dealt = rows.repartition(chain) if chain else rows.coalesce(1)
@@ -82,6 +93,45 @@ def build(rows: DataFrame, fields: list[str], scheme: str, order: str = "id", ch
     return dealt.mapInArrow(run, f"{kinds}, prev_hash string, row_hash string, scheme string")
 
 
+def build_segments(rows: DataFrame, fields: list[str], scheme: str, width: int = 4096, order: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rows, heads): chains of the rows of ``width`` successive values of ``order``, and one chain over their heads.
+
+    Segments are hashed in parallel, none longer than its width where ``order`` is a key. The chain over heads, one row a
+    segment (segment, n, head), commits to all of them in order, as one chain over all rows would.
+    """
+    cut = build(rows.withColumn("segment", F.floor(F.col(order) / width)), fields, scheme, order, "segment")
+    heads = cut.groupBy("segment").agg(F.count("*").alias("n"), F.max_by("row_hash", order).alias("head"))
+    return cut, build(heads, ["segment", "n", "head"], scheme, "segment")
+
+
+def tree_digests(rows: DataFrame, area: str, path: str = "path", sha: str = "sha") -> DataFrame:
+    """(area, digest, n): digest of the snapshot of each area, over its (path, sha) in order of path, as ``tree_digest`` has it.
+
+    An area's rows are sorted and stream through one hash, so an area of any size is never held. Pairs with a null are
+    counted and hashed as nothing.
+    """
+    dealt = rows.select(F.col(area).cast("string").alias("area"), path, sha).repartition("area").sortWithinPartitions("area", path, sha)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("area", pa.string()), ("digest", pa.string()), ("n", pa.int64())])
+        now, state, n = None, hashlib.sha256(), 0
+        for b in batches:
+            out = []
+            for key, p, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if n and key != now:
+                    out.append((now, state.hexdigest(), n))
+                    state, n = hashlib.sha256(), 0
+                now, n = key, n + 1
+                if p is not None and s is not None:
+                    state.update(f"{p}{UNIT}{s}{RECORD}".encode())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((now, state.hexdigest(), n), kinds.types, strict=True)], schema=kinds)
+
+    return dealt.mapInArrow(run, "area string, digest string, n long")
+
+
 def tip(rows: DataFrame, order: str = "id") -> DataFrame:
     """(n, last_id, head) of a chain, from one aggregate, so that all three are of one moment."""
     return rows.agg(F.count("*").alias("n"), F.max(order).alias("last_id"), F.max_by("row_hash", order).alias("head"))

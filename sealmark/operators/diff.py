@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,10 +14,10 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "path", digest
 
 
 def shown(diff: DataFrame, limit: int = 6, key: str = "path") -> DataFrame:
-    """(mark, text): the first keys of each mark and how many more there are. Only ``limit`` keys of a mark are gathered."""
-    least = F.slice(F.array_sort(F.collect_list(key)), 1, limit)
-    per = diff.withColumn("_p", F.spark_partition_id()).groupBy("mark", "_p").agg(least.alias("part"), F.count("*").alias("n"))
-    all_ = per.groupBy("mark").agg(F.slice(F.array_sort(F.flatten(F.collect_list("part"))), 1, limit).alias("first"), F.sum("n").alias("n"))
+    """(mark, text): the first keys of each mark and how many more there are. Each task sends on at most ``limit`` keys of a mark."""
+    w = Window.partitionBy("mark").orderBy(key)
+    first = diff.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).groupBy("mark").agg(F.array_sort(F.collect_list(key)).alias("first"))
+    all_ = diff.groupBy("mark").agg(F.count("*").alias("n")).join(first, "mark")
     more = F.when(F.col("n") > limit, F.concat(F.lit(", …and "), (F.col("n") - limit).cast("string"), F.lit(" more"))).otherwise("")
     return all_.select("mark", F.concat(F.array_join("first", ", "), more).alias("text"))
 

@@ -5,32 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _settle(df: DataFrame) -> DataFrame:
-    """Cut lineage: to the session's checkpoint folder where it has one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+from sealmark.operators.settled import settle
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst) of every path. Paths double in length each round, so a path of n edges takes log n rounds."""
-    reach = _settle(edges.select("src", "dst").distinct())
+    reach = settle(edges.select("src", "dst").distinct())
     while True:
         longer = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
         known = reach.select(F.col("src").alias("s"), F.col("dst").alias("d"))
         marked = longer.distinct().join(known, (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")), "full_outer")
-        both = _settle(marked.select(F.coalesce("src", "s").alias("src"), F.coalesce("dst", "d").alias("dst"), F.col("s").isNull().alias("new")))
+        both = settle(marked.select(F.coalesce("src", "s").alias("src"), F.coalesce("dst", "d").alias("dst"), F.col("s").isNull().alias("new")))
         if both.filter("new").isEmpty():
             return reach
         reach = both.select("src", "dst")
 
 
+def _least_label(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the least label of all nodes that reach each node. Only labels that changed are sent on."""
+    now = settle(labels.select("node", "label", F.lit(True).alias("new")))
+    while not now.filter("new").isEmpty():
+        sent = now.filter("new").select(F.col("node").alias("src"), "label").join(edges, "src").select(F.col("dst").alias("node"), "label", F.lit(None).alias("was"))
+        met = now.select("node", "label", F.col("label").alias("was")).union(sent).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
+        now = settle(met.select("node", "label", (F.col("label") < F.col("was")).alias("new")))
+    return now.select("node", "label")
+
+
+def _reaching(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) of the roots and of all nodes from which edges of a label (src, dst, label) lead to its root."""
+    all_ = front = settle(roots)
+    while not front.isEmpty():
+        back = edges.join(front.withColumnRenamed("node", "dst"), ["dst", "label"]).select(F.col("src").alias("node"), "label").distinct()
+        front = settle(back.join(all_, ["node", "label"], "left_anti"))
+        all_ = settle(all_.union(front))
+    return all_
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): strongly connected components, named by their least node; every node of an edge is in one."""
-    reach = closure(edges)
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = reach.join(back, ["src", "dst"]).groupBy("src").agg(F.min("dst").alias("least"))
+    """(node, component): strongly connected components, named by their least node; every node of an edge is in one.
+
+    Labels spread forward; the nodes of a label from which its own node can be reached are a component, and all edges
+    between labels or at such nodes go. Nodes and edges move, never pairs of nodes. Nodes are their own labels in the first
+    round and get random ones after that, which halves what is left of a long chain in a few rounds.
+    """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return nodes.join(both, nodes["node"] == both["src"], "left").select("node", F.least("node", F.coalesce("least", "node")).alias("component"))
+    left, found, turn = settle(edges.filter("src != dst").select("src", "dst").distinct()), None, 0
+    while not left.isEmpty():
+        # A node that nothing enters or leaves is a component of its own, and so are its edges' ends apart from each other.
+        inner = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        own = inner.select(F.col("src").alias("node")).union(inner.select("dst")).distinct()
+        rank = F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long")
+        labels = _least_label(own.select("node", F.struct(rank.alias("rank"), "node").alias("label")), inner)
+        of = lambda end, name: labels.select(F.col("node").alias(end), F.col("label").alias(name))
+        same = settle(inner.join(of("src", "label"), "src").join(of("dst", "_other"), "dst").filter("label = _other").select("src", "dst", "label"))
+        got = _reaching(labels.filter("label.node = node"), same)
+        named = got.join(got.groupBy("label").agg(F.min("node").alias("component")), "label").select("node", "component")
+        found = settle(named if found is None else found.union(named))
+        done = got.select("node")
+        left = settle(same.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        turn += 1
+    if found is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def cycle_edges(edges: DataFrame) -> DataFrame:
@@ -45,3 +81,13 @@ def dependency_faults(works: DataFrame, needs: DataFrame) -> DataFrame:
     known = works.select(F.col("id").alias("needs"), F.col("revision").alias("_current"))
     problem = F.when(F.col("needs") == F.col("id"), "self").when(F.col("_current").isNull(), "unknown").when(F.col("_current") != F.col("revision"), "stale")
     return needs.join(known, "needs", "left").select("id", "needs", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def ancestors(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``pairs`` (of, node) whose ``node`` is ``of`` or is reached from it along (src, dst). Only from the pairs' own starts, one step a round."""
+    front = reached = settle(pairs.select("of", F.col("of").alias("at")).distinct())
+    while not front.isEmpty():
+        step = front.withColumnRenamed("at", "src").join(edges.select("src", "dst"), "src").select("of", F.col("dst").alias("at")).distinct()
+        front = settle(step.join(reached, ["of", "at"], "left_anti"))
+        reached = settle(reached.union(front))
+    return pairs.join(reached.withColumnRenamed("at", "node"), ["of", "node"], "left_semi")

@@ -106,10 +106,20 @@ def chain_tip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, 'hash' AS problem FROM event_v WHERE id % 977 = 5")
 def tampered_events(spark: SparkSession, d: str) -> DataFrame:
-    """One chain over all events, some of which are then changed: the walk finds exactly these."""
-    built = chain.build(V.event(spark, d).select("id", "kind", "k"), ["id", "kind", "k"], "s1")
+    """Chained segments of all events, some of which are then changed: the walk finds exactly these."""
+    built, _ = chain.build_segments(V.event(spark, d).select("id", "kind", "k"), ["id", "kind", "k"], "s1")
     changed = built.withColumn("k", F.when(F.col("id") % 977 == 5, F.col("k") + 1).otherwise(F.col("k")))
-    return chain.walk(changed, ["id", "kind", "k"])
+    return chain.walk(changed, ["id", "kind", "k"], chain="segment")
+
+
+@query("SELECT id // 4096 AS segment, count(*) AS n FROM event_v WHERE id % 5000 <> 4999 GROUP BY 1 HAVING count(*) <> least(4096, (SELECT max(id) + 1 FROM event_v) - id // 4096 * 4096)")
+def lost_from_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments that have lost rows since their heads were chained."""
+    rows = V.event(spark, d).select("id", "kind", "k")
+    _, heads = chain.build_segments(rows, ["id", "kind", "k"], "s1")
+    now, _ = chain.build_segments(rows.filter("id % 5000 != 4999"), ["id", "kind", "k"], "s1")
+    left = now.groupBy("segment").agg(F.count("*").alias("n"), F.max_by("row_hash", "id").alias("now"))
+    return heads.select("segment", "head").join(left, "segment", "left").filter("NOT head <=> now").select("segment", "n")
 
 
 @query("WITH s_v AS (SELECT k AS seq, min(id) AS starts_after, CASE WHEN k % 10 = 3 THEN -1 ELSE min(id) END AS shown, lead(min(id)) OVER (ORDER BY k) AS ends_with FROM event_v WHERE k % 17 <> 4 GROUP BY k), l_v AS (SELECT *, lag(seq) OVER (ORDER BY seq) AS p, lag(ends_with) OVER (ORDER BY seq) AS e FROM s_v) SELECT seq, CASE WHEN seq <> p + 1 THEN 'missing segment before' ELSE 'does not continue' END AS problem FROM l_v WHERE p IS NOT NULL AND (seq <> p + 1 OR shown <> e)")

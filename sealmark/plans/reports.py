@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealmark import views as V
-from sealmark.functions.hashing import tree_digest
 from sealmark.functions.when import gap_seconds
 from sealmark.operators import aggregates as A
+from sealmark.operators.chain import tree_digests as digests
 from sealmark.operators.latest import newest_first
 from sealmark.plans.registry import query
 from sealmark.streaming.state import since
@@ -84,7 +84,7 @@ def statements_by_area(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT split_part(path, '/', 1) AS area, sha256(string_agg(path || chr(31) || sha || chr(30), '' ORDER BY path, sha)) AS digest, count(*) AS n FROM path_v GROUP BY 1")
 def tree_digests(spark: SparkSession, d: str) -> DataFrame:
-    return V.path(spark, d).groupBy(F.element_at(F.split("path", "/"), 1).alias("area")).agg(tree_digest(F.col("path"), F.col("sha")).alias("digest"), F.count("*").alias("n"))
+    return digests(V.path(spark, d).withColumn("area", F.element_at(F.split("path", "/"), 1)), "area")
 
 
 @query("SELECT claim_id, count(DISTINCT worktree) AS stamps, count(DISTINCT worktree) > 1 AS moved FROM attempt_v GROUP BY 1")
