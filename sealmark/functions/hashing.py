@@ -42,6 +42,16 @@ def row_hash(prev: Column, *fields: Column) -> Column:
     return F.sha2(prefixed(prev, *fields), 256)
 
 
+def attempt_hash(scheme: Column, prev: Column, fields: list[Column], claim_digest: Column, worktree: Column, facts: Column) -> Column:
+    """Hash of an attempt under the scheme it was written with, told by the last digit of the scheme's name.
+
+    1 joins the fields; 2 adds the claim's digest; 3 puts lengths before them; 4 adds the worktree and the facts' digest.
+    """
+    base, n = [scheme, prev, *fields], F.right(scheme, F.lit(1))
+    material = F.when(n == "1", joined(*base)).when(n == "2", joined(*base, claim_digest)).when(n == "3", prefixed(*base, claim_digest)).when(n == "4", prefixed(*base, claim_digest, worktree, facts))
+    return F.sha2(material, 256)
+
+
 def tree_digest(path: Column, sha: Column) -> Column:
     """Aggregate: digest of a snapshot, over its (path, sha) in order of path."""
     rows = F.array_sort(F.collect_list(F.struct(path.alias("p"), sha.alias("s"))))

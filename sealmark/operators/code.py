@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from sealmark.operators.joins import longest_prefix
 
-#: Steps up (``../``) in a link that are followed.
-DEPTH = 8
-
 
 def lines(files: DataFrame) -> DataFrame:
     """(path, line, code) with line numbers from 1."""
@@ -95,14 +92,20 @@ def stated_counts(files: DataFrame) -> DataFrame:
     return said.join(islands.select("path", (F.col("starts") - 1).alias("line"), "found"), ["path", "line"]).filter("said != found")
 
 
+def resolved(path: Column) -> Column:
+    """A path without ``.`` and ``..`` parts, however many; steps up from the top stay."""
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != "..")
+        return F.when((part == ".") | (part == ""), done).when(up, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.array_append(done, part))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def dead_references(files: DataFrame) -> DataFrame:
     """(path, line, target) of relative links in documents to files that are not there."""
     docs = lines(files.filter(F.endswith("path", F.lit(".md"))))
     links = docs.select("path", "line", F.explode(F.regexp_extract_all("code", F.lit(r"\]\((?!\w+:|#)([^)#\s]+)"), 1)).alias("target"))
-    here = F.regexp_replace("path", r"[^/]*$", "")
-    full = F.regexp_replace(F.concat(here, "target"), r"(^|/)\./", "$1")
-    for _ in range(DEPTH):
-        full = F.regexp_replace(full, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    full = resolved(F.concat(F.regexp_replace("path", r"[^/]*$", ""), "target"))
     return links.withColumn("full", full).join(files.select(F.col("path").alias("full")).distinct(), "full", "left_anti").select("path", "line", "target")
 
 

@@ -79,7 +79,61 @@ def quoted_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.length("text").cast("long").alias("n"), X.covered(F.col("text"), quotes).cast("long").alias("covered"))
 
 
-@query("SELECT conv_id, turn, NOT contains(a.clause, a.quote) AND NOT a.any_holds AS crosses FROM (SELECT conv_id, turn, '' AS clause, substring(text, 3, 12) AS quote, len([c FOR c IN [trim(p) FOR p IN regexp_split_to_array(text, '[.;!?\\n]+|, and |, then ')] IF c <> '' AND contains(c, substring(text, 3, 12))]) > 0 AS any_holds FROM conversations WHERE role = 'user' AND length(text) > 20) a")
+_PIECES = "string_split(regexp_replace({0}, '([.;!?\\n]+|, and |, then )', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"SELECT conv_id, turn, len([c FOR c IN {_PIECES.format('text')} IF contains(c, substring(text, 3, 12))]) = 0 AS crosses FROM conversations WHERE role = 'user' AND length(text) > 20")
 def quotes_across_clauses(spark: SparkSession, d: str) -> DataFrame:
     rows = V.read(spark, d, "conversations").filter("role = 'user' AND length(text) > 20")
     return rows.select("conv_id", "turn", X.crosses_clause(F.substring("text", 3, 12), F.col("text")).alias("crosses"))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN q = '' THEN 'no quote' WHEN NOT contains(text, q) THEN 'not quoted' WHEN len([c FOR c IN {_PIECES.format('text')} IF contains(c, q)]) = 0 THEN 'crosses clauses'
+ WHEN conv_id % 2 = 0 AND conv_id % 3 = 0 THEN 'silent' WHEN conv_id % 2 = 1 AND turn % 3 = 0 THEN 'names nothing' WHEN conv_id % 2 = 1 AND conv_id % 7 = 0 THEN 'no acceptance' END AS fault
+ FROM (SELECT *, CASE conv_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'zzqq' ELSE trim(substring(text, 1 + conv_id % 9, 25)) END AS q FROM conversations WHERE role = 'user' AND text IS NOT NULL) WHERE q <> '' OR conv_id % 5 = 0""")
+def entry_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Why an entry accounts for no part of a request."""
+    c = F.col("conv_id")
+    quote = F.when(c % 5 == 0, "").when(c % 5 == 1, "zzqq").otherwise(F.trim(F.substring("text", 1 + c % 9, F.lit(25))))
+    rows = V.read(spark, d, "conversations").filter("role = 'user' AND text IS NOT NULL").withColumn("q", quote).filter("q != '' OR conv_id % 5 = 0")
+    names = F.when(F.col("turn") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("f")))
+    fault = X.entry_fault(F.col("text"), F.col("q"), c % 2 == 0, F.when(c % 3 == 0, " short ").otherwise("because it is not needed"), names, F.when(c % 7 == 0, "").otherwise("it prints all rows"), 8, 12)
+    return rows.select("conv_id", "turn", fault.alias("fault"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'last' ELSE p_name END AS note, CASE WHEN p_partkey % 5 = 0 THEN 'unknown field' WHEN p_partkey % 7 = 0 THEN 'no kind' END AS fault FROM part")
+def claim_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of claim lines, and why a line is refused."""
+    i = F.col("p_partkey")
+    line = F.concat(F.when(i % 7 == 0, "").otherwise(F.concat(F.lit("kind="), "p_brand")), F.lit(' note="'), "p_name", F.lit('"'), F.when(i % 5 == 0, " severity=high").otherwise(" line=3"), F.when(i % 4 == 0, " note=last").otherwise(""))
+    rows = V.read(spark, d, "part").select(i.alias("id"), X.claim_fields(line).alias("f"))
+    return rows.select("id", F.try_element_at("f", F.lit("note")).alias("note"), X.claim_fault(F.col("f")).alias("fault"))
+
+
+@query("SELECT id, CASE id % 6 WHEN 0 THEN path || ',x/' || path WHEN 1 THEN 'new,' || path WHEN 2 THEN path END AS paths FROM path_v")
+def patched_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of patch texts; those that are not wholly patches have none."""
+    p, m = F.col("path"), F.col("id") % 6
+    body = (
+        F.when(m == 0, F.concat(F.lit("*** Update File: "), p, F.lit("\n*** Move to: x/"), p, F.lit("\n@@ a\n-b\n+c\n")))
+        .when(m == 1, F.concat(F.lit("*** Add File: new\n+b\n*** Delete File: "), p, F.lit("\n*** Update File: new\n c\n")))
+        .when(m == 2, F.concat(F.lit("*** Delete File: "), p, F.lit("\n")))
+        .when(m == 3, F.concat(F.lit("*** Update File: "), p, F.lit("\n@@\n*** Move to: late\n")))
+        .when(m == 4, F.concat(F.lit("*** Add File: "), p, F.lit("\nno sign\n")))
+        .otherwise("")
+    )
+    patch = F.concat(F.lit("*** Begin Patch\n"), body, F.lit("*** End Patch"))
+    return V.path(spark, d).select("id", F.array_join(X.patch_paths(patch), ",").alias("paths"))
+
+
+_SCHEMES = "SELECT o_orderkey AS id, o_orderkey % 4 + 1 AS n, [CAST(o_custkey AS VARCHAR), o_orderpriority, CAST(o_orderdate AS VARCHAR)[1:10]] AS f FROM orders"
+
+
+@query(f"""SELECT id, sha256(CASE WHEN n <= 2 THEN list_aggregate(p, 'string_agg', chr(31)) ELSE list_aggregate([length(x) || ':' || x FOR x IN p], 'string_agg', '') END) AS hash
+ FROM (SELECT id, n, list_concat(['chain-' || n, 'prev'], f, CASE WHEN n >= 2 THEN ['cd' || id] ELSE [] END, CASE WHEN n = 4 THEN ['w', ''] ELSE [] END) AS p FROM ({_SCHEMES}))""")
+def hashes_by_scheme(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes of attempts under the four schemes that stores may hold."""
+    o = V.read(spark, d, "orders")
+    fields = [F.col("o_custkey"), F.col("o_orderpriority"), F.substring(F.col("o_orderdate").cast("string"), 1, 10)]
+    scheme = F.concat(F.lit("chain-"), (F.col("o_orderkey") % 4 + 1).cast("string"))
+    return o.select(F.col("o_orderkey").alias("id"), H.attempt_hash(scheme, F.lit("prev"), fields, F.concat(F.lit("cd"), F.col("o_orderkey").cast("string")), F.lit("w"), F.lit(None).cast("string")).alias("hash"))
