@@ -115,3 +115,45 @@ def verb_sites(files: DataFrame, verbs: list[str]) -> DataFrame:
     verb = F.element_at(F.split("chain", r"\."), -1)
     own = calls.withColumn("verb", verb).filter(F.col("verb").isin(verbs))
     return own.groupBy("verb", "chain").agg(F.min_by(F.concat_ws(":", "path", "line"), F.struct("path", "line")).alias("first"))
+
+
+def pins(files: DataFrame) -> DataFrame:
+    """(path, file, symbol, value) of ``<!-- pinned: file::symbol=value -->`` marks in documents; symbol and value may be missing.
+
+    What stands in fences or code spans shows a mark and is none.
+    """
+    prose = F.regexp_replace("text", r"(?s)```.*?```|`[^`\n]*`", "")
+    marks = files.select("path", F.explode(F.regexp_extract_all(prose, F.lit(r"<!--\s*pinned:\s*(.*?)\s*-->"), 1)).alias("mark"))
+    part = lambda n: F.regexp_extract("mark", r"^([^\s:]+)::([A-Za-z_][A-Za-z0-9_]*)(=.*)?$", n)
+    symbol = F.nullif(part(2), F.lit(""))
+    return marks.select("path", F.when(symbol.isNull(), F.col("mark")).otherwise(part(1)).alias("file"), symbol.alias("symbol"), F.substr(F.nullif(part(3), F.lit("")), F.lit(2)).alias("value"))
+
+
+def pin_faults(marks: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(path, file, symbol, problem) of pins that do not hold, against files (path) and symbols (file, symbol, value)."""
+    there = files.select(F.col("path").alias("file")).distinct().withColumn("_file", F.lit(True))
+    known = symbols.select("file", "symbol", F.col("value").alias("_value"), F.lit(True).alias("_symbol"))
+    met = marks.join(there, "file", "left").join(known, ["file", "symbol"], "left")
+    problem = F.when(F.col("file") == "", "empty").when(F.col("_file").isNull(), "no file").when(F.col("symbol").isNotNull() & F.col("_symbol").isNull(), "no symbol")
+    return met.select("path", "file", "symbol", problem.when(F.col("value").isNotNull() & ~F.col("value").eqNullSafe(F.col("_value")), "other value").alias("problem")).filter("problem IS NOT NULL")
+
+
+def prose_counts(files: DataFrame, truth: DataFrame, past: str = "") -> DataFrame:
+    """(path, line, noun, said, n): numbers of things in documents that are not what there are, by ``truth`` (noun, n).
+
+    A quoted line and one that matches ``past`` speak of another time and are not judged.
+    """
+    now = lines(files).filter(~F.col("code").rlike(r"^\s*>"))
+    now = now.filter(~F.col("code").rlike(past)) if past else now
+    said = now.select("path", "line", F.explode(F.regexp_extract_all("code", F.lit(r"\b(\d+ [a-z]+)\b"), 1)).alias("s"))
+    split = said.select("path", "line", F.substring_index("s", " ", 1).cast("long").alias("said"), F.substring_index("s", " ", -1).alias("noun"))
+    return split.join(truth, "noun").filter("said != n").select("path", "line", "noun", "said", "n")
+
+
+def populations(counts: dict[str, DataFrame]) -> DataFrame:
+    """(noun, n): how many rows there are of each."""
+    out = None
+    for noun, rows in counts.items():
+        own = rows.agg(F.count("*").alias("n")).select(F.lit(noun).alias("noun"), "n")
+        out = own if out is None else out.union(own)
+    return out

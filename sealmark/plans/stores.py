@@ -114,3 +114,41 @@ def sections_that_descend(spark: SparkSession, d: str) -> DataFrame:
 
     out = drops(code.headings(_pages(spark, d)), "path", "number", "line")
     return out.select("path", *(F.col(c).cast("long").alias(c) for c in ("line", "number", "before")))
+
+
+@query("""SELECT 'doc/' || id || '.md' AS path, CASE WHEN id % 5 = 1 THEN '' ELSE 'pkg/m' || (id * 2) || '.py' END AS file, CASE WHEN id % 5 IN (2, 3, 4) THEN 'f' || (id * 2 + CASE WHEN id % 5 = 4 THEN 1 ELSE 0 END) END AS symbol,
+ CASE WHEN id % 5 = 1 THEN 'empty' WHEN id * 2 NOT IN (SELECT id FROM path_v) THEN 'no file' WHEN id % 5 = 4 THEN 'no symbol' ELSE 'other value' END AS problem FROM path_v p
+ WHERE id % 5 IN (1, 4) OR id * 2 NOT IN (SELECT id FROM path_v) OR (id % 5 = 3 AND (SELECT q.size FROM path_v q WHERE q.id = p.id * 2) <> 7)""")
+def pin_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Pins of documents to files, symbols and values that are not there, or not so."""
+    i = F.col("id")
+    file = _text("pkg/m", i * 2, ".py")
+    body = F.when(i % 5 == 0, file).when(i % 5 == 1, "").when(i % 5 == 2, _text(file, "::f", i * 2)).when(i % 5 == 3, _text(file, "::f", i * 2, "=7")).otherwise(_text(file, "::f", i * 2 + 1))
+    docs = V.path(spark, d).select(_text("doc/", i, ".md").alias("path"), _text("a `<!-- pinned: shown -->` b\n```\n<!-- pinned: shown -->\n```\n<!-- pinned: ", body, " -->\n").alias("text"))
+    own = V.path(spark, d).select(_text("pkg/m", i, ".py").alias("path"), _text("f", i).alias("symbol"), F.col("size").cast("string").alias("value"))
+    return code.pin_faults(code.pins(docs), own, own.withColumnRenamed("path", "file"))
+
+
+@query("""WITH t_v AS (SELECT 'modules' AS noun, count(*) AS n FROM path_v UNION ALL SELECT 'tests', count(*) FROM path_v WHERE size % 3 = 0)
+ SELECT 'doc/' || id || '.md' AS path, 1::BIGINT AS line, noun, CASE noun WHEN 'modules' THEN id ELSE 3 END AS said, n FROM path_v, t_v WHERE CASE noun WHEN 'modules' THEN id ELSE 3 END <> n AND id % 4 <> 2""")
+def prose_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that state another number of modules or tests than there are; quoted lines and lines about the past are not judged."""
+    i, p = F.col("id"), V.path(spark, d)
+    head = F.when(i % 8 == 2, "> ").when(i % 8 == 6, "back then ").otherwise("")
+    docs = p.select(_text("doc/", i, ".md").alias("path"), _text(head, "There are ", i, " modules, 3 tests and 9 lives.\n> 1 modules\n").alias("text"))
+    out = code.prose_counts(docs, code.populations({"modules": p, "tests": p.filter("size % 3 = 0")}), "back then")
+    return out.withColumn("line", F.col("line").cast("long"))
+
+
+@query("""WITH s_v AS (SELECT id // 2 AS tid, (id // 2) % 100 AS key, id % 5 AS version, CASE WHEN k % 3 = 0 THEN 'result' ELSE 'assign' END AS action, CASE WHEN k % 2 = 0 THEN 'a' ELSE 'b' END AS sha, row_number() OVER (PARTITION BY (id // 2) % 100 ORDER BY id // 2, id % 5) AS n FROM event_v),
+ o_v(key, n, tid, version, action, now, seen, shown, outcome) AS (SELECT key, 0::BIGINT, -1::BIGINT, 0::BIGINT, '', 0::BIGINT, -1::BIGINT, '', '' FROM s_v GROUP BY key
+ UNION ALL SELECT s.key, s.n, s.tid, s.version, s.action, o.now + CASE WHEN s.tid <> o.seen AND s.version = o.now THEN 1 ELSE 0 END, CASE WHEN s.tid <> o.seen AND (s.version = o.now OR s.action = 'result') THEN s.tid ELSE o.seen END, CASE WHEN s.tid <> o.seen AND (s.version = o.now OR s.action = 'result') THEN s.sha ELSE o.shown END,
+ CASE WHEN s.tid = o.seen AND s.sha = o.shown THEN 'replayed' WHEN s.tid = o.seen THEN 'refused: same id, other content' WHEN s.version = o.now THEN 'applied' WHEN s.action = 'result' THEN 'kept late' ELSE 'refused: stale version' END
+ FROM o_v o JOIN s_v s ON s.key = o.key AND s.n = o.n + 1) SELECT tid AS id, version, outcome FROM o_v WHERE n > 0""", recursive=True)
+def transition_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Versioned transitions of works, each sent twice, as a batch: what applies, replays, comes late or is refused."""
+    from sealmark.streaming.state import transitions
+
+    tid, k = F.floor(F.col("id") / 2), F.col("k")
+    rows = V.event(spark, d).select(tid.alias("id"), (tid % 100).alias("key"), (F.col("id") % 5).alias("version"), F.when(k % 3 == 0, "result").otherwise("assign").alias("action"), F.when(k % 2 == 0, "a").otherwise("b").alias("sha"))
+    return transitions(rows).select("id", "version", "outcome")

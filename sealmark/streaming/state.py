@@ -1,6 +1,6 @@
 """Stateful streams: idempotent transitions with versions, late results, cadence, offsets.
 
-Late rows are never dropped: they are classified and kept. State is small, one row a key.
+Late rows are never dropped: they are classified and kept. The state of a key is its version and the ids it has accepted.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -36,8 +37,29 @@ def apply_transition(version: int, seen: dict[int, str], row: tuple[int, int, st
     return version, "refused: stale version"
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Outcomes of rows in order of key, id and version. Equal ids follow each other, so only the last one is remembered."""
+    begun, now, version, seen = False, None, 0, {}
+    for b in batches:
+        outcomes = []
+        for id_, key, expected, action, sha in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if not begun or key != now:
+                begun, now, version, seen = True, key, 0, {}
+            if id_ not in seen:
+                seen.clear()
+            version, outcome = apply_transition(version, seen, (id_, expected, action, sha))
+            outcomes.append(outcome)
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(outcomes, pa.string())], names=["id", "key", "version", "action", "outcome"])
+
+
 def transitions(rows: DataFrame) -> DataFrame:
-    """Outcome of every transition of each key, as a stream or as a batch of ``TRANSITIONS`` rows, by id within a batch."""
+    """Outcome of every transition of each key, of a stream or a table of ``TRANSITIONS`` rows, by id within a batch.
+
+    A table is sorted and streams past one version and one id. A stream keeps the ids it has accepted, as any may be sent again.
+    """
+    if not rows.isStreaming:
+        kinds = rows.select(*(F.col(c).cast(t).alias(c) for c, t in (x.split() for x in TRANSITIONS.split(", "))))
+        return kinds.repartition("key").sortWithinPartitions("key", "id", "version").mapInArrow(_settled, OUT)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         version, ids, shas = state.get if state.exists else (0, [], [])

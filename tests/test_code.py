@@ -45,3 +45,12 @@ def test_documents(spark):
 
 def test_verbs(spark):
     assert rows(code.verb_sites(frame(spark), ["post"])) == [("post", "a.client.post", "pkg/b.py:4")]
+
+
+def test_pins(spark):
+    text = "`<!-- pinned: no.py -->`\n<!-- pinned: a.py::f=3 --> <!--pinned: b.py --> <!-- pinned:  -->\n<!-- pinned: a.py::g -->\n<!-- pinned: a.py::f= -->"
+    marks = code.pins(spark.createDataFrame([("d.md", text), ("e.md", None), ("f.md", "")], "path string, text string"))
+    assert rows(marks.select("file", "symbol", "value")) == [("", None, None), ("a.py", "f", ""), ("a.py", "f", "3"), ("a.py", "g", None), ("b.py", None, None)]
+    own = spark.createDataFrame([("a.py", "f", "3")], "path string, symbol string, value string")
+    found = code.pin_faults(marks, own, own.withColumnRenamed("path", "file"))
+    assert rows(found.select("file", "problem")) == [("", "empty"), ("a.py", "no symbol"), ("a.py", "other value"), ("b.py", "no file")]

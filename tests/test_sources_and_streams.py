@@ -80,6 +80,13 @@ def test_transitions_as_a_stream(spark, tmp_path):
     assert got == [(1, "applied"), (1, "replayed"), (2, "refused: stale version"), (3, "kept late"), (4, "applied")]
 
 
+def test_transitions_of_a_table(spark):
+    data = [(2, 7, 0, "stop", "b"), (1, 7, 0, "assign", "a"), (1, 7, 0, "assign", "a"), (3, 7, 0, "result", "c"), (4, 7, 1, "stop", "d"), (1, 8, 0, "assign", "a"), (1, None, 1, "assign", "a")]
+    got = state.transitions(spark.createDataFrame(data, state.TRANSITIONS)).collect()
+    assert sorted((r.id, str(r.key), r.outcome) for r in got) == [(1, "7", "applied"), (1, "7", "replayed"), (1, "8", "applied"), (1, "None", "refused: stale version"), (2, "7", "refused: stale version"), (3, "7", "kept late"), (4, "7", "applied")]
+    assert state.transitions(spark.createDataFrame([], state.TRANSITIONS)).count() == 0
+
+
 def test_upsert_ignore_is_idempotent(spark, tmp_path):
     src, target = str(tmp_path / "in"), str(tmp_path / "claims")
     schema = "id string, sha string"
