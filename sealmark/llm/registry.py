@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sealmark.llm import ann, bpe, chat, html_text, licenses, near_dup, order_minhash, packing, quality, secrets
+from sealmark.llm import ann, bpe, chat, collocations, html_text, licenses, near_dup, order_minhash, packing, quality, secrets, turn_repair, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,5 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_bpe": bpe.op9_bpe,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_turn_repair": turn_repair.op11_turn_repair,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_url_filter": url_filter.op13_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat.OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat.OP3_SQL, "op12_collocations": collocations.OP12_SQL}
