@@ -34,7 +34,7 @@ from sealmark.llm._common import mix, prepare, saved, scratch, table
 PIECE_ENDS, WORD_ENDS, NO_LANG = b".,;:!?\n\x0b\x0c\r", b" \t", "und"
 MAX_WORDS, LEAST, SHARE, TOP, SCALE = 3, 10, 50, 2000, 1_000_000
 #: Bytes of text in a shard, and phrases that a block is made for.
-SHARD = 12 << 20
+SHARD = 8 << 20
 BLOCK = 1 << 21
 _MARK = b"."
 _PLAIN = bytes(_MARK[0] if i in PIECE_ENDS else 32 if i in WORD_ENDS else i + 32 if 65 <= i <= 90 else i for i in range(256))
