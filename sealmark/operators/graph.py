@@ -1,24 +1,214 @@
-"""Dependency graphs as edges: closure, components, cycles, missing and stale dependencies."""
+"""Dependency graphs as edges: components, cycles, reachability, digests of what is reached, missing and stale dependencies.
+
+Graphs are first made smaller, round by round. A node that no more than one edge enters, or no more than one leaves, is taken out and
+the edges through it are joined to one; a round takes out a set of such nodes no two of which are neighbours, about a third of a chain, so
+a chain or ring of n nodes takes log n rounds of geometrically falling size. What every round took out is put back in reverse. A graph of at most
+``LOCAL_EDGES`` edges, a bound that does not grow, is then answered within tasks. Graphs in which too few such nodes are left, and which
+are larger than that, take the rounds of ``_spread`` and ``_stepped``, as many as their paths are long.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealmark.operators.settled import settle
+from sealmark.operators.settled import scratch, settle
+
+#: Edges that one task may hold.
+LOCAL_EDGES = 1 << 17
+#: A round that takes out less than this share of the nodes is the last one.
+WORTH = 0.05
+#: Starts that one pass over a graph in a task follows at once, a bit each.
+STARTS = 4096
+
+
+def _plain(edges: DataFrame) -> DataFrame:
+    return edges.filter("src != dst").select("src", "dst").distinct()
+
+
+def _nodes(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+
+
+def _at(nodes: DataFrame, end: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(end))
+
+
+# --- within a task ---------------------------------------------------------------------------------
+
+
+class Small:
+    """A graph of bounded size: components in the order of a topological sort (an edge leads to a later component, or stays)."""
+
+    def __init__(self, src: list, dst: list):
+        self.place: dict[Any, int] = {}
+        for x in (*src, *dst):
+            self.place.setdefault(x, len(self.place))
+        self.names = list(self.place)
+        a, b = (np.fromiter((self.place[x] for x in side), np.int64, len(side)) for side in (src, dst))
+        order = np.argsort(a, kind="stable")
+        self.ends, self.to = np.searchsorted(a[order], np.arange(len(self.names) + 1)).tolist(), b[order].tolist()
+        self.component = self._components()
+
+    def _components(self) -> list[int]:
+        """By paths: open nodes stand on a stack, and a second one holds where each component that may still be joined begins."""
+        n = len(self.names)
+        seen, component, found = [-1] * n, [-1] * n, 0
+        opened: list[int] = []
+        begins: list[int] = []
+        clock = 0
+        for root in range(n):
+            if seen[root] >= 0:
+                continue
+            walk = [(root, self.ends[root])]
+            seen[root], clock = clock, clock + 1
+            opened.append(root)
+            begins.append(root)
+            while walk:
+                node, i = walk.pop()
+                if i < self.ends[node + 1]:
+                    walk.append((node, i + 1))
+                    near = self.to[i]
+                    if seen[near] < 0:
+                        seen[near], clock = clock, clock + 1
+                        opened.append(near)
+                        begins.append(near)
+                        walk.append((near, self.ends[near]))
+                    elif component[near] < 0:
+                        while seen[begins[-1]] > seen[near]:
+                            begins.pop()
+                elif begins[-1] == node:
+                    begins.pop()
+                    while component[node] < 0:
+                        component[opened.pop()] = found
+                    found += 1
+        return [found - 1 - c for c in component]
+
+    def reached(self, starts: list) -> Iterator[tuple[Any, int, bool]]:
+        """(node, bits, again) for every node that one of the ``starts`` reaches, a bit each; ``again``: also from itself, by an edge or more."""
+        n = max(self.component, default=-1) + 1
+        bits, members, loops = [0] * n, [[] for _ in range(n)], [0] * n
+        for node, c in enumerate(self.component):
+            members[c].append(node)
+        for i, s in enumerate(starts):
+            if (at := self.place.get(s)) is not None:
+                bits[self.component[at]] |= 1 << i
+        for c in range(n):
+            if bits[c]:
+                for node in members[c]:
+                    for k in range(self.ends[node], self.ends[node + 1]):
+                        bits[self.component[self.to[k]]] |= bits[c]
+        for c, held in enumerate(bits):
+            if held:
+                for node in members[c]:
+                    yield self.names[node], held, len(members[c]) > 1
+
+
+def _pairs(left: DataFrame) -> tuple[list, list]:
+    """A graph that has been counted to be within the bound."""
+    rows = left.select("src", "dst").toArrow()
+    return rows.column("src").to_pylist(), rows.column("dst").to_pylist()
+
+
+def _local_components(left: DataFrame) -> DataFrame:
+    kind = left.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src, dst, of = [], [], pa.int64()
+        for b in batches:
+            of = b.schema.field(0).type
+            src += b.column(0).to_pylist()
+            dst += b.column(1).to_pylist()
+        g = Small(src, dst)
+        first: dict[int, Any] = {}
+        for name, c in zip(g.names, g.component, strict=True):
+            first.setdefault(c, name)
+        if g.names:
+            yield pa.RecordBatch.from_arrays([pa.array(g.names, of), pa.array([first[c] for c in g.component], of)], names=["node", "component"])
+
+    return left.select("src", "dst").coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
+
+def _local_reached(starts: DataFrame, left: DataFrame) -> DataFrame:
+    """(of, node, again) of the distinct ``starts`` (of), in passes of so many starts."""
+    kind = left.schema["src"].dataType.simpleString()
+    graph = starts.sparkSession.sparkContext.broadcast(_pairs(left))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = None
+        for b in batches:
+            g = g or Small(*graph.value)
+            of, every = b.schema.field(0).type, b.column(0).to_pylist()
+            for i in range(0, len(every), STARTS):
+                some = every[i : i + STARTS]
+                place = {s: k for k, s in enumerate(some)}
+                size, out, held = len(some) // 8 + 1, ([], [], []), 0
+                for node, bits, again in g.reached(some):
+                    hit = np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(size, "little"), np.uint8), bitorder="little"))
+                    mine = place.get(node)
+                    out[0].append(hit)
+                    out[1].append((node, len(hit)))
+                    out[2].append(np.ones(len(hit), bool) if again or mine is None else hit != mine)
+                    held += len(hit)
+                    if held > 1 << 16:
+                        yield _made(some, out, of)
+                        out, held = ([], [], []), 0
+                if held:
+                    yield _made(some, out, of)
+
+    return starts.select("of").mapInArrow(run, f"of {kind}, node {kind}, again boolean")
+
+
+def _made(starts: list, out: tuple[list, list, list], kind: pa.DataType) -> pa.RecordBatch:
+    of = pa.array(starts, kind).take(pa.array(np.concatenate(out[0])))
+    node = pa.array([n for n, _ in out[1]], kind).take(pa.array(np.repeat(np.arange(len(out[1])), [k for _, k in out[1]])))
+    return pa.RecordBatch.from_arrays([of, node, pa.array(np.concatenate(out[2]))], names=["of", "node", "again"])
+
+
+# --- making a graph smaller ------------------------------------------------------------------------
+
+
+def _thin(left: DataFrame, stay: DataFrame | None, turn: int) -> DataFrame:
+    """(node): nodes that at most one edge enters or leaves, none of them neighbours of each other, and none of ``stay``."""
+    ends = left.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(left.select("dst", F.lit(0), F.lit(1)))
+    few = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).filter("o <= 1 OR i <= 1").select("node")
+    few = few if stay is None else few.join(stay, "node", "left_anti")
+    rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), F.col(c))
+    between = left.join(_at(few, "src"), "src", "left_semi").join(_at(few, "dst"), "dst", "left_semi")
+    beaten = between.select(F.when(rank("src") < rank("dst"), F.col("dst")).otherwise(F.col("src")).alias("node")).distinct()
+    return few.join(beaten, "node", "left_anti")
+
 
+def _through(left: DataFrame, out: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, node) and (node, w): the edges that enter and leave the nodes taken out."""
+    return left.select(F.col("src").alias("u"), F.col("dst").alias("node")).join(out, "node"), left.select(F.col("src").alias("node"), F.col("dst").alias("w")).join(out, "node")
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) of every path. Paths double in length each round, so a path of n edges takes log n rounds."""
-    reach = settle(edges.select("src", "dst").distinct())
-    while True:
-        longer = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        known = reach.select(F.col("src").alias("s"), F.col("dst").alias("d"))
-        marked = longer.distinct().join(known, (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")), "full_outer")
-        both = settle(marked.select(F.coalesce("src", "s").alias("src"), F.coalesce("dst", "d").alias("dst"), F.col("s").isNull().alias("new")))
-        if both.filter("new").isEmpty():
-            return reach
-        reach = both.select("src", "dst")
+
+def _smaller(edges: DataFrame, stay: DataFrame | None, most: int) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame, int, list[DataFrame]]:
+    """(edges, nodes taken out) of each round, the edges left, their number, and nodes with a way back to themselves that came up."""
+    left, rounds, loops = settle(_plain(edges)), [], []
+    n = left.count()
+    while n > most:
+        out = settle(_thin(left, stay, len(rounds)))
+        if out.count() < WORTH * n:
+            break
+        enter, leave = _through(left, out)
+        over = enter.join(leave, "node").select(F.col("u").alias("src"), F.col("w").alias("dst"))
+        rest = left.join(_at(out, "src"), "src", "left_anti").join(_at(out, "dst"), "dst", "left_anti").select("src", "dst")
+        both = settle(rest.union(over).distinct())
+        rounds.append((left, out))
+        loops.append(both.filter("src = dst").select(F.col("src").alias("node")))
+        left = both.filter("src != dst")
+        n = left.count()
+    return rounds, left, n, loops
+
+
+# --- components ------------------------------------------------------------------------------------
 
 
 def _least_label(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -32,41 +222,66 @@ def _least_label(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _reaching(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label) of the roots and of all nodes from which edges of a label (src, dst, label) lead to its root."""
-    all_ = front = settle(roots)
-    while not front.isEmpty():
-        back = edges.join(front.withColumnRenamed("node", "dst"), ["dst", "label"]).select(F.col("src").alias("node"), "label").distinct()
-        front = settle(back.join(all_, ["node", "label"], "left_anti"))
-        all_ = settle(all_.union(front))
-    return all_
+    """(node, label) of the roots and of all nodes from which edges of a label (src, dst, label) lead to its root. Each round writes what is new."""
+    parts = [settle(roots)]
+    while not parts[-1].isEmpty():
+        back = edges.join(parts[-1].withColumnRenamed("node", "dst"), ["dst", "label"]).select(F.col("src").alias("node"), "label").distinct()
+        for p in parts:
+            back = back.join(p, ["node", "label"], "left_anti")
+        parts.append(settle(back))
+        if len(parts) > 8:
+            parts = [settle(_all(parts[:-1])), parts[-1]]
+    return _all(parts)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): strongly connected components, named by their least node; every node of an edge is in one.
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
-    Labels spread forward; the nodes of a label from which its own node can be reached are a component, and all edges
-    between labels or at such nodes go. Nodes and edges move, never pairs of nodes. Nodes are their own labels in the first
-    round and get random ones after that, which halves what is left of a long chain in a few rounds.
+
+def _spread(left: DataFrame) -> DataFrame:
+    """(node, component) by labels that spread forward and are met backward.
+
+    The nodes of a label from which its own node can be reached are a component, and all edges between labels or at such nodes go. Nodes are
+    their own labels in the first round and get random ones after that.
     """
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    left, found, turn = settle(edges.filter("src != dst").select("src", "dst").distinct()), None, 0
+    found, turn = left.limit(0).select(F.col("src").alias("node"), F.col("src").alias("component")), 0
     while not left.isEmpty():
-        # A node that nothing enters or leaves is a component of its own, and so are its edges' ends apart from each other.
+        # A node that nothing enters or leaves is a component of its own.
         inner = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        own = inner.select(F.col("src").alias("node")).union(inner.select("dst")).distinct()
         rank = F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long")
-        labels = _least_label(own.select("node", F.struct(rank.alias("rank"), "node").alias("label")), inner)
+        labels = _least_label(_nodes(inner).select("node", F.struct(rank.alias("rank"), "node").alias("label")), inner)
         of = lambda end, name: labels.select(F.col("node").alias(end), F.col("label").alias(name))
         same = settle(inner.join(of("src", "label"), "src").join(of("dst", "_other"), "dst").filter("label = _other").select("src", "dst", "label"))
-        got = _reaching(labels.filter("label.node = node"), same)
-        named = got.join(got.groupBy("label").agg(F.min("node").alias("component")), "label").select("node", "component")
-        found = settle(named if found is None else found.union(named))
+        got = settle(_reaching(labels.filter("label.node = node"), same).select("node", F.col("label.node").alias("component")))
+        found = settle(found.union(got))
         done = got.select("node")
-        left = settle(same.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        left = settle(same.join(_at(done, "src"), "src", "left_anti").join(_at(done, "dst"), "dst", "left_anti").select("src", "dst"))
         turn += 1
-    if found is None:
-        return nodes.select("node", F.col("node").alias("component"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return found
+
+
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(node, component): strongly connected components, named by their least node; every node of an edge is in one.
+
+    A node taken out is in a component that an edge enters it from and an edge leaves it for, if there is one.
+    """
+    with scratch(edges.sparkSession) as keep:
+        rounds, left, n, _ = _smaller(edges, None, local_edges)
+        found = settle(_local_components(left) if n <= local_edges else _spread(left))
+        for before, out in reversed(rounds):
+            named = lambda side, end: side.join(found.withColumnRenamed("node", end), end, "left").select("node", F.coalesce("component", end).alias("component"))
+            enter, leave = _through(before, out)
+            back = named(enter, "u").intersect(named(leave, "w"))
+            found = settle(found.union(back))
+        # A component may be named by a node that came back first, and has no row of its own.
+        own = found.select(F.col("component").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
+        whole = found.union(own.select("node", F.col("node").alias("component")))
+        least = whole.groupBy("component").agg(F.min("node").alias("_least"))
+        named_ = whole.join(least, "component").select("node", F.col("_least").alias("component"))
+        return keep(_nodes(edges).join(named_, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
 
 
 def cycle_edges(edges: DataFrame) -> DataFrame:
@@ -76,18 +291,85 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
     return edges.join(of("src", "_a"), "src").join(of("dst", "_b"), "dst").filter("_a = _b AND src != dst").select("src", "dst", F.col("_a").alias("component"))
 
 
+# --- reachability ----------------------------------------------------------------------------------
+
+
+def _stepped(starts: DataFrame, left: DataFrame) -> DataFrame:
+    """(of, node, again) by one edge a round, from the starts alone; each round writes what is new."""
+    parts = [settle(starts.select("of", F.col("of").alias("at")))]
+    front, back = parts[0], []
+    while not front.isEmpty():
+        step = front.withColumnRenamed("at", "src").join(left, "src").select("of", F.col("dst").alias("at")).distinct()
+        back.append(settle(step.filter("of = at")))
+        for p in parts:
+            step = step.join(p, ["of", "at"], "left_anti")
+        front = settle(step)
+        parts.append(front)
+        if len(parts) > 8:
+            parts, back = [settle(_all(parts))], [settle(_all(back))]
+    again = _all(back).distinct().withColumn("_again", F.lit(True))
+    return _all(parts).join(again, ["of", "at"], "left").select("of", F.col("at").alias("node"), ((F.col("of") != F.col("at")) | F.col("_again").isNotNull()).alias("again"))
+
+
+def _reached(starts: DataFrame, stay: DataFrame, edges: DataFrame, local_edges: int, whole: bool) -> DataFrame:
+    """(of, node, again) of the ``starts``; with ``whole``, nodes taken out are put back, else those of ``stay`` alone are answered."""
+    rounds, left, n, loops = _smaller(edges, stay, local_edges)
+    self_ = edges.filter("src = dst").select(F.col("src").alias("node"))
+    begun = settle(starts.select("of").filter("of IS NOT NULL").distinct())
+    left = settle(left)
+    if n <= local_edges:
+        found = _local_reached(begun, left)
+        found = found.union(begun.join(_nodes(left).withColumnRenamed("node", "of"), "of", "left_anti").select("of", F.col("of").alias("node"), F.lit(False)))
+    else:
+        found = _stepped(begun, left)
+    found = settle(found)
+    if whole:
+        for before, out in reversed(rounds):
+            enter, _ = _through(before, out)
+            more = found.select("of", F.col("node").alias("u")).join(enter, "u").select("of", "node", F.lit(True).alias("again")).distinct()
+            found = settle(found.union(more))
+    ways = _all([self_, *loops]).distinct().select(F.col("node").alias("of"), F.lit(True).alias("_way"))
+    return found.join(ways, "of", "left").select("of", "node", (F.col("again") | F.col("_way").isNotNull()).alias("again"))
+
+
+def reached(starts: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(of, node): every node that a path of one edge or more leads to from the ``starts`` (of)."""
+    with scratch(edges.sparkSession) as keep:
+        begun = settle(starts.select("of").distinct())
+        return keep(_reached(begun, begun.select(F.col("of").alias("node")), edges, local_edges, whole=True).filter("again").select("of", "node"))
+
+
+def closure(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(src, dst) of every path: all pairs, which is what is asked for."""
+    return reached(edges.select(F.col("src").alias("of")), edges, local_edges).select(F.col("of").alias("src"), F.col("node").alias("dst"))
+
+
+def ancestors(pairs: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """``pairs`` (of, node) whose ``node`` is ``of`` or is reached from it along (src, dst)."""
+    with scratch(edges.sparkSession) as keep:
+        asked = settle(pairs.select("of", "node"))
+        ends = asked.select("node").union(asked.select("of")).distinct()
+        found = _reached(asked, settle(ends), edges, local_edges, whole=False).select("of", "node")
+        same = pairs.filter("of = node")
+        return keep(same.union(pairs.filter("of != node").join(found, ["of", "node"], "left_semi").select(*pairs.columns)))
+
+
+def digests_of_reached(entries: DataFrame, edges: DataFrame, files: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(of, digest, n): one digest over path and content digest of an entry (of) and everything it reaches, in order of path, and the number of files.
+
+    ``files`` has (node, path, sha). What is reached but is no file does not count. Rows of an entry stream by in order; none is gathered.
+    """
+    from sealmark.operators.chain import tree_digests
+
+    with scratch(edges.sparkSession) as keep:
+        begun = settle(entries.select("of").distinct())
+        all_ = reached(begun, edges, local_edges).union(begun.select("of", F.col("of").alias("node"))).distinct()
+        rows = all_.join(files.select("node", "path", "sha"), "node").select("of", "path", "sha")
+        return keep(tree_digests(rows, "of").withColumnRenamed("area", "of"))
+
+
 def dependency_faults(works: DataFrame, needs: DataFrame) -> DataFrame:
     """(id, needs, problem): unknown works, a work that needs itself, and revisions that are no longer current."""
     known = works.select(F.col("id").alias("needs"), F.col("revision").alias("_current"))
     problem = F.when(F.col("needs") == F.col("id"), "self").when(F.col("_current").isNull(), "unknown").when(F.col("_current") != F.col("revision"), "stale")
     return needs.join(known, "needs", "left").select("id", "needs", problem.alias("problem")).filter("problem IS NOT NULL")
-
-
-def ancestors(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """``pairs`` (of, node) whose ``node`` is ``of`` or is reached from it along (src, dst). Only from the pairs' own starts, one step a round."""
-    front = reached = settle(pairs.select("of", F.col("of").alias("at")).distinct())
-    while not front.isEmpty():
-        step = front.withColumnRenamed("at", "src").join(edges.select("src", "dst"), "src").select("of", F.col("dst").alias("at")).distinct()
-        front = settle(step.join(reached, ["of", "at"], "left_anti"))
-        reached = settle(reached.union(front))
-    return pairs.join(reached.withColumnRenamed("at", "node"), ["of", "node"], "left_semi")

@@ -28,9 +28,17 @@ def cycle_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.cycle_edges(V.edge(spark, d))
 
 
-@query("WITH w_v AS (SELECT id, id % 7 AS revision FROM claim_v), d_v AS (SELECT id, CASE WHEN id % 50 = 1 THEN id ELSE (id * 3 + 1) % 15000 END AS needs, ((id * 3 + 1) % 15000) % 7 + CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END AS revision FROM claim_v) SELECT * FROM (SELECT d.id, d.needs, CASE WHEN d.needs = d.id THEN 'self' WHEN w.id IS NULL THEN 'unknown' WHEN w.revision <> d.revision THEN 'stale' END AS problem FROM d_v d LEFT JOIN w_v w ON w.id = d.needs) WHERE problem IS NOT NULL")
+@query(f"WITH {_REACH}, x_v AS (SELECT id AS of, id AS node FROM path_v WHERE size <= 5 UNION SELECT p.id, r.dst FROM path_v p JOIN r_v r ON r.src = p.id WHERE p.size <= 5) SELECT CAST(x.of AS VARCHAR) AS of, sha256(string_agg(f.path || chr(31) || f.sha || chr(30), '' ORDER BY f.path, f.sha)) AS digest, count(*) AS n FROM x_v x JOIN path_v f ON f.id = x.node GROUP BY 1", recursive=True)
+def program_digests(spark: SparkSession, d: str) -> DataFrame:
+    """What an entry and all that it imports, at any distance, add up to."""
+    files = V.path(spark, d)
+    entries = files.filter("size <= 5").select(F.col("id").cast("long").alias("of"))
+    return graph.digests_of_reached(entries, V.edge(spark, d), files.select(F.col("id").cast("long").alias("node"), "path", "sha"))
+
+
+@query("WITH w_v AS (SELECT id, id % 7 AS revision FROM claim_v), d_v AS (SELECT id, CASE WHEN id % 50 = 1 THEN id ELSE (id * 3 + 1) % (SELECT max(id) + 1 FROM claim_v) END AS needs, ((id * 3 + 1) % (SELECT max(id) + 1 FROM claim_v)) % 7 + CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END AS revision FROM claim_v) SELECT * FROM (SELECT d.id, d.needs, CASE WHEN d.needs = d.id THEN 'self' WHEN w.id IS NULL THEN 'unknown' WHEN w.revision <> d.revision THEN 'stale' END AS problem FROM d_v d LEFT JOIN w_v w ON w.id = d.needs) WHERE problem IS NOT NULL")
 def dependency_faults(spark: SparkSession, d: str) -> DataFrame:
     c = V.claim(spark, d)
-    to = (F.col("id") * 3 + 1) % 15000
-    needs = c.select("id", F.when(F.col("id") % 50 == 1, F.col("id")).otherwise(to).alias("needs"), (to % 7 + F.when(F.col("id") % 11 == 0, 1).otherwise(0)).alias("revision"))
+    to = (F.col("id") * 3 + 1) % (F.col("_most") + 1)
+    needs = c.crossJoin(c.agg(F.max("id").alias("_most"))).select("id", F.when(F.col("id") % 50 == 1, F.col("id")).otherwise(to).alias("needs"), (to % 7 + F.when(F.col("id") % 11 == 0, 1).otherwise(0)).alias("revision"))
     return graph.dependency_faults(c.select("id", (F.col("id") % 7).alias("revision")), needs).select("id", "needs", "problem")

@@ -55,11 +55,12 @@ def paths_by_layer(spark: SparkSession, d: str) -> DataFrame:
     return V.path(spark, d).groupBy(G.first_layer("path", LAYERS).alias("layer")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH l_v AS (SELECT id, path, {_LAYER} AS layer FROM path_v) SELECT a.path AS src, b.path AS dst, a.layer AS src_layer, b.layer AS dst_layer FROM l_v a JOIN l_v b ON b.id = (a.id * 7 + 3) % 2000 WHERE a.layer <> '' AND b.layer <> '' AND a.layer <> b.layer AND NOT (a.layer = 'shell' AND b.layer = 'core')")
+@query(f"WITH l_v AS (SELECT id, path, {_LAYER} AS layer FROM path_v) SELECT a.path AS src, b.path AS dst, a.layer AS src_layer, b.layer AS dst_layer FROM l_v a JOIN l_v b ON b.id = (a.id * 7 + 3) % (SELECT max(id) + 1 FROM path_v) WHERE a.layer <> '' AND b.layer <> '' AND a.layer <> b.layer AND NOT (a.layer = 'shell' AND b.layer = 'core')")
 def layer_crossings(spark: SparkSession, d: str) -> DataFrame:
     p = V.path(spark, d)
     layers = p.select("path", G.first_layer("path", LAYERS).alias("layer"))
-    edges = p.select("path", ((F.col("id") * 7 + 3) % 2000).alias("to")).join(p.select(F.col("id").alias("to"), F.col("path").alias("dst")), "to").select(F.col("path").alias("src"), "dst")
+    most = p.agg(F.max("id").alias("_most"))
+    edges = p.crossJoin(most).select("path", ((F.col("id") * 7 + 3) % (F.col("_most") + 1)).alias("to")).join(p.select(F.col("id").alias("to"), F.col("path").alias("dst")), "to").select(F.col("path").alias("src"), "dst")
     allowed = spark.range(1).select(F.lit("shell").alias("src_layer"), F.lit("core").alias("dst_layer"))
     return joins.crossings(edges, layers, allowed).select("src", "dst", "src_layer", "dst_layer")
 

@@ -20,14 +20,33 @@ def reach(edges):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_against_reachability(spark, seed):
+def random_edges(seed):
     r = random.Random(seed)
-    edges = {(r.randrange(40), r.randrange(40)) for _ in range(55)} | {(100 + i, 101 + i) for i in range(6)} | {(7, 7)}
+    return {(r.randrange(40), r.randrange(40)) for _ in range(55)} | {(100 + i, 101 + i) for i in range(6)} | {(7, 7), (200, 201), (201, 200), (300, 300)} | {(400 + i, 400 + (i + 1) % 9) for i in range(9)}
+
+
+#: All in one task, some rounds first, and rounds only.
+LOCAL = [graph.LOCAL_EDGES, 20, 0]
+
+
+@pytest.mark.parametrize("local", LOCAL)
+def test_components_against_reachability(spark, local):
+    edges = random_edges(local)
     to = reach(edges)
     want = {n: min(m for m in to if m in to[n] and n in to[m]) for n in to}
-    got = {x.node: x.component for x in graph.components(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()}
-    assert got == want
+    rows = graph.components(spark.createDataFrame(sorted(edges), "src long, dst long"), local_edges=local).collect()
+    assert len(rows) == len(want) and {x.node: x.component for x in rows} == want
+
+
+def test_components_of_dense_graphs_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "WORTH", 2)  # nothing is taken out
+    r = random.Random(4)
+    edges = {(r.randrange(25), r.randrange(25)) for _ in range(40)}
+    to = reach(edges)
+    df = spark.createDataFrame(sorted(edges), "src long, dst long")
+    assert {x.node: x.component for x in graph.components(df, local_edges=0).collect()} == {n: min(m for m in to if m in to[n] and n in to[m]) for n in to}
+    paths = {(a, c) for a, b in edges for c in to[b]}
+    assert {(x.of, x.node) for x in graph.reached(df.select(F.col("src").alias("of")), df, local_edges=0).collect()} == paths
 
 
 def test_components_without_edges(spark):
@@ -35,10 +54,77 @@ def test_components_without_edges(spark):
     assert [tuple(x) for x in graph.components(spark.createDataFrame([(3, 3)], "src long, dst long")).collect()] == [(3, 3)]
 
 
-def test_ancestors(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 3), (4, 3), (3, 1)], "src long, dst long")
-    pairs = spark.createDataFrame([(1, 3), (1, 4), (4, 1), (5, 5), (2, 2)], "of long, node long")
-    assert sorted(tuple(x) for x in graph.ancestors(pairs, edges).collect()) == [(1, 3), (2, 2), (4, 1), (5, 5)]
+def test_names_of_nodes_may_be_texts(spark):
+    edges = spark.createDataFrame([("b", "a"), ("a", "b"), ("b", "é"), ("é", None)], "src string, dst string")
+    got = {tuple(x) for x in graph.components(edges.filter("dst IS NOT NULL")).collect()}
+    assert got == {("a", "a"), ("b", "a"), ("é", "é")}
+    assert {tuple(x) for x in graph.reached(spark.createDataFrame([("a",), (None,), ("none",)], "of string"), edges).collect()} == {("a", "a"), ("a", "b"), ("a", "é")}
+
+
+@pytest.mark.parametrize("local", LOCAL)
+def test_reached_and_closure(spark, local):
+    edges = random_edges(local + 1)
+    to, df = reach(edges), spark.createDataFrame(sorted(edges), "src long, dst long")
+    paths = {(a, c) for a, b in edges for c in to[b]}
+    starts = [0, 3, 7, 100, 200, 300, 404, 999]
+    got = [tuple(x) for x in graph.reached(spark.createDataFrame([(s,) for s in starts + [3]], "of long"), df, local_edges=local).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in paths if a in starts}
+    if local:
+        got = [tuple(x) for x in graph.closure(df, local_edges=local).collect()]
+        assert len(got) == len(set(got)) and set(got) == paths
+
+
+@pytest.mark.parametrize("local", LOCAL)
+def test_ancestors(spark, local):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (4, 3), (3, 1)] + [(10 + i, 11 + i) for i in range(30)], "src long, dst long")
+    pairs = spark.createDataFrame([(1, 3), (1, 4), (4, 1), (5, 5), (2, 2), (10, 40), (12, 11), (20, 30)], "of long, node long")
+    assert sorted(tuple(x) for x in graph.ancestors(pairs, edges, local_edges=local).collect()) == [(1, 3), (2, 2), (4, 1), (5, 5), (10, 40), (20, 30)]
+
+
+def jobs(spark, name, f):
+    spark.sparkContext.setJobGroup(name, name)
+    out = f().collect()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, n
+
+
+def test_rings_and_chains_of_any_length_take_few_jobs(spark):
+    n = 100_000
+    ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+    got, k = jobs(spark, "ring", lambda: graph.components(ring))
+    assert len(got) == n and {x.component for x in got} == {0} and k <= 40
+    chain_ = ring.filter("dst > src")
+    pairs = spark.createDataFrame([(0, n - 1), (n - 1, 0), (5, 4), (4, 5)], "of long, node long")
+    got, k = jobs(spark, "chain", lambda: graph.ancestors(pairs, chain_))
+    assert sorted(tuple(x) for x in got) == [(0, n - 1), (4, 5)] and k <= 40
+
+
+def test_rounds_grow_with_the_logarithm_of_a_ring(spark):
+    def rounds(n):
+        ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+        return len(graph._smaller(ring, None, 50)[0])
+
+    assert rounds(6400) <= rounds(400) + 12
+
+
+def test_tables_of_rounds_are_deleted(spark):
+    import os
+
+    at = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = {x for x in os.listdir(at) if x.startswith("settled-")}
+    graph.components(spark.createDataFrame(sorted(random_edges(3)), "src long, dst long"), local_edges=10).collect()
+    assert len({x for x in os.listdir(at) if x.startswith("settled-")} - before) == 1
+
+
+def test_digests_of_what_is_reached(spark):
+    import hashlib
+
+    edges = {(0, 1), (1, 2), (2, 1), (3, 9)}
+    files = {0: ("b.py", "s0"), 1: ("a.py", "s1"), 2: ("c.py", "s2"), 3: ("d.py", "s3")}
+    got = {x.of: (x.digest, x.n) for x in graph.digests_of_reached(spark.createDataFrame([(0,), (3,), (2,), (77,)], "of long"), spark.createDataFrame(sorted(edges), "src long, dst long"), spark.createDataFrame([(k, *v) for k, v in files.items()], "node long, path string, sha string")).collect()}
+    text = lambda nodes: hashlib.sha256("".join(f"{p}\x1f{s}\x1e" for p, s in sorted(files[n] for n in nodes)).encode()).hexdigest()
+    assert got == {"0": (text([0, 1, 2]), 3), "2": (text([1, 2]), 2), "3": (text([3]), 1)}
 
 
 def test_segments_commit_to_order_and_content(spark):
