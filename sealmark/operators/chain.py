@@ -19,19 +19,27 @@ from sealmark.operators.settled import settle
 GENESIS = ""
 
 
-def numbered(rows: DataFrame, order: str = "id") -> DataFrame:
-    """``rows`` with ``position`` from 0, without one task that holds all rows: ranges are sorted and counted, then offset."""
+def running(rows: DataFrame, order: list[str], value: Column, name: str = "before") -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows before each one, in ``order``, without one task that holds all rows.
+
+    Ranges are sorted and summed, then offset: what reaches the driver is one row a range.
+    """
     spark = rows.sparkSession
-    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
+    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     # Written once: places among ties must not change when an executor is lost.
-    placed = settle(ranged.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
-    counts = placed.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()  # one row a partition
+    placed = settle(ranged.select("*", value.cast("long").alias("_v"), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
     total, offsets = 0, []
-    for p, n in counts:
-        offsets.append((p, total - (p << 33)))
+    for p, n in placed.groupBy("_p").agg(F.sum("_v").alias("n")).orderBy("_p").collect():
+        offsets.append((p, total))
         total += n
     table = F.create_map(*(F.lit(x) for kv in offsets for x in kv)) if offsets else F.create_map(F.lit(0), F.lit(0))
-    return placed.withColumn("position", (F.col("_m") + F.try_element_at(table, "_p")).cast("long")).drop("_p", "_m")
+    within = F.sum("_v").over(Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn(name, (F.coalesce(within, F.lit(0)) + F.try_element_at(table, "_p")).cast("long")).drop("_v", "_p", "_m")
+
+
+def numbered(rows: DataFrame, order: str = "id") -> DataFrame:
+    """``rows`` with ``position`` from 0, without one task that holds all rows."""
+    return running(rows, [order], F.lit(1), "position")
 
 
 def walk(events: DataFrame, fields: list[str], order: str = "id", chain: str | None = None) -> DataFrame:
@@ -64,11 +72,11 @@ def walk(events: DataFrame, fields: list[str], order: str = "id", chain: str | N
     return met.select(F.col(order).alias("id"), F.when(fork, "fork").otherwise(F.col("_wrong")).alias("problem"))
 
 
-def build(rows: DataFrame, fields: list[str], scheme: str, order: str = "id", chain: str | None = None) -> DataFrame:
+def build(rows: DataFrame, fields: list[str], scheme: str, order: str = "id", chain: str | None = None, after: tuple[object, str] | None = None) -> DataFrame:
     """``rows`` with ``prev_hash``, ``row_hash`` and ``scheme``: one chain for each value of ``chain``, or one of all rows.
 
     A hash needs the one before it, so a chain is sequential: its rows stream through one task, in order, and only
-    the last hash is held. For many rows take ``build_segments``.
+    the last hash is held. For many rows take ``build_segments``. ``after`` is (a value of ``chain``, the hash that its rows go on from).
     """
     keys = [chain] if chain else []
     dealt = rows.repartition(chain) if chain else rows.coalesce(1)
@@ -76,13 +84,13 @@ def build(rows: DataFrame, fields: list[str], scheme: str, order: str = "id", ch
     at = rows.columns.index(chain) if chain else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prev, now = GENESIS, None
+        prev, now = after[1] if after and after[0] is None else GENESIS, None
         for b in batches:
             keys_ = b.column(at).to_pylist() if at is not None else [None] * b.num_rows
             prevs, hashes = [], []
             for key, values in zip(keys_, b.column(b.num_columns - 1).to_pylist(), strict=True):
                 if key != now:
-                    prev, now = GENESIS, key
+                    prev, now = after[1] if after and key == after[0] else GENESIS, key
                 prevs.append(prev)
                 prev = hashlib.sha256("\x1f".join([scheme, prev, *values]).encode()).hexdigest()
                 hashes.append(prev)
@@ -93,15 +101,63 @@ def build(rows: DataFrame, fields: list[str], scheme: str, order: str = "id", ch
     return dealt.mapInArrow(run, f"{kinds}, prev_hash string, row_hash string, scheme string")
 
 
-def build_segments(rows: DataFrame, fields: list[str], scheme: str, width: int = 4096, order: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(rows, heads): chains of the rows of ``width`` successive values of ``order``, and one chain over their heads.
+#: Rows of a segment, and heads that one head of the next level stands for.
+WIDTH = 4096
 
-    Segments are hashed in parallel, none longer than its width where ``order`` is a key. The chain over heads, one row a
-    segment (segment, n, head), commits to all of them in order, as one chain over all rows would.
+
+def build_segments(rows: DataFrame, fields: list[str], scheme: str, width: int = WIDTH, order: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rows, heads): chains of the rows of ``width`` successive values of ``order``, and the heads of the tree over them.
+
+    Segments are hashed in parallel, none longer than its width where ``order`` is a key. See ``heads_of`` for the tree.
     """
     cut = build(rows.withColumn("segment", F.floor(F.col(order) / width)), fields, scheme, order, "segment")
-    heads = cut.groupBy("segment").agg(F.count("*").alias("n"), F.max_by("row_hash", order).alias("head"))
-    return cut, build(heads, ["segment", "n", "head"], scheme, "segment")
+    return cut, heads_of(cut, scheme, width, order)
+
+
+def _heads(cut: DataFrame, order: str) -> DataFrame:
+    return cut.groupBy("segment").agg(F.count("*").alias("n"), F.max_by("row_hash", order).alias("head"), F.max(order).cast("long").alias("last_id"))
+
+
+def heads_of(cut: DataFrame, scheme: str, width: int = WIDTH, order: str = "id") -> DataFrame:
+    """(level, segment, n, head, last_id): a tree over chained segments, level 0 the segments themselves.
+
+    The heads of ``width`` successive segments are chained in their order, in parallel with the others, and the last hash is their head on the
+    next level; the root, which commits to all rows in order, is the only one of its level. A level has a ``width``-th of the one below.
+    """
+    level, now = 0, settle(_heads(cut, order))
+    out = now.select(F.lit(0).alias("level"), "segment", "n", "head", "last_id")
+    while now.limit(2).count() > 1:
+        level += 1
+        up = now.withColumnRenamed("segment", "_below").withColumn("segment", F.floor(F.col("_below") / width))
+        chained = build(up, ["_below", "n", "head"], scheme, "_below", "segment")
+        now = settle(chained.groupBy("segment").agg(F.sum("n").alias("n"), F.max_by("row_hash", "_below").alias("head"), F.max("last_id").alias("last_id")))
+        out = out.union(now.select(F.lit(level).alias("level"), "segment", "n", "head", "last_id"))
+    return out
+
+
+def root(heads: DataFrame) -> tuple[int, int | None, str]:
+    """(rows, last id, root hash) of a tree; that of no rows is (0, None, "")."""
+    top = heads.orderBy(F.desc("level")).select("n", "last_id", "head").first()
+    return tuple(top) if top else (0, None, GENESIS)
+
+
+class StaleTip(ValueError):
+    """An append was built on a tip that is no longer the chain's."""
+
+
+def extend(cut: DataFrame, rows: DataFrame, fields: list[str], scheme: str, seen: tuple[int, int | None, str], width: int = WIDTH, order: str = "id") -> DataFrame:
+    """``rows`` chained on to the segments of ``cut``, to be appended: the last segment goes on, the others are new.
+
+    ``seen`` is the ``root`` of the tree that the writer read. Another root, or rows that do not come after its last id, are refused.
+    """
+    now = root(heads_of(cut, scheme, width, order))
+    if now != tuple(seen):
+        raise StaleTip(f"the chain stands at {now[0]} rows, not at {seen[0]}" if now[0] != seen[0] else "the chain has another head")
+    first = rows.agg(F.min(order)).first()[0]
+    if first is not None and now[1] is not None and first <= now[1]:
+        raise StaleTip(f"{first} does not come after {now[1]}")
+    last = None if now[1] is None else cut.filter(F.col(order) == now[1]).select("segment", "row_hash").first()
+    return build(rows.withColumn("segment", F.floor(F.col(order) / width)), fields, scheme, order, "segment", tuple(last) if last else None)
 
 
 def tree_digests(rows: DataFrame, area: str, path: str = "path", sha: str = "sha") -> DataFrame:
@@ -144,8 +200,9 @@ def anchored(rows: DataFrame, n: int, last_id: int, head: str, order: str = "id"
 
 
 def segment_gaps(segments: DataFrame) -> DataFrame:
-    """(seq, problem) of exported segments: missing numbers, and starts that do not follow the end of the one before."""
-    w = Window.orderBy("seq")  # one row a segment
-    last = segments.withColumns({"_seq": F.lag("seq").over(w), "_end": F.lag("ends_with").over(w)})
-    problem = F.when(F.col("_seq").isNotNull() & (F.col("seq") != F.col("_seq") + 1), "missing segment before").when(F.col("_end").isNotNull() & ~F.col("starts_after").eqNullSafe(F.col("_end")), "does not continue")
-    return last.select("seq", problem.alias("problem")).filter("problem IS NOT NULL")
+    """(seq, problem) of exported segments: missing numbers, and starts that do not follow the end of the one before. Numbers are met by a join on the next one."""
+    first = segments.agg(F.min("seq").alias("_first"))  # one row
+    before = segments.select((F.col("seq") + 1).alias("seq"), F.col("ends_with").alias("_end"), F.lit(True).alias("_there"))
+    met = segments.join(before, "seq", "left").crossJoin(first)
+    problem = F.when(F.col("_there").isNull() & (F.col("seq") != F.col("_first")), "missing segment before").when(F.col("_there") & ~F.col("starts_after").eqNullSafe(F.col("_end")), "does not continue")
+    return met.select("seq", problem.alias("problem")).filter("problem IS NOT NULL")

@@ -11,6 +11,7 @@ from sealmark.operators import chain
 from sealmark.operators import folds as O
 from sealmark.operators import joins
 from sealmark.operators.latest import latest, latest_value, newest_if_open, newest_or_stored
+from sealmark.operators.settled import scratch, settle
 from sealmark.plans.registry import query
 
 
@@ -112,6 +113,22 @@ def tampered_events(spark: SparkSession, d: str) -> DataFrame:
     return chain.walk(changed, ["id", "kind", "k"], chain="segment")
 
 
+@query("SELECT (SELECT count(*) FROM event_v) AS n, (SELECT max(id) FROM event_v) AS last_id, true AS same, 0 AS faults")
+def appended_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Events chained in two appends, the second of which goes on from the tip of the first: the tree is the one over all rows at once."""
+    rows, fields = V.event(spark, d).select("id", "kind", "k"), ["id", "kind", "k"]
+    with scratch(spark) as keep:
+        half = F.col("id") <= rows.agg(F.max("id")).first()[0] // 2
+        first, _ = chain.build_segments(rows.filter(half), fields, "s1")
+        first = settle(first)
+        both = first.unionByName(settle(chain.extend(first, rows.filter(~half), fields, "s1", chain.root(chain.heads_of(first, "s1")))))
+        _, whole = chain.build_segments(rows, fields, "s1")
+        top = lambda heads, *names: heads.orderBy(F.desc("level")).limit(1).select(*names)
+        ends = top(chain.heads_of(both, "s1"), "n", "last_id", F.col("head").alias("a")).crossJoin(top(whole, F.col("head").alias("b")))
+        faults = chain.walk(both, fields, chain="segment").agg(F.count("*").cast("int").alias("faults"))
+        return keep(ends.crossJoin(faults).select("n", "last_id", (F.col("a") == F.col("b")).alias("same"), "faults"))
+
+
 @query("SELECT id // 4096 AS segment, count(*) AS n FROM event_v WHERE id % 5000 <> 4999 GROUP BY 1 HAVING count(*) <> least(4096, (SELECT max(id) + 1 FROM event_v) - id // 4096 * 4096)")
 def lost_from_segments(spark: SparkSession, d: str) -> DataFrame:
     """Segments that have lost rows since their heads were chained."""
@@ -119,7 +136,7 @@ def lost_from_segments(spark: SparkSession, d: str) -> DataFrame:
     _, heads = chain.build_segments(rows, ["id", "kind", "k"], "s1")
     now, _ = chain.build_segments(rows.filter("id % 5000 != 4999"), ["id", "kind", "k"], "s1")
     left = now.groupBy("segment").agg(F.count("*").alias("n"), F.max_by("row_hash", "id").alias("now"))
-    return heads.select("segment", "head").join(left, "segment", "left").filter("NOT head <=> now").select("segment", "n")
+    return heads.filter("level = 0").select("segment", "head").join(left, "segment", "left").filter("NOT head <=> now").select("segment", "n")
 
 
 @query("WITH s_v AS (SELECT k AS seq, min(id) AS starts_after, CASE WHEN k % 10 = 3 THEN -1 ELSE min(id) END AS shown, lead(min(id)) OVER (ORDER BY k) AS ends_with FROM event_v WHERE k % 17 <> 4 GROUP BY k), l_v AS (SELECT *, lag(seq) OVER (ORDER BY seq) AS p, lag(ends_with) OVER (ORDER BY seq) AS e FROM s_v) SELECT seq, CASE WHEN seq <> p + 1 THEN 'missing segment before' ELSE 'does not continue' END AS problem FROM l_v WHERE p IS NOT NULL AND (seq <> p + 1 OR shown <> e)")

@@ -131,8 +131,10 @@ def test_segments_commit_to_order_and_content(spark):
     rows = spark.range(25).select("id", (F.col("id") * 3).cast("string").alias("v"))
     cut, heads = chain.build_segments(rows, ["id", "v"], "s", width=10)
     assert chain.walk(cut, ["id", "v"], chain="segment").count() == 0
-    assert [(x.segment, x.n) for x in heads.orderBy("segment").collect()] == [(0, 10), (1, 10), (2, 5)]
-    assert chain.walk(heads.withColumnRenamed("segment", "id"), ["id", "n", "head"]).count() == 0
+    assert [(x.level, x.segment, x.n, x.last_id) for x in heads.orderBy("level", "segment").collect()] == [(0, 0, 10, 9), (0, 1, 10, 19), (0, 2, 5, 24), (1, 0, 25, 24)]
+    assert chain.root(heads)[:2] == (25, 24) and chain.root(heads) == chain.root(chain.heads_of(cut, "s", 10))
+    other = chain.root(chain.heads_of(chain.build_segments(rows.withColumn("v", F.when(F.col("id") == 3, "x").otherwise(F.col("v"))), ["id", "v"], "s", width=10)[0], "s", 10))
+    assert other[:2] == (25, 24) and other != chain.root(heads)
     lost = cut.filter("id != 12")
     assert [tuple(x) for x in chain.walk(lost, ["id", "v"], chain="segment").collect()] == [(13, "broken")]
     forked = cut.withColumn("prev_hash", F.when(F.col("id") == 5, "").otherwise(F.col("prev_hash")))
@@ -144,3 +146,41 @@ def test_streamed_tree_digest_is_the_gathered_one(spark):
     want = {x.area: (x.d, x.n) for x in rows.groupBy("area").agg(tree_digest(F.col("path"), F.col("sha")).alias("d"), F.count("*").alias("n")).collect()}
     assert {x.area: (x.digest, x.n) for x in chain.tree_digests(rows, "area").collect()} == want
     assert chain.tree_digests(rows.filter("area = 'none'"), "area").count() == 0
+
+
+def test_appends_go_on_from_the_tip_that_they_saw(spark):
+    rows = spark.range(70).filter("id % 9 != 4").select("id", (F.col("id") * 3).cast("string").alias("v"))
+    fields, end = ["id", "v"], lambda cut: chain.root(chain.heads_of(cut, "s", 4))
+    whole, _ = chain.build_segments(rows, fields, "s", width=4)
+    cut, _ = chain.build_segments(rows.filter("id < 6"), fields, "s", width=4)
+    for low, high in ((6, 7), (7, 33), (33, 70)):
+        seen = end(cut)
+        cut = cut.unionByName(chain.extend(cut, rows.filter(f"id >= {low} AND id < {high}"), fields, "s", seen, width=4))
+    assert end(cut) == end(whole) and chain.walk(cut, fields, chain="segment").count() == 0
+    assert sorted(tuple(x) for x in cut.select("id", "row_hash").collect()) == sorted(tuple(x) for x in whole.select("id", "row_hash").collect())
+    with pytest.raises(chain.StaleTip, match="rows"):
+        chain.extend(cut, rows.filter("id = 69"), fields, "s", seen, width=4)
+    with pytest.raises(chain.StaleTip, match="come after"):
+        chain.extend(cut, rows.filter("id = 69"), fields, "s", end(cut), width=4)
+    n, last, _ = end(cut)
+    with pytest.raises(chain.StaleTip, match="head"):
+        chain.extend(cut, rows.filter("id > 100"), fields, "s", (n, last, "0" * 64), width=4)
+
+
+def test_appending_to_nothing_is_building(spark):
+    rows = spark.range(9).select("id", F.col("id").cast("string").alias("v"))
+    none, _ = chain.build_segments(rows.limit(0), ["v"], "s", width=4)
+    assert chain.root(chain.heads_of(none, "s", 4)) == (0, None, "")
+    got = chain.extend(none, rows, ["v"], "s", (0, None, ""), width=4)
+    assert sorted(x.row_hash for x in got.collect()) == sorted(x.row_hash for x in chain.build_segments(rows, ["v"], "s", width=4)[0].collect())
+
+
+def test_sums_before_each_row(spark):
+    r = random.Random(6)
+    rows = [(r.randrange(50), i, r.randrange(100)) for i in range(300)]
+    got = {x.i: x.before for x in chain.running(spark.createDataFrame(rows, "a long, i long, v long"), ["a", "i"], F.col("v")).collect()}
+    total = 0
+    for a, i, v in sorted(rows):
+        assert got[i] == total
+        total += v
+    assert chain.running(spark.createDataFrame([], "a long, v long"), ["a"], F.col("v")).count() == 0
