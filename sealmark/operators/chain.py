@@ -19,27 +19,29 @@ from sealmark.operators.settled import settle
 GENESIS = ""
 
 
-def running(rows: DataFrame, order: list[str], value: Column, name: str = "before") -> DataFrame:
-    """``rows`` with the sum of ``value`` over all rows before each one, in ``order``, without one task that holds all rows.
+def running(rows: DataFrame, order: list[str], **values: Column) -> DataFrame:
+    """``rows`` with a column for each of ``values``: its sum over all rows before, in ``order``, without one task that holds all rows.
 
     Ranges are sorted and summed, then offset: what reaches the driver is one row a range.
     """
     spark = rows.sparkSession
     ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     # Written once: places among ties must not change when an executor is lost.
-    placed = settle(ranged.select("*", value.cast("long").alias("_v"), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
-    total, offsets = 0, []
-    for p, n in placed.groupBy("_p").agg(F.sum("_v").alias("n")).orderBy("_p").collect():
-        offsets.append((p, total))
-        total += n
-    table = F.create_map(*(F.lit(x) for kv in offsets for x in kv)) if offsets else F.create_map(F.lit(0), F.lit(0))
-    within = F.sum("_v").over(Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1))
-    return placed.withColumn(name, (F.coalesce(within, F.lit(0)) + F.try_element_at(table, "_p")).cast("long")).drop("_v", "_p", "_m")
+    placed = settle(ranged.select("*", *(v.cast("long").alias(f"_v_{n}") for n, v in values.items()), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
+    totals, offsets = [0] * len(values), []
+    for p, *sums in placed.groupBy("_p").agg(*(F.sum(f"_v_{n}") for n in values)).orderBy("_p").collect():
+        offsets.append((p, totals))
+        totals = [t + s for t, s in zip(totals, sums, strict=True)]
+    w = Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    for i, n in enumerate(values):
+        table = F.create_map(*(F.lit(x) for p, t in offsets for x in (p, t[i]))) if offsets else F.create_map(F.lit(0), F.lit(0))
+        placed = placed.withColumn(n, (F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)) + F.try_element_at(table, "_p")).cast("long"))
+    return placed.drop("_p", "_m", *(f"_v_{n}" for n in values))
 
 
 def numbered(rows: DataFrame, order: str = "id") -> DataFrame:
     """``rows`` with ``position`` from 0, without one task that holds all rows."""
-    return running(rows, [order], F.lit(1), "position")
+    return running(rows, [order], position=F.lit(1))
 
 
 def walk(events: DataFrame, fields: list[str], order: str = "id", chain: str | None = None) -> DataFrame:

@@ -36,6 +36,14 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def place(spark: SparkSession) -> str:
+    """A path for files that go with the innermost ``scratch`` block."""
+    path = f"{folder(spark)}/placed-{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    return path
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables settled inside go at the end, but for those given to ``keep``, which is yielded. What is returned must be kept, or read none of them."""

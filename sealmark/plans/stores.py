@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sealmark import views as V
 from sealmark.operators import code
+from sealmark.operators.settled import place, scratch
 from sealmark.plans.registry import query
-from sealmark.sources import ledger
+from sealmark.sources import ledger, segments
 
 
 def _text(*parts: Column | str) -> Column:
@@ -24,6 +25,32 @@ def export_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("r.id", "table", (F.coalesce(F.size("r._redacted"), F.lit(0)) > 0).alias("redacted"), "r.note")
 
 
+_LINE = """'{{"_table":"{t}","id":' || id || ',"kind":"' || kind || '","row_hash":"' || md5(CAST(id AS VARCHAR)) || '"}}'"""
+_SEALED = f"""WITH r_v AS (SELECT 0 AS ord, 'attempt' AS t, id, md5(CAST(id AS VARCHAR)) AS h, {_LINE.format(t="attempt")} AS line FROM claim_v UNION ALL SELECT 1, 'event', id, md5(CAST(id AS VARCHAR)), {_LINE.format(t="event")} FROM event_v),
+ b_v AS (SELECT *, row_number() OVER (ORDER BY ord, id) AS pos, CAST((sum(strlen(line) + 1) OVER (ORDER BY ord, id) - strlen(line) - 1) AS BIGINT) // 30000 AS share FROM r_v),
+ s_v AS (SELECT *, CAST(dense_rank() OVER (ORDER BY share) AS INT) AS seq FROM b_v)"""
+
+
+@query(_SEALED + """ SELECT seq, t AS "table", count(*) AS n, min(id) AS first_id, max(id) AS last_id, any_value((SELECT count(*) FROM s_v b WHERE b.seq < a.seq AND b.t = a.t)) AS skip,
+ any_value(coalesce((SELECT arg_max(h, pos) FROM s_v b WHERE b.seq < a.seq AND b.t = 'attempt'), '')) AS starts_after, 0 AS faults FROM s_v a GROUP BY seq, t""")
+def sealed_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables exported in sealed segments, in two runs, and read back: what each segment holds, and what its first line says of those before."""
+    row = lambda rows: rows.select("id", "kind", F.md5(F.col("id").cast("string").cast("binary")).alias("row_hash"))
+    attempts, events = row(V.claim(spark, d)), row(V.event(spark, d))
+    with scratch(spark) as keep:
+        at = place(spark)
+        half = events.agg(F.max("id")).first()[0] // 2
+        segments.export({"attempt": attempts, "event": events.filter(F.col("id") <= half)}, at, seal_bytes=30_000)
+        segments.export({"attempt": attempts, "event": events}, at, seal_bytes=30_000)
+        of = lambda field: F.get_json_object("value", f"$.{field}")
+        lines = segments.read(spark, at).select("seq", "value", of("_table").alias("table"))
+        heads = lines.filter(F.col("table") == segments.SEGMENT).select("seq", F.from_json(of("skip"), "map<string,long>").alias("skip"), of("starts_after").alias("starts_after"))
+        rows = lines.filter(~F.col("table").isin(segments.SEGMENT, segments.ANCHOR)).groupBy("seq", "table").agg(F.count("*").alias("n"), F.min(of("id").cast("long")).alias("first_id"), F.max(of("id").cast("long")).alias("last_id"))
+        skip = F.coalesce(F.try_element_at("skip", F.col("table")), F.lit(0)).cast("long")
+        met = rows.join(heads, "seq", "left").crossJoin(segments.faults(spark, at).agg(F.count("*").cast("int").alias("faults")))
+        return keep(met.select("seq", "table", "n", "first_id", "last_id", skip.alias("skip"), F.coalesce("starts_after", F.lit("")).alias("starts_after"), "faults"))
+
+
 @query("""WITH l_v AS (SELECT id, 'part' || (id // 1000) AS file, CASE WHEN id % 17 = 3 THEN 'not an object' WHEN id % 19 = 4 THEN 'unknown table' END AS shape, id - CASE WHEN id % 23 = 5 THEN 23 ELSE 0 END AS key, id % 29 = 6 AS blank FROM event_v)
  SELECT file, CASE WHEN shape = 'unknown table' THEN CAST(key AS VARCHAR) END AS id, shape AS problem FROM l_v WHERE shape IS NOT NULL AND NOT blank
  UNION ALL SELECT min(file), CAST(key AS VARCHAR), 'repeated id' FROM l_v WHERE shape IS NULL AND NOT blank GROUP BY key HAVING count(*) > 1""")

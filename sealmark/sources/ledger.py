@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealmark.functions.text import redact
-from sealmark.operators.chain import tip
 from sealmark.schema import ADDED, TABLES
 
 
@@ -56,8 +55,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def to_lines(tables: dict[str, DataFrame], free_text: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """(ord, table, id, value): the export of all tables as JSON lines. Rows whose text was redacted say which fields."""
+def to_lines(tables: dict[str, DataFrame], free_text: dict[str, tuple[str, ...]] | None = None, orders: dict[str, str] | None = None) -> DataFrame:
+    """(ord, table, at, id, row_hash, value): the export of all tables as JSON lines. Rows whose text was redacted say which fields.
+
+    ``at`` is what orders the rows of a table as they were appended: the number in ``id``, or the column that ``orders`` names (times in microseconds).
+    """
     out = None
     for n, (name, rows) in enumerate(tables.items()):
         fields = (free_text or {}).get(name, ())
@@ -66,26 +68,16 @@ def to_lines(tables: dict[str, DataFrame], free_text: dict[str, tuple[str, ...]]
             changed = F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(redact(F.col(c))), F.lit(c)) for c in fields)))
             marked = rows.withColumn("_redacted", changed).withColumns({c: redact(F.col(c)) for c in fields})
         line = F.to_json(F.struct(F.lit(name).alias("_table"), *marked.columns))
-        part = marked.select(F.lit(n).alias("ord"), F.lit(name).alias("table"), F.col("id").cast("string").alias("id"), line.alias("value"))
+        by = (orders or {}).get(name, "id")
+        at = F.unix_micros(by) if rows.schema[by].dataType == T.TimestampType() else F.col(by).try_cast("long")
+        hash_ = F.col("row_hash") if "row_hash" in rows.columns else F.lit(None).cast("string")
+        part = marked.select(F.lit(n).alias("ord"), F.lit(name).alias("table"), at.alias("at"), F.col("id").cast("string").alias("id"), hash_.alias("row_hash"), line.alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def export(tables: dict[str, DataFrame], path: str, rows_a_file: int = 100_000, **kw: object) -> None:
-    """Write the export in order, in files of a bounded number of rows, with an anchor line of counts and heads as a file of its own."""
-    lines = to_lines(tables, **kw)
-    lines.repartitionByRange("ord", "id").sortWithinPartitions("ord", "id").select("value").write.option("maxRecordsPerFile", rows_a_file).mode("errorifexists").text(f"{path}/rows")
-    heads = None
-    for name in ("attempt", "event"):
-        if name in tables:
-            own = tip(tables[name]).select(F.lit(name).alias("table"), "*")
-            heads = own if heads is None else heads.unionByName(own)
-    if heads is not None:
-        heads.coalesce(1).write.mode("errorifexists").json(f"{path}/anchor")
-
-
 def read_lines(spark: SparkSession, path: str, table: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """Lines of an export with their file; blank lines are skipped. With a table, its rows under its schema.
+    """Lines of text files with their file; blank lines are skipped. With a table, its rows under its schema. See ``segments.read`` for sealed exports.
 
     The table's name is looked for in the raw text before any JSON is parsed.
     """

@@ -178,9 +178,9 @@ def test_appending_to_nothing_is_building(spark):
 def test_sums_before_each_row(spark):
     r = random.Random(6)
     rows = [(r.randrange(50), i, r.randrange(100)) for i in range(300)]
-    got = {x.i: x.before for x in chain.running(spark.createDataFrame(rows, "a long, i long, v long"), ["a", "i"], F.col("v")).collect()}
+    got = {x.i: (x.before, x.place) for x in chain.running(spark.createDataFrame(rows, "a long, i long, v long"), ["a", "i"], before=F.col("v"), place=F.lit(1)).collect()}
     total = 0
-    for a, i, v in sorted(rows):
-        assert got[i] == total
+    for place, (_, i, v) in enumerate(sorted(rows)):
+        assert got[i] == (total, place)
         total += v
-    assert chain.running(spark.createDataFrame([], "a long, v long"), ["a"], F.col("v")).count() == 0
+    assert chain.running(spark.createDataFrame([], "a long, v long"), ["a"], before=F.col("v")).count() == 0

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from sealmark.sources import ledger
+from sealmark.sources import ledger, segments
 from sealmark.streaming import state
 
 
@@ -29,16 +29,87 @@ def test_append_refuses_unknown_words_and_known_keys(spark, tmp_path):
     assert got == {1: "token = [REDACTED]", 2: ""}
 
 
-def test_export_round_trip_and_faults(spark, tmp_path):
-    e = spark.createDataFrame([(i, f"k{i}", f"h{i}") for i in range(5)], "id long, kind string, row_hash string")
-    a = spark.createDataFrame([(9, "z", "h9")], "id long, kind string, row_hash string")
-    ledger.export({"attempt": a, "event": e}, str(tmp_path / "x"), rows_a_file=2)
-    lines = ledger.read_lines(spark, str(tmp_path / "x" / "rows"))
-    assert lines.count() == 6 and ledger.line_faults(lines, ["attempt", "event"]).count() == 0
-    back = ledger.read_lines(spark, str(tmp_path / "x" / "rows"), "event", e.schema)
-    assert sorted((r.id, r.kind) for r in back.collect()) == [(i, f"k{i}") for i in range(5)]
-    anchor = {r.table: (r.n, r.head) for r in spark.read.json(str(tmp_path / "x" / "anchor")).collect()}
-    assert anchor == {"event": (5, "h4"), "attempt": (1, "h9")}
+def exported(path):
+    """Segments as lists of lines, by number, from the files that the manifests name."""
+    seqs = {}
+    for m in sorted(path.glob("manifest/epoch=*/part-*")):
+        for line in m.read_text().splitlines():
+            seqs[json.loads(line)["seq"]] = int(m.parent.name.split("=")[1])
+    out = {}
+    for seq, epoch in sorted(seqs.items()):
+        (file,) = (path / "rows" / f"epoch={epoch}" / f"seq={seq}").glob("part-*")
+        out[seq] = [json.loads(x) for x in file.read_text().splitlines()]
+    return out
+
+
+def ledger_rows(spark, n, extra=0):
+    e = spark.createDataFrame([(i, f"k{i}", f"h{i}") for i in range(1, n + 1 + extra)], "id long, kind string, row_hash string")
+    a = spark.createDataFrame([(i, "z" * (i % 3) * 40, f"a{i}") for i in range(1, 6 + extra)], "id long, kind string, row_hash string")
+    return {"attempt": a.repartition(3), "event": e.repartition(3)}
+
+
+def test_export_is_in_order_and_sealed_by_size(spark, tmp_path):
+    at = tmp_path / "x"
+    segments.export(ledger_rows(spark, 22), str(at), seal_bytes=200)
+    got = exported(at)
+    data = [x for s in got.values() for x in s if x["_table"] not in ("_segment", "_anchor")]
+    assert [(x["_table"], x["id"]) for x in data] == [("attempt", i) for i in range(1, 6)] + [("event", i) for i in range(1, 23)]
+    assert list(got) == list(range(1, len(got) + 1)) and len(got) > 4
+    before, head = {"attempt": 0, "event": 0}, ""
+    for seq, lines in got.items():
+        if seq > 1:
+            assert (lines[0]["_table"], lines[0]["skip"], lines[0]["starts_after"]) == ("_segment", before, head)
+        rows = [x for x in lines if x["_table"] in before]
+        sizes = [len(json.dumps(x, separators=(",", ":"))) + 1 for x in rows]
+        assert sum(sizes[:-1]) <= 200  # over the bound by less than a row
+        for x in rows:
+            before[x["_table"]] += 1
+            head = x["row_hash"] if x["_table"] == "attempt" else head
+    assert got[len(got)][-1] == {"_table": "_anchor", "rows": before, "head_hash": "a5"}
+    assert segments.faults(spark, str(at)).count() == 0
+    lines = segments.read(spark, str(at)).withColumnRenamed("seq", "file").withColumn("file", F.col("file").cast("string"))
+    assert ledger.line_faults(lines.filter("NOT startswith(value, '{\"_table\":\"_')"), ["attempt", "event"]).count() == 0
+
+
+def test_later_exports_write_what_is_new(spark, tmp_path):
+    at = tmp_path / "x"
+    segments.export(ledger_rows(spark, 8), str(at), seal_bytes=150)
+    first = exported(at)
+    segments.export(ledger_rows(spark, 8, extra=9), str(at), seal_bytes=150)
+    got = exported(at)
+    sealed = [s for s in first if s < max(first)]
+    assert all(got[s] == first[s] for s in sealed)
+    data = sorted((x["_table"], x["id"]) for s in got.values() for x in s if x["_table"] in ("attempt", "event"))
+    assert data == [("attempt", i) for i in range(1, 15)] + [("event", i) for i in range(1, 18)]
+    assert segments.faults(spark, str(at)).count() == 0
+    with pytest.raises(segments.LostRows):
+        t = ledger_rows(spark, 8, extra=9)
+        segments.export({**t, "attempt": t["attempt"].filter("id != 1")}, str(at), seal_bytes=150)
+
+
+def test_an_export_that_dies_half_way_changes_nothing(spark, tmp_path, monkeypatch):
+    at = tmp_path / "x"
+    segments.export(ledger_rows(spark, 8), str(at), seal_bytes=150)
+    before = sorted(r.value for r in segments.read(spark, str(at)).collect())
+    (at / "rows" / "epoch=2" / "seq=9").mkdir(parents=True)  # rows without a manifest
+    (at / "rows" / "epoch=2" / "seq=9" / "part-0.txt").write_text('{"_table":"event","id":99}\n')
+    assert sorted(r.value for r in segments.read(spark, str(at)).collect()) == before
+    segments.export(ledger_rows(spark, 9), str(at), seal_bytes=150)
+    assert segments.read(spark, str(at)).filter(F.contains("value", F.lit('"id":99'))).count() == 0
+
+
+def test_odd_exports(spark, tmp_path):
+    t = ledger_rows(spark, 3)
+    segments.export({k: v.limit(0) for k, v in t.items()}, str(tmp_path / "none"))
+    assert segments.read(spark, str(tmp_path / "none")).count() == 0
+    segments.export(t, str(tmp_path / "one"))
+    assert list(exported(tmp_path / "one")) == [1] and segments.faults(spark, str(tmp_path / "one")).count() == 0
+    long = spark.createDataFrame([(1, "x" * 1000, "h"), (2, "y", "h2"), (3, "z", None)], "id long, kind string, row_hash string")
+    segments.export({"attempt": long}, str(tmp_path / "long"), seal_bytes=100)
+    assert list(exported(tmp_path / "long")) == [1, 2, 3] and segments.faults(spark, str(tmp_path / "long")).count() == 0
+
+
+def test_line_faults(spark):
     broken = spark.createDataFrame([("f", "nonsense"), ("f", '{"_table":"who","id":1}'), ("f", '{"_table":"event","id":1}'), ("g", '{"_table":"event","id":1}')], "file string, value string")
     assert sorted(r.problem for r in ledger.line_faults(broken, ["event"]).collect()) == ["not an object", "repeated id", "unknown table"]
 
