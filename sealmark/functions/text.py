@@ -25,6 +25,11 @@ def containment(of: Column, in_: Column) -> Column:
     return F.when(F.size(of) == 0, 0.0).otherwise(F.size(F.array_intersect(of, in_)) / F.size(of))
 
 
+def stripped(text: Column) -> Column:
+    """Text without the white space around it."""
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+
+
 def clauses(text: Column) -> Column:
     """Clauses, trimmed, without empty ones."""
     return F.filter(F.transform(F.split(text, CLAUSE), lambda x: F.trim(x)), lambda x: x != "")

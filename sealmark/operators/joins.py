@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,9 +111,3 @@ def enclosing(lines: DataFrame, spans: DataFrame) -> DataFrame:
     cut = spans.withColumn("_cell", F.explode(F.sequence(cell("first"), cell("last"))))
     met = lines.withColumn("_cell", cell("line")).join(cut, ["path", "_cell"]).filter("line BETWEEN first AND last")
     return met.groupBy("path", "line").agg(F.min_by("name", F.struct(-F.col("first"), "last", "name")).alias("name"))
-
-
-def vocabulary_hits(rows: DataFrame, vocabulary: list[tuple[str, str]], symbol: Callable[[Column, Column], Column]) -> DataFrame:
-    """(id, entry) for every entry of a vocabulary that a row has: symbols in its name, expressions in its line. One scan, no join."""
-    hits = [F.when(symbol(F.col("name"), F.lit(p)) if kind == "symbol" else F.col("line").rlike(p), F.lit(f"{kind} {p}")) for kind, p in vocabulary]
-    return rows.select("id", F.explode(F.array_compact(F.array(*hits))).alias("entry"))

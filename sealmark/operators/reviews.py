@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealmark.functions import text as X
+from sealmark.operators.similar import repeated
 
 
 def complete(expected: Column, reviewed: Column, inconclusive: Column) -> Column:
@@ -27,18 +28,32 @@ def coverage(classes: DataFrame, kinds: DataFrame) -> DataFrame:
 
 
 def judged(sentence: Column, subject: Column, rules: Column, least: int) -> Column:
-    """First reason to refuse a sentence: empty, short, off the subject, a credential in it, or all of a rule recited."""
-    own = X.tokens(sentence)
+    """First reason to refuse a sentence: empty, short, off the subject, a credential in it, or all of a rule recited.
+
+    Its length counts without the space around it; a subject without a word of more than two characters asks for nothing.
+    """
+    own, said = X.tokens(sentence), X.stripped(F.coalesce(sentence, F.lit("")))
+    words = F.filter(F.split(F.lower(subject), r"[\s/.]+"), lambda w: F.length(w) > 2)
     recited = F.coalesce(F.array_max(F.transform(rules, lambda r: X.containment(X.tokens(r), own))), F.lit(0.0))
     return (
-        F.when(F.trim(F.coalesce(sentence, F.lit(""))) == "", "empty")
-        .when(X.weight(sentence) < least, "short")
-        .when(~F.arrays_overlap(own, X.tokens(subject)), "off subject")
+        F.when(said == "", "empty")
+        .when(F.length(said) < least, "short")
+        .when((F.size(words) > 0) & ~F.arrays_overlap(own, words), "off subject")
         .when(X.redact(sentence) != sentence, "credential")
         .when(recited >= 1.0, "recited")
     )
 
 
+def judged_over_history(rows: DataFrame, history: DataFrame, rules: Column, least: int, threshold: float) -> DataFrame:
+    """``rows`` (sentence, template, subject, about, ...) with ``refusal``, the first of seven reasons: the question restated, the five of ``judged``,
+    or a repeat of an accepted sentence of ``history`` (sentence, about) about something else."""
+    again = repeated(rows, history, threshold).select(F.col("sentence").alias("_said"), F.col("about").alias("_about"), F.lit(True).alias("_again"))
+    met = rows.join(again, (F.col("sentence") == F.col("_said")) & (F.coalesce(F.col("about").cast("string"), F.lit("")) == F.col("_about")), "left")
+    restated_ = X.stripped(F.coalesce("sentence", F.lit(""))) == X.stripped(F.coalesce("template", F.lit("")))
+    first = F.coalesce(F.when(restated_, "restated"), judged(F.col("sentence"), F.col("subject"), rules, least), F.when(F.col("_again"), "repeated"))
+    return met.select(*rows.columns, first.alias("refusal"))
+
+
 def restated(citations: DataFrame, hits: DataFrame) -> DataFrame:
     """(pattern, verdict, line): cited lines that still match, that moved to the only new place, or are gone or ambiguous."""
     found = hits.groupBy("pattern").agg(F.count("*").alias("n"), F.min("line").alias("only"), F.collect_set("line").alias("lines"))

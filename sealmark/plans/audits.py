@@ -39,14 +39,31 @@ def risk_coverage(spark: SparkSession, d: str) -> DataFrame:
 _T = "list_distinct(regexp_extract_all(lower({}), '([a-z_][a-z0-9_]*|[一-鿿])', 1))"
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(regexp_replace(text, '[\\s[:punct:]]+', '', 'g')) < 60 THEN 'short'
- WHEN NOT list_has_any({_T.format('text')}, {_T.format("'the of le der que'")}) THEN 'off subject' WHEN len(list_intersect({_T.format('text')}, ['the', 'of', 'and', 'that'])) = 4 THEN 'recited' END AS refusal FROM conversations WHERE role = 'user'""")
+_SAID = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_FIVE = f"""CASE WHEN {_SAID.format('text')} = '' THEN 'empty' WHEN length({_SAID.format('text')}) < 60 THEN 'short' WHEN NOT list_has_any({_T.format('text')}, ['the', 'der', 'que', 'les']) THEN 'off subject'
+ WHEN len(list_intersect({_T.format('text')}, ['the', 'of', 'and', 'that'])) = 4 THEN 'recited' END"""
+
+
+@query(f"SELECT conv_id, turn, {_FIVE} AS refusal FROM conversations WHERE role = 'user'")
 def judged_sentences(spark: SparkSession, d: str) -> DataFrame:
     rows = V.read(spark, d, "conversations").filter("role = 'user'")
-    refusal = R.judged(F.col("text"), F.lit("the of le der que"), F.array(F.lit("the of and that")), 60)
+    refusal = R.judged(F.col("text"), F.lit("the/der.que les of"), F.array(F.lit("the of and that")), 60)
     return rows.select("conv_id", "turn", refusal.alias("refusal"))
 
 
+@query(f"""WITH u_v AS (SELECT conv_id, turn, text, (conv_id + turn) % 3 AS about FROM conversations WHERE role = 'user'), q_v AS (SELECT min(text) AS template FROM u_v),
+ n_v AS MATERIALIZED (SELECT *, {_T.format('text')} AS ts FROM u_v), h_v AS MATERIALIZED (SELECT DISTINCT {_T.format("text || ' once more'")} AS ts, conv_id % 3 AS about FROM u_v WHERE conv_id % 4 = 0),
+ r_v AS (SELECT DISTINCT n.conv_id, n.turn FROM n_v n JOIN h_v h ON h.about <> n.about AND len(h.ts) * 0.8 <= len(n.ts) AND len(n.ts) * 0.8 <= len(h.ts) WHERE len(n.ts) > 0 AND len(list_intersect(n.ts, h.ts)) / len(list_distinct(list_concat(n.ts, h.ts))) > 0.8)
+ SELECT u.conv_id, u.turn, coalesce(CASE WHEN {_SAID.format('u.text')} = {_SAID.format('q.template')} THEN 'restated' END, {_FIVE}, CASE WHEN r.conv_id IS NOT NULL THEN 'repeated' END) AS refusal
+ FROM u_v u CROSS JOIN q_v q LEFT JOIN r_v r ON r.conv_id = u.conv_id AND r.turn = u.turn""")
+def judged_over_history(spark: SparkSession, d: str) -> DataFrame:
+    """All seven reasons to refuse a sentence; those accepted before are every fourth conversation's, with two words more."""
+    u = V.read(spark, d, "conversations").filter("role = 'user'")
+    rows = u.crossJoin(u.agg(F.min("text").alias("template"))).select("conv_id", "turn", F.col("text").alias("sentence"), "template", F.lit("the/der.que les of").alias("subject"), ((F.col("conv_id") + F.col("turn")) % 3).alias("about"))
+    history = u.filter("conv_id % 4 = 0").select(F.concat("text", F.lit(" once more")).alias("sentence"), (F.col("conv_id") % 3).alias("about"))
+    return R.judged_over_history(rows, history, F.array(F.lit("the of and that")), 60, 0.8).select("conv_id", "turn", "refusal")
+
+
 @query("WITH c_v AS (SELECT k AS pattern, min(id) AS line FROM event_v WHERE kind = 'view' GROUP BY 1), h_v AS (SELECT k AS pattern, id AS line FROM event_v WHERE (kind = 'view' AND k % 4 <> 1) OR (kind = 'click' AND k % 4 = 1)), f_v AS (SELECT pattern, count(*) AS n, min(line) AS only FROM h_v GROUP BY 1) SELECT c.pattern, CASE WHEN f.n IS NULL THEN 'gone' WHEN h.line IS NOT NULL THEN 'holds' WHEN f.n = 1 THEN 'moved' ELSE 'ambiguous' END AS verdict, CASE WHEN h.line IS NOT NULL THEN c.line WHEN f.n = 1 THEN f.only END AS line FROM c_v c LEFT JOIN f_v f ON f.pattern = c.pattern LEFT JOIN h_v h ON h.pattern = c.pattern AND h.line = c.line")
 def restated_citations(spark: SparkSession, d: str) -> DataFrame:
     e = V.event(spark, d).select("k", "id", "kind")

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealmark import views as V
-from sealmark.functions.globs import dotted_match
 from sealmark.functions.hashing import joined
 from sealmark.functions.when import exit_name, gate
-from sealmark.operators import export, joins, state
+from sealmark.operators import export, joins, similar, state
 from sealmark.operators.aggregates import distinct_states
 from sealmark.plans.claims import _AGE, _STATE, with_state
 from sealmark.plans.registry import query
@@ -89,12 +88,21 @@ def owners_of_lines(spark: SparkSession, d: str) -> DataFrame:
     return joins.enclosing(lines, spans)
 
 
-@query("WITH n_v AS (SELECT id, replace(replace(path, '.py', ''), '/', '.') AS name, split_part(path, '/', 3) AS line FROM path_v) SELECT id, 'symbol .brand1' AS entry FROM n_v WHERE ends_with(name, '.brand1') UNION ALL SELECT id, 'symbol gear_7' FROM n_v WHERE name = 'gear_7' OR ends_with(name, '.gear_7') UNION ALL SELECT id, 'regex b.lt_1' FROM n_v WHERE regexp_matches(line, 'b.lt_1') UNION ALL SELECT id, 'regex ^red_[a-m]' FROM n_v WHERE regexp_matches(line, '^red_[a-m]')")
+_ENTRIES = """n_v AS (SELECT id, replace(replace(path, '.py', ''), '/', '.') AS name, split_part(path, '/', 3) AS line FROM path_v),
+ f_v AS (SELECT '.' || regexp_extract(name, '[^.]+$') AS pattern, 'symbol' AS match FROM n_v WHERE id % 40 = 0 UNION SELECT regexp_extract(name, '[^.]+[.][^.]+$'), 'symbol' FROM n_v WHERE id % 40 = 1 UNION SELECT regexp_extract(line, '[^_]+$'), 'symbol' FROM n_v WHERE id % 40 = 2
+ UNION SELECT '^' || substr(line, 1, 5) || '[a-m]', 'regex' FROM n_v WHERE id % 97 = 0 UNION SELECT regexp_extract(line, '^[^_]+') || '_.*' || id || '$', 'regex' FROM n_v WHERE id % 89 = 0)"""
+
+
+@query(f"WITH {_ENTRIES} SELECT n.id, f.match, f.pattern FROM n_v n JOIN f_v f ON f.match = 'symbol' AND ((NOT starts_with(f.pattern, '.') AND (n.name = f.pattern OR ends_with(n.name, '.' || f.pattern))) OR (starts_with(f.pattern, '.') AND contains(n.name, '.') AND ends_with('.' || n.name, f.pattern))) UNION ALL SELECT n.id, f.match, f.pattern FROM n_v n JOIN f_v f ON f.match = 'regex' AND regexp_matches(n.line, f.pattern)")
 def facts_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Names against symbols and lines against expressions of a vocabulary of fixed size."""
+    """Names against symbols and lines against expressions of a vocabulary that is a table and grows with it."""
     p = V.path(spark, d)
     rows = p.select("id", F.replace(F.replace(F.col("path"), F.lit(".py"), F.lit("")), F.lit("/"), F.lit(".")).alias("name"), F.split("path", "/")[2].alias("line"))
-    return joins.vocabulary_hits(rows, [("symbol", ".brand1"), ("symbol", "gear_7"), ("regex", "b.lt_1"), ("regex", "^red_[a-m]")], dotted_match)
+    of = lambda n, kind, pattern, rest=0: rows.filter(f"id % {n} = {rest}").select(pattern.alias("pattern"), F.lit(kind).alias("match"))
+    end = lambda e, c="name": F.regexp_extract(c, e, 0)
+    facts = of(40, "symbol", F.concat(F.lit("."), end("[^.]+$"))).union(of(40, "symbol", end("[^.]+[.][^.]+$"), 1)).union(of(40, "symbol", end("[^_]+$", "line"), 2))
+    facts = facts.union(of(97, "regex", F.concat(F.lit("^"), F.left("line", F.lit(5)), F.lit("[a-m]")))).union(of(89, "regex", F.concat(end("^[^_]+", "line"), F.lit("_.*"), F.col("id"), F.lit("$"))))
+    return similar.vocabulary_hits(rows, facts)
 
 
 _OUT = "x_v AS (SELECT id, kind, CASE WHEN id % 13 = 0 THEN '[REDACTED]' ELSE kind END AS shown FROM event_v)"
