@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from sealmark.llm import html_text, licenses, secrets
@@ -306,3 +307,44 @@ def test_template_decides_on_the_given_pages(spark):
 def test_query_counts_code_points(spark):
     row = html_text.op5_main_text(spark, "/root/testdata/sf0.001").filter(F.col("n_chars") != F.length("text")).count()
     assert row == 0
+
+
+@pytest.mark.parametrize("part", ["<a ", '<p title="', '<a ">" ', "<div>", "<![CDATA[", "<span>", "<div><p>x", "<", "<ul><li>x", "<a'\">", "<!--", "<script>", "&lt;<b"])
+def test_long_broken_pages_take_linear_time(part):
+    import time
+
+    began = time.perf_counter()
+    html_text.Page(part * (1_000_000 // len(part))).main_text({1})
+    assert time.perf_counter() - began < 12  # a quadratic scan takes minutes
+
+
+def test_deep_pages_keep_their_text():
+    assert html_text.Page("<div>" * 100_000 + "deep" + "</div>" * 100_000 + "<p>after").main_text(set()) == "deep\nafter"
+
+
+def test_pages_in_forms_and_classes_about_something_else():
+    text = lambda h: html_text.Page(h).main_text(set())
+    article, long = "<article><h1>T</h1><p>One.</p></article>", "<p>" + "word " * 50 + "</p>"
+    assert text(f'<form id="aspnetForm">{article}</form>') == text(article) == "T\nOne."
+    assert text(f"<form><div>{long}</div><form><p>Search</p></form></form><form><h3>Sign in</h3><p>Name</p></form>") == ("word " * 50).strip()
+    assert text(f"{article}<form><p>Name</p></form>") == "T\nOne." and text("<article><p>One.</p><form><h3>Join</h3><p>Mail</p></form></article>") == "One."
+    for c in ('class="ad-hoc-report"', 'class="story search-warrant"', 'class="menu-planning-guide"', 'id="related-works-study"'):
+        assert text(f"<div {c}><p>One.</p></div>") == "One.", c
+    for c in ('class="sidebar-left"', 'id="footer2"', 'class="x newsletter-signup-box"', 'class="ad-slot-300x250"', 'class="cookie-banner"'):
+        assert text(f"<div {c}><p>No.</p></div><p>One.</p>") == "One.", c
+    assert text(article + '<article class="teaser"><p>Other.</p></article>') == "T\nOne."
+
+
+def test_lines_that_recur_outside_articles_go_without_any_mark(spark):
+    pages = [(i, f"http://h.example/{i}", f"<div><h1>Title {i}</h1><p>Subscribe to our newsletter.</p><p>Text of page {i}.</p></div><p>All rights are ours.</p>") for i in range(6)]
+    pages += [(10 + i, f"http://k.example/{i}", f"<article><h1>Title {i}</h1><p>A passage that all share.</p></article><p>All rights are ours.</p>") for i in range(6)]
+    got = {r.page_id: (r.text, r.template_blocks) for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: (f"Title {i}\nText of page {i}.", 2) for i in range(6)} | {10 + i: (f"Title {i}\nA passage that all share.", 1) for i in range(6)}
+
+
+def test_templates_met_by_joins_are_those_met_by_broadcast(spark, monkeypatch):
+    pages = [(i, f"http://h{i % 2}.example/{'de' if i % 3 else 'en'}/{i}", f"<div>menu {i % 2}</div><h1>T{i}</h1><p>Text {i}.</p>") for i in range(24)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    a = sorted(tuple(r) for r in html_text.extract(df).collect())
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", 0)
+    assert sorted(tuple(r) for r in html_text.extract(df).collect()) == a and any(r[3] for r in a)
