@@ -68,7 +68,8 @@ ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))
 #: Attributes that may mark an element; others are passed over with their values.
 TELLING = frozenset("class id role hidden aria-hidden style".split())
 WORDS = re.compile(r"[a-z]+|[0-9]+")
-COMMENT = re.compile(r"comments?(?:[-_]?\d+)?")
+#: Classes and ids of article elements that are none.
+COMMENT = re.compile(r"comments?(?:[-_]?\d+)?|teasers?|promo|sponsored|related|recommended")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
