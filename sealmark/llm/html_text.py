@@ -222,14 +222,15 @@ class Page:
         elif main > top.main and form >= 0:
             self._keep_form(form)  # a form around an article
         index = top.index
-        if tag == "h1" and skip == SHOWN:
+        article = bool(top.main or self._open_at.get("article"))
+        if tag == "h1" and skip == SHOWN and not article:
             at = index
             while at not in self._headed:
                 self._headed.add(at)
                 at = self.around[at] if at >= 0 else -1
                 if at < 0:
                     break
-        line = tag in FLOW and tag not in HEADINGS and not (top.main or self._open_at.get("article"))
+        line = tag in FLOW and tag not in HEADINGS and not article
         container = tag not in INLINE and (tag not in FLOW or line) and tag not in ("html", "body", "main", "article")
         if container:
             self.hashes.append(0)

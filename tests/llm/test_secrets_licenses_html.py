@@ -336,10 +336,10 @@ def test_pages_in_forms_and_classes_about_something_else():
 
 
 def test_lines_that_recur_outside_articles_go_without_any_mark(spark):
-    pages = [(i, f"http://h.example/{i}", f"<div><h1>Title {i}</h1><p>Subscribe to our newsletter.</p><p>Text of page {i}.</p></div><p>All rights are ours.</p>") for i in range(6)]
+    pages = [(i, f"http://h.example/{i}", f"<p>Subscribe to our newsletter.</p><div><h1>Title {i}</h1><div><p>A passage that all share.</p><p>Text of page {i}.</p></div></div><p>All rights are ours.</p>") for i in range(6)]
     pages += [(10 + i, f"http://k.example/{i}", f"<article><h1>Title {i}</h1><p>A passage that all share.</p></article><p>All rights are ours.</p>") for i in range(6)]
     got = {r.page_id: (r.text, r.template_blocks) for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got == {i: (f"Title {i}\nText of page {i}.", 2) for i in range(6)} | {10 + i: (f"Title {i}\nA passage that all share.", 1) for i in range(6)}
+    assert got == {i: (f"Title {i}\nA passage that all share.\nText of page {i}.", 2) for i in range(6)} | {10 + i: (f"Title {i}\nA passage that all share.", 1) for i in range(6)}
 
 
 def test_templates_met_by_joins_are_those_met_by_broadcast(spark, monkeypatch):
