@@ -4,7 +4,7 @@ Shingles are runs of five words. A shingle's weight is (1 + ln tf) times an idf
 of at most one document in ``RARE``, to 1 for those of all documents, in step with the logarithm of the document
 frequency; weights are on a fine geometric grid. Frequencies above that share are counted exactly: a table of cells of
 fixed size tells which shingles may have it, and only these are shuffled and counted. There are at most ``RARE`` times
-as many as a document has on the mean, whatever the number of documents, so they are broadcast, behind a check.
+as many as a document has on the mean, whatever the number of documents (12 bytes each), so they are broadcast.
 
 Each text gives 64 weighted samples, in 16 bands of 4. Texts that share a band meet in a bucket; pairs are verified by
 weighted Jaccard similarity of the whole texts; classes are the connected components of the verified links.
@@ -49,8 +49,6 @@ FIRST = 320
 DEVIATIONS = 4.2
 #: How much more a rare shingle weighs than one of all documents, and of how many documents one may hold a rare one.
 IDF, RARE = 0.5, 1000
-#: Frequent shingles that are broadcast at most (12 bytes each); if there are more, the share that counts as rare is doubled.
-MOST_FREQUENT = 1 << 20
 DF_BITS, _CELLS = 20, 4096
 #: Weights are on a grid of this ratio (as a logarithm).
 STEP, LEVELS = 0.05, 64
@@ -171,9 +169,7 @@ def document_frequencies(docs: DataFrame) -> Idf:
 
     counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counted = saved(counted.filter(F.col("n") > rare))
-    while counted.filter(F.col("n") > rare).count() > MOST_FREQUENT:
-        rare *= 2
-    rows = counted.filter(F.col("n") > rare).toArrow()  # at most MOST_FREQUENT
+    rows = counted.toArrow()  # no more than RARE times the mean number of shingles of a document
     keys, df = (rows.column(c).to_numpy() for c in ("h", "n"))
     order = np.argsort(keys)
     return Idf(keys[order].view(np.uint64), log_idf(df[order], n, rare), cells > rare)
