@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sealmark import views as V
 from sealmark.functions.hashing import joined
 from sealmark.functions.when import exit_name, gate
-from sealmark.operators import export, joins, similar, state
+from sealmark.operators import export, joins, payloads, signatures, similar, state
 from sealmark.operators.aggregates import distinct_states
 from sealmark.plans.claims import _AGE, _STATE, with_state
 from sealmark.plans.registry import query
@@ -52,21 +52,47 @@ def carried_states(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", state.carried_state(F.coalesce("gone", F.lit(False)), F.col("state")).alias("state"))
 
 
-@query("SELECT reusable, count(*) AS families, CAST(sum(ids) AS BIGINT) AS ids FROM (SELECT p_brand, starts_with(p_brand, 'Brand#1') AS reusable, count(DISTINCT p_partkey) AS ids FROM part GROUP BY 1, 2) GROUP BY 1")
+@query("WITH f_v AS (SELECT p_brand AS family, count(DISTINCT p_partkey) AS ids FROM part GROUP BY 1), m_v AS (SELECT DISTINCT p_brand AS family, p_type AS kind FROM part WHERE starts_with(p_brand, 'Brand#1')), r_v AS (SELECT DISTINCT p_type AS kind FROM part WHERE p_size > 49 AND p_partkey % 2 = 0), l_v AS (SELECT m.family, list_sort(list(m.kind) FILTER (r.kind IS NOT NULL)) AS answered, list_sort(list(m.kind) FILTER (r.kind IS NULL)) AS missing FROM m_v m LEFT JOIN r_v r ON r.kind = m.kind GROUP BY 1) SELECT f.family, f.ids, l.family IS NOT NULL AS reusable, coalesce(array_to_string(l.answered, ','), '') AS answered, coalesce(array_to_string(l.missing, ','), '') AS missing FROM f_v f LEFT JOIN l_v l ON l.family = f.family")
 def family_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Families that recur against those of one phase, with their distinct ids."""
-    per = V.read(spark, d, "part").groupBy("p_brand").agg(F.count_distinct("p_partkey").alias("ids"))
-    return per.groupBy(F.startswith("p_brand", F.lit("Brand#1")).alias("reusable")).agg(F.count("*").alias("families"), F.sum("ids").alias("ids"))
+    """Which kinds answer the families of obligations that recur, and which are missing."""
+    p = V.read(spark, d, "part")
+    families = p.groupBy(F.col("p_brand").alias("family")).agg(F.count_distinct("p_partkey").alias("ids"))
+    mapping = p.filter(F.startswith("p_brand", F.lit("Brand#1"))).select(F.col("p_brand").alias("family"), F.col("p_type").alias("kind"))
+    out = payloads.obligations(families, mapping, p.filter("p_size > 49 AND p_partkey % 2 = 0").select(F.col("p_type").alias("kind")))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("answered", "missing")})
 
 
-@query("SELECT id, task_id, payload FROM event_v WHERE kind = 'error' ORDER BY id")
+def _written(events: DataFrame, text: str) -> DataFrame:
+    """Events with payloads of their own, some of which are broken, lists, or missing. ``text`` is what a good one says, in SQL."""
+    odd = "CASE WHEN id % 11 = 3 THEN '{broken' WHEN id % 13 = 4 THEN NULL WHEN id % 17 = 5 THEN '[1]' WHEN id % 19 = 6 THEN '' ELSE "
+    return events.withColumn("payload", F.expr(f"{odd}{text} END"))
+
+
+_ODD = "CASE WHEN id % 11 = 3 THEN '{{broken' WHEN id % 13 = 4 THEN NULL WHEN id % 17 = 5 THEN '[1]' WHEN id % 19 = 6 THEN '' ELSE {} END"
+_QUOTE = """concat('{"quote":"q', k % 9, '","why":"', kind, ' ', task_id, '"', CASE WHEN k % 4 = 0 THEN ',"more":[1,{}]' ELSE '' END, '}')"""
+_GROUP = """concat('{"name":"g', k % 7, '"', CASE WHEN k % 5 = 0 THEN '' ELSE concat(',"claims":["c', id % 50, '","c', id % 30, '"]') END, ',"why":', CASE WHEN k % 6 = 0 THEN 'null' ELSE '"so"' END, '}')"""
+_READ = "CASE WHEN json_valid(p) AND json_type(p) = 'OBJECT' THEN p END"
+
+
+@query(f"WITH w_v AS (SELECT id, task_id, {_ODD.format(_QUOTE.replace('{}', '{{}}')).replace('{{', '{').replace('}}', '}')} AS p FROM event_v WHERE kind = 'error'), r_v AS (SELECT id, task_id, {_READ} AS p FROM w_v) SELECT id, task_id, p ->> '$.quote' AS quote, p ->> '$.why' AS why FROM r_v WHERE p IS NOT NULL")
 def withdrawals(spark: SparkSession, d: str) -> DataFrame:
-    return V.event(spark, d).filter("kind = 'error'").select("id", "task_id", "payload").orderBy("id")
+    """Cancelled entries, read from their payloads; those that cannot be read are left out."""
+    return payloads.withdrawals(_written(V.event(spark, d).filter("kind = 'error'"), _QUOTE))
+
 
+_GROUPS = f"w_v AS (SELECT id, {_ODD.format(_GROUP).replace('{{', '{').replace('}}', '}')} AS q FROM event_v WHERE kind = 'signup'), v_v AS (SELECT id, CASE WHEN coalesce(q, '') = '' THEN '{{}}' ELSE q END AS p FROM w_v), r_v AS (SELECT id, {_READ} AS p FROM v_v), g_v AS (SELECT id, coalesce(p ->> '$.name', '') AS name, coalesce(CAST(p -> '$.claims' AS VARCHAR[]), []) AS claims, coalesce(p ->> '$.why', '') AS why FROM r_v WHERE p IS NOT NULL)"
 
-@query("SELECT id, k, task_id FROM event_v WHERE kind = 'signup' ORDER BY id")
+
+@query(f"WITH {_GROUPS} SELECT id, name, array_to_string(claims, ',') AS claims, why FROM g_v")
 def groupings(spark: SparkSession, d: str) -> DataFrame:
-    return V.event(spark, d).filter("kind = 'signup'").select("id", "k", "task_id").orderBy("id")
+    """Groupings of claims, read from their payloads; a missing payload is a grouping of nothing, a broken one none."""
+    return payloads.groupings(_written(V.event(spark, d).filter("kind = 'signup'"), _GROUP)).withColumn("claims", F.array_join("claims", ","))
+
+
+@query(f"WITH {_GROUPS} SELECT claim, arg_max(name, id) AS name FROM (SELECT id, name, unnest(claims) AS claim FROM g_v) GROUP BY 1")
+def groups_of_claims(spark: SparkSession, d: str) -> DataFrame:
+    """The latest grouping that each claim is in."""
+    return payloads.group_of(payloads.groupings(_written(V.event(spark, d).filter("kind = 'signup'"), _GROUP)))
 
 
 @query("SELECT c.id, sha256(concat_ws(chr(31), kind, CAST(c.task_id AS VARCHAR), coalesce(r.refs, ''), origin)) AS digest FROM claim_v c LEFT JOIN (SELECT claim_id, list_aggregate(list_sort(list(DISTINCT CAST(subject_digest AS VARCHAR))), 'string_agg', ',') AS refs FROM attempt_v GROUP BY 1) r ON r.claim_id = c.id")
@@ -127,26 +153,58 @@ def projection_faults(spark: SparkSession, d: str) -> DataFrame:
     return export.faults(e.select("id", record.alias("record")), files, "id")
 
 
-@query("WITH r_v AS (SELECT k AS path, arg_max(kind, id) AS kind, arg_max(task_id, id) AS who FROM event_v WHERE kind IN ('view', 'click') GROUP BY 1), f_v AS (SELECT k AS path, arg_min(kind, id) AS kind, arg_max(task_id, id) AS who FROM event_v WHERE kind IN ('click', 'error') AND k < 90 GROUP BY 1) SELECT * FROM (SELECT coalesce(r.path, f.path) AS path, CASE WHEN f.path IS NULL THEN 'no record' WHEN r.path IS NULL THEN 'no row' WHEN r.kind <> f.kind THEN 'kind differs' WHEN r.who <> f.who THEN 'who differs' END AS problem FROM r_v r FULL JOIN f_v f ON f.path = r.path) WHERE problem IS NOT NULL")
+_RECORD = """CASE WHEN r % 13 = 1 THEN NULL WHEN r % 13 = 2 THEN '{broken' WHEN r % 13 = 3 THEN '[1]' ELSE concat('{"claim":"', claim_id, '","kind":"', kind, '","why":"', CASE WHEN r % 13 = 5 THEN 'other' ELSE why END, '","scope":"task","stdin_was_a_tty":', CASE WHEN was_tty = 1 THEN 'true' ELSE 'false' END, CASE WHEN r % 13 = 4 THEN '' ELSE concat(',"signed_by":"', signed_by, '"') END, ',"covers":', CASE WHEN r % 13 = 6 THEN '{"b":1,"a":[2]}' ELSE 'null' END, '}') END"""
+
+
+@query("""WITH s_v AS (SELECT claim_id AS id, CAST(claim_id AS VARCHAR) AS claim_id, claim_id // 40 AS r, signed_by FROM risk_v), x_v AS (SELECT *, CASE WHEN id % 23 = 1 THEN '' WHEN id % 23 = 2 THEN '../' || r || '.json' ELSE 'risks/' || r || '.json' END AS p FROM s_v),
+ n_v AS (SELECT * FROM x_v WHERE p = '' OR id IN (SELECT max(id) FROM x_v WHERE p <> '' GROUP BY p)), m_v AS (SELECT r, max(id) AS made FROM s_v GROUP BY 1)
+ SELECT CASE WHEN p <> '' THEN p ELSE p END AS path, claim_id, unnest(CASE WHEN p = '' THEN ['names no record'] WHEN starts_with(p, '../') THEN ['invalid path'] WHEN n.r % 13 = 0 THEN ['record on no branch'] WHEN n.r % 13 = 1 THEN ['does not read'] WHEN n.r % 13 = 2 THEN ['invalid JSON'] WHEN n.r % 13 = 3 THEN ['malformed record']
+  ELSE list_filter([CASE WHEN m.made <> n.id THEN 'disagree about claim' END, CASE WHEN n.r % 13 = 5 THEN 'disagree about why' WHEN m.made % 7 <> n.id % 7 THEN 'disagree about why' END, CASE WHEN n.r % 13 = 4 AND n.signed_by <> '' THEN 'omits signed_by' END, CASE WHEN n.r % 13 = 6 THEN 'carries covers, the row none' END, CASE WHEN n.r % 13 = 7 THEN 'not tracked' END], lambda x: x IS NOT NULL) END) AS problem
+ FROM n_v n JOIN m_v m ON m.r = n.r
+ UNION ALL SELECT 'risks/' || r || '.json', NULL, 'no row made it' FROM m_v WHERE r % 13 NOT IN (0, 8) AND 'risks/' || r || '.json' NOT IN (SELECT p FROM x_v)""")
 def reconciled_signatures(spark: SparkSession, d: str) -> DataFrame:
-    """The newest signature of each record file against the file, both ways."""
-    from sealmark.operators.diff import reconcile
+    """Signatures against the records that the newest of each wrote, with every fault that either side may have."""
+    i = F.col("claim_id")
+    r = F.floor(i / 40)
+    rows = V.risk(spark, d).select(i.alias("id"), i.cast("string").alias("claim_id"), r.alias("r"), F.lit("k").alias("kind"), F.concat(F.lit("w"), i % 7).alias("why"), F.lit("task").alias("scope"), F.lit("p").alias("who"), F.lit(1).alias("was_tty"), "signed_by", F.lit("").alias("cover_key"))
+    path = F.concat(F.lit("risks/"), F.col("r"), F.lit(".json"))
+    made = rows.groupBy("r").agg(F.max_by(F.struct("claim_id", "kind", "why", "was_tty", "signed_by"), "id").alias("n")).select("r", "n.*")
+    # Which of the rows of a record signed it last is told apart by its own fields only where they differ.
+    records = made.filter("r % 13 != 0").select(path.alias("path"), F.expr(_RECORD).alias("content"), F.when(F.col("r") % 13 == 8, "c0ffee").otherwise("disk").alias("place"), (F.col("r") % 13 != 7).alias("tracked"))
+    named = rows.withColumn("git_record", F.when(F.col("id") % 23 == 1, "").when(F.col("id") % 23 == 2, F.concat(F.lit("../"), F.col("r"), F.lit(".json"))).otherwise(path))
+    return signatures.reconciled(named, records)
 
-    e = V.event(spark, d)
-    rows = e.filter("kind IN ('view', 'click')").groupBy(F.col("k").alias("path")).agg(F.max_by(F.struct("kind", F.col("task_id").alias("who")), "id").alias("r")).select("path", "r.*")
-    files = e.filter("kind IN ('click', 'error') AND k < 90").groupBy(F.col("k").alias("path")).agg(F.min_by("kind", "id").alias("kind"), F.max_by("task_id", "id").alias("who"))
-    return reconcile(rows, files, "path", ["kind", "who"])
+
+_GLOBS = """concat('{"task":', task_id, CASE WHEN k % 10 = 0 THEN '' ELSE concat(',"globs":["g', k % 12, '/**","x', k % 5, '"]') END, '}')"""
 
 
-@query("SELECT task_id, list_aggregate(list_sort(list(DISTINCT 'g' || (k % 12))), 'string_agg', ',') AS globs FROM event_v WHERE kind = 'error' GROUP BY 1")
+@query(f"WITH w_v AS (SELECT id, task_id, {_GLOBS} AS p FROM event_v WHERE kind = 'error') SELECT task_id, \"glob\", min(id) AS since FROM (SELECT task_id, id, unnest(coalesce(CAST(CAST(p AS JSON) -> '$.globs' AS VARCHAR[]), [])) AS \"glob\" FROM w_v) GROUP BY 1, 2")
 def forbidden_globs(spark: SparkSession, d: str) -> DataFrame:
-    """The globs that events forbid a task, each once."""
-    own = V.event(spark, d).filter("kind = 'error'").groupBy("task_id").agg(F.collect_set(F.concat(F.lit("g"), (F.col("k") % 12).cast("string"))).alias("g"))
-    return own.select("task_id", F.array_join(F.array_sort("g"), ",").alias("globs"))
+    """The globs that events forbid a task, read from their payloads, each with the first event that did."""
+    return payloads.forbidden(V.event(spark, d).filter("kind = 'error'").withColumn("payload", F.expr(_GLOBS)))
+
+
+_ROUND = """concat('{"label":"r', k, '","acceptance_sha":"s', k % 4, '"}')"""
 
 
-@query("SELECT task_id, arg_max(k, id) AS frozen, arg_max(k, id) = max(k) FILTER (kind <> 'signup') AS unmoved FROM event_v GROUP BY 1 HAVING count(*) FILTER (kind <> 'signup') > 0")
+@query(f"""WITH e_v AS (SELECT task_id, arg_max(kind, id) AS kind, arg_max({_ROUND}, id) AS p FROM event_v WHERE kind IN ('view', 'click') GROUP BY 1), r_v AS (SELECT task_id, CAST(p AS JSON) ->> '$.label' AS label, CAST(p AS JSON) ->> '$.acceptance_sha' AS frozen FROM e_v WHERE kind = 'view')
+ SELECT t.id AS task_id, r.label, CASE WHEN r.label IS NULL THEN 'no round' WHEN r.frozen = 's' || (t.id % 4) THEN 'unmoved' ELSE 'moved' END AS verdict FROM task_v t LEFT JOIN r_v r ON r.task_id = t.id""")
 def moved_rulers(spark: SparkSession, d: str) -> DataFrame:
-    """The criteria that a task's newest round froze, against what they are now."""
-    own = V.event(spark, d).groupBy("task_id").agg(F.max_by("k", "id").alias("frozen"), F.max(F.when(F.col("kind") != "signup", F.col("k"))).alias("now"))
-    return own.filter("now IS NOT NULL").select("task_id", "frozen", (F.col("frozen") == F.col("now")).alias("unmoved"))
+    """The criteria that the open round of a task froze, against what they are now; a closed round, or none, asks for nothing."""
+    rounds = payloads.current_round(V.event(spark, d).withColumn("payload", F.expr(_ROUND)), "task_id", "view", "click")
+    now = V.task(spark, d).select(F.col("id").alias("task_id"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("sha"))
+    return payloads.rulers(rounds, now, "task_id")
+
+
+_FILE = """CASE WHEN b % 7 = 0 THEN NULL WHEN b % 7 = 1 THEN '{broken' WHEN b % 7 = 2 THEN concat('[', ids, ']') WHEN b % 7 = 3 THEN concat('{"accepted":[', ids, '],"findings":7}') WHEN b % 7 = 4 THEN concat('{"findings":[', objects, ']}') WHEN b % 7 = 5 THEN concat('[', ids, ',7]') ELSE '{"other":[]}' END"""
+_BASE = """p_v AS (SELECT p_brand AS kind, CAST(replace(p_brand, 'Brand#', '') AS INT) AS b, p_partkey AS i, p_size AS size FROM part), t_v AS (SELECT kind, b, string_agg('"' || i || '"', ',') AS ids, string_agg('{"id":"' || i || '","note":1}', ',') AS objects FROM p_v WHERE size < 20 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_BASE}, f_v AS (SELECT kind, {_FILE} AS p FROM t_v), u_v AS (SELECT DISTINCT kind FROM p_v WHERE b % 7 IN (1, 5, 6) AND size < 20), b_v AS (SELECT kind, CAST(i AS VARCHAR) AS id FROM p_v WHERE size < 20 AND b % 7 IN (2, 3, 4)), n_v AS (SELECT kind, CAST(i AS VARCHAR) AS id FROM p_v WHERE size > 10)
+ SELECT kind, id, CASE WHEN kind IN (SELECT kind FROM u_v) THEN 'unknown' WHEN b IS NULL THEN 'new' WHEN n IS NULL THEN 'stale' ELSE 'carried' END AS side FROM (SELECT coalesce(n.kind, b.kind) AS kind, coalesce(n.id, b.id) AS id, n.id AS n, b.id AS b FROM n_v n FULL JOIN b_v b ON b.kind = n.kind AND b.id = n.id)""")
+def forgiven_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings against the baseline file of their kind, of either shape, where a file that is not there is not one that cannot be read."""
+    p = V.read(spark, d, "part").select(F.col("p_brand").alias("kind"), F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int").alias("b"), F.col("p_partkey").cast("string").alias("i"), F.col("p_size").alias("size"))
+    join = lambda x: F.array_join(F.collect_list(x), ",")
+    texts = p.filter("size < 20").groupBy("kind", "b").agg(join(F.concat(F.lit('"'), "i", F.lit('"'))).alias("ids"), join(F.concat(F.lit('{"id":"'), "i", F.lit('","note":1}'))).alias("objects"))
+    return payloads.forgiven(p.filter("size > 10").select("kind", F.col("i").alias("id")), texts.select("kind", F.expr(_FILE).alias("content")))
