@@ -157,9 +157,9 @@ _RECORD = """CASE WHEN r % 13 = 1 THEN NULL WHEN r % 13 = 2 THEN '{broken' WHEN
 
 
 @query("""WITH s_v AS (SELECT claim_id AS id, CAST(claim_id AS VARCHAR) AS claim_id, claim_id // 40 AS r, signed_by FROM risk_v), x_v AS (SELECT *, CASE WHEN id % 23 = 1 THEN '' WHEN id % 23 = 2 THEN '../' || r || '.json' ELSE 'risks/' || r || '.json' END AS p FROM s_v),
- n_v AS (SELECT * FROM x_v WHERE p = '' OR id IN (SELECT max(id) FROM x_v WHERE p <> '' GROUP BY p)), m_v AS (SELECT r, max(id) AS made FROM s_v GROUP BY 1)
- SELECT CASE WHEN p <> '' THEN p ELSE p END AS path, claim_id, unnest(CASE WHEN p = '' THEN ['names no record'] WHEN starts_with(p, '../') THEN ['invalid path'] WHEN n.r % 13 = 0 THEN ['record on no branch'] WHEN n.r % 13 = 1 THEN ['does not read'] WHEN n.r % 13 = 2 THEN ['invalid JSON'] WHEN n.r % 13 = 3 THEN ['malformed record']
-  ELSE list_filter([CASE WHEN m.made <> n.id THEN 'disagree about claim' END, CASE WHEN n.r % 13 = 5 THEN 'disagree about why' WHEN m.made % 7 <> n.id % 7 THEN 'disagree about why' END, CASE WHEN n.r % 13 = 4 AND n.signed_by <> '' THEN 'omits signed_by' END, CASE WHEN n.r % 13 = 6 THEN 'carries covers, the row none' END, CASE WHEN n.r % 13 = 7 THEN 'not tracked' END], lambda x: x IS NOT NULL) END) AS problem
+ n_v AS (SELECT * FROM x_v WHERE p = '' OR id IN (SELECT max(id) FROM x_v WHERE p <> '' GROUP BY p)), m_v AS (SELECT r, max(id) AS made, arg_max(signed_by, id) AS signer FROM s_v GROUP BY 1)
+ SELECT p AS path, claim_id, unnest(CASE WHEN p = '' THEN ['names no record'] WHEN starts_with(p, '../') THEN ['invalid path'] WHEN n.r % 13 = 0 THEN ['record on no branch'] WHEN n.r % 13 = 1 THEN ['does not read'] WHEN n.r % 13 = 2 THEN ['invalid JSON'] WHEN n.r % 13 = 3 THEN ['malformed record']
+  ELSE list_filter([CASE WHEN m.made <> n.id THEN 'disagree about claim' END, CASE WHEN n.r % 13 = 5 THEN 'disagree about why' WHEN m.made % 7 <> n.id % 7 THEN 'disagree about why' END, CASE WHEN n.r % 13 = 4 THEN CASE WHEN n.signed_by <> '' THEN 'omits signed_by' END WHEN n.signed_by <> '' AND m.signer <> n.signed_by THEN 'disagree about signed_by' END, CASE WHEN n.r % 13 = 6 THEN 'carries covers, the row none' END, CASE WHEN n.r % 13 = 7 THEN 'not tracked' END], lambda x: x IS NOT NULL) END) AS problem
  FROM n_v n JOIN m_v m ON m.r = n.r
  UNION ALL SELECT 'risks/' || r || '.json', NULL, 'no row made it' FROM m_v WHERE r % 13 NOT IN (0, 8) AND 'risks/' || r || '.json' NOT IN (SELECT p FROM x_v)""")
 def reconciled_signatures(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +169,6 @@ def reconciled_signatures(spark: SparkSession, d: str) -> DataFrame:
     rows = V.risk(spark, d).select(i.alias("id"), i.cast("string").alias("claim_id"), r.alias("r"), F.lit("k").alias("kind"), F.concat(F.lit("w"), i % 7).alias("why"), F.lit("task").alias("scope"), F.lit("p").alias("who"), F.lit(1).alias("was_tty"), "signed_by", F.lit("").alias("cover_key"))
     path = F.concat(F.lit("risks/"), F.col("r"), F.lit(".json"))
     made = rows.groupBy("r").agg(F.max_by(F.struct("claim_id", "kind", "why", "was_tty", "signed_by"), "id").alias("n")).select("r", "n.*")
-    # Which of the rows of a record signed it last is told apart by its own fields only where they differ.
     records = made.filter("r % 13 != 0").select(path.alias("path"), F.expr(_RECORD).alias("content"), F.when(F.col("r") % 13 == 8, "c0ffee").otherwise("disk").alias("place"), (F.col("r") % 13 != 7).alias("tracked"))
     named = rows.withColumn("git_record", F.when(F.col("id") % 23 == 1, "").when(F.col("id") % 23 == 2, F.concat(F.lit("../"), F.col("r"), F.lit(".json"))).otherwise(path))
     return signatures.reconciled(named, records)
