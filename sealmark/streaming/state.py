@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TRANSITIONS = "id long, key long, version long, action string, sha string"
@@ -75,24 +76,85 @@ def transitions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(run, OUT, "version long, ids array<long>, shas array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_ignore(stream: DataFrame, target: str, key: str, changed: str, checkpoint: str):
-    """Write a stream so that a known key is not written again; a known key with another ``changed`` value is written
-    to ``<target>_raised`` instead. Replaying a batch writes nothing new."""
+class _Bounded(StatefulProcessor):
+    """Transitions of a key with the ids of the last ``horizon`` that it accepted.
+
+    State: (version, ids accepted so far, ids let go, greatest version that one of those expected), ids with content and place, ids by place.
+    """
+
+    def __init__(self, horizon: int):
+        self.horizon = horizon
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", "version long, accepted long, gone long, low long")
+        self.ids = handle.getMapState("ids", "id long", "sha string, expected long")
+        self.places = handle.getMapState("places", "place long", "id long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        version, accepted, gone, low = self.at.get() if self.at.exists() else (0, 0, 0, -1)
+        out = []
+        for r in sorted((r for b in rows for r in b.itertuples(index=False)), key=lambda r: (r.id, r.version)):
+            known = self.ids.getValue((r.id,)) if self.ids.containsKey((r.id,)) else None
+            if known is None and r.version <= low:
+                outcome = ASIDE
+            else:
+                seen = {} if known is None else {r.id: known[0]}
+                version, outcome = apply_transition(version, seen, (r.id, r.version, r.action, r.sha))
+                if known is None and r.id in seen:
+                    self.ids.updateValue((r.id,), (r.sha, r.version))
+                    self.places.updateValue((accepted,), (r.id,))
+                    accepted += 1
+                    while accepted - gone > self.horizon:
+                        old = self.places.getValue((gone,))
+                        low = max(low, self.ids.getValue(old)[1])
+                        self.ids.removeKey(old)
+                        self.places.removeKey((gone,))
+                        gone += 1
+            out.append((r.id, r.key, r.version, r.action, outcome))
+        self.at.update((version, accepted, gone, low))
+        yield pd.DataFrame(out, columns=["id", "key", "version", "action", "outcome"])
+
+    def close(self) -> None:
+        pass
+
+
+#: What is said of a row that may be one of those let go: it is kept, and changes nothing.
+ASIDE = "kept aside: before the horizon"
+
+
+def bounded_transitions(rows: DataFrame, horizon: int = 1000) -> DataFrame:
+    """Outcomes of a stream of ``TRANSITIONS`` rows, with state that does not grow: a key keeps its version and the last ``horizon`` ids that it accepted.
+
+    Within the horizon outcomes are those of ``transitions``. An unknown id that expects a version no greater than that of an id let go may have been
+    sent before: it is answered as ``ASIDE``, for a side output of its own. Needs the RocksDB state store, which is set. Rows of a key and batch are put in order in memory.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy("key").transformWithStateInPandas(_Bounded(horizon), OUT, "append", "none")
+
+
+def upsert_ignore(stream: DataFrame, root: str, key: str, changed: str, checkpoint: str):
+    """Write a stream so that a known key is not written again; a known key with another ``changed`` value is raised once more instead.
+
+    Both targets, ``rows`` and ``raised`` of ``root``, are one commit an epoch (see ``commits``): a batch that dies between its writes, or is replayed, shows neither
+    half of it nor anything twice. Of rows of one key in one batch one is written.
+    """
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        from sealmark.sources.ledger import exists
+        from sealmark.sources import commits
 
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        if exists(spark, target):
-            known = spark.read.parquet(target).select(key, F.col(changed).alias("_was"))
-            if exists(spark, f"{target}_raised"):
-                raised = spark.read.parquet(f"{target}_raised")
-                known = known.unionByName(raised.select(key, F.col(changed).alias("_was")))
-            met = new.join(known, key, "left_semi").join(known, (new[key] == known[key]) & new[changed].eqNullSafe(known["_was"]), "left_anti")
-            met.write.mode("append").parquet(f"{target}_raised")
-            new = new.join(known, key, "left_anti")
-        new.write.mode("append").parquet(target)
+        if commits.done(spark, root, epoch):
+            return
+        new = batch.dropDuplicates([key]).persist()
+        known, told = commits.read(spark, root, "rows"), commits.read(spark, root, "raised")
+        if known is None:
+            commits.commit(root, epoch, {"rows": new})
+        else:
+            before = known.select(key, changed) if told is None else known.select(key, changed).unionByName(told.select(key, changed))
+            pair = before.select(F.col(key).alias("_key"), F.col(changed).alias("_was")).distinct()
+            again = new.join(known.select(key).distinct(), key, "left_semi").join(pair, (F.col(key) == F.col("_key")) & F.col(changed).eqNullSafe(F.col("_was")), "left_anti")
+            commits.commit(root, epoch, {"rows": new.join(known.select(key).distinct(), key, "left_anti"), "raised": again})
+        new.unpersist()
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
 

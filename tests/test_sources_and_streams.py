@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from sealmark.sources import ledger, segments
+from sealmark.sources import commits, ledger, segments
 from sealmark.streaming import state
 
 
@@ -158,12 +158,78 @@ def test_transitions_of_a_table(spark):
     assert state.transitions(spark.createDataFrame([], state.TRANSITIONS)).count() == 0
 
 
+def run(q):
+    q = q.trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert q.exception() is None
+    return q
+
+
 def test_upsert_ignore_is_idempotent(spark, tmp_path):
     src, target = str(tmp_path / "in"), str(tmp_path / "claims")
     schema = "id string, sha string"
     for rows in ([("a", "1"), ("b", "1")], [("a", "1"), ("b", "2"), ("c", "1")], [("b", "2")]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        q = state.upsert_ignore(spark.readStream.schema(schema).parquet(src), target, "id", "sha", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == [("a", "1"), ("b", "1"), ("c", "1")]
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{target}_raised").collect()) == [("b", "2")]
+        run(state.upsert_ignore(spark.readStream.schema(schema).parquet(src), target, "id", "sha", str(tmp_path / "cp")))
+    assert sorted(tuple(r) for r in commits.read(spark, target, "rows").collect()) == [("a", "1"), ("b", "1"), ("c", "1")]
+    assert sorted(tuple(r) for r in commits.read(spark, target, "raised").collect()) == [("b", "2")]
+
+
+def test_a_commit_that_dies_between_its_writes_shows_nothing(spark, tmp_path, monkeypatch):
+    root, rows = str(tmp_path / "r"), lambda *x: spark.createDataFrame([(i,) for i in x], "id int")
+    ids = lambda t: sorted(r.id for r in commits.read(spark, root, t).collect())
+    assert commits.read(spark, root, "a") is None and not commits.done(spark, root, 0)
+    assert commits.commit(root, 0, {"a": rows(1), "b": rows(10)})
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(commits, "_publish", dies)
+        with pytest.raises(RuntimeError):
+            commits.commit(root, 1, {"a": rows(2), "b": rows(20)})
+    assert (ids("a"), ids("b")) == ([1], [10])
+    assert commits.commit(root, 1, {"a": rows(2), "b": rows(20)}) and not commits.commit(root, 1, {"a": rows(2), "b": rows(20)})
+    assert (ids("a"), ids("b")) == ([1, 2], [10, 20])
+    assert commits.commit(root, 2, {"b": rows(30)})
+    commits.compact(spark, root, 1)
+    assert (ids("a"), ids("b")) == ([1, 2], [10, 20, 30]) and not commits.commit(root, 0, {"a": rows(9)})
+    commits.compact(spark, root, 2)
+    assert commits.commit(root, 3, {"a": rows(3)}) and (ids("a"), ids("b")) == ([1, 2, 3], [10, 20, 30])
+
+
+def test_bounded_state_gives_the_same_outcomes_within_the_horizon(spark, tmp_path):
+    src, out, n = tmp_path / "in", str(tmp_path / "out"), 24
+    every = []
+    for i in range(n):
+        rows = [(10 * i, 7, i, "assign", "a"), (10 * i, 7, i, "assign", "a"), (10 * i + 1, 7, i, "stop", "b"), (10 * (i - 1), 7, i - 1, "assign", "a" if i % 2 else "z"), (10 * i + 2, 7, i - 1, "result", "c")]
+        every += rows if i else rows[:3]
+        spark.createDataFrame(rows if i else rows[:3], state.TRANSITIONS).coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema(state.TRANSITIONS).option("maxFilesPerTrigger", 1).parquet(str(src))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    try:
+        q = run(state.bounded_transitions(stream, horizon=8).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["numInputRows"]]
+    assert len(sizes) == n and max(sizes) == sizes[-1] == sizes[8]  # ids, places and one value, from the horizon on
+    got = sorted((r.id, r.version, r.action, r.outcome) for r in spark.read.parquet(out).collect())
+    want, version, seen = [], 0, {}
+    for i in range(n):  # batch by batch, as the stream saw them, with all ids kept
+        for id_, _, v, action, sha in sorted(every[0:3] if i == 0 else every[3 + 5 * (i - 1) : 3 + 5 * i], key=lambda r: (r[0], r[2])):
+            version, outcome = state.apply_transition(version, seen, (id_, v, action, sha))
+            want.append((id_, v, action, outcome))
+    assert got == sorted(want) and {"applied", "replayed", "kept late"} <= {r[3] for r in got}
+
+
+def test_rows_before_the_horizon_are_kept_aside(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    for rows in ([(i, 1, i, "assign", "a") for i in range(6)], [(0, 1, 0, "assign", "a"), (5, 1, 5, "assign", "a"), (90, 1, 1, "result", "x"), (91, 1, 5, "result", "x")]):
+        spark.createDataFrame(rows, state.TRANSITIONS).coalesce(1).write.mode("append").parquet(str(src))
+        before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+        try:
+            run(state.bounded_transitions(spark.readStream.schema(state.TRANSITIONS).parquet(str(src)), horizon=3).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")))
+        finally:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = [(r.id, r.outcome) for r in spark.read.parquet(out).orderBy("id", "outcome").collect()]
+    assert got == [(0, "applied"), (0, state.ASIDE), *((i, "applied") for i in range(1, 6)), (5, "replayed"), (90, state.ASIDE), (91, "kept late")]
