@@ -1,14 +1,16 @@
 """Findings in source files and documents, by line: imports, definitions, tests, headings, references.
 
 Files are rows of (path, text). Lines come from one explode; everything else is a projection, a join or a window keyed
-by path. What a line says is read by patterns, not by a parser: names in strings over several lines may be taken for code.
+by path. Imports and names of Python files come from their logical lines, with strings and comments blanked; what other lines say is read by patterns.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sealmark.functions.statements import bound, imports, statements
 from sealmark.operators.joins import longest_prefix
 
 
@@ -23,37 +25,68 @@ def module_of(path: Column) -> Column:
     return F.replace(F.regexp_replace(path, r"(/__init__)?\.py$", ""), F.lit("/"), F.lit("."))
 
 
+def _python(files: DataFrame) -> DataFrame:
+    """(path, module, imports, names, dynamic, star) of every Python file that reads; the statements of each are told apart in its own row."""
+
+    @F.pandas_udf("imports array<struct<line:int,dots:int,module:string,name:string,binds:string>>, names array<string>, dynamic boolean")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            found = None if t is None else statements(t)
+            if found is None:
+                rows.append((None, None, None))
+            else:
+                rows.append(([dict(zip(("line", "dots", "module", "name", "binds"), i, strict=True)) for i in imports(found)], *bound(found)))
+        return pd.DataFrame(rows, columns=["imports", "names", "dynamic"])
+
+    py = files.filter(F.endswith("path", F.lit(".py"))).withColumn("r", read("text")).filter("r.names IS NOT NULL")
+    return py.select("path", module_of(F.col("path")).alias("module"), "r.*", F.contains("text", F.lit("import *")).alias("star"))
+
+
+def _absolute(path: Column, dots: Column, module: Column) -> Column:
+    """The module that an import names: dots count from the importing file's own folder; null above the top."""
+    folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    parts = F.when(folder == "", F.array().cast("array<string>")).otherwise(F.split(folder, "/"))
+    base = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - dots + 1, F.lit(0)))
+    return F.when(dots == 0, module).when(dots - 1 <= F.size(parts), F.array_join(F.filter(F.concat(base, F.array(module)), lambda x: x != ""), "."))
+
+
 def python_imports(files: DataFrame) -> DataFrame:
-    """(path, line, module, name) of import lines; ``name`` is null where a whole module is imported."""
-    code = lines(files.filter(F.endswith("path", F.lit(".py"))))
-    from_ = F.regexp_extract("code", r"^\s*from\s+([\w.]+)\s+import\s+\(?([^#()]+)", 1)
-    names = F.split(F.regexp_extract("code", r"^\s*from\s+([\w.]+)\s+import\s+\(?([^#()]+)", 2), ",")
-    whole = F.split(F.regexp_extract("code", r"^\s*import\s+([\w., ]+)", 1), ",")
-    first = lambda c: F.regexp_extract(F.trim(c), r"^([\w.*]+)", 1)
-    a = code.filter(from_ != "").select("path", "line", from_.alias("module"), F.explode(names).alias("n")).select("path", "line", "module", first(F.col("n")).alias("name")).filter("name != '' AND name != '*'")
-    b = code.filter(whole[0] != "").select("path", "line", F.explode(whole).alias("n")).select("path", "line", first(F.col("n")).alias("module"), F.lit(None).cast("string").alias("name")).filter("module != ''")
-    return a.unionByName(b)
+    """(path, line, module, name) of imports; ``name`` is null where a whole module is imported. Relative modules are resolved."""
+    rows = _python(files).select("path", F.explode("imports").alias("i"))
+    return rows.select("path", "i.line", _absolute(F.col("path"), F.col("i.dots"), F.col("i.module")).alias("module"), "i.name").filter("module IS NOT NULL AND module != '' AND NOT name <=> '*'")
 
 
 def python_names(files: DataFrame) -> DataFrame:
     """(module, name) bound at the top of each Python file: definitions, assignments, and what it imports."""
-    py = files.filter(F.endswith("path", F.lit(".py")))
-    name = F.regexp_extract("code", r"^(?:(?:async\s+)?def|class)\s+(\w+)|^(\w+)\s*(?::[^=]+)?=(?!=)", 0)
-    own = F.regexp_extract(name, r"^(?:(?:async\s+)?(?:def|class)\s+)?(\w+)", 1)
-    defined = lines(py).select(module_of(F.col("path")).alias("module"), own.alias("name")).filter("name != ''")
-    brought = python_imports(py).select(module_of(F.col("path")).alias("module"), F.coalesce("name", F.element_at(F.split("module", r"\."), 1)).alias("name"))
-    return defined.union(brought).distinct()
+    return _python(files).select("module", F.explode("names").alias("name")).distinct()
 
 
 def dangling_imports(files: DataFrame) -> DataFrame:
-    """(path, line, module, name) of names that a module of these files does not bind and that is no module below it.
+    """(path, line, module, name) of names that the module they are imported from does not bind, and that are no module below it.
 
-    Imports of modules that these files do not hold are not judged.
+    A module is the longest part of its dotted name that is a file here, or the whole name where that is a folder. Modules that are not here are not
+    judged, nor are those that bind names when asked or import everything from another one.
     """
-    modules = files.filter(F.endswith("path", F.lit(".py"))).select(module_of(F.col("path")).alias("module"))
-    used = python_imports(files).filter("name IS NOT NULL").join(modules.distinct(), "module", "left_semi")
-    known = python_names(files).union(modules.filter(F.instr("module", ".") > 0).select(F.regexp_replace("module", r"\.\w+$", ""), F.element_at(F.split("module", r"\."), -1)))
-    return used.join(known.distinct(), ["module", "name"], "left_anti").select("path", "line", "module", "name")
+    py = _python(files)
+    folders = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda i: F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "."))).alias("module")).filter("module != ''").distinct() 
+    # A file before a package of its name.
+    targets = py.groupBy("module").agg(F.min_by(F.struct("names", "dynamic", "star", F.endswith("path", F.lit("/__init__.py")).alias("package")), F.endswith("path", F.lit("/__init__.py"))).alias("t")).select("module", "t.*")
+    both = targets.select("module").union(folders).distinct()
+    children = both.filter(F.contains("module", F.lit("."))).select(F.regexp_replace("module", r"\.[^.]+$", "").alias("target"), F.element_at(F.split("module", r"\."), -1).alias("name"))
+    used = py.select("path", F.explode("imports").alias("i")).filter("i.name IS NOT NULL AND i.name != '*'")
+    used = used.select("path", "i.line", _absolute(F.col("path"), F.col("i.dots"), F.col("i.module")).alias("module"), "i.name").filter("module IS NOT NULL AND module != ''")
+    wanted = used.select("module").distinct()
+    exact = wanted.join(targets.select("module"), "module", "left_semi").select("module", F.col("module").alias("target"))
+    as_folder = wanted.join(folders, "module", "left_semi").join(exact.select("module"), "module", "left_anti").select("module", F.col("module").alias("target"))
+    rest = wanted.join(exact.union(as_folder).select("module"), "module", "left_anti")
+    shorter = longest_prefix(rest.withColumnRenamed("module", "name"), targets.select("module")).filter("module IS NOT NULL").select(F.col("name").alias("module"), F.col("module").alias("target"))
+    met = used.join(exact.union(as_folder).union(shorter), "module").join(targets.withColumnRenamed("module", "target"), "target", "left")
+    is_file = F.col("package").isNotNull()
+    open_ = F.coalesce(F.col("dynamic") | F.col("star"), F.lit(False)) | F.coalesce(F.array_contains("names", F.col("name")), F.lit(False))
+    asked = met.filter(~open_).withColumn("below", ~is_file | F.col("package"))
+    known = children.withColumn("_child", F.lit(True)).distinct()
+    return asked.join(known, ["target", "name"], "left").filter("NOT (below AND _child <=> true)").select("path", "line", "module", "name")
 
 
 def import_edges(files: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from sealmark import views as V
 from sealmark.functions import hashing as H
 from sealmark.functions import text as X
 from sealmark.functions import when as W
+from sealmark.operators import constraints
 from sealmark.plans.registry import query
 
 _TOK = "list_distinct(regexp_extract_all(lower({}), '([a-z_][a-z0-9_]*|[一-鿿])', 1))"
@@ -137,3 +138,24 @@ def hashes_by_scheme(spark: SparkSession, d: str) -> DataFrame:
     fields = [F.col("o_custkey"), F.col("o_orderpriority"), F.substring(F.col("o_orderdate").cast("string"), 1, 10)]
     scheme = F.concat(F.lit("chain-"), (F.col("o_orderkey") % 4 + 1).cast("string"))
     return o.select(F.col("o_orderkey").alias("id"), H.attempt_hash(scheme, F.lit("prev"), fields, F.concat(F.lit("cd"), F.col("o_orderkey").cast("string")), F.lit("w"), F.lit(None).cast("string")).alias("hash"))
+
+
+_RULES = [
+    ("$", "object", None, None, None, None, None), ("$.id", "string", True, 1, None, "identifier", None), ("$.version", "integer", True, None, 5, None, None), ("$.action", "string", True, None, None, None, ["user", "assistant"]),
+    ("$.note", "string", True, 20, 600, None, None), ("$.parts", "array", False, 1, 3, None, None), ("$.parts[]", "object", None, None, None, None, None), ("$.parts[].n", "integer", True, 0, 40, None, None), ("$.parts[].why", "string", False, 1, None, None, None),
+]
+
+
+@query("""WITH d_v AS (SELECT conv_id, turn, text, role, conv_id % 9 AS o, turn % 4 AS p FROM conversations), n_v AS (SELECT *, CASE WHEN o = 0 THEN 'c ' || conv_id ELSE 'c-' || conv_id END AS id FROM d_v)
+ SELECT conv_id, turn, CASE WHEN o = 1 THEN '$ is no JSON' WHEN o = 2 THEN '$: unknown fields [extra], missing fields [version]' WHEN o = 0 THEN '$.id is no identifier' WHEN turn > 5 THEN '$.version must be at most 5' WHEN role NOT IN ('user', 'assistant') THEN '$.action must be one of user, assistant'
+  WHEN length(text) NOT BETWEEN 20 AND 600 THEN '$.note has invalid length' WHEN p = 0 THEN '$.parts needs at least 1 items' WHEN p = 2 AND conv_id % 50 > 40 THEN '$.parts[1].n must be at most 40' WHEN p = 3 THEN '$.parts[0].why contains empty text or control characters' END AS fault FROM n_v""")
+def document_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Documents against a schema that is a table: the first fault of each."""
+    c = V.read(spark, d, "conversations")
+    o, p = F.col("conv_id") % 9, F.col("turn") % 4
+    quoted = lambda x: F.regexp_extract(F.to_json(F.struct(F.array(x).alias("x"))), r"(?s)\[(.*)\]\}$", 1)
+    parts = F.when(p == 0, "[]").when(p == 1, '[{"n":1}]').when(p == 2, F.concat(F.lit('[{"n":0,"why":"so"},{"n":'), F.col("conv_id") % 50, F.lit("}]"))).otherwise('[{"n":1,"why":"  "}]')
+    version = F.when(o == 2, ',"extra":1').otherwise(F.concat(F.lit(',"version":'), "turn"))
+    text = F.concat(F.lit('{"id":"'), F.when(o == 0, "c ").otherwise("c-"), "conv_id", F.lit('"'), version, F.lit(',"action":'), quoted(F.col("role")), F.lit(',"note":'), quoted(F.col("text")), F.lit(',"parts":'), parts, F.when(o == 1, "").otherwise("}"))
+    fault = constraints.compiled(spark.createDataFrame(_RULES, constraints.SCHEMA), F.col("document"))
+    return c.select("conv_id", "turn", text.alias("document")).select("conv_id", "turn", fault.alias("fault"))
