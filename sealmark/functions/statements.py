@@ -104,3 +104,16 @@ def bound(found: list[Statement]) -> tuple[list[str], bool]:
         if re.match(r"__all__\s*=", code):
             names.update(x[1] for x in re.findall(r"""(["'])(\w+)\1""", text))
     return sorted(names), dynamic
+
+
+def decorated(found: list[Statement]) -> list[tuple[int, str, str]]:
+    """(line of the decorator, its dotted name, the function) of every decorated function; a decorator is named by what stands before its call."""
+    out, waiting = [], []
+    for line, _, code, _ in found:
+        if m := re.match(r"@\s*([\w.]+)\s*(?:\(.*\))?$", code):
+            waiting.append((line, m[1]))
+        elif not code.startswith("@"):
+            if m := re.match(r"(?:async\s+)?def\s+(\w+)", code):
+                out += [(n, name, m[1]) for n, name in waiting]
+            waiting = []
+    return out

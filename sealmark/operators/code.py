@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealmark.functions.statements import bound, imports, statements
+from sealmark.functions.statements import bound, decorated, imports, statements
 from sealmark.operators.joins import longest_prefix
 
 
@@ -89,6 +89,31 @@ def dangling_imports(files: DataFrame) -> DataFrame:
     return asked.join(known, ["target", "name"], "left").filter("NOT (below AND _child <=> true)").select("path", "line", "module", "name")
 
 
+# Attributes and receivers of decorators that register routes.
+ROUTE_VERBS = ("get", "post", "put", "patch", "delete", "head", "options", "route")
+ROUTE_RECEIVERS = ("app", "router", "bp", "blueprint", "api", "route", "v1", "v2")
+
+
+def routes(files: DataFrame, receivers: DataFrame | None = None) -> DataFrame:
+    """(path, line, receiver, verb, function): functions that a decorator registers as routes.
+
+    Its attribute is a verb, and the last name before it a receiver: those of ``receivers`` (name) or the usual ones, whatever their case.
+    """
+
+    @F.pandas_udf("array<struct<line:int,name:string,function:string>>")
+    def read(texts: pd.Series) -> pd.Series:
+        found = [None if t is None else statements(t) for t in texts]
+        return pd.Series([[dict(zip(("line", "name", "function"), d, strict=True)) for d in decorated(x)] if x is not None else None for x in found])
+
+    rows = files.filter(F.endswith("path", F.lit(".py"))).select("path", F.explode(read("text")).alias("d")).select("path", "d.*").filter(F.contains("name", F.lit(".")))
+    parts = F.split("name", r"\.")
+    named = rows.select("path", "line", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), ".").alias("receiver"), F.element_at(parts, -1).alias("verb"), "function", F.lower(F.element_at(parts, -2)).alias("_last"))
+    named = named.filter(F.lower("verb").isin(*ROUTE_VERBS))
+    if receivers is None:
+        return named.filter(F.col("_last").isin(*ROUTE_RECEIVERS)).drop("_last")
+    return named.join(receivers.select(F.lower("name").alias("_last")).distinct(), "_last", "left_semi").drop("_last")
+
+
 def import_edges(files: DataFrame) -> DataFrame:
     """(src, dst, line): which of these files' modules import which, and the first line that does."""
     used = python_imports(files).select(module_of(F.col("path")).alias("src"), F.when(F.col("name").isNull(), F.col("module")).otherwise(F.concat_ws(".", "module", "name")).alias("name"), "line")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sealmark import views as V
 from sealmark.operators import reviews as R
+from sealmark.operators import verdicts
 from sealmark.plans.claims import _STATE, with_state
 from sealmark.plans.registry import query
 
@@ -107,3 +108,35 @@ def widen_usage(spark: SparkSession, d: str) -> DataFrame:
 def detectors_that_saw_nothing(spark: SparkSession, d: str) -> DataFrame:
     last = V.event(spark, d).filter("kind = 'view'").groupBy(F.col("k").alias("detector")).agg(F.max_by(F.struct("value", "task_id"), "id").alias("r"))
     return last.select("detector", (F.col("r.value") > 20).alias("could_read"), F.col("r.task_id").alias("claims")).filter("claims % 3 = 0 AND NOT could_read")
+
+
+@query("""WITH a_v AS (SELECT claim_id, id, CASE WHEN exit_code = 4 THEN 127 ELSE exit_code END AS g, CASE WHEN day % 5 = 0 THEN NULL WHEN day % 5 = 1 THEN 126 ELSE day % 2 END AS r, CASE WHEN day % 7 = 0 THEN NULL ELSE day % 7 <> 1 END AS x, day % 3 = 0 AS m, day % 11 <> 0 AS rx FROM attempt_v),
+ v_v AS (SELECT *, g = 0 AS green, CASE WHEN r IS NOT NULL THEN r NOT IN (126, 127) AND r <> 0 AND NOT (m AND NOT rx) END AS red FROM a_v)
+ SELECT claim_id, id, green, red, green AND red AND x AS verdict, array_to_string(list_filter([CASE WHEN g = 127 THEN 'could not run' WHEN g <> 0 THEN 'does not pass' END, CASE WHEN x IS NULL THEN 'execution not observed' WHEN NOT x THEN 'target never executed' END,
+  CASE WHEN r IS NULL THEN 'no older tree' WHEN r = 126 THEN 'could not run before' WHEN r <> 0 AND m AND NOT rx THEN 'failed before the target was entered' WHEN r = 0 AND m THEN 'does not notice the mutation' WHEN r = 0 THEN 'passed before' END], lambda n: n IS NOT NULL), '; ') AS notes FROM v_v""")
+def red_green_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Whether tests pass now, failed before and ran what they are about; what was not observed is unknown."""
+    day = F.col("day")
+    runs = V.attempt(spark, d).select("claim_id", "id", F.when(F.col("exit_code") == 4, 127).otherwise(F.col("exit_code")).alias("green_exit"), F.when(day % 5 == 1, 126).when(day % 5 != 0, day % 2).alias("red_exit"), F.when(day % 7 != 0, day % 7 != 1).alias("executed"), (day % 11 != 0).alias("red_executed"), (day % 3 == 0).alias("mutated"))
+    return verdicts.red_green(runs).select("claim_id", "id", "green", "red", "verdict", F.array_join("notes", "; ").alias("notes"))
+
+
+@query("SELECT * FROM (SELECT 'chain' AS audit, count(*) FILTER (id % 977 = 5) AS problems, count(*) FILTER (id % 977 = 5) AS fatal, CAST(count(*) FILTER (id % 977 = 5) > 0 AS INT) AS exit FROM event_v UNION ALL SELECT 'waiting', count(*) FILTER (kind = 'error'), count(*) FILTER (kind = 'error' AND k % 2 = 1), CAST(count(*) FILTER (kind = 'error' AND k % 2 = 1) > 0 AS INT) FROM event_v UNION ALL SELECT 'none', 0, 0, 0 UNION ALL SELECT 'all', count(*) FILTER (id % 977 = 5) + count(*) FILTER (kind = 'error'), count(*) FILTER (id % 977 = 5) + count(*) FILTER (kind = 'error' AND k % 2 = 1), CAST(count(*) FILTER (id % 977 = 5) + count(*) FILTER (kind = 'error' AND k % 2 = 1) > 0 AS INT) FROM event_v)")
+def audits_with_worst(spark: SparkSession, d: str) -> DataFrame:
+    """Several audits in one table with the worst of them: a changed chain, findings of which some are only said, and one without any."""
+    from sealmark.operators import chain
+
+    e = V.event(spark, d).select("id", "kind", "k")
+    built, _ = chain.build_segments(e, ["id", "kind", "k"], "s1")
+    walked = chain.walk(built.withColumn("k", F.when(F.col("id") % 977 == 5, F.col("k") + 1).otherwise(F.col("k"))), ["id", "kind", "k"], chain="segment")
+    said = e.filter("kind = 'error'").select(F.when(F.col("k") % 2 == 1, "open").otherwise("concurrent append").alias("problem"))
+    return verdicts.audit_summary({"chain": walked, "waiting": said, "none": said.limit(0)}, benign=("concurrent append",))
+
+
+@query("""SELECT c.id, c.kind, CASE c.kind WHEN '1-URGENT' THEN 'block' WHEN '2-HIGH' THEN 'report' WHEN '3-MEDIUM' THEN 'report' ELSE 'none' END AS gate, CASE WHEN c.kind = '1-URGENT' THEN '900' WHEN c.kind = '3-MEDIUM' THEN '{"days":7}' END AS limit_ FROM claim_v c""")
+def claims_with_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Claims with what a configuration says of their kind."""
+    doc = '{"kinds":{"1-URGENT":{"gate":"block","limit_":900},"2-HIGH":{"gate":"report"},"3-MEDIUM":{"gate":"report","limit_":{"days":7}},"4-NOT SPECIFIED":{}},"checkers":{}}'
+    rows = verdicts.settings(spark.createDataFrame([("config", doc)], "source string, content string"), "kinds")
+    out = verdicts.setting(V.claim(spark, d).select("id", "kind"), rows, "kind", "gate", F.lit("none"))
+    return verdicts.setting(out, rows, "kind", "limit_")

@@ -179,3 +179,13 @@ def transition_outcomes(spark: SparkSession, d: str) -> DataFrame:
     tid, k = F.floor(F.col("id") / 2), F.col("k")
     rows = V.event(spark, d).select(tid.alias("id"), (tid % 100).alias("key"), (F.col("id") % 5).alias("version"), F.when(k % 3 == 0, "result").otherwise("assign").alias("action"), F.when(k % 2 == 0, "a").otherwise("b").alias("sha"))
     return transitions(rows).select("id", "version", "outcome")
+
+
+@query("SELECT 'pkg/r' || id || '.py' AS path, 2::BIGINT AS line, CASE WHEN id % 3 = 0 THEN 'self.Router' ELSE 'app' END AS receiver, CASE WHEN id % 5 = 0 THEN 'POST' ELSE 'get' END AS verb, 'f' || id AS function FROM path_v WHERE id % 4 <> 1")
+def route_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Functions that decorators register as routes; a cache that is asked is none."""
+    i = F.col("id")
+    on = F.when(i % 4 == 1, F.when(i % 8 == 1, "cache.get").otherwise("app.on_event")).otherwise(_text(F.when(i % 3 == 0, "self.Router").otherwise("app"), ".", F.when(i % 5 == 0, "POST").otherwise("get")))
+    text = _text("import x\n@", on, "('/a',\n    name='b')\n@other\nasync def f", i, "():\n    pass\n")
+    files = V.path(spark, d).select(_text("pkg/r", i, ".py").alias("path"), text.alias("text"))
+    return code.routes(files).withColumn("line", F.col("line").cast("long"))
