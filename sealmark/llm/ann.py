@@ -20,6 +20,7 @@ of rows that repeat id and vector one is returned; an empty table gives no rows;
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -37,8 +38,6 @@ SAMPLE = 20_000
 SHARD = 8192
 #: Queries that meet a shard in one task, about.
 BLOCK = 16_384
-#: Groups of shards in which the best lists of a query are merged first.
-GROUPS = 32
 K = 20
 TARGET = 0.93
 LADDER = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
@@ -176,7 +175,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return array.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _rerank(k: int, dim: int):
+def _rerank(k: int, dim: int, groups: int):
     def run(vectors: pa.Table, probes: pa.Table) -> pa.Table:
         """Each query's k best of a shard, as one row."""
         queries, best_ids, best_scores = [], [np.zeros(0, np.int64)], [np.zeros(0)]
@@ -205,7 +204,7 @@ def _rerank(k: int, dim: int):
                         best_scores.append(exact[best])
         off = pa.array(np.cumsum([0, *map(len, best_ids[1:])]), pa.int32())
         lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x))) for x in (best_ids, best_scores)]
-        return pa.table({"query_id": pa.array(queries, pa.int64()), "part": pa.array([shard % GROUPS] * len(queries), pa.int32()), "ids": lists[0], "scores": lists[1]})
+        return pa.table({"query_id": pa.array(queries, pa.int64()), "part": pa.array([shard % groups] * len(queries), pa.int32()), "ids": lists[0], "scores": lists[1]})
 
     return run
 
@@ -248,6 +247,8 @@ def _nearest(vectors: DataFrame, queries: Column, k: int, id_col: str, vector: s
         sizes[tree][leaf] = count
     first, parts = _plan(sizes)
     plan = spark.sparkContext.broadcast((sizes, first, parts))
+    # The best lists of a query are merged in groups of shards first, as many as a group has shards.
+    groups = max(1, math.isqrt(int(max((f + p).max() for f, p in zip(first, parts, strict=True)))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first, parts = plan.value
@@ -279,7 +280,7 @@ def _nearest(vectors: DataFrame, queries: Column, k: int, id_col: str, vector: s
     blocks = max(1, round(asked.count() * share_of / BLOCK))
     probes = asked.mapInArrow(probe, "shard long, id long, v array<double>, leaves array<int>").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     members = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = members.groupBy("shard", "block").cogroup(probes.groupBy("shard", "block")).applyInArrow(_rerank(k, dim), "query_id long, part int, ids array<long>, scores array<double>")
+    found = members.groupBy("shard", "block").cogroup(probes.groupBy("shard", "block")).applyInArrow(_rerank(k, dim, groups), "query_id long, part int, ids array<long>, scores array<double>")
     # An entry sorts by falling score and rising id.
     entries = F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i")))
     best = lambda lists: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(lists)))), 1, k).alias("best")
