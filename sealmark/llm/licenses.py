@@ -11,7 +11,7 @@ two passed ones. The coverage is the share of the template's words that are alig
 
 Two rounds look for copies: one in which passed words cost much, so that neighbouring copies which each lack some words
 are not mixed, and for what is left one in which they cost little, so that words inserted in a copy do not break it.
-A finding spans ``SPREAD`` times the template's words at most. What is left beside a finding is looked at again, until
+A finding of a short notice spans ``SPREAD`` times its words at most; others are bounded by their alignment alone. What is left beside a finding is looked at again, until
 no rest has enough of the template's words. Of overlapping findings the one with the most aligned words stays.
 
 Templates are the notices below, and any further texts of a folder (``more_templates``), such as whole licenses.
@@ -42,8 +42,8 @@ COVERAGE = 0.8
 COSTS = (0.25, 0.1)
 #: What passing one costs beyond the ends of a chain.
 END_COST = 0.5
-#: A copy spans at most so many times the words of its template.
-SPREAD = 3
+#: A notice of fewer than ``SHORT`` words spans at most ``SPREAD`` times as many: a few common words that stand further apart are no notice.
+SHORT, SPREAD = 20, 3
 
 # Published license notices and texts.
 TEMPLATES: list[tuple[str, str]] = [
@@ -271,7 +271,8 @@ def _aligned(x: _Text, chain: list[tuple[int, int]], t: Template, a: int, b: int
     right = _tail(x.words[k + 1 : min(b, k + 1 + reach)], t.words[m + 1 :])
     found += [(i - 1 - p, j - 1 - q) for p, q in left] + [(k + 1 + p, m + 1 + q) for p, q in right]
     found.sort()
-    good = len(found) >= COVERAGE * len(t.words) - 1e-9 and found[-1][0] - found[0][0] < SPREAD * len(t.words)
+    near = len(t.words) >= SHORT or found[-1][0] - found[0][0] < SPREAD * len(t.words)
+    good = near and len(found) >= COVERAGE * len(t.words) - 1e-9
     return found if good else []
 
 

@@ -348,3 +348,12 @@ def test_templates_met_by_joins_are_those_met_by_broadcast(spark, monkeypatch):
     a = sorted(tuple(r) for r in html_text.extract(df).collect())
     monkeypatch.setattr(html_text, "BROADCAST_BYTES", 0)
     assert sorted(tuple(r) for r in html_text.extract(df).collect()) == a and any(r[3] for r in a)
+
+
+def test_a_notice_with_other_words_between_its_own_is_found():
+    whole = next(t for name, t in licenses.TEMPLATES if name == "MIT" and len(t) > 500)
+    for between in (1, 3, 5):
+        spread = " ".join(w + " x" * between for w in whole.split())
+        found = licenses.scan("Before that. " + spread + " And after.")
+        assert [f[0] for f in found] == ["MIT"] and found[0][3] >= licenses.COVERAGE, between
+    assert licenses.scan("Released into the wild under a bridge where the old MIT stood, without any License.") == []
