@@ -186,7 +186,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     update_ledger(docs.filter(~later), folder)
     ledger = update_ledger(docs.filter(later), folder)
     known = ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
-    found = docs.select(F.col("doc_id").alias("path"), address("text").alias("blob")).join(known, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    found = docs.select(F.col("doc_id").alias("path"), address("text").alias("blob")).join(if_small(known, 400), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
     text = lambda only: F.array_join(F.transform(F.filter("spans", only), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     return found.select(

@@ -222,3 +222,25 @@ def test_query_equals_its_sql(spark):
     c.execute("CREATE TABLE conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
     want = sorted(c.execute(f"SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars FROM ({chat.OP3_SQL})").fetchall())
     assert sorted(tuple(r) for r in chat.op3_chat_format(spark, "/root/testdata/sf0.001").collect()) == want
+
+
+def test_placement_equals_a_naive_best_fit():
+    """Every open bin is looked at: the one with the least room that is enough, the latest of equals; the fullest closes where all are open."""
+    rng = random.Random(11)
+    for most, capacity in ((1, 10), (3, 20), (50, 64)):
+        packer, bins, made = packing.Packer(capacity, most), [], 0  # (free, sequence), in the order in which they came to it
+        for _ in range(2000):
+            n = rng.randint(1, capacity)
+            fits = [b for b in bins if b[0] >= n]
+            if fits:
+                free = min(b[0] for b in fits)
+                at = [b for b in bins if b[0] == free][-1]
+                bins.remove(at)
+            else:
+                at, made = (capacity, made), made + 1
+                if n < capacity and len(bins) >= most:
+                    fullest = min(b[0] for b in bins)
+                    bins.remove([b for b in bins if b[0] == fullest][-1])
+            assert packer.place(n) == (at[1], capacity - at[0])
+            if at[0] > n:
+                bins.append((at[0] - n, at[1]))
