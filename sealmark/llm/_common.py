@@ -97,6 +97,10 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows that go to Python at once where they hold whole texts: both sides then hold megabytes, not tens of them.
+BATCH_ROWS = 1000
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """While an action runs inside, so many rows at most go to Python at once: for rows that hold long arrays."""

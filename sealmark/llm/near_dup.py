@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sealmark.llm._common import HOT_ROWS, arrow_rows, hot_keys, if_small, mix, prepare, saved, scratch, shingles, spread_join, table, text_or_empty, tmp_name, word_hashes
+from sealmark.llm._common import BATCH_ROWS, HOT_ROWS, arrow_rows, hot_keys, if_small, mix, prepare, saved, scratch, shingles, spread_join, table, text_or_empty, tmp_name, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -434,7 +434,7 @@ def _labels(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFra
     spark = prepare(docs.sparkSession)
     own = docs.select(node_of(text).alias("id"), F.col(id_col).cast("long").alias("doc"), text_or_empty(text).alias("text"))
     by_row = own.select(F.col("id").alias("node"), "doc")
-    with scratch(spark) as keep:
+    with scratch(spark) as keep, arrow_rows(spark, BATCH_ROWS):
         labels = _classed(own)
         by_text = keep(_labelled(by_row.groupBy(F.col("node").alias("id")).agg(F.min("doc").alias("least")), labels).select(F.col("id").alias("node"), "least", "label"))
     return by_row, by_text

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sealmark.llm._common import if_small, prepare, saved, scratch, shuffle_parts, table, text_or_empty, tmp_name
+from sealmark.llm._common import BATCH_ROWS, arrow_rows, if_small, prepare, saved, scratch, shuffle_parts, table, text_or_empty, tmp_name
 
 ORDER = 4
 #: Quantiles of the held-out trusted documents' log perplexity, by language and length, between which a document is kept.
@@ -42,7 +42,7 @@ FEWEST = 8
 #: Share of the trusted documents that the model does not see and the quantiles are taken of.
 HELD_OUT = 0.2
 #: Raw text in a block of documents.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 
 _B = 15  # bits of a symbol
 _MASK = (1 << _B) - 1
@@ -367,8 +367,9 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text: str, lang: st
     with scratch(spark) as keep:
         ids = saved(trusted_ids(labels).withColumn("out", F.pmod(F.xxhash64(id_col), F.lit(1000)) < int(1000 * HELD_OUT)))
         held_out, trained, trusted = ids.filter("out").drop("out"), ids.filter("NOT out").drop("out"), ids.drop("out")
-        known = saved(model(counts(docs, trained, id_col, text, lang)))
-        scored = keep(perplexities(marked, known, row, text, lang).select("id.id", "id.key", "lang", "n_grams", "perplexity"))
+        with arrow_rows(spark, BATCH_ROWS):
+            known = saved(model(counts(docs, trained, id_col, text, lang)))
+            scored = keep(perplexities(marked, known, row, text, lang).select("id.id", "id.key", "lang", "n_grams", "perplexity"))
         bounds = keep(thresholds(scored, trusted, held_out, low, high, enough))
     s, t = scored.alias("s"), F.broadcast(bounds).alias("t")  # CLASSES rows a language
     met = s.join(t, F.col("s.lang").eqNullSafe(F.col("t.lang")) & (length_class("n_grams") == F.col("t.length_class")), "left")
