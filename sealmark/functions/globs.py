@@ -31,12 +31,18 @@ def _spelled(glob: str, signs: re.Pattern, table: dict[str, str]) -> str:
 
 
 def _wide(glob: str) -> list[str]:
-    """The glob as it is; what is under the directory it names; ``/**`` as one level; ``**/x`` at the root; the directory before its first ``*`` itself."""
-    forms = {glob, glob.rstrip("/") + "/*", glob.replace("/**", "/*")}
-    if glob.startswith("**/"):
-        forms.add(glob[3:])
-    named = glob.split("*", 1)[0].rstrip("/")
-    return sorted({_spelled(f, _WIDE_SIGN, WIDE) for f in forms} | ({re.escape(named)} if named else set()))
+    """What a glob reaches, as expressions over normal paths.
+
+    A glob is a body and perhaps a closing slash. The body reaches itself, unless the slash says that only what is below it is meant, and all that is below.
+    A body that may begin at any depth reaches the top as well, there without what is below. A glob with a star reaches the folder that it names before the first one.
+    """
+    body, depth = glob.rstrip("/"), "**/"
+    below = "/.*"
+    reach = {_spelled(body, _WIDE_SIGN, WIDE) + (below if body != glob else f"(?:{below})?")}
+    if glob[: len(depth)] == depth:
+        reach.add(_spelled(glob[len(depth) :], _WIDE_SIGN, WIDE))
+    folder = re.match(r"[^*]*", glob)[0].rstrip("/")
+    return sorted(reach | {re.escape(folder)} - {""})
 
 
 def normal(path: Column) -> Column:
