@@ -381,7 +381,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_leads:
     own = pages.select(host_of(url).alias("host"), section_of(url).alias("section"), text_or_empty(html).alias("html")).filter("host != ''")
     own = own.mapInArrow(run, "host string, section string, lead long, hashes array<long>")
     # The null hash stands for the page itself: its count is the number of leads. The null section stands for the host.
-    rows = own.select("host", "section", "lead", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash")).distinct()
+    rows = saved(own.select("host", "section", "lead", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash")).distinct())  # read twice
     by_section = rows.groupBy("host", "section", "hash").agg(F.count("*").alias("n"))
     by_host = rows.select("host", "lead", "hash").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
     counts = saved(by_section.unionByName(by_host.withColumn("section", F.lit(None).cast("string"))).filter(F.col("hash").isNull() | (F.col("n") >= min_leads)))
