@@ -52,12 +52,6 @@ def attempt_hash(scheme: Column, prev: Column, fields: list[Column], claim_diges
     return F.sha2(material, 256)
 
 
-def tree_digest(path: Column, sha: Column) -> Column:
-    """Aggregate: digest of a snapshot, over its (path, sha) in order of path."""
-    rows = F.array_sort(F.collect_list(F.struct(path.alias("p"), sha.alias("s"))))
-    return F.sha2(F.array_join(F.transform(rows, lambda x: F.concat(x["p"], F.lit(UNIT), x["s"], F.lit(RECORD))), ""), 256)
-
-
 def ref_key(kind: Column, path: Column, claim: Column) -> Column:
     """``file:path`` or ``attempt:claim``."""
     return F.when(kind == "file", F.concat(F.lit("file:"), path)).otherwise(F.concat(F.lit("attempt:"), claim))

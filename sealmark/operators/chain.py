@@ -163,7 +163,7 @@ def extend(cut: DataFrame, rows: DataFrame, fields: list[str], scheme: str, seen
 
 
 def tree_digests(rows: DataFrame, area: str, path: str = "path", sha: str = "sha") -> DataFrame:
-    """(area, digest, n): digest of the snapshot of each area, over its (path, sha) in order of path, as ``tree_digest`` has it.
+    """(area, digest, n): digest of the snapshot of each area, over its (path, sha) in order of path.
 
     An area's rows are sorted and stream through one hash, so an area of any size is never held. Pairs with a null are
     counted and hashed as nothing.

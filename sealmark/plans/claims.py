@@ -96,6 +96,13 @@ def never_tried(spark: SparkSession, d: str) -> DataFrame:
     return free.filter(~other).groupBy(F.col("task_id").alias("checker")).agg(F.count("*").alias("n"))
 
 
+@query("WITH c_v AS (SELECT id, task_id % 700 AS checker FROM claim_v), t_v AS (SELECT DISTINCT claim_id AS id FROM attempt_v WHERE exit_code = 0 AND day % 3 = 0) SELECT checker, count(*) AS n FROM c_v WHERE id NOT IN (SELECT id FROM t_v) AND checker NOT IN (SELECT c.checker FROM c_v c JOIN t_v t ON t.id = c.id) GROUP BY 1")
+def checkers_never_tried(spark: SparkSession, d: str) -> DataFrame:
+    """Claims without an attempt, by checkers that were never tried on any claim."""
+    claims = V.claim(spark, d).select("id", (F.col("task_id") % 700).alias("checker"))
+    return joins.never_tried(claims, V.attempt(spark, d).filter("exit_code = 0 AND day % 3 = 0"), "checker")
+
+
 @query(f"WITH ret_v AS ({_RETRACTED}) SELECT kind, count(*) AS n FROM claim_v c WHERE EXISTS (SELECT 1 FROM attempt_v a WHERE a.claim_id = c.id AND a.exit_code = 0) OR EXISTS (SELECT 1 FROM risk_v r WHERE r.claim_id = c.id) OR EXISTS (SELECT 1 FROM ret_v t WHERE t.claim_id = c.id) GROUP BY 1")
 def settled_claims(spark: SparkSession, d: str) -> DataFrame:
     passed = V.attempt(spark, d).filter("exit_code = 0")

@@ -8,6 +8,7 @@ from sealmark.functions import globs as G
 from sealmark.functions import hashing as H
 from sealmark.functions import text as X
 from sealmark.functions import when as W
+from sealmark.operators import chain
 
 
 def one(spark, column, **values):
@@ -84,8 +85,8 @@ def test_tree_digest_is_order_free(spark):
     rows = [("b", "2"), ("a", "1"), ("c", "3")]
     expect = hashlib.sha256("".join(f"{p}\x1f{s}\x1e" for p, s in sorted(rows)).encode()).hexdigest()
     for order in (rows, rows[::-1]):
-        df = spark.createDataFrame(order, "path string, sha string")
-        assert df.agg(H.tree_digest(F.col("path"), F.col("sha"))).first()[0] == expect
+        df = spark.createDataFrame([("all", *r) for r in order], "area string, path string, sha string")
+        assert chain.tree_digests(df, "area").first().digest == expect
 
 
 def test_times(spark):
