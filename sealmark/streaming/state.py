@@ -159,6 +159,23 @@ def upsert_ignore(stream: DataFrame, root: str, key: str, changed: str, checkpoi
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
 
 
+def acknowledge(updates: DataFrame, root: str, epoch: int, order: str = "uid") -> bool:
+    """Take the updates from the stored offset on: they become rows of ``acks``, and the offset moves past the last one, in one commit of ``root``.
+
+    Updates before the offset have been taken. A batch without new ones leaves the offset where it is; an epoch that was committed does nothing, and gives False.
+    """
+    from sealmark.sources import commits
+
+    spark = updates.sparkSession
+    if commits.done(spark, root, epoch):
+        return False
+    held = commits.read(spark, root, "offset")
+    at = held.agg(F.max("next")).first()[0] if held is not None else None
+    new = updates if at is None else updates.filter(F.col(order) >= at)
+    last = new.agg((F.max(order) + 1).cast("long").alias("next")).filter("next IS NOT NULL")
+    return commits.commit(root, epoch, {"acks": new, "offset": last})
+
+
 def since(events: DataFrame, last: DataFrame, at: str = "created_at") -> DataFrame:
     """Events strictly after the one time in ``last``; all if it is null or missing."""
     bound = last.agg(F.max(at).alias("_since"))

@@ -233,3 +233,21 @@ def test_rows_before_the_horizon_are_kept_aside(spark, tmp_path):
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = [(r.id, r.outcome) for r in spark.read.parquet(out).orderBy("id", "outcome").collect()]
     assert got == [(0, "applied"), (0, state.ASIDE), *((i, "applied") for i in range(1, 6)), (5, "replayed"), (90, state.ASIDE), (91, "kept late")]
+
+
+def test_updates_and_their_offset_move_together(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "r")
+    rows = lambda *x: spark.createDataFrame([(i, f"t{i}") for i in x], "uid long, text string")
+    ids = lambda: sorted(r.uid for r in commits.read(spark, root, "acks").collect())
+    assert state.acknowledge(rows(3, 4), root, 0) and not state.acknowledge(rows(9), root, 0)
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(commits, "_publish", dies)
+        with pytest.raises(RuntimeError):
+            state.acknowledge(rows(4, 5), root, 1)
+    assert ids() == [3, 4]
+    assert state.acknowledge(rows(4, 5, 6), root, 1) and state.acknowledge(rows(2, 6), root, 2) and state.acknowledge(rows(), root, 3) and state.acknowledge(rows(6, 7), root, 4)
+    assert ids() == [3, 4, 5, 6, 7]
