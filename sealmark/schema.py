@@ -27,6 +27,8 @@ ADDED: dict[str, dict[str, object]] = {
     "event": {"prev_hash": "", "row_hash": "", "scheme": ""},
     "accepted_risk": {"scope": "task", "cover_key": "", "signed_by": ""},
 }
+# Columns of each table that hold free text, redacted when rows are written and again when they are exported.
+FREE_TEXT: dict[str, tuple[str, ...]] = {"event": ("payload",), "accepted_risk": ("why",), "claim": ("note", "question"), "task": ("request",)}
 # Exit codes of a check and the states they lead to.
 EXITS: dict[int, str] = {0: "PASS", 1: "FAIL", 4: "UNSUPPORTED", 5: "TIMEOUT", 6: "CRASH", 7: "SUBJECT_MOVED", 8: "CHECKER_MOVED"}
 # States that need no more work.

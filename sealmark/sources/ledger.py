@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealmark.functions.text import redact
-from sealmark.schema import ADDED, TABLES
+from sealmark.schema import ADDED, FREE_TEXT, TABLES
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -34,12 +34,13 @@ def allowed(rows: DataFrame, vocabularies: dict[str, list[str]]) -> tuple[DataFr
     return rows.filter(good), rows.filter(~good)
 
 
-def append(rows: DataFrame, root: str, table: str, key: str | None = None, vocabularies: dict[str, list[str]] | None = None, free_text: tuple[str, ...] = ()) -> DataFrame:
+def append(rows: DataFrame, root: str, table: str, key: str | None = None, vocabularies: dict[str, list[str]] | None = None, free_text: tuple[str, ...] | None = None) -> DataFrame:
     """Append rows to a table and return those that were refused.
 
-    Free text is redacted first. With ``key``, rows whose key the table holds already are left out.
+    Free text is redacted first: the columns named, or else those that ``FREE_TEXT`` has for the table. With ``key``, rows whose key the table holds already are left out.
     """
-    rows = rows.withColumns({c: redact(F.col(c)) for c in free_text}) if free_text else rows
+    texts = [c for c in FREE_TEXT.get(table, ()) if c in rows.columns] if free_text is None else free_text
+    rows = rows.withColumns({c: redact(F.col(c)) for c in texts}) if texts else rows
     good, bad = allowed(rows, vocabularies or {})
     target = f"{root}/{table}"
     if key is not None:
@@ -56,13 +57,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def to_lines(tables: dict[str, DataFrame], free_text: dict[str, tuple[str, ...]] | None = None, orders: dict[str, str] | None = None) -> DataFrame:
-    """(ord, table, at, id, row_hash, value): the export of all tables as JSON lines. Rows whose text was redacted say which fields.
+    """(ord, table, at, id, row_hash, value): the export of all tables as JSON lines. Rows whose text was redacted say which fields: those of ``free_text`` by table, or else of ``FREE_TEXT``.
 
     ``at`` is what orders the rows of a table as they were appended: the number in ``id``, or the column that ``orders`` names (times in microseconds).
     """
     out = None
     for n, (name, rows) in enumerate(tables.items()):
-        fields = (free_text or {}).get(name, ())
+        fields = (free_text or {}).get(name, ()) if free_text is not None else tuple(c for c in FREE_TEXT.get(name, ()) if c in rows.columns)
         marked = rows.withColumns({c: redact(F.col(c)) for c in fields})
         if fields:
             changed = F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(redact(F.col(c))), F.lit(c)) for c in fields)))

@@ -29,6 +29,15 @@ def test_append_refuses_unknown_words_and_known_keys(spark, tmp_path):
     assert got == {1: "token = [REDACTED]", 2: ""}
 
 
+def test_free_text_of_each_table_is_redacted_on_write_and_on_export(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "why token = abcdefgh", "secret: abcdefgh1")], "id long, why string, kind string")
+    ledger.append(rows, str(tmp_path), "accepted_risk")
+    stored = spark.read.parquet(f"{tmp_path}/accepted_risk")
+    assert tuple(stored.first())[1:] == ("why token = [REDACTED]", "secret: abcdefgh1")
+    lines = [json.loads(r.value) for r in ledger.to_lines({"accepted_risk": rows, "other": rows}).collect()]
+    assert [(x["_table"], x["why"], x.get("_redacted")) for x in sorted(lines, key=lambda x: x["_table"])] == [("accepted_risk", "why token = [REDACTED]", ["why"]), ("other", "why token = abcdefgh", None)]
+
+
 def exported(path):
     """Segments as lists of lines, by number, from the files that the manifests name."""
     seqs = {}
