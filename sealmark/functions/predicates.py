@@ -59,8 +59,9 @@ def vocabulary_reason(name: Column, auth: list[str], outbound: list[str]) -> Col
 
 
 def expired(at: Column, now: Column, most_seconds: int) -> Column:
-    """Whether a cached summary is too old, or of the future."""
-    age = F.timestamp_diff("SECOND", at, now)
+    """Whether a cached summary is too old, or of the future, by the seconds of both clocks: fractions are dropped from each before they are compared."""
+    second = lambda t: F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t) / 1_000_000)
+    age = second(now) - second(at)
     return F.coalesce((age < 0) | (age > most_seconds), F.lit(True))
 
 

@@ -40,3 +40,11 @@ def test_proofs(spark):
 def test_authorisation_comes_first(spark):
     assert one(spark, P.vocabulary_reason(F.lit("a"), ["a"], ["a"])) == "decides authorisation"
     assert one(spark, P.traceable(F.lit("x/y.ts"), [".ts"])) is True
+
+
+@pytest.mark.parametrize(("at", "want"), [
+    ("2024-01-10 00:00:00", False), ("2024-01-09 23:59:59.5", True), ("2024-01-09 23:59:59.999999", True), ("2024-01-10 00:00:00.000001", False), ("2024-01-20 00:00:00.999999", False), ("2024-01-20 00:00:01", True), (None, True),
+])
+def test_summaries_expire_by_whole_seconds(spark, at, want):
+    time = lambda t: F.lit(t).cast("timestamp_ntz")
+    assert one(spark, P.expired(time(at), time("2024-01-20 00:00:00"), 864_000)) is want
