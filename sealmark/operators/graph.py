@@ -5,11 +5,14 @@ the edges through it are joined to one; a round takes out a set of such nodes no
 a chain or ring of n nodes takes log n rounds of geometrically falling size. What every round took out is put back in reverse. A graph of at most
 ``LOCAL_EDGES`` edges, a bound that does not grow, is then answered within tasks. Graphs in which too few such nodes are left, and which
 are larger than that, take the rounds of ``_spread`` and ``_stepped``, as many as their paths are long.
+
+Tables of a round meet sorted (``_met``) and are never sent through the driver: files of ids are packed so well that their size says little of their rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 from typing import Any
 
 import numpy as np
@@ -39,6 +42,10 @@ def _at(nodes: DataFrame, end: str) -> DataFrame:
     return nodes.select(F.col("node").alias(end))
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    return left.join(right.hint("merge"), on, how)
+
+
 # --- within a task ---------------------------------------------------------------------------------
 
 
@@ -135,7 +142,7 @@ def _local_components(left: DataFrame) -> DataFrame:
 
 
 def _local_reached(starts: DataFrame, left: DataFrame) -> DataFrame:
-    """(of, node, again) of the distinct ``starts`` (of), in passes of so many starts."""
+    """(of, node, again) of the distinct ``starts`` (of), in passes of so many starts, a task each."""
     kind = left.schema["src"].dataType.simpleString()
     graph = starts.sparkSession.sparkContext.broadcast(_pairs(left))
 
@@ -161,7 +168,7 @@ def _local_reached(starts: DataFrame, left: DataFrame) -> DataFrame:
                 if held:
                     yield _made(some, out, of)
 
-    return starts.select("of").mapInArrow(run, f"of {kind}, node {kind}, again boolean")
+    return starts.select("of").repartition(ceil(starts.count() / STARTS) or 1, "of").mapInArrow(run, f"of {kind}, node {kind}, again boolean")
 
 
 def _made(starts: list, out: tuple[list, list, list], kind: pa.DataType) -> pa.RecordBatch:
@@ -173,39 +180,49 @@ def _made(starts: list, out: tuple[list, list, list], kind: pa.DataType) -> pa.R
 # --- making a graph smaller ------------------------------------------------------------------------
 
 
-def _thin(left: DataFrame, stay: DataFrame | None, turn: int) -> DataFrame:
-    """(node): nodes that at most one edge enters or leaves, none of them neighbours of each other, and none of ``stay``."""
+def _thin(left: DataFrame, need: DataFrame | None, turn: int) -> DataFrame:
+    """(node): nodes that at most one edge enters or leaves, none of them neighbours of each other; of ``need``, those that at most one edge leaves."""
     ends = left.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(left.select("dst", F.lit(0), F.lit(1)))
-    few = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).filter("o <= 1 OR i <= 1").select("node")
-    few = few if stay is None else few.join(stay, "node", "left_anti")
+    few = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).filter("o <= 1 OR i <= 1")
+    few = few if need is None else _met(few, need.withColumn("_need", F.lit(True)), "node", "left").filter("o <= 1 OR _need IS NULL")
+    few = few.select("node")
     rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), F.col(c))
-    between = left.join(_at(few, "src"), "src", "left_semi").join(_at(few, "dst"), "dst", "left_semi")
+    between = _met(_met(left, _at(few, "src"), "src", "left_semi"), _at(few, "dst"), "dst", "left_semi")
     beaten = between.select(F.when(rank("src") < rank("dst"), F.col("dst")).otherwise(F.col("src")).alias("node")).distinct()
-    return few.join(beaten, "node", "left_anti")
+    return _met(few, beaten, "node", "left_anti")
 
 
 def _through(left: DataFrame, out: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(u, node) and (node, w): the edges that enter and leave the nodes taken out."""
-    return left.select(F.col("src").alias("u"), F.col("dst").alias("node")).join(out, "node"), left.select(F.col("src").alias("node"), F.col("dst").alias("w")).join(out, "node")
+    return _met(left.select(F.col("src").alias("u"), F.col("dst").alias("node")), out, "node"), _met(left.select(F.col("src").alias("node"), F.col("dst").alias("w")), out, "node")
+
+
+def _moved(nodes: DataFrame, out: DataFrame, way: DataFrame, to: str) -> DataFrame:
+    """``nodes`` after a round: those taken out give way to the ones next to them."""
+    return _met(nodes, out, "node", "left_anti").union(_met(way, nodes, "node", "left_semi").select(F.col(to).alias("node"))).distinct()
 
 
-def _smaller(edges: DataFrame, stay: DataFrame | None, most: int) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame, int, list[DataFrame]]:
-    """(edges, nodes taken out) of each round, the edges left, their number, and nodes with a way back to themselves that came up."""
-    left, rounds, loops = settle(_plain(edges)), [], []
+def _smaller(edges: DataFrame, need: DataFrame | None, most: int) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame, int, list[DataFrame], list[DataFrame | None]]:
+    """(edges, nodes taken out) of each round, the edges left, their number, nodes with a way back to themselves that came up, and ``need`` before each round.
+
+    A node of ``need`` that is taken out is answered from the one node that its edge leads to, which is then needed in its place.
+    """
+    left, rounds, loops, needs = settle(_plain(edges)), [], [], [need]
     n = left.count()
     while n > most:
-        out = settle(_thin(left, stay, len(rounds)))
+        out = settle(_thin(left, needs[-1], len(rounds)))
         if out.count() < WORTH * n:
             break
         enter, leave = _through(left, out)
-        over = enter.join(leave, "node").select(F.col("u").alias("src"), F.col("w").alias("dst"))
-        rest = left.join(_at(out, "src"), "src", "left_anti").join(_at(out, "dst"), "dst", "left_anti").select("src", "dst")
+        over = _met(enter, leave, "node").select(F.col("u").alias("src"), F.col("w").alias("dst"))
+        rest = _met(_met(left, _at(out, "src"), "src", "left_anti"), _at(out, "dst"), "dst", "left_anti").select("src", "dst")
         both = settle(rest.union(over).distinct())
         rounds.append((left, out))
         loops.append(both.filter("src = dst").select(F.col("src").alias("node")))
+        needs.append(None if need is None else settle(_moved(needs[-1], out, leave, "w")))
         left = both.filter("src != dst")
         n = left.count()
-    return rounds, left, n, loops
+    return rounds, left, n, loops, needs
 
 
 # --- components ------------------------------------------------------------------------------------
@@ -215,7 +232,7 @@ def _least_label(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): the least label of all nodes that reach each node. Only labels that changed are sent on."""
     now = settle(labels.select("node", "label", F.lit(True).alias("new")))
     while not now.filter("new").isEmpty():
-        sent = now.filter("new").select(F.col("node").alias("src"), "label").join(edges, "src").select(F.col("dst").alias("node"), "label", F.lit(None).alias("was"))
+        sent = now.filter("new").select(F.col("node").alias("src"), "label").join(edges.hint("merge"), "src").select(F.col("dst").alias("node"), "label", F.lit(None).alias("was"))
         met = now.select("node", "label", F.col("label").alias("was")).union(sent).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
         now = settle(met.select("node", "label", (F.col("label") < F.col("was")).alias("new")))
     return now.select("node", "label")
@@ -225,9 +242,9 @@ def _reaching(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label) of the roots and of all nodes from which edges of a label (src, dst, label) lead to its root. Each round writes what is new."""
     parts = [settle(roots)]
     while not parts[-1].isEmpty():
-        back = edges.join(parts[-1].withColumnRenamed("node", "dst"), ["dst", "label"]).select(F.col("src").alias("node"), "label").distinct()
+        back = _met(edges, parts[-1].withColumnRenamed("node", "dst"), ["dst", "label"]).select(F.col("src").alias("node"), "label").distinct()
         for p in parts:
-            back = back.join(p, ["node", "label"], "left_anti")
+            back = _met(back, p, ["node", "label"], "left_anti")
         parts.append(settle(back))
         if len(parts) > 8:
             parts = [settle(_all(parts[:-1])), parts[-1]]
@@ -250,15 +267,15 @@ def _spread(left: DataFrame) -> DataFrame:
     found, turn = left.limit(0).select(F.col("src").alias("node"), F.col("src").alias("component")), 0
     while not left.isEmpty():
         # A node that nothing enters or leaves is a component of its own.
-        inner = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        inner = settle(_met(_met(left, left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
         rank = F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long")
         labels = _least_label(_nodes(inner).select("node", F.struct(rank.alias("rank"), "node").alias("label")), inner)
         of = lambda end, name: labels.select(F.col("node").alias(end), F.col("label").alias(name))
-        same = settle(inner.join(of("src", "label"), "src").join(of("dst", "_other"), "dst").filter("label = _other").select("src", "dst", "label"))
+        same = settle(_met(_met(inner, of("src", "label"), "src"), of("dst", "_other"), "dst").filter("label = _other").select("src", "dst", "label"))
         got = settle(_reaching(labels.filter("label.node = node"), same).select("node", F.col("label.node").alias("component")))
         found = settle(found.union(got))
         done = got.select("node")
-        left = settle(same.join(_at(done, "src"), "src", "left_anti").join(_at(done, "dst"), "dst", "left_anti").select("src", "dst"))
+        left = settle(_met(_met(same, _at(done, "src"), "src", "left_anti"), _at(done, "dst"), "dst", "left_anti").select("src", "dst"))
         turn += 1
     return found
 
@@ -269,26 +286,26 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     A node taken out is in a component that an edge enters it from and an edge leaves it for, if there is one.
     """
     with scratch(edges.sparkSession) as keep:
-        rounds, left, n, _ = _smaller(edges, None, local_edges)
+        rounds, left, n, *_ = _smaller(edges, None, local_edges)
         found = settle(_local_components(left) if n <= local_edges else _spread(left))
         for before, out in reversed(rounds):
-            named = lambda side, end: side.join(found.withColumnRenamed("node", end), end, "left").select("node", F.coalesce("component", end).alias("component"))
+            named = lambda side, end: _met(side, found.withColumnRenamed("node", end), end, "left").select("node", F.coalesce("component", end).alias("component"))
             enter, leave = _through(before, out)
             back = named(enter, "u").intersect(named(leave, "w"))
             found = settle(found.union(back))
         # A component may be named by a node that came back first, and has no row of its own.
-        own = found.select(F.col("component").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
+        own = found.select(F.col("component").alias("node")).distinct().join(found.select("node").hint("merge"), "node", "left_anti")
         whole = found.union(own.select("node", F.col("node").alias("component")))
         least = whole.groupBy("component").agg(F.min("node").alias("_least"))
-        named_ = whole.join(least, "component").select("node", F.col("_least").alias("component"))
-        return keep(_nodes(edges).join(named_, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+        named_ = _met(whole, least, "component").select("node", F.col("_least").alias("component"))
+        return keep(_met(_nodes(edges), named_, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
 
 
 def cycle_edges(edges: DataFrame) -> DataFrame:
     """Edges inside a component of two nodes or more."""
     c = components(edges)
     of = lambda end, name: c.select(F.col("node").alias(end), F.col("component").alias(name))
-    return edges.join(of("src", "_a"), "src").join(of("dst", "_b"), "dst").filter("_a = _b AND src != dst").select("src", "dst", F.col("_a").alias("component"))
+    return _met(_met(edges, of("src", "_a"), "src"), of("dst", "_b"), "dst").filter("_a = _b AND src != dst").select("src", "dst", F.col("_a").alias("component"))
 
 
 # --- reachability ----------------------------------------------------------------------------------
@@ -299,44 +316,57 @@ def _stepped(starts: DataFrame, left: DataFrame) -> DataFrame:
     parts = [settle(starts.select("of", F.col("of").alias("at")))]
     front, back = parts[0], []
     while not front.isEmpty():
-        step = front.withColumnRenamed("at", "src").join(left, "src").select("of", F.col("dst").alias("at")).distinct()
+        step = _met(front.withColumnRenamed("at", "src"), left, "src").select("of", F.col("dst").alias("at")).distinct()
         back.append(settle(step.filter("of = at")))
         for p in parts:
-            step = step.join(p, ["of", "at"], "left_anti")
+            step = _met(step, p, ["of", "at"], "left_anti")
         front = settle(step)
         parts.append(front)
         if len(parts) > 8:
             parts, back = [settle(_all(parts))], [settle(_all(back))]
     again = _all(back).distinct().withColumn("_again", F.lit(True))
-    return _all(parts).join(again, ["of", "at"], "left").select("of", F.col("at").alias("node"), ((F.col("of") != F.col("at")) | F.col("_again").isNotNull()).alias("again"))
-
-
-def _reached(starts: DataFrame, stay: DataFrame, edges: DataFrame, local_edges: int, whole: bool) -> DataFrame:
-    """(of, node, again) of the ``starts``; with ``whole``, nodes taken out are put back, else those of ``stay`` alone are answered."""
-    rounds, left, n, loops = _smaller(edges, stay, local_edges)
-    self_ = edges.filter("src = dst").select(F.col("src").alias("node"))
-    begun = settle(starts.select("of").filter("of IS NOT NULL").distinct())
-    left = settle(left)
+    return _met(_all(parts), again, ["of", "at"], "left").select("of", F.col("at").alias("node"), ((F.col("of") != F.col("at")) | F.col("_again").isNotNull()).alias("again"))
+
+
+def _reached(starts: DataFrame, edges: DataFrame, local_edges: int, ends: DataFrame | None = None) -> DataFrame:
+    """(of, node, again) of the distinct ``starts`` (of): themselves and all that they reach, or as much of it as lies in ``ends`` (node)."""
+    begun = settle(starts.select(F.col("of").alias("node")).filter("node IS NOT NULL").distinct())
+    rounds, left, n, loops, needs = _smaller(edges, begun, local_edges)
+    wants = [None if ends is None else settle(ends.select("node").distinct())]
+    if ends is not None:
+        for before, out in rounds:
+            wants.append(settle(_moved(wants[-1], out, _through(before, out)[0], "u")))
+    left, asked = settle(left), _at(needs[-1], "of")
     if n <= local_edges:
-        found = _local_reached(begun, left)
-        found = found.union(begun.join(_nodes(left).withColumnRenamed("node", "of"), "of", "left_anti").select("of", F.col("of").alias("node"), F.lit(False)))
+        inside = _at(_nodes(left), "of")
+        found = _local_reached(settle(_met(asked, inside, "of", "left_semi")), left)
+        found = found.union(_met(asked, inside, "of", "left_anti").select("of", F.col("of").alias("node"), F.lit(False)))
     else:
-        found = _stepped(begun, left)
-    found = settle(found)
-    if whole:
-        for before, out in reversed(rounds):
-            enter, _ = _through(before, out)
-            more = found.select("of", F.col("node").alias("u")).join(enter, "u").select("of", "node", F.lit(True).alias("again")).distinct()
-            found = settle(found.union(more))
-    ways = _all([self_, *loops]).distinct().select(F.col("node").alias("of"), F.lit(True).alias("_way"))
-    return found.join(ways, "of", "left").select("of", "node", (F.col("again") | F.col("_way").isNotNull()).alias("again"))
+        found = _stepped(asked, left)
+    found = settle(found if ends is None else _met(found, wants[-1], "node", "left_semi").select("of", "node", "again"))
+    for i in range(len(rounds) - 1, -1, -1):
+        enter, leave = _through(*rounds[i])
+        if ends is not None:
+            enter = _met(enter, wants[i], "node", "left_semi")
+        # What enters a node taken out reaches it, and it reaches what the one node does that it leads to.
+        more = _met(found.select("of", F.col("node").alias("u")), enter, "u").select("of", "node", F.lit(True).alias("again")).distinct()
+        found = settle(found.union(more))
+        back = _met(leave, needs[i], "node", "left_semi").select(F.col("node").alias("_of"), F.col("w").alias("of"))
+        back = _met(back, found, "of").select(F.col("_of").alias("of"), "node", F.lit(True).alias("again"))
+        own = _met(rounds[i][1], needs[i], "node", "left_semi").select(F.col("node").alias("of"), "node", F.lit(False).alias("again"))
+        own = _met(own, back.filter("of = node").select("of"), "of", "left_anti").select("of", "node", "again")
+        found = settle(_met(found, _at(needs[i], "of"), "of", "left_semi").select("of", "node", "again").union(back).union(own))
+        if ends is not None:
+            found = settle(_met(found, wants[i], "node", "left_semi").select("of", "node", "again"))
+    ways = _all([edges.filter("src = dst").select(F.col("src").alias("node")), *loops]).distinct()
+    same = _met(found.filter("of = node"), ways.withColumn("_way", F.lit(True)), "node", "left")
+    return found.filter("of != node").union(same.select("of", "node", (F.col("again") | F.col("_way").isNotNull()).alias("again")))
 
 
 def reached(starts: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(of, node): every node that a path of one edge or more leads to from the ``starts`` (of)."""
     with scratch(edges.sparkSession) as keep:
-        begun = settle(starts.select("of").distinct())
-        return keep(_reached(begun, begun.select(F.col("of").alias("node")), edges, local_edges, whole=True).filter("again").select("of", "node"))
+        return keep(_reached(starts, edges, local_edges).filter("again").select("of", "node"))
 
 
 def closure(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -345,13 +375,17 @@ def closure(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
 
 
 def ancestors(pairs: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """``pairs`` (of, node) whose ``node`` is ``of`` or is reached from it along (src, dst)."""
+    """``pairs`` (of, node) whose ``node`` is ``of`` or is reached from it along (src, dst). Followed from the side that has fewer different nodes."""
     with scratch(edges.sparkSession) as keep:
-        asked = settle(pairs.select("of", "node"))
-        ends = asked.select("node").union(asked.select("of")).distinct()
-        found = _reached(asked, settle(ends), edges, local_edges, whole=False).select("of", "node")
+        asked = settle(pairs.filter("of != node").select("of", "node"))
+        ofs, nodes = settle(asked.select("of").distinct()), settle(asked.select("node").distinct())
+        if nodes.count() < ofs.count():
+            back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            found = _reached(_at(nodes, "of"), back, local_edges, ofs.select(F.col("of").alias("node"))).select(F.col("node").alias("of"), F.col("of").alias("node"))
+        else:
+            found = _reached(ofs, edges, local_edges, nodes).select("of", "node")
         same = pairs.filter("of = node")
-        return keep(same.union(pairs.filter("of != node").join(found, ["of", "node"], "left_semi").select(*pairs.columns)))
+        return keep(same.union(_met(pairs.filter("of != node"), found, ["of", "node"], "left_semi").select(*pairs.columns)))
 
 
 def digests_of_reached(entries: DataFrame, edges: DataFrame, files: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -362,9 +396,7 @@ def digests_of_reached(entries: DataFrame, edges: DataFrame, files: DataFrame, l
     from sealmark.operators.chain import tree_digests
 
     with scratch(edges.sparkSession) as keep:
-        begun = settle(entries.select("of").distinct())
-        all_ = reached(begun, edges, local_edges).union(begun.select("of", F.col("of").alias("node"))).distinct()
-        rows = all_.join(files.select("node", "path", "sha"), "node").select("of", "path", "sha")
+        rows = _met(_reached(entries, edges, local_edges), files.select("node", "path", "sha"), "node").select("of", "path", "sha")
         return keep(tree_digests(rows, "of").withColumnRenamed("area", "of"))
 
 

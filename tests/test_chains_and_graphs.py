@@ -108,6 +108,27 @@ def test_rounds_grow_with_the_logarithm_of_a_ring(spark):
     assert rounds(6400) <= rounds(400) + 12
 
 
+def test_nodes_that_all_are_asked_for_are_taken_out_too(spark):
+    chain_ = spark.range(300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    rounds, _, left, *_ = graph._smaller(chain_, chain_.select(F.col("src").alias("node")), 100)
+    assert left <= 100 and len(rounds) <= 6
+
+
+def test_no_table_of_a_round_goes_through_the_driver(spark, monkeypatch):
+    plans, settle = [], graph.settle
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    monkeypatch.setattr(graph, "settle", kept)
+    edges = spark.range(8).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    files = spark.range(9).select(F.col("id").alias("node"), F.col("id").cast("string").alias("path"), F.lit("s").alias("sha"))
+    got = graph.digests_of_reached(edges.select(F.col("src").alias("of")), edges, files, local_edges=6).collect()
+    assert {x.of: x.n for x in got} == {str(i): 9 - i for i in range(8)}
+    assert plans and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_tables_of_rounds_are_deleted(spark):
     import os
 
