@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealmark import views as V
-from sealmark.functions.text import tokens
 from sealmark.functions.when import due
 from sealmark.operators import runs as R
 from sealmark.operators.chain import tree_digests
@@ -178,9 +177,6 @@ _W = "list_distinct(regexp_extract_all(lower({}), '([a-z_][a-z0-9_]*|[一-鿿])'
 
 @query(f"WITH s_v AS (SELECT DISTINCT p_name AS name, p_size AS value FROM part WHERE p_partkey % 2 = 0), l_v AS (SELECT p_partkey AS id, p_name AS name, p_size AS value FROM part WHERE p_partkey % 2 = 1) SELECT l.id, s.name AS setting, l.value FROM l_v l JOIN s_v s ON s.value = l.value AND len(list_intersect({_W.format('s.name')}, {_W.format('l.name')})) > 0")
 def values_kept_twice(spark: SparkSession, d: str) -> DataFrame:
-    """Values that a setting and a literal both hold under names that share a word: an equi join on value and word."""
-    p = V.read(spark, d, "part")
-    word = lambda rows: rows.withColumn("word", F.explode(tokens(F.col("p_name"))))
-    settings = word(p.filter("p_partkey % 2 = 0").select("p_name", F.col("p_size").alias("value")).distinct()).select("value", "word", F.col("p_name").alias("setting"))
-    literals = word(p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("id"), "p_name", F.col("p_size").alias("value"))).select("id", "value", "word")
-    return literals.join(settings, ["value", "word"]).select("id", "setting", "value").distinct()
+    """Values that a setting and a literal both hold under names that share a word: different names meet once, by value and word, and literals take what theirs met."""
+    p = V.read(spark, d, "part").select("p_partkey", "p_name", F.col("p_size").alias("value"))
+    return R.values_kept_twice(p.filter("p_partkey % 2 = 0").select(F.col("p_name").alias("setting"), "value"), p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "value"))

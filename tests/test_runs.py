@@ -88,3 +88,10 @@ def test_resolved_paths(spark):
 def test_a_quote_may_end_with_what_closes_its_clause(spark):
     df = spark.createDataFrame([("Do this. Do that.", "Do this."), ("Do this. Do that.", "this. Do")], "t string, q string")
     assert [r[0] for r in df.select(X.crosses_clause(F.col("q"), F.col("t"))).collect()] == [False, True]
+
+
+def test_values_kept_twice_keeps_rows_and_meets_names_once(spark):
+    settings = spark.createDataFrame([("hot bolt", 1), ("hot bolt", 1), ("hot ring", 1), ("cold pin", 2), (None, 1)], "setting string, value int")
+    literals = spark.createDataFrame([(7, "Hot hot bolt", 1), (7, "Hot hot bolt", 1), (8, "cold pin", 1), (9, "pin", 2), (10, None, 1)], "id long, name string, value int")
+    got = sorted(tuple(r) for r in R.values_kept_twice(settings, literals).collect())
+    assert got == [(7, "hot bolt", 1)] * 2 + [(7, "hot ring", 1)] * 2 + [(9, "cold pin", 2)]
