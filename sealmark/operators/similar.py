@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
@@ -15,6 +16,8 @@ from sealmark.operators.settled import scratch, settle
 
 #: Bytes of expressions that one task compiles at once; more are taken in blocks.
 BLOCK_BYTES = 1 << 20
+#: Partitions that lines are dealt to before expressions are searched in them: a small table is one task of a scan.
+PARTS = 48
 
 
 def _prefixes(sets: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:
@@ -51,14 +54,14 @@ def repeated(new: DataFrame, history: DataFrame, threshold: float, text: str = "
 # --- vocabularies ----------------------------------------------------------------------------------
 
 
-def required(expression: str) -> str:
-    """The longest run of characters that every match of an expression must have; empty where none is certain.
+def required_runs(expression: str) -> list[str]:
+    """Runs of characters that every match of an expression must have; none where none is certain.
 
     Read off the plain characters outside groups and alternatives; one that a quantifier follows ends its run, and is not certain itself.
     """
     if "|" in expression or "(?" in expression:
-        return ""
-    best, run, depth, i = "", "", 0, 0
+        return []
+    runs, run, depth, i = [], "", 0, 0
     while i < len(expression):
         c, width = expression[i], 1
         if c == "\\":
@@ -75,26 +78,48 @@ def required(expression: str) -> str:
         follows = expression[i + width : i + width + 1]
         if plain and not depth and follows not in ("*", "?", "{", "+"):
             run += plain
-            best = max(best, run, key=len)
-        else:
+        elif run:
+            runs.append(run)
             run = ""
         if c == "{":
             width = max(expression.find("}", i) - i + 1, 1)
         i += width
-    return best
+    return [*runs, run] if run else runs
+
+
+def required(expression: str) -> str:
+    """The longest of the required runs of an expression."""
+    return max(required_runs(expression), key=len, default="")
+
+
+def sought(block: list[str]) -> tuple[dict[str, list[int]], list[int]]:
+    """Expressions by the run that stands for each, and those without one: of its required runs, the one that the fewest expressions share, then the longest."""
+    runs = [required_runs(p) for p in block]
+    shared = Counter(r for own in runs for r in set(own))
+    by: dict[str, list[int]] = {}
+    for i, own in enumerate(runs):
+        if own:
+            by.setdefault(min(own, key=lambda r: (shared[r], -len(r))), []).append(i)
+    return by, [i for i, own in enumerate(runs) if not own]
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of expressions; one that is none fails here, before any line is searched."""
+    for b in batches:
+        every = b.column(0).to_pylist()
+        for p in every:
+            re.compile(p)
+        yield pa.RecordBatch.from_arrays([pa.array([len(p.encode()) for p in every], pa.int64())], names=["size"])
 
 
 def _matched(block: list[str]):
+    by, always = sought(block)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        compiled = [re.compile(p) for p in block]
-        machine, always, by = ahocorasick.Automaton(), [], {}
-        for i, p in enumerate(block):
-            if literal := required(p):
-                by.setdefault(literal, []).append(i)
-            else:
-                always.append(i)
+        compiled: dict[int, re.Pattern] = {}
+        machine = ahocorasick.Automaton()
         for literal, which in by.items():
             machine.add_word(literal, which)
         if by:
@@ -109,6 +134,8 @@ def _matched(block: list[str]):
                     for _, which in machine.iter(line):
                         tries.update(which)
                 for i in sorted(tries):
+                    if i not in compiled:
+                        compiled[i] = re.compile(block[i])
                     if compiled[i].search(line):
                         rows.append(n)
                         found.append(block[i])
@@ -129,12 +156,13 @@ def vocabulary_hits(rows: DataFrame, facts: DataFrame, block_bytes: int = BLOCK_
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
     names = rows.filter("name IS NOT NULL").select("id", F.contains("name", F.lit(".")).alias("_inner"), F.explode(ends).alias("_end"))
     symbols = entries.filter("match = 'symbol'").select("pattern", F.startswith("pattern", F.lit(".")).alias("_any"), F.regexp_replace("pattern", r"^\.", "").alias("_end"))
-    out = names.join(symbols, "_end").filter("NOT _any OR _inner").select("id", F.lit("symbol").alias("match"), "pattern").distinct()
+    out = names.join(symbols.hint("merge"), "_end").filter("NOT _any OR _inner").select("id", F.lit("symbol").alias("match"), "pattern").distinct()
     expressions = entries.filter("match = 'regex'").select("pattern")
-    size = expressions.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
+    size = expressions.repartition(PARTS).mapInArrow(_sizes, "size long").agg(F.sum("size")).first()[0] or 0
     blocks = ceil(size / block_bytes)
     kind = rows.schema["id"].dataType.simpleString()
+    dealt = rows.select("id", "line").repartition(PARTS, "id")
     for k in range(blocks):
         block = sorted(r.pattern for r in expressions.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect())  # about block_bytes
-        out = out.union(rows.select("id", "line").mapInArrow(_matched(block), f"id {kind}, pattern string").select("id", F.lit("regex").alias("match"), "pattern"))
+        out = out.union(dealt.mapInArrow(_matched(block), f"id {kind}, pattern string").select("id", F.lit("regex").alias("match"), "pattern"))
     return out

@@ -91,3 +91,15 @@ def test_the_plan_does_not_grow_with_the_vocabulary(spark):
     rows = spark.createDataFrame([(1, "a.b", "x")], "id long, name string, line string")
     size = lambda n: len(similar.vocabulary_hits(rows, spark.range(n).select(F.concat(F.lit("p"), F.col("id")).alias("pattern"), F.lit("regex").alias("match")))._jdf.queryExecution().optimizedPlan().toString().splitlines())
     assert size(10) == size(1000)
+
+
+def test_an_expression_is_sought_by_what_few_others_share():
+    block = [f"large_.*{i}$" for i in range(100)] + ["large_", "[a-z]x?"]
+    by, always = similar.sought(block)
+    assert always == [101] and max(len(w) for w in by.values()) == 1 and by["7"] == [7] and by["large_"] == [100]
+
+
+def test_an_expression_that_is_none_fails(spark):
+    rows = spark.createDataFrame([(1, "a", "b")], "id long, name string, line string")
+    with pytest.raises(Exception, match="unterminated|missing"):
+        similar.vocabulary_hits(rows, spark.createDataFrame([("zz(", "regex")], "pattern string, match string")).collect()
