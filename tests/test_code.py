@@ -54,3 +54,16 @@ def test_pins(spark):
     own = spark.createDataFrame([("a.py", "f", "3")], "path string, symbol string, value string")
     found = code.pin_faults(marks, own, own.withColumnRenamed("path", "file"))
     assert rows(found.select("file", "problem")) == [("", "empty"), ("a.py", "no symbol"), ("a.py", "other value"), ("b.py", "no file")]
+
+
+def test_files_are_parsed_once_and_by_many_tasks(spark, monkeypatch):
+    parsed, python = [], code._python
+
+    def told(files):
+        out = python(files)
+        parsed.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(code, "_python", told)
+    left = code.dangling_imports(frame(spark).coalesce(1))
+    assert "ArrowEvalPython" not in left._jdf.queryExecution().executedPlan().toString() and len(parsed) == 1 and parsed[0] >= code.PARTS
