@@ -7,11 +7,14 @@ a chain or ring of n nodes takes log n rounds of geometrically falling size. Wha
 are larger than that, take the rounds of ``_spread`` and ``_stepped``, as many as their paths are long.
 
 Tables of a round meet sorted (``_met``) and are never sent through the driver: files of ids are packed so well that their size says little of their rows.
+
+Where pairs are only asked about (``ancestors``), what reaches a node is a bit for each start, ``BLOCK`` of them a row, and not a row each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 from math import ceil
 from typing import Any
 
@@ -20,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sealmark.operators.chain import numbered, tree_digests
 from sealmark.operators.settled import scratch, settle
 
 #: Edges that one task may hold.
@@ -28,6 +32,8 @@ LOCAL_EDGES = 1 << 17
 WORTH = 0.05
 #: Starts that one pass over a graph in a task follows at once, a bit each.
 STARTS = 4096
+#: Starts that one row of a node tells of, a bit each.
+BLOCK = 64
 
 
 def _plain(edges: DataFrame) -> DataFrame:
@@ -98,13 +104,17 @@ class Small:
 
     def reached(self, starts: list) -> Iterator[tuple[Any, int, bool]]:
         """(node, bits, again) for every node that one of the ``starts`` reaches, a bit each; ``again``: also from itself, by an edge or more."""
+        return self.marked((s, 1 << i) for i, s in enumerate(starts))
+
+    def marked(self, marks: Iterable[tuple[Any, int]]) -> Iterator[tuple[Any, int, bool]]:
+        """(node, bits, again) for every node that has or is reached by bits of ``marks`` (node, bits)."""
         n = max(self.component, default=-1) + 1
-        bits, members, loops = [0] * n, [[] for _ in range(n)], [0] * n
+        bits, members = [0] * n, [[] for _ in range(n)]
         for node, c in enumerate(self.component):
             members[c].append(node)
-        for i, s in enumerate(starts):
+        for s, held in marks:
             if (at := self.place.get(s)) is not None:
-                bits[self.component[at]] |= 1 << i
+                bits[self.component[at]] |= held
         for c in range(n):
             if bits[c]:
                 for node in members[c]:
@@ -177,6 +187,42 @@ def _made(starts: list, out: tuple[list, list, list], kind: pa.DataType) -> pa.R
     return pa.RecordBatch.from_arrays([of, node, pa.array(np.concatenate(out[2]))], names=["of", "node", "again"])
 
 
+def _local_marks(marks: DataFrame, left: DataFrame) -> DataFrame:
+    """``marks`` (node, block, bits) of nodes of the graph, carried on to all that they reach, in passes of ``STARTS`` bits."""
+    kind, wide = left.schema["src"].dataType.simpleString(), STARTS // BLOCK
+    graph = marks.sparkSession.sparkContext.broadcast(_pairs(left))
+    dealt = marks.select("node", F.floor(F.col("block") / wide).alias("_pass"), (F.col("block") % wide).alias("_at"), "bits")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Any, int]]:
+        for b in batches:
+            for node, turn, at, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                yield turn, node, (bits & (1 << BLOCK) - 1) << at * BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = Small(*graph.value)
+        of = pa.array(g.names[:1]).type
+        for turn, some in groupby(rows(batches), lambda x: x[0]):
+            names, blocks, bits = [], [], []
+            for name, held, _ in g.marked((node, b) for _, node, b in some):
+                words = np.frombuffer(held.to_bytes(STARTS // 8, "little"), "<i8")
+                at = np.flatnonzero(words)
+                names.append((name, len(at)))
+                blocks.append(at + turn * wide)
+                bits.append(words[at])
+                if len(names) > 1 << 14:
+                    yield _marks_made(names, blocks, bits, of)
+                    names, blocks, bits = [], [], []
+            if names:
+                yield _marks_made(names, blocks, bits, of)
+
+    return dealt.repartition("_pass").sortWithinPartitions("_pass").mapInArrow(run, f"node {kind}, block long, bits long")
+
+
+def _marks_made(names: list[tuple[Any, int]], blocks: list, bits: list, kind: pa.DataType) -> pa.RecordBatch:
+    node = pa.array([n for n, _ in names], kind).take(pa.array(np.repeat(np.arange(len(names)), [k for _, k in names])))
+    return pa.RecordBatch.from_arrays([node, pa.array(np.concatenate(blocks)), pa.array(np.concatenate(bits))], names=["node", "block", "bits"])
+
+
 # --- making a graph smaller ------------------------------------------------------------------------
 
 
@@ -328,14 +374,10 @@ def _stepped(starts: DataFrame, left: DataFrame) -> DataFrame:
     return _met(_all(parts), again, ["of", "at"], "left").select("of", F.col("at").alias("node"), ((F.col("of") != F.col("at")) | F.col("_again").isNotNull()).alias("again"))
 
 
-def _reached(starts: DataFrame, edges: DataFrame, local_edges: int, ends: DataFrame | None = None) -> DataFrame:
-    """(of, node, again) of the distinct ``starts`` (of): themselves and all that they reach, or as much of it as lies in ``ends`` (node)."""
+def _reached(starts: DataFrame, edges: DataFrame, local_edges: int) -> DataFrame:
+    """(of, node, again) of the distinct ``starts`` (of): themselves and all that they reach."""
     begun = settle(starts.select(F.col("of").alias("node")).filter("node IS NOT NULL").distinct())
     rounds, left, n, loops, needs = _smaller(edges, begun, local_edges)
-    wants = [None if ends is None else settle(ends.select("node").distinct())]
-    if ends is not None:
-        for before, out in rounds:
-            wants.append(settle(_moved(wants[-1], out, _through(before, out)[0], "u")))
     left, asked = settle(left), _at(needs[-1], "of")
     if n <= local_edges:
         inside = _at(_nodes(left), "of")
@@ -343,11 +385,9 @@ def _reached(starts: DataFrame, edges: DataFrame, local_edges: int, ends: DataFr
         found = found.union(_met(asked, inside, "of", "left_anti").select("of", F.col("of").alias("node"), F.lit(False)))
     else:
         found = _stepped(asked, left)
-    found = settle(found if ends is None else _met(found, wants[-1], "node", "left_semi").select("of", "node", "again"))
+    found = settle(found)
     for i in range(len(rounds) - 1, -1, -1):
         enter, leave = _through(*rounds[i])
-        if ends is not None:
-            enter = _met(enter, wants[i], "node", "left_semi")
         # What enters a node taken out reaches it, and it reaches what the one node does that it leads to.
         more = _met(found.select("of", F.col("node").alias("u")), enter, "u").select("of", "node", F.lit(True).alias("again")).distinct()
         found = settle(found.union(more))
@@ -356,8 +396,6 @@ def _reached(starts: DataFrame, edges: DataFrame, local_edges: int, ends: DataFr
         own = _met(rounds[i][1], needs[i], "node", "left_semi").select(F.col("node").alias("of"), "node", F.lit(False).alias("again"))
         own = _met(own, back.filter("of = node").select("of"), "of", "left_anti").select("of", "node", "again")
         found = settle(_met(found, _at(needs[i], "of"), "of", "left_semi").select("of", "node", "again").union(back).union(own))
-        if ends is not None:
-            found = settle(_met(found, wants[i], "node", "left_semi").select("of", "node", "again"))
     ways = _all([edges.filter("src = dst").select(F.col("src").alias("node")), *loops]).distinct()
     same = _met(found.filter("of = node"), ways.withColumn("_way", F.lit(True)), "node", "left")
     return found.filter("of != node").union(same.select("of", "node", (F.col("again") | F.col("_way").isNotNull()).alias("again")))
@@ -374,18 +412,64 @@ def closure(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     return reached(edges.select(F.col("src").alias("of")), edges, local_edges).select(F.col("of").alias("src"), F.col("node").alias("dst"))
 
 
+def _either(rows: DataFrame) -> DataFrame:
+    return rows.select("node", "block", "bits").groupBy("node", "block").agg(F.bit_or("bits").alias("bits"))
+
+
+def _stepped_marks(marks: DataFrame, left: DataFrame) -> DataFrame:
+    """(node, block, bits) by one edge a round; only bits that are new to a node are sent on."""
+    none = F.lit(0).cast("long")
+    now = settle(marks.select("node", "block", "bits", F.col("bits").alias("new")))
+    while not now.filter("new != 0").isEmpty():
+        sent = _met(now.filter("new != 0").select(F.col("node").alias("src"), "block", "new"), left, "src").select(F.col("dst").alias("node"), "block", none.alias("bits"), "new")
+        met = now.select("node", "block", "bits", none.alias("new")).union(sent).groupBy("node", "block").agg(F.bit_or("bits").alias("bits"), F.bit_or("new").alias("got"))
+        now = settle(met.select("node", "block", F.col("bits").bitwiseOR(F.col("got")).alias("bits"), F.col("got").bitwiseAND(F.bitwise_not("bits")).alias("new")))
+    return now.select("node", "block", "bits")
+
+
+def _marked(starts: DataFrame, edges: DataFrame, local_edges: int, ends: DataFrame) -> DataFrame:
+    """(node, block, bits): the ``starts`` (node, block, bits) that are or reach each of the ``ends`` (node).
+
+    A start that is taken out of the graph marks what its edges lead to, so any may be taken out.
+    """
+    rounds, left, n, *_ = _smaller(edges, None, local_edges)
+    marks, wants = [settle(starts)], [settle(ends.select("node").distinct())]
+    for before, out in rounds:
+        enter, leave = _through(before, out)
+        on = _met(marks[-1], leave, "node").select(F.col("w").alias("node"), "block", "bits")
+        marks.append(settle(_either(_met(marks[-1], out, "node", "left_anti").union(on))))
+        wants.append(settle(_moved(wants[-1], out, enter, "u")))
+    left = settle(left)
+    found = _local_marks(marks[-1], left) if n <= local_edges else _stepped_marks(marks[-1], left)
+    found = settle(_met(_either(found.union(marks[-1])), wants[-1], "node", "left_semi"))
+    for i in range(len(rounds) - 1, -1, -1):
+        out = _met(rounds[i][1], wants[i], "node", "left_semi")
+        came = _met(found.withColumnRenamed("node", "u"), _through(rounds[i][0], out)[0], "u")
+        back = _either(came.select("node", "block", "bits").union(_met(marks[i], out, "node", "left_semi")))
+        found = settle(_met(found, wants[i], "node", "left_semi").union(back))
+    return found
+
+
 def ancestors(pairs: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """``pairs`` (of, node) whose ``node`` is ``of`` or is reached from it along (src, dst). Followed from the side that has fewer different nodes."""
+    """``pairs`` (of, node) whose ``node`` is ``of`` or is reached from it along (src, dst). Followed from the side that has fewer different nodes.
+
+    Pairs meet their starts sorted, or, where starts are so few that many pairs share each, by a broadcast of at most ``STARTS`` rows.
+    """
     with scratch(edges.sparkSession) as keep:
-        asked = settle(pairs.filter("of != node").select("of", "node"))
-        ofs, nodes = settle(asked.select("of").distinct()), settle(asked.select("node").distinct())
-        if nodes.count() < ofs.count():
-            back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-            found = _reached(_at(nodes, "of"), back, local_edges, ofs.select(F.col("of").alias("node"))).select(F.col("node").alias("of"), F.col("of").alias("node"))
-        else:
-            found = _reached(ofs, edges, local_edges, nodes).select("of", "node")
-        same = pairs.filter("of = node")
-        return keep(same.union(_met(pairs.filter("of != node"), found, ["of", "node"], "left_semi").select(*pairs.columns)))
+        asked = settle(pairs)
+        far = asked.filter("of != node")
+        ofs, nodes = (settle(far.select(F.col(c).alias("node")).distinct()) for c in ("of", "node"))
+        n_ofs, n_nodes = ofs.count(), nodes.count()
+        start, end, begun, ends, way = "of", "node", ofs, nodes, edges.select("src", "dst")
+        if n_nodes < n_ofs:
+            start, end, begun, ends, way = "node", "of", nodes, ofs, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        bit = F.expr(f"shiftleft(1L, CAST(position % {BLOCK} AS INT))")
+        starts = settle(numbered(begun, "node").select("node", F.floor(F.col("position") / BLOCK).alias("block"), bit.alias("bits")))
+        found = _marked(starts, way, local_edges, ends)
+        own = starts.select(F.col("node").alias(start), "block", F.col("bits").alias("_bit"))
+        dealt = far.join(F.broadcast(own) if min(n_ofs, n_nodes) <= STARTS else own.hint("merge"), start)
+        met = _met(dealt, found.select(F.col("node").alias(end), "block", F.col("bits").alias("_bits")), [end, "block"])
+        return keep(asked.filter("of = node").union(met.filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*pairs.columns)))
 
 
 def digests_of_reached(entries: DataFrame, edges: DataFrame, files: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -393,8 +477,6 @@ def digests_of_reached(entries: DataFrame, edges: DataFrame, files: DataFrame, l
 
     ``files`` has (node, path, sha). What is reached but is no file does not count. Rows of an entry stream by in order; none is gathered.
     """
-    from sealmark.operators.chain import tree_digests
-
     with scratch(edges.sparkSession) as keep:
         rows = _met(_reached(entries, edges, local_edges), files.select("node", "path", "sha"), "node").select("of", "path", "sha")
         return keep(tree_digests(rows, "of").withColumnRenamed("area", "of"))

@@ -81,6 +81,30 @@ def test_ancestors(spark, local):
     assert sorted(tuple(x) for x in graph.ancestors(pairs, edges, local_edges=local).collect()) == [(1, 3), (2, 2), (4, 1), (5, 5), (10, 40), (20, 30)]
 
 
+@pytest.mark.parametrize("local, worth, by, to_", [(graph.LOCAL_EDGES, 0.05, 1, 1), (90, 0.05, 1, 2), (0, 2, 2, 1)])
+def test_ancestors_of_more_starts_than_a_block(spark, monkeypatch, local, worth, by, to_):
+    monkeypatch.setattr(graph, "WORTH", worth)
+    monkeypatch.setattr(graph, "STARTS", 128)
+    r = random.Random(9)
+    edges = {(r.randrange(150), r.randrange(150)) for _ in range(170)} | {(i, i) for i in range(5)}
+    to = reach(edges)
+    df = spark.createDataFrame(sorted(edges), "src long, dst long")
+    asked = [(a, b) for a in range(0, 160, by) for b in range(0, 160, to_) if (a + b) % 3]
+    want = [(a, b) for a, b in asked if a == b or b in to.get(a, ())]
+    got = graph.ancestors(spark.createDataFrame(asked, "of long, node long"), df, local_edges=local).collect()
+    assert sorted(tuple(x) for x in got) == want
+
+
+def test_ancestors_hold_a_row_a_node_and_not_a_pair(spark, monkeypatch):
+    n, rows = 3000, []
+    edges = spark.range(1, n).select(F.col("id").alias("src"), F.explode(F.array(F.floor(F.col("id") / 2), F.floor(F.col("id") / 3))).alias("dst")).distinct()
+    asked = [(i, i % 50) for i in range(n)]
+    settle = graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: rows.append((out := settle(df)).count()) or out)
+    got = graph.ancestors(spark.createDataFrame(asked, "of long, node long"), edges, local_edges=500)
+    assert 1000 < got.count() < n and max(rows) <= 2 * n
+
+
 def jobs(spark, name, f):
     spark.sparkContext.setJobGroup(name, name)
     out = f().collect()
