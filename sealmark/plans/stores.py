@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sealmark import views as V
 from sealmark.operators import code
-from sealmark.operators.settled import place, scratch
+from sealmark.operators.settled import place, scratch, settle
 from sealmark.plans.registry import query
 from sealmark.sources import ledger, segments
 
@@ -44,8 +44,10 @@ def sealed_segments(spark: SparkSession, d: str) -> DataFrame:
         segments.export({"attempt": attempts, "event": events}, at, seal_bytes=30_000)
         of = lambda field: F.get_json_object("value", f"$.{field}")
         lines = segments.read(spark, at).select("seq", "value", of("_table").alias("table"))
-        heads = lines.filter(F.col("table") == segments.SEGMENT).select("seq", F.from_json(of("skip"), "map<string,long>").alias("skip"), of("starts_after").alias("starts_after"))
-        rows = lines.filter(~F.col("table").isin(segments.SEGMENT, segments.ANCHOR)).groupBy("seq", "table").agg(F.count("*").alias("n"), F.min(of("id").cast("long")).alias("first_id"), F.max(of("id").cast("long")).alias("last_id"))
+        first_line = F.max(F.when(F.col("table") == segments.SEGMENT, F.col("value"))).alias("value")
+        every = settle(lines.filter(F.col("table") != segments.ANCHOR).groupBy("seq", "table").agg(F.count("*").alias("n"), F.min(of("id").cast("long")).alias("first_id"), F.max(of("id").cast("long")).alias("last_id"), first_line))
+        heads = every.filter(F.col("table") == segments.SEGMENT).select("seq", F.from_json(of("skip"), "map<string,long>").alias("skip"), of("starts_after").alias("starts_after"))
+        rows = every.filter(F.col("table") != segments.SEGMENT).drop("value")
         skip = F.coalesce(F.try_element_at("skip", F.col("table")), F.lit(0)).cast("long")
         met = rows.join(heads, "seq", "left").crossJoin(segments.faults(spark, at).agg(F.count("*").cast("int").alias("faults")))
         return keep(met.select("seq", "table", "n", "first_id", "last_id", skip.alias("skip"), F.coalesce("starts_after", F.lit("")).alias("starts_after"), "faults"))

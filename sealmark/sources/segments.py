@@ -4,6 +4,9 @@
 the chain has there; the last segment ends in an anchor. ``<path>/manifest/epoch=E`` has one row a segment and is written last: what
 it does not name is not part of the export, so an export that dies half-way leaves the one before as it was.
 
+An export that has more than ``FILES`` segments, small ones, puts successive ones into files of about ``PACK_BYTES`` in ``<path>/packs/epoch=E/pack=P``,
+whole and in order, as making a file costs more than filling it. The manifest names the pack.
+
 A later export writes the rows after the last sealed segment only: a segment that was still open is written anew, as a file of the
 new epoch. Rows that went missing below what is sealed are found by their number and refused.
 """
@@ -21,8 +24,11 @@ from sealmark.sources.ledger import exists, to_lines
 
 #: Bytes of all rows before one, over this, tell its segment: a segment is longer by less than a row, and later exports cut at the same places.
 SEAL_BYTES = 64 << 20
+#: Segments of an export that may have a file each, and bytes of the segments that share a file where there are more.
+FILES, PACK_BYTES = 256, 16 << 20
 SEGMENT, ANCHOR = "_segment", "_anchor"
-_MANIFEST = "seq int, start long, bytes long, skip map<string,long>, upto map<string,long>, starts_after string, next_skip map<string,long>, next_upto map<string,long>, ends_with string"
+_HEAD = f'{{"_table":"{SEGMENT}","seq":'
+_MANIFEST = "seq int, start long, bytes long, skip map<string,long>, upto map<string,long>, starts_after string, next_skip map<string,long>, next_upto map<string,long>, ends_with string, pack int"
 
 
 class LostRows(ValueError):
@@ -38,12 +44,26 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return all_.join(newest, ["seq", "epoch"])
 
 
+def _named(spark: SparkSession, path: str, packed: bool) -> DataFrame | None:
+    """(seq, epoch) of the segments in packs, or in files of their own; None if there are none. Broadcast behind a count."""
+    named = manifest(spark, path).filter(F.col("pack").isNotNull() if packed else F.col("pack").isNull()).select("seq", "epoch")
+    n = named.count()
+    return None if n == 0 else F.broadcast(named) if n <= 1 << 20 else named
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(seq, value): the lines of an export, its segment heads and its anchor among them."""
-    named = manifest(spark, path).select("seq", "epoch")
-    if named.isEmpty():
-        return spark.createDataFrame([], "seq int, value string")
-    return spark.read.text(f"{path}/rows").join(named, ["seq", "epoch"]).select("seq", "value")
+    alone, packed = _named(spark, path, False), _named(spark, path, True)
+    out = None if alone is None else spark.read.text(f"{path}/rows").join(alone, ["seq", "epoch"]).select("seq", "value")
+    if packed is not None:
+        # A record is a segment: no line holds a line break, so its head is found by the one before it. Only the first segment has no head.
+        whole = spark.read.text(f"{path}/packs", lineSep="\n" + _HEAD)
+        text = F.when(F.startswith("value", F.lit("{")), F.col("value")).otherwise(F.concat(F.lit(_HEAD), "value"))
+        number = F.when(F.startswith("text", F.lit(_HEAD)), F.regexp_extract(F.substring("text", len(_HEAD) + 1, 12), r"^\d+", 0)).otherwise("1").cast("int")
+        segments = whole.select("epoch", text.alias("text")).withColumn("seq", number).join(packed, ["seq", "epoch"])
+        lines = segments.select("seq", F.explode(F.split("text", "\n")).alias("value")).filter("value != ''")
+        out = lines if out is None else out.union(lines)
+    return spark.createDataFrame([], "seq int, value string") if out is None else out
 
 
 def _start(spark: SparkSession, path: str, seal_bytes: int) -> dict[str, Any]:
@@ -115,9 +135,13 @@ def _export(spark: SparkSession, tables: dict[str, DataFrame], path: str, seal_b
     first = heads.filter(F.col("seq") > 1).select("seq", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("position"), F.to_json(F.struct(F.lit(SEGMENT).alias("_table"), "seq", "skip", "starts_after")).alias("value"))
     anchor = heads.orderBy(F.desc("seq")).limit(1).select("seq", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("position"), F.to_json(F.struct(F.lit(ANCHOR).alias("_table"), F.col("next_skip").alias("rows"), F.col("ends_with").alias("head_hash"))).alias("value"))
     data = placed.withColumn("share", share).join(cuts.select("share", "seq"), "share").select("seq", F.lit(1).alias("kind"), "position", "value")
-    lines = data.union(first).union(anchor).repartition("seq").sortWithinPartitions("seq", "kind", "position").select("seq", "value")
-    lines.write.partitionBy("seq").mode("overwrite").text(f"{path}/rows/epoch={begin['epoch']}")
-    heads.select("seq", "start", "bytes", "skip", "upto", "starts_after", "next_skip", "next_upto", "ends_with").coalesce(1).write.mode("overwrite").json(f"{path}/manifest/epoch={begin['epoch']}")
+    per = PACK_BYTES // seal_bytes
+    packed = per > 1 and heads.count() > FILES
+    pack = (F.floor((F.col("seq") - begin["seq"]) / per) if packed else F.lit(None)).cast("int")
+    to, by = ("packs", "pack") if packed else ("rows", "seq")
+    lines = data.union(first).union(anchor).withColumn("pack", pack).repartition(by).sortWithinPartitions(by, "seq", "kind", "position").select(by, "value")
+    lines.write.partitionBy(by).mode("overwrite").text(f"{path}/{to}/epoch={begin['epoch']}")
+    heads.select("seq", "start", "bytes", "skip", "upto", "starts_after", "next_skip", "next_upto", "ends_with", pack.alias("pack")).coalesce(1).write.mode("overwrite").json(f"{path}/manifest/epoch={begin['epoch']}")
 
 
 def faults(spark: SparkSession, path: str, chained: str = "attempt") -> DataFrame:

@@ -107,6 +107,22 @@ def test_an_export_that_dies_half_way_changes_nothing(spark, tmp_path, monkeypat
     assert segments.read(spark, str(at)).filter(F.contains("value", F.lit('"id":99'))).count() == 0
 
 
+def test_many_small_segments_share_files(spark, tmp_path, monkeypatch):
+    one, many = tmp_path / "one", tmp_path / "many"
+    segments.export(ledger_rows(spark, 8), str(one), seal_bytes=150)
+    segments.export(ledger_rows(spark, 40, extra=9), str(one), seal_bytes=150)
+    monkeypatch.setattr(segments, "FILES", 2)
+    monkeypatch.setattr(segments, "PACK_BYTES", 600)
+    segments.export(ledger_rows(spark, 8), str(many), seal_bytes=150)
+    (many / "rows" / "epoch=2" / "seq=9").mkdir(parents=True)  # rows without a manifest
+    (many / "rows" / "epoch=2" / "seq=9" / "part-0.txt").write_text('{"_table":"event","id":99}\n')
+    segments.export(ledger_rows(spark, 40, extra=9), str(many), seal_bytes=150)
+    lines = lambda at: sorted(tuple(r) for r in segments.read(spark, str(at)).collect())
+    n = segments.manifest(spark, str(many)).count()
+    assert lines(many) == lines(one) and n > 12 and segments.faults(spark, str(many)).count() == 0
+    assert len(list(many.glob("packs/epoch=*/*/part-*"))) < n / 2 + 2 and not list(many.glob("rows/epoch=1"))
+
+
 def test_odd_exports(spark, tmp_path):
     t = ledger_rows(spark, 3)
     segments.export({k: v.limit(0) for k, v in t.items()}, str(tmp_path / "none"))
